@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import decontam, langid, media, mixing, sharding, simhash, urlfilter
+from lettermill.llm import decontam, htmlmain, langid, licenses, linededup, media, mixing, sharding, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +38,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"), blocked)
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -43,6 +51,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
+#: Documents have no paths, so every row gets one: source/lang/hundred/file. Every 25th row is a
+#: license file, every 50th one level higher.
+_PATH = """concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/',
+    CASE WHEN doc_id % 50 = 0 THEN 'LICENSE'
+         WHEN doc_id % 25 = 0 THEN concat(cast(floor(doc_id / 100) AS bigint), '/LICENSE')
+         ELSE concat(cast(floor(doc_id / 100) AS bigint), '/', doc_id, '.txt') END)"""
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", F.expr(_PATH).alias("path"), "text"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_table(spark, sf_dir, "documents"))
 
@@ -50,13 +71,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1,
     "op2_benchmark_decontamination": op2,
+    "op3_line_dedup": op3,
     "op4_source_mixing": op4,
     "op5_url_filter": op5,
+    "op6_html_extraction": op6,
     "op7_sharding": op7,
     "op8_media_columns": op8,
+    "op9_license_scan": op9,
     "op10_language_id": op10,
 }
 
+# The shortest runs with 50 words from each line and up to each line; all but a run's first place go.
+_OP3 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
+), c AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w,
+         sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM l
+), runs AS (
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 50 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 50 GROUP BY ALL
+), texts AS (
+  SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS body FROM runs r JOIN l ON l.doc_id = r.doc_id AND i BETWEEN s AND e GROUP BY ALL
+), later AS (
+  SELECT doc_id, s, e FROM texts QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, s) > 1
+), gone AS (
+  SELECT DISTINCT l.doc_id, i FROM later JOIN l ON l.doc_id = later.doc_id AND i BETWEEN s AND e
+)
+SELECT d.doc_id, count(l.i) AS n_lines, count(gone.i) AS n_removed,
+       CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '') END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i
+GROUP BY d.doc_id
+"""
+
 _OP4 = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
@@ -134,8 +182,50 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM d
 """
 
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_OP9 = rf"""
+WITH f AS (
+  SELECT row_number() OVER () AS n, doc_id, {_PATH} AS path, text FROM documents
+), g AS (
+  SELECT *, CASE WHEN path IS NULL THEN NULL ELSE regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) END AS dir,
+         regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[sc]e|copying|notice)(\..*)?$') AS hands_on FROM f
+), tpl(tid, license, body) AS (VALUES {_TEMPLATE_ROWS}
+), tt AS (
+  SELECT tid, license, t, count(*) AS c FROM (SELECT tid, license, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS t FROM tpl) WHERE t <> '' GROUP BY ALL
+), total AS (SELECT count(text) AS nd FROM f
+), dfs AS (
+  SELECT t, count(DISTINCT n) AS df FROM (SELECT n, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS t FROM f) WHERE t IN (SELECT t FROM tt) GROUP BY t
+), idf AS (
+  SELECT v.t, ln((1 + nd)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tt) v CROSS JOIN total LEFT JOIN dfs ON dfs.t = v.t
+), tw AS (
+  SELECT tid, license, t, idf, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (t)
+), lines AS (
+  SELECT n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM f
+), lt AS (
+  SELECT n, i, t, count(*) AS c FROM (SELECT n, i, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS t FROM lines) WHERE t <> '' GROUP BY ALL
+), norms AS (
+  SELECT n, i, sqrt(sum((c * coalesce(idf, ln(1 + nd) + 1)) ** 2)) AS norm FROM lt CROSS JOIN total LEFT JOIN idf USING (t) GROUP BY n, i
+), scores AS (
+  SELECT n, i, license, sum(lt.c * idf * w) AS dot FROM lt JOIN tw USING (t) GROUP BY n, i, tid, license
+), own AS (
+  SELECT n, license AS own_license, round(dot / norm, 6) AS own_score FROM scores JOIN norms USING (n, i) WHERE round(dot / norm, 6) >= {licenses.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY round(dot / norm, 6) DESC, license) = 1
+), r AS (SELECT * FROM g LEFT JOIN own USING (n)
+), givers AS (
+  SELECT dir AS from_dir, own_license AS handed FROM r WHERE hands_on AND own_license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license, path) = 1
+), near AS (
+  SELECT r.n, from_dir, handed FROM r JOIN givers ON r.dir = from_dir OR starts_with(r.dir, from_dir || '/') OR from_dir = ''
+  QUALIFY row_number() OVER (PARTITION BY r.n ORDER BY length(from_dir) DESC) = 1
+)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, handed) AS license, CASE WHEN own_license IS NULL THEN from_dir END AS from_dir
+FROM r LEFT JOIN near USING (n)
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": _OP3,
     "op4_source_mixing": _OP4,
     "op5_url_filter": _OP5,
     "op7_sharding": _OP7,
+    "op9_license_scan": _OP9,
 }
