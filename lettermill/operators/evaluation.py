@@ -133,6 +133,16 @@ def best_epoch(history: DataFrame, by: Sequence[str] = (), epoch_col: str = "epo
     return history.groupBy(*by).agg(pick.alias("b")).select(*by, (-F.col("b.neg")).alias("best_epoch"), F.col("b.score").alias("best_score"))
 
 
+def loss_by_epoch(steps: DataFrame, by: Sequence[str] = ("epoch",)) -> DataFrame:
+    """Mean training loss of each epoch from step losses."""
+    return steps.groupBy(*by).agg(F.avg("loss").alias("train_loss"))
+
+
+def attach_gold(predictions: DataFrame, gold: DataFrame, id_col: str = "id") -> DataFrame:
+    """Scores with the labels of the same id; rows that lack either are left out."""
+    return predictions.join(gold.select(id_col, "labels"), id_col)
+
+
 def without_run_columns(metrics: DataFrame) -> DataFrame:
     return metrics.drop("epoch", "train_loss")
 

@@ -181,6 +181,15 @@ def ruling_signals(spark, sf_dir):
     return found.select("ecli", F.array_join("awb_articles_cited", ",").alias("articles"), "woo_cited")
 
 
+_ARTICLE_HINTS = "MAP {" + ", ".join(f"'{a}': '{','.join(ls)}'" for a, ls in T.ARTICLE_LABELS.items()) + "}"
+
+
+@query(f"WITH r AS ({_RULINGS_SQL}) SELECT label, count(*) AS n FROM (SELECT ({_ARTICLE_HINTS})[regexp_extract(full_text, 'artikel ([0-9]+:[0-9]+)', 1)] AS label FROM r) WHERE label IS NOT NULL GROUP BY label")
+def article_labels(spark, sf_dir):
+    found = rulings.with_signals(ruling_rows(spark, sf_dir)).select(T.labels_of_articles(F.col("awb_articles_cited")).alias("labels"))
+    return datasets.label_distribution(found)
+
+
 def quote_candidates_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ruling_rows(spark, sf_dir).withColumns({"content_url": F.lit(None).cast("string"), "instance": F.lit(None).cast("string")})
     return candidates.candidates(rows)
@@ -406,6 +415,32 @@ def generations_to_examples(spark, sf_dir):
     return examples.from_generation(rows, "m").select("id", "source", F.array_join("labels", ",").alias("labels"), "notes", "language", "pseudonymized")
 
 
+_LINES = """
+SELECT doc_id, concat('{"id": ', CASE WHEN doc_id % 7 = 0 THEN '5' ELSE concat('"d', cast(doc_id AS string), '"') END, ', "text": "brief", "source": "', CASE WHEN doc_id % 5 = 0 THEN 'krant' ELSE 'gold' END,
+  '", "labels": [', CASE doc_id % 4 WHEN 0 THEN '"klacht", "melding"' WHEN 1 THEN '"onbekend"' WHEN 2 THEN '' ELSE '"beroep"' END, ']', CASE WHEN doc_id % 11 = 0 THEN '' ELSE '}' END) AS value
+FROM documents
+"""
+
+
+@query(
+    """
+SELECT 'd' || doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'klacht,melding' WHEN 2 THEN '' ELSE 'beroep' END AS labels, 'gold' AS source FROM documents
+WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 4 <> 1 AND doc_id % 11 <> 0
+"""
+)
+def labelled_lines(spark, sf_dir):
+    """Strict scan of JSON lines: records with a wrong type, source or label, and broken ones, are rejected whole."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    kept, _ = examples.split_lines(spark.sql(_LINES).select("value"))
+    return kept.select("id", F.array_join("labels", ",").alias("labels"), "source")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 4 = 1 OR doc_id % 11 = 0")
+def labelled_line_rejects(spark, sf_dir):
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return examples.split_lines(spark.sql(_LINES))[1].select("doc_id")
+
+
 # ---------------------------------------------------------------- labels, datasets, splits
 
 _EXAMPLES_SQL = f"""
@@ -545,6 +580,24 @@ def best_thresholds(spark, sf_dir):
     return _rounded(evaluation.best_thresholds(scored(spark, sf_dir)))
 
 
+@query(f"WITH {_CELLS}, {_THRESHOLDS} SELECT c.id, coalesce(string_agg(c.label, ',' ORDER BY c.label_id) FILTER (WHERE p >= threshold), '') AS decoded FROM cells c JOIN best b ON b.eval_set = c.eval_set AND b.label_id = c.label_id GROUP BY c.id")
+def decode_with_best_thresholds(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    best = evaluation.best_thresholds(rows).groupBy("eval_set").agg(F.transform(F.array_sort(F.collect_list(F.struct("label_id", "threshold"))), lambda x: x["threshold"]).alias("t"))
+    # one row an evaluation set
+    return rows.join(F.broadcast(best), "eval_set").select("id", F.array_join(L.decode_per_class(L.sigmoid(F.col("logits")), F.col("t")), ",").alias("decoded"))
+
+
+@query(
+    f"""
+WITH {_PROBS}
+SELECT id, array_to_string(list_transform(list_reverse_sort(list_filter([{{'s': p[i], 'n': ([{_LABEL_NAMES}])[i]}} FOR i IN range(1, 10)], lambda x: x.s >= 0.5)), lambda x: x.n), ',') AS ranked FROM pr
+"""
+)
+def ranked_labels(spark, sf_dir):
+    return scored(spark, sf_dir).select("id", F.array_join(F.transform(L.ranked(L.sigmoid(F.col("logits"))), lambda x: x["label"]), ",").alias("ranked"))
+
+
 @query(
     f"""
 WITH {_PROBS}, a AS (
@@ -734,3 +787,18 @@ def stream_first_seen(spark, sf_dir):
     new = jobs.first_seen(landed, "user_id", "ts", "3650 days")
     jobs.collect_new(new, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"SELECT record_id, count(*) AS n FROM (SELECT doc_id::VARCHAR AS record_id, unnest(regexp_extract_all(text, '\b{_EMAIL_SQL}')) FROM documents) GROUP BY record_id")
+def stream_redaction_audit(spark, sf_dir):
+    """The redaction job on a stream of documents: audited replacements by record."""
+    import tempfile
+    import uuid
+
+    from lettermill.streaming import jobs
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    landed = jobs.read_landing(spark, f"{sf_dir}/document[s].parquet", table(spark, sf_dir, "documents").schema)
+    jobs.redact_stream(landed.select("doc_id", "text"), f"{out}/text", f"{out}/audit", f"{out}/state", id_cols=("doc_id",)).awaitTermination()
+    return spark.read.parquet(f"{out}/audit").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
