@@ -100,8 +100,11 @@ def hash_sample(df: DataFrame, share: float, id_col: str = "id", seed: int = 42)
 
 
 def metadata_report(split: DataFrame, labels_col: str = "labels", source_col: str = "source") -> DataFrame:
-    """One row: sizes of the splits, and maps of label and source counts."""
-    sizes = split.agg(F.count(F.lit(1)).alias("n_total"), *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")])
-    as_map = lambda df, key, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
-    # three tables of one row each
-    return sizes.crossJoin(as_map(label_distribution(split, labels_col), "label", "label_distribution")).crossJoin(as_map(source_distribution(split, source_col), "source", "source_distribution"))
+    """One row: sizes of the splits, and maps of label and source counts, gathered from one small long table."""
+    counts = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "n")
+    sizes = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    long = union_all(counts(sizes, "split", "split"), counts(label_distribution(split, labels_col), "label", "label"), counts(source_distribution(split, source_col), "source", "source"))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias
+    as_map = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("key").isNotNull(), F.struct("key", "n")))))
+    is_split = F.col("kind") == "split"
+    return long.agg(total(is_split)("n_total"), *[total(is_split & (F.col("key") == s))(f"n_{s}") for s in ("train", "val", "test")], as_map("label").alias("label_distribution"), as_map("source").alias("source_distribution"))
