@@ -100,10 +100,10 @@ def hash_sample(df: DataFrame, share: float, id_col: str = "id", seed: int = 42)
 
 
 def metadata_report(split: DataFrame, labels_col: str = "labels", source_col: str = "source") -> DataFrame:
-    """One row: sizes of the splits, and maps of label and source counts, gathered from one small long table."""
-    counts = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "n")
-    sizes = split.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    long = union_all(counts(sizes, "split", "split"), counts(label_distribution(split, labels_col), "label", "label"), counts(source_distribution(split, source_col), "source", "source"))
+    """One row: sizes of the splits, and maps of label and source counts, gathered in one pass."""
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    entries = F.concat(F.array(entry("split", F.col("split")), entry("source", F.col(source_col))), F.transform(F.coalesce(labels_col, F.array().cast("array<string>")), lambda x: entry("label", x)))
+    long = split.select(F.explode(entries).alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("n"))
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias
     as_map = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("key").isNotNull(), F.struct("key", "n")))))
     is_split = F.col("kind") == "split"
