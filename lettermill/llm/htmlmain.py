@@ -154,7 +154,7 @@ def blocks(page: str | None) -> list[Block]:
                 close(i)
             if name in CLOSES and (i := find(CLOSES[name], ("ul", "ol", "dl", "table", "select"))):
                 close(i)
-        elif name in VOID:
+        elif name == "br":
             held.append(" ")
         layout.append(f"<{name}")
         if name in VOID:
