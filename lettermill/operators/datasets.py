@@ -62,19 +62,28 @@ def rarest_label(df: DataFrame, labels_col: str = "labels") -> Column:
 
 
 def _split(df: DataFrame, bucket: Column, id_col: str, train: float, val: float, seed: int) -> DataFrame:
-    rows = df.withColumn("bucket", bucket).withColumn("_key", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}"))))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = group_ranks(rows, "bucket", "_key", [id_col], "_rank").join(F.broadcast(sizes), "bucket")
-    n_train, n_val = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
-    split = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_train + n_val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("_key", "_n", "_rank")
+    """Cut every bucket by rank in the order of (md5(id|seed), id).
 
+    Only buckets and keys are ranked. The rows where val and test begin, two a bucket, are then
+    what each row's key is compared with, so texts are neither shuffled nor sorted. Rows that
+    repeat an id fall on the same side.
+    """
+    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
+    rows = df.withColumn("bucket", bucket).withColumn("_at", F.struct(key.alias("key"), F.col(id_col).alias("id")))
+    keys = rows.select("bucket", F.col("_at.key").alias("key"), F.col("_at.id").alias("id"))
+    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    n_train, n_val = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))
+    ranked = group_ranks(keys, "bucket", "key", ["id"], "rank").join(sizes, "bucket")
+    begins = lambda rank: F.max(F.when(F.col("rank") == rank, F.struct("key", "id")))
+    cuts = ranked.where((F.col("rank") == n_train) | (F.col("rank") == n_train + n_val)).groupBy("bucket").agg(begins(n_train).alias("_val"), begins(n_train + n_val).alias("_test"))
+    # one row a label of a closed set
+    placed = rows.join(F.broadcast(cuts), "bucket")
+    split = F.when(F.col("_at") >= F.col("_test"), "test").when(F.col("_at") >= F.col("_val"), "val").otherwise("train")
+    return placed.withColumn("split", split).drop("_at", "_val", "_test")
 
-def stratified_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42, id_col: str = "id", labels_col: str = "labels") -> DataFrame:
-    """Add bucket (rarest label) and split; each bucket is cut by rank in the order of md5(id|seed).
 
-    The buckets' sizes are joined by broadcast: one row a label of a closed set.
-    """
+def stratified_split(df: DataFrame, train: float = 0.7, val: float = 0.15, seed: int = 42, id_col: str = "id", labels_col: str = "labels") -> DataFrame:
+    """Add bucket (the row's rarest label) and split."""
     _check(train, val)
     return _split(df, rarest_label(df, labels_col), id_col, train, val, seed)
 
