@@ -1,22 +1,16 @@
-"""Helpers that several operators share: shared-folder tables and distributed running totals."""
+"""Helpers that several operators share: tables in the shared folder and words."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: About so many rows share a bucket of a running total.
-ROWS_PER_BUCKET = 20_000
-
-#: Hex digits of a key that number a bucket.
-BUCKET_DIGITS = 7
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -44,28 +38,3 @@ def cut(df: DataFrame) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def running_total(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str) -> DataFrame:
-    """Add `out`: the total of `value` over the group's rows before this one, by (key, ties).
-
-    `key` holds uniform lower-case hex digits. Its leading digits deal a group's rows into ranges
-    of about ROWS_PER_BUCKET rows, so a group of any size spreads over many tasks; the ranges'
-    totals, one row each, give the offsets. `df` is read twice and should be cheap to read.
-    """
-    n = df.count()
-    buckets = 1
-    while buckets * ROWS_PER_BUCKET < n and buckets < 16**BUCKET_DIGITS:
-        buckets *= 2
-    number = F.conv(F.substring(key, 1, BUCKET_DIGITS), 16, 10).cast("long")
-    dealt = df.withColumn("_bucket", F.shiftrightunsigned(number, 4 * BUCKET_DIGITS - buckets.bit_length() + 1))
-    totals = dealt.groupBy(group, "_bucket").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_offset"))
-    inside = Window.partitionBy(group, "_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
-        .join(offsets, [group, "_bucket"])
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
-    )

@@ -21,7 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut, running_total, word_count
+from lettermill.functions.ranks import running_total
+from lettermill.llm.common import cut, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import running_total
+from lettermill.functions.ranks import running_total
 
 SHARDS = (1.0,) * 8
 _DIGITS = 13  # hex digits of md5 that fit a double exactly
