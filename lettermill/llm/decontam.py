@@ -8,8 +8,9 @@ a substitution; shorter items are too common to judge and match nothing.
 Seeds: the WINDOW positions are dealt into MAX_SUBSTITUTIONS + 2 runs, and a mask ignores two (in
 general MAX_SUBSTITUTIONS) of them, so for any places of the substitutions some mask ignores them
 all and its hash agrees. The hashes of every document position under every mask are looked up in a
-Bloom filter of the benchmark's (a bitmap of FILTER_BITS, 2 MB at most); those that pass are joined
-with the benchmark's hashes and the words around the hit are compared one by one.
+Bloom filter of the benchmark's (a bitmap of 16 bits a hash, at most MAX_FILTER_BITS, which is
+32 MB; a fuller filter lets more through and loses nothing); those that pass are joined with the
+benchmark's hashes and the words around the hit are compared one by one.
 
 Cases: null and blank texts have no words, match nothing and stay. An item is matched by each of
 its rows; repeated documents give repeated counts. An empty benchmark or corpus gives no overlaps.
@@ -34,7 +35,8 @@ from lettermill.llm.common import cut
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
 MIN_WORDS = 5
-FILTER_BITS = 1 << 24
+BITS_PER_HASH = 16
+MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 28
 #: Rows of benchmark hashes that may be broadcast; beyond, the join shuffles on salted hashes.
 BROADCAST_ROWS = 200_000
 SALTS = 16
@@ -42,7 +44,7 @@ SALTS = 16
 CHUNK = 1 << 17
 
 _TOKEN = re.compile(r"\w+")
-_BITMAP_BITS = 32768  # of one group of Spark's bitmap functions
+_BITMAP_BYTES = 4096  # of one group of Spark's bitmap functions
 _SCHEMA = "id bigint, pos int, key bigint, words array<bigint>"
 
 
@@ -88,15 +90,17 @@ def _plans(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
     return [(WINDOW, m) for m in masks()] + [(n, tuple(range(n))) for n in lengths]
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _passing(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Positions of the keys whose bit is set."""
+    at = (keys & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
 
 
 def _windows(plans: list[tuple[int, tuple[int, ...]]], passes=None):
     """Rows of the seeds of each text; `passes` gives the filter, where only its hits are wanted."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = None if passes is None else passes.value
+        bitmap = None if passes is None else passes.value
         for batch in batches:
             ids, pos, keys, windows = [], [], [], []
             for row_id, text in zip(batch["id"], batch["text"], strict=True):
@@ -104,10 +108,10 @@ def _windows(plans: list[tuple[int, tuple[int, ...]]], passes=None):
                 for at in range(0, max(1, len(words) - WINDOW + 1), CHUNK):
                     part = words[at : at + CHUNK + WINDOW - 1]
                     for span, offsets in plans:
-                        if table is None and span < WINDOW and len(words) != span:
+                        if bitmap is None and span < WINDOW and len(words) != span:
                             continue  # a short item stands for itself only
                         k = seed_keys(part, span, offsets)[: CHUNK if len(words) > CHUNK else None]
-                        hits = range(len(k)) if table is None else np.flatnonzero(table[_bits(k)])
+                        hits = range(len(k)) if bitmap is None else _passing(k, bitmap)
                         for i in hits:
                             ids.append(row_id)
                             pos.append(at + int(i))
@@ -119,15 +123,18 @@ def _windows(plans: list[tuple[int, tuple[int, ...]]], passes=None):
     return rows
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bitmap of the benchmark's hashes as one byte a bit; Spark builds it, the driver gets 2 MB at most."""
-    spot = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1
+def _filter(seeds: DataFrame, n: int) -> np.ndarray:
+    """Bitmap of n benchmark hashes. Spark builds it in groups; the driver puts them side by side."""
+    bits = MIN_FILTER_BITS
+    while bits < BITS_PER_HASH * n and bits < MAX_FILTER_BITS:
+        bits *= 2
+    spot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
     parts = seeds.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    table = np.zeros(FILTER_BITS, dtype=bool)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts.toLocalIterator():
-        start = (r.bucket - 1) * _BITMAP_BITS
-        table[start : start + _BITMAP_BITS] = np.unpackbits(np.frombuffer(bytes(r.bitmap), dtype=np.uint8), bitorder="little").astype(bool)
-    return table
+        start = (r.bucket - 1) * _BITMAP_BYTES
+        out[start : start + _BITMAP_BYTES] = np.frombuffer(bytes(r.bitmap), dtype=np.uint8)
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -140,11 +147,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     lengths = sorted(r.n for r in items.select(count("text").alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1)).distinct().collect())
     plans = _plans(lengths)
     seeds = cut(items.mapInPandas(_windows(plans), _SCHEMA))
-    passes = docs.sparkSession.sparkContext.broadcast(_filter(seeds))
+    n = seeds.count()
+    passes = docs.sparkSession.sparkContext.broadcast(_filter(seeds, n))
     hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_windows(plans, passes), _SCHEMA)
     hits = hits.select(F.col("id").alias("doc_id"), "pos", "key", "words")
     seeds = seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "key", F.col("words").alias("item_words"))
-    if seeds.count() <= BROADCAST_ROWS:
+    if n <= BROADCAST_ROWS:
         met = hits.join(F.broadcast(seeds), "key")
     else:
         salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
