@@ -143,6 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
     linked = linked.join(least, "root").select("fp", "least_id", F.lit(True).alias("is_linked"))
     named = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id"))
+    # as a table of its own the naming does not tie the join's partitions, and a large group of copies can be split
+    named = cut(named)
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
