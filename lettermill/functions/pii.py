@@ -47,25 +47,30 @@ def is_valid_iban_nl(iban: Column) -> Column:
     return F.when(plain.rlike("^NL[0-9]{2}[A-Z]{4}[0-9]{10}$"), rest == 1).otherwise(False)
 
 
+def _has_digits(text: Column) -> Column:
+    """All kinds but e-mail have two digits in a row."""
+    return text.rlike(r"(?U)\d\d")
+
+
 def find_emails(text: Column) -> Column:
-    return find_spans(text, EMAIL, "EMAIL", "[EMAIL]", 0)
+    return find_spans(text, EMAIL, "EMAIL", "[EMAIL]", 0, F.contains(text, F.lit("@")))
 
 
 def find_ibans(text: Column) -> Column:
-    return F.filter(find_spans(text, IBAN, "IBAN", "[IBAN]", 1), lambda s: is_valid_iban_nl(s["original"]))
+    return F.filter(find_spans(text, IBAN, "IBAN", "[IBAN]", 1, _has_digits(text)), lambda s: is_valid_iban_nl(s["original"]))
 
 
 def find_phones(text: Column) -> Column:
-    return find_spans(text, PHONE, "TELEFOON", "[TELEFOON]", 2)
+    return find_spans(text, PHONE, "TELEFOON", "[TELEFOON]", 2, _has_digits(text))
 
 
 def find_postcodes(text: Column) -> Column:
-    return find_spans(text, POSTCODE, "POSTCODE", "[POSTCODE]", 3)
+    return find_spans(text, POSTCODE, "POSTCODE", "[POSTCODE]", 3, _has_digits(text))
 
 
 def find_bsns(text: Column, excluded: Column) -> Column:
     """Valid numbers that do not start inside an excluded range."""
-    found = find_spans(text, NINE_DIGITS, "BSN", "[BSN]", 4)
+    found = find_spans(text, NINE_DIGITS, "BSN", "[BSN]", 4, _has_digits(text))
     return F.filter(found, lambda s: is_valid_bsn(s["original"]) & ~starts_inside(s, excluded))
 
 

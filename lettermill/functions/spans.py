@@ -18,8 +18,11 @@ def no_spans() -> Column:
     return F.array().cast(NO_SPANS)
 
 
-def find_spans(text: Column, pattern: str, name: str, placeholder: str, rank: int = 0) -> Column:
-    """All matches of `pattern` in order. Texts without a match skip the fold."""
+def find_spans(text: Column, pattern: str, name: str, placeholder: str, rank: int = 0, hint: Column | None = None) -> Column:
+    """All matches of `pattern` in order. Texts without a match skip the fold.
+
+    `hint` is a cheaper test that every text with a match passes.
+    """
     pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -32,7 +35,8 @@ def find_spans(text: Column, pattern: str, name: str, placeholder: str, rank: in
     # the last piece has no match after it
     paired = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("hit")))
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(paired, start, step, lambda s: s["out"])).otherwise(no_spans())
+    test = text.rlike(pattern) if hint is None else hint & text.rlike(pattern)
+    return F.when(test, F.aggregate(paired, start, step, lambda s: s["out"])).otherwise(no_spans())
 
 
 def starts_inside(span: Column, ranges: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lettermill.functions import labels as L
 from lettermill.functions import pii, quotes
 from lettermill.functions import text as T
+from lettermill.functions.storage import new_path
 from lettermill.operators import agreement, candidates, datasets, evaluation, prompts, redaction
 from lettermill.sources import catalog, council, examples, rulings
 
@@ -775,13 +776,9 @@ def train_and_benchmark(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
     """Users by a resumable stream: events within a year of the newest are one visit."""
-    import tempfile
-    import uuid
-
     from lettermill.streaming import jobs
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     # as a pattern, the path may be a file or a folder
     landed = jobs.read_landing(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)
     new = jobs.first_seen(landed, "user_id", "ts", "3650 days")
@@ -792,13 +789,9 @@ def stream_first_seen(spark, sf_dir):
 @query(rf"SELECT record_id, count(*) AS n FROM (SELECT doc_id::VARCHAR AS record_id, unnest(regexp_extract_all(text, '\b{_EMAIL_SQL}')) FROM documents) GROUP BY record_id")
 def stream_redaction_audit(spark, sf_dir):
     """The redaction job on a stream of documents: audited replacements by record."""
-    import tempfile
-    import uuid
-
     from lettermill.streaming import jobs
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = new_path(spark, "stream")
     landed = jobs.read_landing(spark, f"{sf_dir}/document[s].parquet", table(spark, sf_dir, "documents").schema)
     jobs.redact_stream(landed.select("doc_id", "text"), f"{out}/text", f"{out}/audit", f"{out}/state", id_cols=("doc_id",)).awaitTermination()
     return spark.read.parquet(f"{out}/audit").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
