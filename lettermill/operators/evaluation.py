@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.labels import LABELS, argmax, encode, label_of, sigmoid
+from lettermill.functions.storage import cut
 
 # Thresholds tried, the default threshold, and the change that counts as one.
 GRID = tuple(0.05 + i * 0.02 for i in range(45))
@@ -41,6 +42,44 @@ def _scores(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def profile(scored: DataFrame, grid: Sequence[float] = GRID, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Counts from which every metric follows: (*keys, label_id, reached, n, pos, top, top_pos, p_true, p_false).
+
+    `reached` is how many of the levels (grid and default, ascending) a cell's probability reaches,
+    so an evaluation set of any size gives a few dozen rows a label, in one pass and with partial sums.
+    """
+    levels = F.array(*[F.lit(t) for t in _levels(grid)])
+    is_true = F.col("y") == 1
+    return cells(scored, keys).groupBy(*keys, "label_id", F.size(F.filter(levels, lambda t: F.col("p") >= t)).alias("reached")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(is_true).alias("pos"),
+        F.count_if("is_top").alias("top"),
+        F.count_if(F.col("is_top") & is_true).alias("top_pos"),
+        F.sum(F.when(is_true, F.col("p")).otherwise(0.0)).alias("p_true"),
+        F.sum(F.when(is_true, 0.0).otherwise(F.col("p"))).alias("p_false"),
+    )
+
+
+def _levels(grid: Sequence[float]) -> list[float]:
+    return sorted({float(t) for t in grid} | {DEFAULT})
+
+
+def _family(prof: DataFrame, family: str, n_pred: Column, tp: Column, keys: Sequence[str]) -> DataFrame:
+    counts = prof.groupBy(*keys, "label_id").agg(F.sum("pos").alias("n_true"), F.sum(n_pred).alias("n_pred"), F.sum(tp).alias("tp"))
+    return _scores(counts.withColumn("family", F.lit(family)), keys)
+
+
+def _at_level(prof: DataFrame, family: str, level: Column, keys: Sequence[str]) -> DataFrame:
+    """Scores when cells that reach more than `level` levels are predicted."""
+    over = lambda c: F.when(F.col("reached") > level, F.col(c)).otherwise(0)
+    return _family(prof, family, over("n"), over("pos"), keys)
+
+
+def _default_scores(prof: DataFrame, grid: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    at = F.lit(_levels(grid).index(DEFAULT))
+    return _at_level(prof, "threshold", at, keys).union(_family(prof, "argmax", F.col("top"), F.col("top_pos"), keys))
+
+
 def label_scores(scored: DataFrame, thresholds: DataFrame | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per-label scores by family: threshold (0.5), argmax and, with (label_id, threshold), tuned."""
     c = cells(scored, keys)
@@ -66,31 +105,37 @@ def averages(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def probability_gap(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean probability over true cells, over false cells (0 without any), and the difference."""
-    mean = lambda y: F.coalesce(F.avg(F.when(F.col("y") == y, F.col("p"))), F.lit(0.0))
-    means = cells(scored, keys).groupBy(*keys).agg(mean(1.0).alias("mean_prob_true_class"), mean(0.0).alias("mean_prob_false_class"))
+    return _gap(profile(scored, (), keys), keys)
+
+
+def _gap(prof: DataFrame, keys: Sequence[str]) -> DataFrame:
+    n_true, n_false = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
+    means = prof.groupBy(*keys).agg(_ratio(F.sum("p_true"), n_true).alias("mean_prob_true_class"), _ratio(F.sum("p_false"), n_false).alias("mean_prob_false_class"))
     return means.withColumn("prob_gap", F.col("mean_prob_true_class") - F.col("mean_prob_false_class"))
 
 
 def best_thresholds(scored: DataFrame, grid: Sequence[float] = GRID, keys: Sequence[str] = KEYS) -> DataFrame:
     """(*keys, label_id, label, threshold, f1): the grid's lowest threshold with the best F1.
 
-    A label without positives keeps the default (F1 null). Cells are counted by how many thresholds
-    they reach, so each label needs len(grid) + 1 counts and no cell is repeated.
+    A label without positives keeps the default (F1 null).
     """
-    values = F.array(*[F.lit(float(t)) for t in sorted(grid)])
-    reached = F.size(F.filter(values, lambda t: F.col("p") >= t))
-    hist = cells(scored, keys).groupBy(*keys, "label_id", reached.alias("reached")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
-    hist = hist.groupBy(*keys, "label_id").agg(F.collect_list(F.struct("reached", "n", "pos")).alias("h"), F.sum("pos").alias("n_true"))
+    return _best(profile(scored, grid, keys), grid, keys).drop("level")
+
+
+def _best(prof: DataFrame, grid: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    levels = _levels(grid)
+    hist = prof.groupBy(*keys, "label_id").agg(F.collect_list(F.struct("reached", "n", "pos")).alias("h"), F.sum("pos").alias("n_true"))
 
     def f1_at(i: Column) -> Column:
         over = F.filter("h", lambda x: x["reached"] > i)
         total = lambda f: F.aggregate(over, F.lit(0).cast("long"), lambda a, x: a + x[f])
         return F.struct((total("pos") * 2.0 / (total("n") + F.col("n_true"))).alias("f1"), (-i).alias("neg"))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(grid) - 1)), f1_at))
-    found = hist.withColumn("best", F.when(F.col("n_true") > 0, best))
-    threshold = F.coalesce(F.get(values, -F.col("best.neg")), F.lit(DEFAULT))
-    return found.select(*keys, "label_id", label_of(F.col("label_id")).alias("label"), threshold.alias("threshold"), F.col("best.f1").alias("f1"))
+    tried = F.array(*[F.lit(i) for i, t in enumerate(levels) if t in set(map(float, grid))])
+    best = hist.withColumn("best", F.when(F.col("n_true") > 0, F.array_max(F.transform(tried, f1_at))))
+    level = F.coalesce(-F.col("best.neg"), F.lit(levels.index(DEFAULT)))
+    threshold = F.get(F.array(*[F.lit(t) for t in levels]), level)
+    return best.select(*keys, "label_id", label_of(F.col("label_id")).alias("label"), threshold.alias("threshold"), F.col("best.f1").alias("f1"), level.alias("level"))
 
 
 def confusion(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -109,21 +154,25 @@ def benchmark(scored: DataFrame, tuned: DataFrame | None = None, keys: Sequence[
     """(*keys, family, label, metric, value): all metrics of each evaluation set in long form.
 
     Families: threshold and argmax; tuned with thresholds from elsewhere (label_id, threshold);
-    self_tuned with those of the set itself, which flatter and are only indicative.
+    self_tuned with those of the set itself, which flatter and are only indicative. One pass over
+    the examples writes the profile, and one more is made where thresholds come from elsewhere.
     """
 
-    def long(scores: DataFrame, rename: dict[str, str]) -> DataFrame:
-        keep = scores.where(F.col("family").isin(*rename))
-        label = [F.struct(F.col("label"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")]
-        mean = [F.struct(F.lit(None).cast("string").alias("label"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("macro_f1", "micro_f1")]
-        names = F.create_map(*[F.lit(x) for kv in rename.items() for x in kv])
-        parts = keep.select(*keys, "family", F.explode(F.array(*label)).alias("m")).union(averages(keep, keys).select(*keys, "family", F.explode(F.array(*mean)).alias("m")))
-        return parts.select(*keys, F.element_at(names, F.col("family")).alias("family"), "m.*")
-
-    out = long(label_scores(scored, tuned, keys), {"threshold": "threshold", "argmax": "argmax"} | ({"tuned": "tuned"} if tuned is not None else {}))
-    out = out.union(long(label_scores(scored, best_thresholds(scored, keys=keys), keys), {"tuned": "self_tuned"}))
-    gap = [F.struct(F.lit(None).cast("string").alias("label"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("mean_prob_true_class", "mean_prob_false_class", "prob_gap")]
-    return out.union(probability_gap(scored, keys).select(*keys, F.lit("probability").alias("family"), F.explode(F.array(*gap)).alias("m")).select(*keys, "family", "m.*"))
+    def long(rows: DataFrame, family: Column, label: Column, names: Sequence[str]) -> DataFrame:
+        each = [F.struct(label.alias("label"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names]
+        return rows.select(*keys, family.alias("family"), F.explode(F.array(*each)).alias("m")).select(*keys, "family", "m.*")
+
+    prof = cut(profile(scored, GRID, keys))
+    own = prof.join(_best(prof, GRID, keys).select(*keys, "label_id", "level"), [*keys, "label_id"])
+    scores = _default_scores(prof, GRID, keys).union(_at_level(own, "self_tuned", F.col("level"), keys))
+    if tuned is not None:
+        scores = scores.union(label_scores(scored, tuned, keys).where("family = 'tuned'").select(scores.columns))
+    none = F.lit(None).cast("string")
+    return (
+        long(scores, F.col("family"), F.col("label"), ("precision", "recall", "f1"))
+        .union(long(averages(scores, keys), F.col("family"), none, ("macro_f1", "micro_f1")))
+        .union(long(_gap(prof, keys), F.lit("probability"), none, ("mean_prob_true_class", "mean_prob_false_class", "prob_gap")))
+    )
 
 
 def best_epoch(history: DataFrame, by: Sequence[str] = (), epoch_col: str = "epoch", scores: Sequence[str] = ("argmax_macro_f1", "macro_f1")) -> DataFrame:
