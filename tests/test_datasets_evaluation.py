@@ -215,3 +215,11 @@ def test_streams(spark, tmp_path, trained):
     seen, obs = jobs.observed(rows, "progress", mail=F.col("text").contains("@"))
     seen.write.format("noop").mode("overwrite").save()
     assert obs.get == {"total": 3, "mail": 2}
+
+
+def test_gold_and_losses(spark):
+    p = spark.createDataFrame([(1, [0.5]), (2, [0.1])], "id int, logits array<double>")
+    g = spark.createDataFrame([(1, ["klacht"]), (3, [])], "id int, labels array<string>")
+    assert [(r.id, r.labels) for r in evaluation.attach_gold(p, g).collect()] == [(1, ["klacht"])]
+    steps = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 1.0)], "epoch int, loss double")
+    assert {(r.epoch, r.train_loss) for r in evaluation.loss_by_epoch(steps).collect()} == {(1, 3.0), (2, 1.0)}

@@ -118,3 +118,8 @@ def test_sinks_and_reports(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/r").first().split == "train"
     (tmp_path / "b.json").write_text(json.dumps({"model_path": "m", "evaluations": {"e1": {"default": {"macro_f1": 0.5, "note": "x"}, "n_examples": 3}}}, indent=1))
     assert [(r.eval_set, r.family, r.metric, r.value) for r in sinks.read_reports(spark, str(tmp_path / "b.json")).collect()] == [("e1", "default", "macro_f1", 0.5)]
+
+
+def test_short_names(spark):
+    df = spark.createDataFrame([("runs/model-a/bench.json",), ("bench.json",)], "p string")
+    assert [tuple(r) for r in df.select(T.parent_folder(F.col("p")), T.file_name(F.col("p"))).collect()] == [("model-a", "bench.json"), (None, "bench.json")]
