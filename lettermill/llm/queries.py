@@ -34,7 +34,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocked = spark.createDataFrame([(h,) for h in urlfilter.BLOCKED_HOSTS], "key string")
+    blocked = spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in urlfilter.BLOCKED_HOSTS])).alias("key"))
     return urlfilter.judge(_table(spark, sf_dir, "pages"), blocked)
 
 
@@ -81,6 +81,27 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10,
 }
 
+# Of 13 words with at most 2 substitutions, 4 in a row agree; alignments with 4 equal words are compared word by word.
+_OP2 = r"""
+WITH dt AS (
+  SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents)
+), it AS (
+  SELECT item_id, len(ws) AS n, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark) WHERE len(ws) >= 5
+), dg AS (
+  SELECT doc_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM dt WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ig AS (
+  SELECT item_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM it WINDOW w AS (PARTITION BY item_id ORDER BY i)
+), aligned AS (
+  SELECT DISTINCT doc_id, item_id, dg.i - ig.i AS d FROM dg JOIN ig USING (g)
+), eq AS (
+  SELECT a.doc_id, a.item_id, d, n, it.i AS j, (dt.t = it.t)::INT AS e FROM aligned a JOIN it USING (item_id) JOIN dt ON dt.doc_id = a.doc_id AND dt.i = it.i + d
+), win AS (
+  SELECT *, sum(e) OVER w AS s, count(*) OVER w AS c FROM eq WINDOW w AS (PARTITION BY doc_id, item_id, d ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+)
+SELECT doc_id, item_id, count(*) AS n_windows, min(j + d) AS first_word, max(j + d + least(n, 13) - 1) AS last_word, max(s)::BIGINT AS most_equal
+FROM win WHERE (n >= 13 AND c = 13 AND s >= 11) OR (n < 13 AND c = n AND s = n) GROUP BY doc_id, item_id
+"""
+
 # The shortest runs with 50 words from each line and up to each line; all but a run's first place go.
 _OP3 = r"""
 WITH l AS (
@@ -223,6 +244,7 @@ FROM r LEFT JOIN near USING (n)
 """
 
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": _OP2,
     "op3_line_dedup": _OP3,
     "op4_source_mixing": _OP4,
     "op5_url_filter": _OP5,
