@@ -105,6 +105,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = cut(at(at(runs, "s", "ra"), "j", "rb").select("d", "h", "s", "e", "n", "ra", "rb"))
     place = F.struct("d", "h", "s")
     intervals = named.groupBy("n", "ra", "rb").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    # as a table of its own the grouping does not tie the join's partitions, and a very common run can be split
+    intervals = cut(intervals)
     later = named.join(intervals, ["n", "ra", "rb"]).where(~place.eqNullSafe(F.col("first"))).select("d", "h", "s", "e")
 
     doc = Window.partitionBy("d", "h").orderBy("s", "e")
