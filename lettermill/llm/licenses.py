@@ -148,6 +148,8 @@ def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_
     givers = rows.where("hands_on and own is not null").groupBy("dir").agg(giver.alias("g")).select(F.col("dir").alias("from_dir"), F.col("g.own.license").alias("handed"))
     near = rows.where("dir is not null").select("dir").distinct().select("dir", F.posexplode(_ancestors(F.col("dir"))).alias("depth", "from_dir"))
     near = near.join(givers, "from_dir").groupBy("dir").agg(F.max(F.struct("depth", "from_dir", "handed")).alias("n"))
+    # as a table of its own the grouping does not tie the join's partitions, and a full directory can be split
+    near = cut(near)
     out = rows.join(near, "dir", "left")
     has = F.col("own").isNotNull()
     return out.select(
