@@ -8,9 +8,9 @@ a substitution; shorter items are too common to judge and match nothing.
 Seeds: the WINDOW positions are dealt into MAX_SUBSTITUTIONS + 2 runs, and a mask ignores two (in
 general MAX_SUBSTITUTIONS) of them, so for any places of the substitutions some mask ignores them
 all and its hash agrees. The hashes of every document position under every mask are looked up in a
-Bloom filter of the benchmark's (a bitmap of 16 bits a hash, at most MAX_FILTER_BITS, which is
-32 MB; a fuller filter lets more through and loses nothing); those that pass are joined with the
-benchmark's hashes and the words around the hit are compared one by one.
+Bloom filter of the benchmark's (two bits set of BITS_PER_HASH a hash; MAX_FILTER_BITS, 32 MB, is
+its largest size, and a fuller filter lets more through and loses nothing); those that pass are
+joined with the benchmark's hashes and the words around the hit are compared one by one.
 
 Cases: null and blank texts have no words, match nothing and stay. An item is matched by each of
 its rows; repeated documents give repeated counts. An empty benchmark or corpus gives no overlaps.
@@ -35,8 +35,8 @@ from lettermill.llm.common import cut
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
 MIN_WORDS = 5
-BITS_PER_HASH = 16
-MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 20, 1 << 28
+BITS_PER_HASH = 64
+MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 24, 1 << 28
 #: Rows of benchmark hashes that may be broadcast; beyond, the join shuffles on salted hashes.
 BROADCAST_ROWS = 200_000
 SALTS = 16
@@ -91,9 +91,14 @@ def _plans(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
 
 
 def _passing(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """Positions of the keys whose bit is set."""
-    at = (keys & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
-    return np.flatnonzero(bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+    """Positions of the keys whose two bits are set. Few pass the first test and need the second."""
+
+    def is_set(x: np.ndarray) -> np.ndarray:
+        at = (x & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    first = np.flatnonzero(is_set(keys))
+    return first[is_set(keys[first] >> np.uint64(32))]
 
 
 def _windows(plans: list[tuple[int, tuple[int, ...]]], passes=None):
@@ -128,8 +133,9 @@ def _filter(seeds: DataFrame, n: int) -> np.ndarray:
     bits = MIN_FILTER_BITS
     while bits < BITS_PER_HASH * n and bits < MAX_FILTER_BITS:
         bits *= 2
-    spot = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = seeds.select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    both = F.array("key", F.shiftrightunsigned("key", 32))
+    spot = F.col("x").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = seeds.select(F.explode(both).alias("x")).select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts.toLocalIterator():
         start = (r.bucket - 1) * _BITMAP_BYTES
