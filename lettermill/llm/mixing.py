@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.ranks import running_total
-from lettermill.llm.common import cut, word_count
+from lettermill.llm.common import WORD, cut, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -66,7 +66,8 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
-    return placed.join(budgets(sized, weights), "src").withColumn("taken", (epochs * F.col("size") + part).cast("long")).select("doc_id", "src", "size", "key", "source_size", "target", "taken")
+    # read back as a table, the budgets have a known size and are broadcast if that is small
+    return placed.join(cut(budgets(sized, weights)), "src").withColumn("taken", (epochs * F.col("size") + part).cast("long")).select("doc_id", "src", "size", "key", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -75,16 +76,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
     The cut falls inside one document a source, which is given whole. Each source's cut key, a
     table of one row a source, is what the texts are compared with, so no text is shuffled.
     """
-    planned = cut(plan(docs, weights, id_col, text_col, source_col).withColumn("whole", F.expr("if(size > 0, taken div size, 0)")))
-    cuts = planned.groupBy("src").agg(
-        F.coalesce(F.min(F.when(F.col("size") > 0, F.col("whole"))), F.lit(0)).alias("_epochs"),
-    )
+    planned = plan(docs, weights, id_col, text_col, source_col).where("size > 0")
+    epochs = F.expr("cast(round(target) AS bigint) div source_size")
     # documents up to the last key that is taken beyond the whole epochs appear once more
-    last = planned.join(cuts.select("src", "_epochs"), "src").where("size > 0 and taken > _epochs * size").groupBy("src").agg(F.max("key").alias("_last"))
-    cuts = cuts.select("src", "_epochs").join(last, "src", "left").withColumnRenamed("src", "_src")
+    extra = F.when(F.col("taken") > epochs * F.col("size"), F.col("key"))
+    cuts = planned.groupBy(F.col("src").alias("_src")).agg(F.max(epochs).alias("_epochs"), F.max(extra).alias("_last"))
+    # read back as a table, the cuts have a known size and are broadcast if that is small, so texts stay in place
+    cuts = cut(cuts)
     source = F.col(source_col).cast("string")
     keyed = docs.withColumn("_src", F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)))
-    keyed = keyed.join(cuts, "_src").where(word_count(F.col(text_col)) > 0)
+    keyed = keyed.where(F.col(text_col).rlike(WORD)).join(cuts, "_src")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     times = F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)
     return keyed.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
