@@ -1,38 +1,16 @@
-"""Helpers that several operators share: tables in the shared folder and words."""
+"""Helpers that several operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII space and U+0009..U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from lettermill.functions.storage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+__all__ = ["WORD", "cut", "shared_dir", "word_count"]
 
-    Where the setting is absent, a temporary folder serves in local mode only.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="lettermill-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lettermill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word is a run of characters other than ASCII space and U+0009..U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
