@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints stays: that with the smallest doc_id."""
+    """One document of each component of texts with five-word Jaccard >= 0.8 stays: that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 

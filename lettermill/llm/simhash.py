@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from lettermill.llm import neardup
 from lettermill.llm.common import cut
 
 SHINGLE_WORDS = 3
@@ -153,13 +154,20 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; all columns stay.
+    """One row of each component of texts with a five-word Jaccard similarity of 0.8 or more; all columns stay.
 
-    A row repeated with id and text stays once. Two texts under one id are both judged by that id.
-    Rows without an id stay, once for each text.
+    Rows are judged by their text, so rows without an id are linked like others. That with the
+    smallest doc_id stays (an id before none, then the smallest text hash), and once if repeated.
+    Fingerprints play no part: no threshold on their bits finds all such texts (see neardup).
     """
-    keepers = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keeper")).distinct()
-    kept = docs.join(keepers, docs[id_col] == keepers["_keeper"]).withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    w = Window.partitionBy("_keeper", "_text_hash").orderBy(F.lit(1))
-    kept = kept.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(docs.columns)
-    return kept.union(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]).select(docs.columns))
+    rows = cut(neardup.nodes(docs, id_col, text_col))
+    root = components(neardup.similar_pairs(rows, docs, components, text_col))
+    # as a table of its own the naming has a known size and does not tie the join's partitions
+    root = cut(root)
+    placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("_keeper"))
+    keepers = cut(keepers.distinct())
+    keyed = docs.withColumn("_keeper", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
+    w = Window.partitionBy("_keeper").orderBy(F.lit(1))
+    return keyed.join(keepers, "_keeper").withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(docs.columns)

@@ -154,3 +154,42 @@ def test_language_model_agrees_with_exact_sets(data):
         want = [ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in brute_trigrams(t)]
         assert grams == want
     assert re.findall(decontam._TOKEN, "a_b c-d") == ["a_b", "c", "d"]
+
+
+def test_near_dedup_links_all_texts_of_jaccard_four_fifths(spark):
+    """Near copies, wider apart than op1's 3 bits, against all pairs; with null and shared ids."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(25):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(4, 260))]
+        for k in range(6):
+            rows.append((10 * i + k if (i + k) % 4 else None, " ".join(words), "en", "s", 1))
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(3000)}"
+    common = [f"c{j}" for j in range(30)]
+    rows += [(1000 + i, " ".join([*common, f"y{i}", f"z{i}"][i % 3 :]), "en", "s", 1) for i in range(40)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, parent = [grams(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[find(i)] = find(j)
+                far += (xxh_fingerprint(rows[i][1]) ^ xxh_fingerprint(rows[j][1])).bit_count() > 3
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[find(i)].append(r[0])
+    want = sorted((min((x for x in g if x is not None), default=None) for g in groups.values()), key=repr)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted((r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == want and far > 50
