@@ -4,7 +4,8 @@ Stored form: a mono, 8-bit, 8 kHz WAV file whose samples are the payload bytes,
 the wave module. The payload is the text's UTF-8 followed by bytes 255 up to a positive multiple of
 BLOCK. Features: a Hann-windowed short-time Fourier transform of the samples read back, its
 spectral peaks (the strongest bin of each of four bands, if above the frame's mean), and pairs of a
-peak with the peaks of the next FAN frames' same and other bands, coded as (f1, f2, dt) at time t.
+peak with the peaks of all bands, its own included, of the next FAN frames, coded as (f1, f2, dt) at
+time t. The samples are followed by silence up to the end of the last frame, so each byte is in one.
 
 Cases: a null text counts as empty and an empty payload is one BLOCK of 255. Texts of any length
 are transformed in pieces of FRAMES frames. Equal texts give equal values. An empty table gives an
@@ -57,7 +58,9 @@ def read_wav(stored: bytes) -> bytes:
 
 def _peaks(samples: np.ndarray) -> np.ndarray:
     """Strongest bin of each band and frame; 0 where no bin stands out. Shape: frames x bands."""
-    count = max(1, 1 + (len(samples) - WINDOW) // HOP)
+    count = max(1, 1 + -(-(len(samples) - WINDOW) // HOP))
+    # silence is the middle of the 8-bit range
+    samples = np.pad(samples, (0, (count - 1) * HOP + WINDOW - len(samples)), constant_values=127.5)
     out = np.zeros((count, len(BANDS) - 1), dtype=np.int32)
     for at in range(0, count, FRAMES):
         n = min(FRAMES, count - at)
@@ -77,11 +80,9 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     times, codes = [], []
     for dt in range(1, FAN + 1):
         first, second = peaks[:-dt], peaks[dt:]
-        for i in range(peaks.shape[1]):
-            j = (i + dt) % peaks.shape[1]
-            t = np.flatnonzero((first[:, i] > 0) & (second[:, j] > 0))
-            times.append(t)
-            codes.append((first[t, i] << 12) | (second[t, j] << 4) | dt)
+        t, i, j = np.nonzero((first[:, :, None] > 0) & (second[:, None, :] > 0))
+        times.append(t)
+        codes.append((first[t, i] << 12) | (second[t, j] << 4) | dt)
     t, c = np.concatenate(times).astype(np.int64), np.concatenate(codes).astype(np.int64)
     order = np.lexsort((c, t))
     return t[order], c[order]

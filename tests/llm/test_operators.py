@@ -357,6 +357,19 @@ def test_media_pieces_do_not_change_features(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, media.fingerprint(data), strict=True))
 
 
+def test_media_features_see_the_tail_and_all_bands():
+    data = b"some words of a text " * 300
+    whole = len(data) // media.BLOCK * media.BLOCK
+    wave_of = lambda tail: data[: whole - 120] + tail
+    same, other = (media.fingerprint(wave_of(t)) for t in (b"ab" * 60, b"a~" * 30 + b"  zz" * 15))
+    assert len(same[0]) != len(other[0]) or (same[1] != other[1]).any()
+    peaks = media._peaks(np.frombuffer(data, dtype=np.uint8).astype(np.float32))
+    assert len(peaks) == 1 + -(-(len(data) - media.WINDOW) // media.HOP)
+    want = sorted((t, a << 12 | b << 4 | dt) for t in range(len(peaks)) for dt in range(1, media.FAN + 1) if t + dt < len(peaks) for a in peaks[t] for b in peaks[t + dt] if a and b)
+    times, codes = media.fingerprint(data)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want
+
+
 def brute_license(path_texts):
     """Own licenses by plain dictionaries."""
     import math
