@@ -175,6 +175,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id overlaps no benchmark item; all columns stay, rows without an id too."""
-    dirty = cut(overlaps(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).select(F.col("doc_id").alias("_dirty")).distinct())
-    return docs.join(dirty, docs[id_col] == dirty["_dirty"], "left_anti")
+    """The rows of docs whose text overlaps no benchmark item; all columns stay.
+
+    Rows are told apart by a hash of their text, which is never null, so the id plays no part.
+    """
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
+    dirty = cut(overlaps(keyed, benchmark, "_text_key", text_col).select(F.col("doc_id").alias("_dirty")).distinct())
+    return keyed.join(dirty, keyed["_text_key"] == dirty["_dirty"], "left_anti").select(docs.columns)

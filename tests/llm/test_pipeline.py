@@ -193,3 +193,17 @@ def test_near_dedup_links_all_texts_of_jaccard_four_fifths(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = sorted((r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()), key=repr)
     assert got == want and far > 50
+
+
+def test_rows_without_an_id_are_decontaminated_and_deduplicated(spark, tmp_path):
+    rng = random.Random(9)
+    item = " ".join(f"b{rng.randrange(999)}" for _ in range(20))
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    near = [*base[:100], "changed", *base[101:]]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after"), (None, " ".join(base)), (None, " ".join(near)), (5, f"{item} five"), (6, "clean six words of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    clean = {(r.doc_id, r.text) for r in corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path)).collect()}
+    assert clean == {rows[1], rows[2], rows[4]}
+    kept = [r.text for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
+    assert len(kept) == 3 and (" ".join(base) in kept) != (" ".join(near) in kept)
