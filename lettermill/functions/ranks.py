@@ -2,38 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: About so many rows share a range of keys.
+from lettermill.functions.storage import cut
+
+#: About so many rows share a range.
 ROWS_PER_RANGE = 20_000
-#: Hex digits of a key that number its range.
-RANGE_DIGITS = 7
 
 
 def running_total(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str) -> DataFrame:
     """Add `out`: the total of `value` over the group's rows before this one, by (key, ties).
 
-    `key` holds uniform lower-case hex digits. Its leading digits deal a group's rows into ranges
-    of about ROWS_PER_RANGE rows, so a group of any size spreads over many tasks; the ranges'
-    totals, one row each, give the offsets. `df` is read twice and should be cheap to read.
+    The rows are written with the number of their task, and those that agree in group, key, ties,
+    value and task are counted. Ranges of about ROWS_PER_RANGE of these counts are dealt by the
+    whole order, so neither a large group nor a common key, nor a row that is often repeated, falls
+    to one task; the ranges' totals, one row each, give the offsets. Equal rows are numbered within
+    their task.
     """
-    n = df.count()
-    ranges = 1
-    while ranges * ROWS_PER_RANGE < n and ranges < 16**RANGE_DIGITS:
-        ranges *= 2
-    number = F.conv(F.substring(key, 1, RANGE_DIGITS), 16, 10).cast("long")
-    dealt = df.withColumn("_range", F.shiftrightunsigned(number, 4 * RANGE_DIGITS - ranges.bit_length() + 1))
-    totals = dealt.groupBy(group, "_range").agg(F.sum(value).alias("_total"))
+    df = cut(df.withColumn("_part", F.spark_partition_id()))
+    order = [group, key, *dict.fromkeys([*ties, value]), "_part"]
+    hashed = df.withColumn("_tie", F.xxhash64(*order))
+    counts = hashed.groupBy("_tie", *order).agg(F.count(F.lit(1)).alias("_n"))
+    ranges = -(-df.count() // ROWS_PER_RANGE) or 1
+    dealt = cut(counts.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    total = F.col(value) * F.col("_n")
+    totals = dealt.groupBy(group, "_range").agg(F.sum(total).alias("_total"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_offset"))
-    inside = Window.partitionBy(group, "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        dealt.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
-        .join(offsets, [group, "_range"])
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_range", "_inside", "_offset")
-    )
+    offsets = cut(totals.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_offset")))
+    inside = Window.partitionBy(group, "_range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_inside", F.coalesce(F.sum(total).over(inside), F.lit(0)).cast("long"))
+    placed = placed.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    placed = placed.select(*[F.col(c).alias(f"_of_{i}") for i, c in enumerate(order)], F.col("_tie").alias("_of"), "_n", (F.col("_offset") + F.col("_inside")).alias("_before"))
+    placed = cut(placed)
+    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(order)])
+    nth = F.row_number().over(Window.partitionBy("_tie", *order).orderBy(F.lit(1))) - 1
+    joined = hashed.join(placed, (F.col("_tie") == F.col("_of")) & equal)
+    return joined.withColumn(out, (F.col("_before") + F.col(value) * nth).cast("long")).select(*[c for c in df.columns if c != "_part"], out)
 
 
 def group_ranks(df: DataFrame, group: str, key: str, ties: list[str], out: str) -> DataFrame:

@@ -10,8 +10,8 @@ to the others by weight until none is above: target = min(3 * size, level * weig
 level at which the targets sum to the total.
 
 Cases: a null or blank text has size 0 and is never taken. A source with no words gets target 0.
-A null doc_id hashes as the empty string. Equal keys are ordered by doc_id, then size, so repeated
-rows differ only in which of them the cut meets. An empty table gives an empty result.
+A null doc_id hashes as the empty string. Equal keys are ordered by doc_id, size, then text hash, so
+repeated rows differ only in which of them the cut meets. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.functions.ranks import running_total
+from lettermill.functions.ranks import group_ranks, running_total
 from lettermill.llm.common import WORD, cut, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -35,6 +35,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("src"),
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
 
 
@@ -59,33 +60,45 @@ def budgets(sized: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
     return s.select("src", "source_size", F.coalesce("target", F.lit(0.0)).alias("target")).withColumn("budget", F.round("target").cast("long"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, src, size, key, source_size, target, taken): the words the mix takes of each row."""
+def _plan(docs: DataFrame, weights: Sequence[float], id_col: str, text_col: str, source_col: str) -> DataFrame:
     sized = cut(_sized(docs, id_col, text_col, source_col))
-    placed = running_total(sized, "src", "key", ["doc_id", "size"], "size", "before")
+    placed = running_total(sized, "src", "key", ["doc_id", "size", "text_hash"], "size", "before")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.expr("budget % source_size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least("size", rest - F.col("before")))
     # read back as a table, the budgets have a known size and are broadcast if that is small
-    return placed.join(cut(budgets(sized, weights)), "src").withColumn("taken", (epochs * F.col("size") + part).cast("long")).select("doc_id", "src", "size", "key", "source_size", "target", "taken")
+    return placed.join(cut(budgets(sized, weights)), "src").withColumn("taken", (epochs * F.col("size") + part).cast("long"))
+
+
+def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, src, size, key, source_size, target, taken): the words the mix takes of each row."""
+    return _plan(docs, weights, id_col, text_col, source_col).select("doc_id", "src", "size", "key", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: each row of docs once for every epoch that takes it; all columns stay.
 
-    The cut falls inside one document a source, which is given whole. Each source's cut key, a
-    table of one row a source, is what the texts are compared with, so no text is shuffled.
+    The cut falls inside one document a source, which is given whole. Each source's cut, a table of
+    one row a source, is what the rows are compared with in the plan's whole order, so no text is
+    shuffled but those that equal the cut in it; of these, as many as the plan takes appear.
     """
-    planned = plan(docs, weights, id_col, text_col, source_col).where("size > 0")
+    planned = _plan(docs, weights, id_col, text_col, source_col).where("size > 0")
     epochs = F.expr("cast(round(target) AS bigint) div source_size")
-    # documents up to the last key that is taken beyond the whole epochs appear once more
-    extra = F.when(F.col("taken") > epochs * F.col("size"), F.col("key"))
-    cuts = planned.groupBy(F.col("src").alias("_src")).agg(F.max(epochs).alias("_epochs"), F.max(extra).alias("_last"))
+    # documents up to the last one that is taken beyond the whole epochs appear once more
+    extra = F.when(F.col("taken") > epochs * F.col("size"), F.struct("key", F.struct("doc_id", "size", "text_hash").alias("ties")))
+    cuts = planned.withColumn("_extra", extra).groupBy(F.col("src").alias("_src"), "_extra").agg(F.max(epochs).alias("_epochs"), F.count(F.lit(1)).alias("_n"))
+    cuts = cuts.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_extra").isNotNull(), F.struct("_extra", "_n"))).alias("_m"))
     # read back as a table, the cuts have a known size and are broadcast if that is small, so texts stay in place
-    cuts = cut(cuts)
+    cuts = cut(cuts.select("_src", "_epochs", F.col("_m._extra.key").alias("_last"), F.col("_m._extra.ties").alias("_last_ties"), F.col("_m._n").alias("_n_last")))
     source = F.col(source_col).cast("string")
     keyed = docs.withColumn("_src", F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)))
     keyed = keyed.where(F.col(text_col).rlike(WORD)).join(cuts, "_src")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    times = F.col("_epochs") + F.when(key <= F.col("_last"), 1).otherwise(0)
-    return keyed.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    ties = F.struct(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    # sizes are counted for equal keys only
+    side = F.when(F.col("_last").isNull() | (key > F.col("_last")), 1).when(key < F.col("_last"), -1).when(ties < F.col("_last_ties"), -1).when(ties > F.col("_last_ties"), 1).otherwise(0)
+    keyed = keyed.withColumn("_side", side)
+    clear = keyed.where("_side <> 0").withColumn("_times", F.col("_epochs") + F.when(F.col("_side") < 0, 1).otherwise(0))
+    at_cut = group_ranks(keyed.where("_side = 0"), "_src", "_last", [], "_rank").withColumn("_times", F.col("_epochs") + F.when(F.col("_rank") < F.col("_n_last"), 1).otherwise(0))
+    chosen = clear.select(*docs.columns, "_times").union(at_cut.select(*docs.columns, "_times"))
+    return chosen.withColumn("_times", F.col("_times").cast("int")).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

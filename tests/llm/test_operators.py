@@ -252,6 +252,29 @@ def test_mix_repeats_and_cuts_whole_rows(spark):
     assert all(times[i] == -(-plan[i].taken // plan[i].size) for i in plan)
 
 
+def test_mix_and_slots_where_many_rows_share_an_id(spark, monkeypatch):
+    """The mix meets its plan under a null id, a hot id and wholly equal rows; no range holds a hot id."""
+    from lettermill.functions import ranks
+
+    monkeypatch.setattr(ranks, "ROWS_PER_RANGE", 20)
+    rows = [(None, f"w{i} a b c", "en", "s0") for i in range(100)] + [(7, f"v{i} a b c", "en", "s1") for i in range(100)]
+    rows += [(9, "same text here", "en", "s2")] * 150 + [(i, f"u{i} a b c", "en", "s2") for i in range(100, 130)]
+    docs = docs_of(spark, rows)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.plan(docs).collect():
+        want[r.src[1:]] += -(-r.taken // r.size)
+    for r in mixing.mix(docs).collect():
+        got[r.source] += 1
+    assert got == want
+    largest = []
+    real = ranks.cut
+    monkeypatch.setattr(ranks, "cut", lambda df: (lambda t: (largest.append(max((r["count"] for r in t.groupBy("_range").count().collect()), default=0)) if "_range" in t.columns else None, t)[1])(real(df)))
+    slots = defaultdict(list)
+    for r in sharding.assign(docs.repartition(4)).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(largest) <= 60
+
+
 def test_sharding_law_slots_and_weights(spark, odd_rows):
     rows = odd_rows + [(1000 + i, f"t{i}", "en", "a") for i in range(2000)]
     got = sharding.assign(docs_of(spark, rows), keep_columns=True).collect()
