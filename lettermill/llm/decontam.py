@@ -3,18 +3,21 @@
 Words are runs of letters, digits and underscores of the lower-cased text. A document overlaps a
 benchmark item if, at some alignment, WINDOW consecutive words agree with the item in all but at
 most MAX_SUBSTITUTIONS places. Items with MIN_WORDS to WINDOW - 1 words must occur whole, without
-a substitution; shorter items are too common to judge and match nothing.
+a substitution; shorter items are too common to judge and match nothing. Scripts without blanks are
+not cut into words, so there a word is what stands between punctuation marks.
 
-Seeds: the WINDOW positions are dealt into MAX_SUBSTITUTIONS + 2 runs, and a mask ignores two (in
-general MAX_SUBSTITUTIONS) of them, so for any places of the substitutions some mask ignores them
-all and its hash agrees. The hashes of every document position under every mask are looked up in a
-Bloom filter of the benchmark's (two bits set of BITS_PER_HASH a hash; MAX_FILTER_BITS, 32 MB, is
-its largest size, and a fuller filter lets more through and loses nothing); those that pass are
-joined with the benchmark's hashes and the words around the hit are compared one by one.
+Seeds: the WINDOW positions are dealt into MAX_SUBSTITUTIONS + 2 runs, and a mask looks at two of
+them (in general, ignores MAX_SUBSTITUTIONS), so for any places of the substitutions some mask
+ignores them all and its hash agrees. A document position is first looked up run by run, then under
+each mask whose runs all passed, in a Bloom filter of the benchmark's hashes (two bits set of
+BITS_PER_HASH a hash; MAX_FILTER_BITS, 32 MB, is its largest size, and a fuller filter lets more
+through and loses nothing); those that pass are joined with the benchmark's hashes and the words
+around the hit are compared one by one.
 
 Cases: null and blank texts have no words, match nothing and stay. An item is matched by each of
 its rows; repeated documents give repeated counts. An empty benchmark or corpus gives no overlaps.
-Only ids and texts are read, so further columns cannot clash.
+Texts of any length are read whole, in pieces of CHUNK starts. Only ids and texts are read, so
+further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lettermill.llm.common import cut
+from lettermill.llm.common import cut, packed
 
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
@@ -39,30 +42,49 @@ BITS_PER_HASH = 64
 MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 24, 1 << 28
 #: Rows of benchmark hashes that may be broadcast; beyond, the join shuffles on salted hashes.
 BROADCAST_ROWS = 200_000
-SALTS = 16
-#: Words of a document that are hashed at a time; pieces overlap by a window.
+#: Hits of one hash beyond which the shuffled join deals them to several tasks.
+SALT_ROWS = 20_000
+#: Starts of windows in a document that are looked up at a time.
 CHUNK = 1 << 17
+#: Rows that a task hands on at a time, and words whose hashes it remembers.
+FLUSH, REMEMBERED = 20_000, 1 << 20
 
 _TOKEN = re.compile(r"\w+")
 _BITMAP_BYTES = 4096  # of one group of Spark's bitmap functions
 _SCHEMA = "id bigint, pos int, key bigint, words array<bigint>"
+_COLUMNS = ["id", "pos", "key", "words"]
+
+
+def runs() -> list[tuple[int, ...]]:
+    """The runs of neighbouring offsets that the window is dealt into."""
+    return [tuple(map(int, run)) for run in np.array_split(np.arange(WINDOW), MAX_SUBSTITUTIONS + 2)]
 
 
 def masks() -> list[tuple[int, ...]]:
-    """Offsets that each mask looks at."""
-    runs = np.array_split(np.arange(WINDOW), MAX_SUBSTITUTIONS + 2)
-    return [tuple(int(x) for i, run in enumerate(runs) if i not in ignored for x in run) for ignored in combinations(range(len(runs)), MAX_SUBSTITUTIONS)]
+    """Numbers of the runs that each mask looks at."""
+    return list(combinations(range(MAX_SUBSTITUTIONS + 2), 2))
+
+
+def _number(name: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(name, 7) | 1)
 
 
-def _odd(n: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(str(i), 7) | 1 for i in range(n)], dtype=np.uint64)
+_FACTORS = np.array([_number(str(i)) for i in range(WINDOW)], dtype=np.uint64)
 
 
-_FACTORS = _odd(WINDOW + 1)
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
-def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in _TOKEN.findall((text or "").lower())], dtype=np.uint64)
+
+def word_hashes(text: str | None, hashes: dict | None = None) -> np.ndarray:
+    words = _TOKEN.findall((text or "").lower())
+    return np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _lengths(texts: pd.Series) -> pd.Series:
@@ -74,68 +96,102 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def seed_keys(words: np.ndarray, span: int, offsets: tuple[int, ...]) -> np.ndarray:
-    """Hash of the looked-at words of each window of `span` words; different spans and masks give different hashes."""
-    n = len(words) - span + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.full(n, xxhash.xxh64_intdigest(f"{span}:{offsets}"), dtype=np.uint64)
+def _sums(words: np.ndarray, offsets: tuple[int, ...], n: int) -> np.ndarray:
+    """A number for the words at the offsets of each of n starts."""
+    out = np.zeros(n, dtype=np.uint64)
     for o in offsets:
         out += words[o : o + n] * _FACTORS[o]
-    return _mix(out)
-
+    return out
 
-def _plans(lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(span, offsets) of all masks, with whole-item masks for the short lengths that occur."""
-    return [(WINDOW, m) for m in masks()] + [(n, tuple(range(n))) for n in lengths]
 
+class _Filter:
+    """Bits of the benchmark's hashes; without bits everything passes."""
 
-def _passing(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    """Positions of the keys whose two bits are set. Few pass the first test and need the second."""
+    def __init__(self, bits: np.ndarray | None):
+        self.bits = bits
 
-    def is_set(x: np.ndarray) -> np.ndarray:
-        at = (x & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
-        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    def _is_set(self, x: np.ndarray) -> np.ndarray:
+        at = (x & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-    first = np.flatnonzero(is_set(keys))
-    return first[is_set(keys[first] >> np.uint64(32))]
+    def passing(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys whose two bits are set. Few pass the first test and need the second."""
+        if self.bits is None:
+            return np.arange(len(keys))
+        first = np.flatnonzero(self._is_set(keys))
+        return first[self._is_set(keys[first] >> np.uint64(32))]
 
 
-def _windows(plans: list[tuple[int, tuple[int, ...]]], passes=None):
-    """Rows of the seeds of each text; `passes` gives the filter, where only its hits are wanted."""
+def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, keys) of the windows of `span` words that pass: under each mask, or whole for short items."""
+    n = len(words) - span + 1
+    if n <= 0:
+        return
+    if span < WINDOW:
+        keys = _mix(_sums(words, tuple(range(span)), n) + _number(f"{span} whole"))
+        at = held.passing(keys)
+        yield at, keys[at]
+        return
+    sums, passed = [], []
+    for run in runs():
+        sums.append(_sums(words, run, n))
+        passed.append(np.zeros(n, dtype=bool))
+        passed[-1][held.passing(_mix(sums[-1] + _number(f"run {run}")))] = True
+    for i, j in masks():
+        both = np.flatnonzero(passed[i] & passed[j])
+        keys = _mix(sums[i][both] + sums[j][both] + _number(f"mask {i} {j}"))
+        at = held.passing(keys)
+        yield both[at], keys[at]
+
+
+def _run_keys(words: np.ndarray) -> np.ndarray:
+    """The run hashes of all windows, for the filter."""
+    n = max(0, len(words) - WINDOW + 1)
+    return np.concatenate([_mix(_sums(words, run, n) + _number(f"run {run}")) for run in runs()])
+
+
+def _windows(spans: list[int], passes=None):
+    """Rows of the seeds of each text; `passes` gives the filter, where only its hits are wanted. Without, all of an item's."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = None if passes is None else passes.value
+        held, hashes = _Filter(None if passes is None else passes.value), _Hashes()
+        out: list[tuple] = []
         for batch in batches:
-            ids, pos, keys, windows = [], [], [], []
             for row_id, text in zip(batch["id"], batch["text"], strict=True):
-                words = word_hashes(text)
-                for at in range(0, max(1, len(words) - WINDOW + 1), CHUNK):
-                    part = words[at : at + CHUNK + WINDOW - 1]
-                    for span, offsets in plans:
-                        if bitmap is None and span < WINDOW and len(words) != span:
-                            continue  # a short item stands for itself only
-                        k = seed_keys(part, span, offsets)[: CHUNK if len(words) > CHUNK else None]
-                        hits = range(len(k)) if bitmap is None else _passing(k, bitmap)
-                        for i in hits:
-                            ids.append(row_id)
-                            pos.append(at + int(i))
-                            keys.append(int(k[i].view(np.int64)))
-                            windows.append(part[i : i + span].view(np.int64))
-            if ids:
-                yield pd.DataFrame({"id": ids, "pos": pos, "key": keys, "words": windows})
+                words = word_hashes(text, hashes)
+                for span in spans:
+                    if passes is None and span < WINDOW and len(words) != span:
+                        continue  # a short item stands for itself only
+                    for at in range(0, len(words) - span + 1, CHUNK):
+                        part = words[at : at + CHUNK + span - 1]
+                        for starts, keys in _hits(part, span, held):
+                            for i, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
+                                out.append((row_id, at + i, key, part[i : i + span].view(np.int64)))
+                                if len(out) >= FLUSH:
+                                    yield pd.DataFrame(out, columns=_COLUMNS)
+                                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return rows
 
 
-def _filter(seeds: DataFrame, n: int) -> np.ndarray:
+def _all_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The run hashes of benchmark items."""
+    hashes = _Hashes()
+    for batch in batches:
+        for text in batch["text"]:
+            yield pd.DataFrame({"key": _run_keys(word_hashes(text, hashes)).view(np.int64)})
+
+
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
     """Bitmap of n benchmark hashes. Spark builds it in groups; the driver puts them side by side."""
     bits = MIN_FILTER_BITS
     while bits < BITS_PER_HASH * n and bits < MAX_FILTER_BITS:
         bits *= 2
     both = F.array("key", F.shiftrightunsigned("key", 32))
     spot = F.col("x").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = seeds.select(F.explode(both).alias("x")).select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    parts = keys.select(F.explode(both).alias("x")).select(F.bitmap_bucket_number(spot).alias("bucket"), F.bitmap_bit_position(spot).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts.toLocalIterator():
         start = (r.bucket - 1) * _BITMAP_BYTES
@@ -151,18 +207,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
     count = F.pandas_udf(_lengths, IntegerType())
     lengths = sorted(r.n for r in items.select(count("text").alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1)).distinct().collect())
-    plans = _plans(lengths)
-    seeds = cut(items.mapInPandas(_windows(plans), _SCHEMA))
+    spans = [WINDOW, *lengths]
+    seeds = cut(items.mapInPandas(_windows(spans), _SCHEMA))
+    keys = cut(seeds.select("key").union(items.mapInPandas(_all_keys, "key bigint")).distinct())
     n = seeds.count()
-    passes = docs.sparkSession.sparkContext.broadcast(_filter(seeds, n))
-    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_windows(plans, passes), _SCHEMA)
+    passes = docs.sparkSession.sparkContext.broadcast(_filter(keys, keys.count()))
+    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_windows(spans, passes), _SCHEMA)
     hits = hits.select(F.col("id").alias("doc_id"), "pos", "key", "words")
     seeds = seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "key", F.col("words").alias("item_words"))
     if n <= BROADCAST_ROWS:
         met = hits.join(F.broadcast(seeds), "key")
     else:
-        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+        hits = cut(hits)
+        # fewer than one row for every SALT_ROWS hits
+        hot = cut(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("key", F.expr(f"cast(1 + n div {SALT_ROWS} AS int)").alias("salts")))
+        salted = seeds.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        dealt = hits.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        met = dealt.join(salted, ["key", "salt"])
     equal = F.aggregate(F.zip_with("words", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     span = F.size("words")
     met = met.where(span == F.size("item_words")).withColumn("equal", equal).where(F.col("equal") >= F.when(span == WINDOW, WINDOW - MAX_SUBSTITUTIONS).otherwise(span))
@@ -175,10 +236,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text overlaps no benchmark item; all columns stay.
+    """The rows of docs whose text overlaps no benchmark item; all columns stay, whatever their names.
 
     Rows are told apart by a hash of their text, which is never null, so the id plays no part.
     """
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col)))
-    dirty = cut(overlaps(keyed, benchmark, "_text_key", text_col).select(F.col("doc_id").alias("_dirty")).distinct())
-    return keyed.join(dirty, keyed["_text_key"] == dirty["_dirty"], "left_anti").select(docs.columns)
+    key = F.xxhash64(F.col(text_col))
+    dirty = cut(overlaps(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text").select(F.col("doc_id").alias("dirty")).distinct())
+    rows = packed(docs, text_key=key)
+    return rows.join(dirty, F.col("text_key") == F.col("dirty"), "left_anti").select("row.*")

@@ -1,17 +1,26 @@
 """HTML main-text extraction with a site style tree.
 
-Style tree: the pages of a host are merged by element path (block elements with their classes).
-For every path the tree counts, over the host's different pages, what the page has there (content)
-and how it is laid out (presentation: the sequence of blocks and inline elements). Importance is
-the entropy of these counts in units of log(number of pages): 0 if all pages agree, 1 if all
-differ. A path on at least MIN_PAGES pages whose content and presentation are both below
-MIN_IMPORTANCE is site furniture; a branch all of whose paths are furniture is thereby removed. A
-page of which nothing else would stay keeps its main part, since a host may serve one article often.
-
-Markup that names its own role is removed on every page, as single pages have no entropy: menus,
-page headers, footers, sidebars, forms, scripts, styles, and elements whose class or id says
-advert, notice, comment and the like. If articles remain, only their blocks count; else those of a
-main element; else all.
+Style tree: the pages of a host are merged by element path (block elements with their classes, digits
+left out). A node has a presentation on each of its m pages (the sequence of its child elements,
+repeats once) and content features (the texts of its blocks). What k of the m pages share has the
+entropy log k; a node's own importance is 1 - mean(log k) / log(m + PRIOR_PAGES), over the pages for
+the presentation and over the features for the content: near 0 if all pages agree, 1 if all differ.
+PRIOR_PAGES stands for pages not seen that look otherwise, so few pages prove little. Composite
+importance goes bottom-up: a node's own importance and, faded by FADE a level, that of all nodes
+below it, weighted by their pages. A branch goes if no node in it reaches MIN_IMPORTANCE. Branches
+deeper than MAX_DEPTH are judged with their ancestor there. A page of which nothing would stay keeps
+its furniture.
+
+Markup that names its own role is removed on every page, as a lone page has no entropy: menus,
+footers, asides, forms, scripts, styles, headers outside the article, and elements with a class, id
+or role all of whose words speak of adverts, notices, comments and the like (`ad-banner`, not
+`has-ads`). Such a name counts for nothing on an element that holds the main element or an article,
+unless it says comment, and on headings and sections inside an article. If a page has no article and
+most of its text lies under a name of layout (sidebar, header, ...), the name is not believed.
+
+Which part: the articles, or, if one container outside of them has more text than they have
+together, what is outside (of that, what is in the main element, if anything is); without articles
+the main element, else all.
 
 Blocks: text between the boundaries of block elements. Character references are decoded, white
 space becomes one space, blocks are trimmed and joined by one line feed; empty ones vanish.
@@ -25,8 +34,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -36,10 +46,12 @@ from pyspark.sql.types import StringType
 
 from lettermill.llm.common import cut
 
-MIN_PAGES = 8
-MIN_IMPORTANCE = 0.5
-#: The furniture table is broadcast up to so many characters of paths; beyond, the join is salted.
-BROADCAST_CHARS = 8_000_000
+PRIOR_PAGES = 4
+MIN_IMPORTANCE = 0.2
+FADE = 0.9
+MAX_DEPTH = 64
+#: Furniture nodes of all hosts that may be broadcast (8 bytes each); beyond, the join is salted.
+BROADCAST_NODES = 500_000
 SALTS = 32
 
 # Element names of HTML by role.
@@ -49,71 +61,126 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 NOISE = frozenset("head nav header footer aside form menu dialog script style noscript template iframe object svg canvas audio video button select textarea option".split())
-# Words in a class, id or role that mark furniture.
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer header masthead comment comments discussion disqus reply replies respond share sharing social related recommended widget login signup pagination pager skip".split()
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody table figure figcaption caption".split())
+# Words of a class, id or role that mark content which is none of the article's.
+FOREIGN_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices popup modal overlay comment comments disqus reply replies respond".split())
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+# Words that mark parts of a layout, and words that say nothing beside them.
+LAYOUT_WORDS = frozenset(
+    "banner newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer header masthead share sharing social related recommended widget login signup pagination pager skip".split()
+)
+NEUTRAL_WORDS = frozenset(
+    "site page main global primary secondary top bottom left right inner outer box area list block wrap wrapper container section item group bar panel links link text content body post entry article form buttons button icons row col column bottoms number nr no the of".split()
 )
 #: Opening the key closes an open element of the value's names first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSE_STOPS = ("ul", "ol", "dl", "table", "select")
+P_STOPS = ("td", "th", "li", "div", "section", "article", "body")
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.DOTALL)
-_NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+_NAMING = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+|[^\x00-\x7f]+")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@lru_cache(maxsize=1 << 14)
+def _naming(attributes: str) -> tuple[str, frozenset[str], str]:
+    """(label of the classes, noise words that a whole class, id or role consists of, role)."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMING.finditer(attributes)}
+    noise: set[str] = set()
+    for token in " ".join(found.values()).split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        telling = words & (FOREIGN_WORDS | LAYOUT_WORDS)
+        if telling and all(w in telling or w in NEUTRAL_WORDS or w.isdigit() for w in words):
+            noise |= telling
+    classes = sorted(set(re.sub(r"\d+", "", found.get("class", "")).split()))
+    return ".".join(classes), frozenset(noise), found.get("role", "").lower()
+
+
+class _Named:
+    """An element whose name says noise, inside others of its kind."""
+
+    __slots__ = ("outer", "foreign", "comment", "believed", "chars")
+
+    def __init__(self, outer: _Named | None, words: frozenset[str]):
+        self.outer, self.believed, self.chars = outer, True, 0
+        self.foreign, self.comment = bool(words & FOREIGN_WORDS), bool(words & COMMENT_WORDS)
+
+
+class Node:
+    """An open or closed element; inline elements share the place of the block that holds them."""
+
+    __slots__ = ("name", "block", "ids", "label", "layout", "silent", "named", "article", "main", "parent")
+
+    def __init__(self, name: str, block: bool, parent: Node | None):
+        self.name, self.block, self.parent = name, block, parent
+        if parent is None:
+            self.ids, self.label, self.layout, self.silent, self.named, self.article, self.main = (), "", [], False, None, False, False
+        else:
+            self.ids, self.label, self.layout = parent.ids, parent.label, parent.layout
+            self.silent, self.named, self.article, self.main = parent.silent, parent.named, parent.article, parent.main
 
 
-@dataclass
 class Block:
-    path: str
-    text: str
-    layout: str
-    noise: bool
-    article: bool
-    main: bool
-
-
-@dataclass
-class _Open:
-    name: str
-    block: bool
-    path: str
-    noise: bool
-    article: bool
-    main: bool
-
-
-def _opened(name: str, attributes: str, parent: _Open) -> _Open:
-    names = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _NAMING.finditer(attributes)} if attributes.strip() else {}
-    article, main = parent.article or name == "article", parent.main or name == "main" or names.get("role") == "main"
-    words = {w for v in names.values() for w in _WORDS.findall(v)} & NOISE_WORDS if name not in ("html", "body", "main") else set()
+    __slots__ = ("text", "node")
+
+    def __init__(self, text: str, node: Node):
+        self.text, self.node = text, node
+
+
+def _opened(name: str, attributes: str, parent: Node) -> Node:
+    node = Node(name, name in BLOCK, parent)
+    classes, words, role = _naming(attributes) if "=" in attributes else ("", frozenset(), "")
+    label = f"{name}.{classes}" if classes else name
+    if not parent.layout or parent.layout[-1] != label:
+        parent.layout.append(label)
+    if node.block:
+        node.label, node.layout = label, []
+        if len(parent.ids) < MAX_DEPTH:
+            node.ids = (*parent.ids, _hash(f"{parent.ids[-1] if parent.ids else 0}>{label}"))
+    if name == "main" or role == "main" or (name == "article" and not parent.article):
+        named = parent.named
+        while named:
+            named.believed = named.believed and named.comment
+            named = named.outer
+    node.main = parent.main or name == "main" or role == "main"
+    node.article = parent.article or name == "article"
+    node.silent = parent.silent or (name in NOISE and not (name == "header" and parent.article))
     if parent.article:
-        words -= {"header", "banner"}
-    noise = parent.noise or bool(words) or (name in NOISE and not (name == "header" and parent.article))
-    block = name in BLOCK
-    path = parent.path
-    if block:
-        path += ">" + ".".join([name, *sorted(set(names.get("class", "").split()))])
-    return _Open(name, block, path, noise, article, main)
+        words = words - {"header", "banner"} if name not in HEADINGS else frozenset()
+    if words and name not in ("html", "body", "main"):
+        node.named = _Named(parent.named, words)
+    return node
+
+
+def _same_noise(a: Node, b: Node) -> bool:
+    return a.silent == b.silent and a.named is b.named
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in page order, furniture included."""
+def parse(page: str | None) -> tuple[list[Block], list[Node]]:
+    """The blocks of a page in page order, furniture included, and its block elements."""
     page = page or ""
-    root = _Open("", True, "", False, False, False)
-    stack, out, held, layout = [root], [], [], []
+    stack, out, held = [Node("", True, None)], [], []
+    nodes: list[Node] = []
+    is_open: Counter[str] = Counter()
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            top = stack[-1]
-            out.append(Block(top.path, text, "".join(layout), top.noise, top.article, top.main))
+            out.append(Block(text, stack[-1]))
         held.clear()
-        layout.clear()
 
     def close(at: int) -> None:
-        flush()
+        is_open.subtract(n.name for n in stack[at:])
         del stack[at:]
 
     def find(names: tuple[str, ...], stop: tuple[str, ...]) -> int:
+        if not any(is_open[n] > 0 for n in names):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 return i
@@ -134,89 +201,167 @@ def blocks(page: str | None) -> list[Block]:
         name = m[2].lower()
         if m[1]:
             if name in BLOCK:
+                flush()
                 if i := find((name,), ()):
                     close(i)
-                else:
-                    flush()
-            else:
+            elif is_open[name] > 0:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
-                        if stack[i].noise != stack[i - 1].noise:
+                        if not _same_noise(stack[i], stack[i - 1]):
                             flush()
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i].block:
                         break
             continue
         if name in BLOCK:
             flush()
-            if i := find(("p",), ("td", "th", "li", "div", "section", "article", "body")):
-                close(i)
-            if name in CLOSES and (i := find(CLOSES[name], ("ul", "ol", "dl", "table", "select"))):
+            if i := find(("p",), P_STOPS):
                 close(i)
-        elif name == "br":
-            held.append(" ")
-        layout.append(f"<{name}")
+        if name in CLOSES and (i := find(CLOSES[name], CLOSE_STOPS)):
+            flush()
+            close(i)
         if name in VOID:
+            if name == "br":
+                held.append(" ")
+            top = stack[-1]
+            if not top.layout or top.layout[-1] != name:
+                top.layout.append(name)
             continue
         opened = _opened(name, m[3], stack[-1])
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-            if name == "title" or opened.noise:
+            if name == "title" or opened.silent:
                 at = end.end() if end else n
                 continue
-        if not opened.block and opened.noise != stack[-1].noise:
+        if not opened.block and not _same_noise(opened, stack[-1]):
             flush()
+        if opened.block:
+            nodes.append(opened)
         stack.append(opened)
+        is_open[name] += 1
     flush()
-    return out
-
-
-def _main(found: list[Block]) -> list[Block]:
-    kept = [b for b in found if not b.noise]
-    for part in ([b for b in kept if b.article], [b for b in kept if b.main]):
-        if part:
-            return part
-    return kept
-
-
-def main_text(page: str | None, furniture: frozenset[str] = frozenset()) -> str:
-    """The page's main text without the paths that its site's tree calls furniture."""
-    kept = _main(blocks(page))
-    important = [b for b in kept if b.path not in furniture] or kept
-    return "\n".join(b.text for b in important)
-
-
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    return out, nodes
+
+
+def _is_noise(node: Node) -> bool:
+    named = node.named
+    while named and not named.believed:
+        named = named.outer
+    return node.silent or named is not None
+
+
+def _disbelieve(found: list[Block]) -> None:
+    """Without an article or main element, a name of layout over most of the text is not believed."""
+    loud = [b for b in found if not b.node.silent]
+    if any(b.node.article or b.node.main for b in loud):
+        return
+    total = sum(len(b.text) for b in loud)
+    for b in loud:
+        named = b.node.named
+        while named:
+            named.chars += len(b.text)
+            if not named.foreign and 2 * named.chars > total:
+                named.believed = False
+            named = named.outer
+
+
+def _container(node: Node) -> Node:
+    while node.parent is not None and (not node.block or node.name in PROSE):
+        node = node.parent
+    return node
+
+
+def _main(kept: list[Block]) -> list[Block]:
+    articles, outside = [b for b in kept if b.node.article], [b for b in kept if not b.node.article]
+    if articles:
+        chars: dict[int, int] = defaultdict(int)
+        for b in outside:
+            chars[id(_container(b.node))] += len(b.text)
+        if max(chars.values(), default=0) <= sum(len(b.text) for b in articles):
+            return articles
+    return [b for b in outside if b.node.main] or outside
+
+
+def main_text(page: str | None, furniture: frozenset[int] = frozenset()) -> str:
+    """The page's main text without the branches that its site's tree calls furniture."""
+    found, _ = parse(page)
+    _disbelieve(found)
+    kept = [b for b in found if not _is_noise(b.node)]
+    important = [b for b in kept if furniture.isdisjoint(b.node.ids)] if furniture else kept
+    return "\n".join(b.text for b in _main(important or kept))
+
+
+def tree_rows(page: str | None) -> Iterator[tuple[tuple[int, ...], str, int, int]]:
+    """(ids from the root to the node, label, kind, value) of a page: one presentation (kind 0, value 0 if bare) a node, and its features (kind 1)."""
+    found, nodes = parse(page)
+    labels: dict[tuple[int, ...], str] = {}
+    layouts, texts = defaultdict(set), defaultdict(set)
+    for node in nodes:
+        labels.setdefault(node.ids, node.label)
+        layouts[node.ids].add(",".join(node.layout))
+    for b in found:
+        texts[b.node.ids].add(_hash(b.text))
+    for ids, label in labels.items():
+        shown = "|".join(sorted(x for x in layouts[ids] if x))
+        yield ids, label, 0, _hash(shown) if shown else 0
+        for value in texts[ids]:
+            yield ids, label, 1, value
+
+
+_ROWS = "host string, page bigint, ids array<bigint>, label string, kind int, value bigint"
+#: Rows of the tree that a task hands on at a time.
+FLUSH = 20_000
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _ROWS.split(", ")]
+    rows: list[tuple] = []
     for batch in batches:
-        rows = []
         for host, page in zip(batch["host"], batch["html"], strict=True):
-            at: dict[str, tuple[list[str], list[str]]] = {}
-            for b in blocks(page):
-                content, layout = at.setdefault(b.path, ([], []))
-                content.append(b.text)
-                layout.append(b.layout)
             page_hash = _hash(page)
-            rows += [(host, page_hash, path, _hash("\n".join(c)), _hash("\n".join(s))) for path, (c, s) in at.items()]
-        yield pd.DataFrame(rows, columns=["host", "page", "path", "content", "layout"])
+            for ids, label, kind, value in tree_rows(page):
+                rows.append((host, page_hash, list(ids), label, kind, value))
+                if len(rows) >= FLUSH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+    yield pd.DataFrame(rows, columns=columns)
+
+
+def _host(url_col: str):
+    return F.lower(F.regexp_extract(F.col(url_col), "://([^/?#]*)", 1))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, n_pages, content_importance, layout_importance) over all pages of each host."""
-    host = F.lower(F.regexp_extract(F.col(url_col), "://([^/?#]*)", 1))
-    rows = pages.select(host.alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
-    rows = rows.mapInPandas(_features, "host string, page bigint, path string, content bigint, layout bigint").distinct()
-    kinds = F.explode(F.array(F.struct(F.lit("content").alias("kind"), F.col("content").alias("value")), F.struct(F.lit("layout").alias("kind"), F.col("layout").alias("value"))))
-    counts = rows.select("host", "path", kinds.alias("f")).groupBy("host", "path", "f").agg(F.count(F.lit(1)).alias("n"))
-    pages_log = F.ln(F.sum("n"))
-    entropy = F.when(F.sum("n") > 1, (pages_log - F.sum(F.col("n") * F.ln("n")) / F.sum("n")) / pages_log).otherwise(1.0)
-    each = counts.groupBy("host", "path", "f.kind").agg(F.sum("n").alias("n_pages"), entropy.alias("importance"))
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("importance")))
-    return each.groupBy("host", "path").agg(F.max("n_pages").alias("n_pages"), pick("content").alias("content_importance"), pick("layout").alias("layout_importance"))
+    """(host, ids, label, n_pages, importance, composite, branch): the tree's nodes over all pages of each host.
+
+    `branch` is the largest composite importance in the branch that starts at the node.
+    """
+    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
+    rows = rows.mapInPandas(_features, _ROWS).distinct()
+    counts = rows.groupBy("host", "ids", "label", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    is_layout, n = F.col("kind") == 0, F.col("n")
+    sums = counts.groupBy("host", "ids").agg(
+        F.min("label").alias("label"),
+        F.sum(F.when(is_layout, n)).alias("n_pages"),
+        F.sum(F.when(is_layout, n * F.ln(n))).alias("layout"),
+        F.max(is_layout & (F.col("value") != 0)).alias("is_laid_out"),
+        F.sum(F.when(~is_layout, F.ln(n))).alias("content"),
+        F.count_if(~is_layout).alias("n_features"),
+    )
+    scale = F.ln(F.col("n_pages") + PRIOR_PAGES)
+    content = 1 - F.col("content") / F.col("n_features") / scale
+    layout = 1 - F.col("layout") / F.col("n_pages") / scale
+    own = F.when(F.col("n_features") == 0, layout).when(F.col("is_laid_out"), (content + layout) / 2).otherwise(content)
+    nodes = cut(sums.select("host", "ids", "label", "n_pages", own.alias("importance")))
+    # every node hands its importance to all nodes above it and to itself
+    up = nodes.select("host", F.posexplode("ids").alias("at", "id"), "ids", "label", "n_pages", "importance")
+    up = up.withColumn("weight", F.col("n_pages") * F.pow(F.lit(FADE), F.size("ids") - 1 - F.col("at")))
+    itself = F.when(F.size("ids") - 1 == F.col("at"), F.struct("ids", "label", "n_pages", "importance"))
+    composite = F.sum(F.col("weight") * F.col("importance")) / F.sum("weight")
+    judged = cut(up.groupBy("host", "id").agg(F.max(itself).alias("of"), composite.alias("composite")).select("host", "of.*", "composite"))
+    branch = judged.select("host", F.explode("ids").alias("id"), "composite").groupBy("host", "id").agg(F.max("composite").alias("branch"))
+    return judged.withColumn("id", F.element_at("ids", -1)).join(branch, ["host", "id"]).drop("id")
 
 
 def _texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -224,14 +369,19 @@ def _texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series([main_text(p, frozenset(() if f is None else f)) for p, f in zip(pages, furniture, strict=True)], dtype=object)
 
 
+def furniture_of(tree: DataFrame) -> DataFrame:
+    """(host, furniture): ids of the nodes at which the branches without importance start."""
+    low = tree.where(F.col("branch") < MIN_IMPORTANCE).select("host", F.element_at("ids", -1).alias("id"), F.try_element_at("ids", F.lit(-2)).alias("above"))
+    starts = low.join(low.select("host", F.col("id").alias("above")), ["host", "above"], "left_anti")
+    return starts.groupBy("host").agg(F.collect_set("id").alias("furniture"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each page."""
-    tree = style_tree(pages, url_col, html_col)
-    low = tree.where((F.col("n_pages") >= MIN_PAGES) & (F.col("content_importance") < MIN_IMPORTANCE) & (F.col("layout_importance") < MIN_IMPORTANCE))
-    low = cut(low.groupBy("host").agg(F.collect_set("path").alias("furniture")))
-    chars = low.agg(F.sum(F.length(F.array_join("furniture", ",")))).first()[0] or 0
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(F.lower(F.regexp_extract(F.col(url_col), "://([^/?#]*)", 1)), F.lit("")).alias("host"))
-    if chars <= BROADCAST_CHARS:
+    low = cut(furniture_of(style_tree(pages, url_col, html_col)))
+    n_nodes = low.agg(F.sum(F.size("furniture"))).first()[0] or 0
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.coalesce(_host(url_col), F.lit("")).alias("host"))
+    if n_nodes <= BROADCAST_NODES:
         rows = rows.join(F.broadcast(low), "host", "left")
     else:
         salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

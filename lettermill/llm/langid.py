@@ -13,7 +13,10 @@ with the largest one wins, the first by name among equals. The score is its shar
 
 Cases: null texts and texts without a letter are `und` with score 0, as is every text if nothing
 was learned. Null languages are not learned from. Texts of any length are read whole, in pieces
-of CHUNK characters. Repeated rows give repeated rows; an empty table an empty result.
+of CHUNK characters. Repeated rows give repeated rows; an empty table an empty result. Of more than
+MAX_LANGUAGES values of the language the rarest are not learned and never predicted. The table has
+8 bytes a slot for every 64 languages: 8 MB, and 128 MB at MAX_LANGUAGES. Only id, text and language
+are read; further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lettermill.llm.common import cut
+from lettermill.llm.common import cut, packed
 
 MIN_SHARE = 1e-5
 RATIO = 0.1
 SLOTS = 1 << 20
 HASHES = 3
-#: Largest number of different languages that a model may have.
-MAX_LANGUAGES = 4096
+#: Most languages of a model: those with the most trigrams are learned, by name among equals.
+MAX_LANGUAGES = 1024
 CHUNK = 1 << 18
 #: Trigrams that a task counts before it hands them on.
 FLUSH = 1 << 21
@@ -127,15 +130,13 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mod
     counts = rows.mapInPandas(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r.lang for r in totals.select("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r.lang for r in totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect())
     words = (len(languages) + 63) // 64
     table = np.zeros((SLOTS, max(1, words)), dtype=np.uint64)
     if languages:
         shares = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
         top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-        held = shares.where(F.col("share") >= MIN_SHARE).join(top, "gram").where(F.col("share") >= RATIO * F.col("top"))
+        held = shares.where((F.col("share") >= MIN_SHARE) & F.col("lang").isin(languages)).join(top, "gram").where(F.col("share") >= RATIO * F.col("top"))
         number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
         masks = held.select("gram", number.alias("i")).select("gram", F.expr("cast(i div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(i % 64 as int))").alias("bit")).groupBy("gram", "word").agg(F.bit_or("bit").alias("mask"))
         slots = masks.mapInPandas(_spread, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
@@ -176,7 +177,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs in a learned language; those without a language (`und`) go. All columns stay."""
+    """The rows of docs in a learned language; those without a language (`und`) go. All columns stay, whatever their names."""
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     predict = predictor(docs, model)
-    return docs.withColumn("_lang", predict(F.col(text_col))["lang"]).where(F.col("_lang") != UND).select(docs.columns)
+    return packed(docs, lang=predict(F.col(text_col))["lang"]).where(F.col("lang") != UND).select("row.*")

@@ -1,23 +1,29 @@
-"""License scans: TF-IDF cosine of text lines to license templates, then nearest-ancestor inheritance.
+"""License scans: TF-IDF cosine of headers and license files to templates, then nearest-ancestor inheritance.
 
-Every line of every file is compared with every template, so headers, footers and whole license
-files are all found. Vectors hold term counts times idf; terms are runs of a-z and 0-9 of the
-lower-cased line. idf(t) = ln((1 + N) / (1 + df(t))) + 1 over all N texts; terms of no template have
-df 0, so foreign words lower a line's cosine. A line matches from a cosine of MIN_COSINE on; the
-best line gives the file its own license (ties: first license by name).
+Units of comparison. The header (the comment lines and blank lines at the start) and, in license
+files, the whole text are compared with templates of whole notices. Every line, every paragraph
+(between blank lines or lines of marks alone) and every sentence of a paragraph is compared with
+templates of single statements, so a statement is found wrapped, behind comment marks or beside
+other sentences. Vectors hold term counts times idf; terms are runs of a-z and 0-9 of the
+lower-cased text. idf(t) = ln((1 + N) / (1 + df(t))) + 1 over all N texts; terms of no template have
+df 0, so foreign words lower a unit's cosine. A unit matches from a cosine of MIN_COSINE on. The
+best match gives the file its own license: a whole notice before a statement, a statement before
+those of LAST (which stand beside other licenses, too), then the higher score, then the first name.
 
-Lines without a required term are skipped without loss: ordering a template's terms by weight, the
-light rest whose norm is below MIN_COSINE of the template's cannot reach the threshold alone.
+Texts without a required term are skipped without loss: ordering a template's terms by idf, the
+common rest whose norm is below MIN_COSINE of the template's cannot reach the threshold alone.
 
 License files (LICENSE, LICENCE, COPYING, NOTICE, with any ending) hand their license to the files
 of their directory and of those below it that have none of their own and no nearer one: the
-distinct directories are joined with those that have a license file, on each ancestor path.
+distinct directories are joined with those that have a license file, on each ancestor path. Of
+several license files in a directory the one with the best match hands on, by path among equals.
 
 All work on texts happens within their row; shuffles carry ids, paths and licenses only.
 
 Cases: a null text has no license of its own. A null path is in no directory and inherits nothing.
-Empty texts and lines match nothing. Repeated rows give repeated rows. Empty tables give empty
-results. Only id, path and text are read, so further columns cannot clash.
+Empty texts and lines match nothing. Texts of any length are read whole. Repeated rows give repeated
+rows. Empty tables give empty results. Only id, path and text are read, so further columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,91 +41,187 @@ from lettermill.llm.common import cut
 MIN_COSINE = 0.8
 _NOT_TERM = "[^a-z0-9]+"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
+# What starts a comment line, what parts paragraphs, and what ends a sentence.
+COMMENT_LINE = r"^[ \t]*(#|//|/\*|\*|--|;|%|<!--|\z)"
+PARAGRAPHS = r"\n[^A-Za-z0-9\n]*\n"
+SENTENCES = r"[.:;!?][\"')]*\s+"
+
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_USE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_KEEP = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_APACHE_USE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+_APACHE_REST = (
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under "
+    "the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+    "governing permissions and limitations under the License."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_REST = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_GPL_USE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+    "either version 3 of the License, or (at your option) any later version."
+)
+_GPL_REST = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+    "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+_MPL_REST = "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
-# Wording by which licenses are declared.
+# The wording of statements (part) and of whole notices by which licenses are declared.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    ("proprietary", "All rights reserved."),
+    ("Apache-2.0", "part", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "part", _APACHE_USE),
+    ("BSD-3-Clause", "part", _BSD_USE),
+    ("CC-BY-4.0", "part", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "part", "Licensed under CC BY-NC 4.0."),
+    ("GPL-3.0", "part", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "part", _GPL_USE),
+    ("ISC", "part", _ISC),
+    ("MIT", "part", "Released under the MIT License."),
+    ("MIT", "part", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", "part", _MIT_GRANT),
+    ("MPL-2.0", "part", _MPL),
+    ("proprietary", "part", "All rights reserved."),
+    ("Apache-2.0", "whole", f"{_APACHE_USE} {_APACHE_REST}"),
+    ("BSD-2-Clause", "whole", f"{_BSD_USE} {_BSD_KEEP} {_BSD_REST}"),
+    ("BSD-3-Clause", "whole", f"{_BSD_USE} {_BSD_KEEP} {_BSD_NAME} {_BSD_REST}"),
+    ("GPL-3.0", "whole", f"{_GPL_USE} {_GPL_REST}"),
+    ("ISC", "whole", f"{_ISC} {_ISC_REST}"),
+    ("MIT", "whole", f"{_MIT_GRANT} {_MIT_REST}"),
+    ("MPL-2.0", "whole", f"{_MPL} {_MPL_REST}"),
 )
+#: Licenses whose statements count only if no other license is found.
+LAST = ("proprietary",)
+
+Templates = Sequence[tuple[str, str, str]]
 
 
 def terms(text: str) -> list[str]:
     return [t for t in re.split(_NOT_TERM, text.lower()) if t]
 
 
+def _split(text: Column) -> Column:
+    """The terms of a text, with an empty one at an end that is no term."""
+    return F.split(F.lower(text), _NOT_TERM)
+
+
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _NOT_TERM), lambda t: t != "")
+    return F.filter(_split(text), lambda t: t != "")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bag(found: Column) -> Column:
+    """array<struct<term, n>>: the distinct terms and their counts, by the starts of runs in the sorted terms."""
+
+    def counted(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _let(starts, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("double").alias("n"))))
+
+    return _let(F.array_sort(found), counted)
 
 
 class Scorer:
     """Template vectors under the corpus's idf, as column expressions."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], df: dict[str, int], n: int):
+    def __init__(self, templates: Templates, df: dict[str, int], n: int):
         self.unknown = math.log(1 + n) + 1
-        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for _, text in templates for t in terms(text)}
-        self.rows: list[tuple[str, dict[str, float]]] = []
-        self.required: set[str] = set()
-        for name, text in templates:
+        self.idf = {t: math.log((1 + n) / (1 + df.get(t, 0))) + 1 for _, _, text in templates for t in terms(text)}
+        self.rows: list[tuple[str, str, dict[str, float]]] = []
+        self.required: dict[str, set[str]] = {"part": set(), "whole": set()}
+        for name, kind, text in templates:
             weights = {t: c * self.idf[t] for t, c in Counter(terms(text)).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
-            self.rows.append((name, {t: w / norm for t, w in weights.items()}))
+            self.rows.append((name, kind, {t: w / norm for t, w in weights.items()}))
             rest = 0.0
-            for t in sorted(weights, key=lambda t: (weights[t], t)):
+            for t in sorted(weights, key=lambda t: (self.idf[t], t)):
                 rest += (weights[t] / norm) ** 2
                 # a margin keeps rounding on the safe side
                 if math.sqrt(rest) >= MIN_COSINE - 1e-9:
-                    self.required.add(t)
-
-    def _of(self, values: dict[str, float], default: float, term: Column) -> Column:
-        table = F.create_map(*[x for t, v in sorted(values.items()) for x in (F.lit(t), F.lit(v))])
-        return F.coalesce(F.try_element_at(table, term), F.lit(default))
-
-    def _sum(self, found: Column, values: dict[str, float]) -> Column:
-        return F.aggregate(found, F.lit(0.0), lambda a, t: a + self._of(values, 0.0, t))
-
-    def _norm(self, found: Column) -> Column:
-        """Square root of the summed squares of count * idf, over the runs of the sorted terms."""
-
-        def closed(a: Column) -> Column:
-            w = a["run"] * self._of(self.idf, self.unknown, a["term"])
-            return a["sum"] + w * w
-
-        def step(a: Column, t: Column) -> Column:
-            same = F.struct(a["term"].alias("term"), (a["run"] + 1.0).alias("run"), a["sum"].alias("sum"))
-            return F.when(t == a["term"], same).otherwise(F.struct(t.alias("term"), F.lit(1.0).alias("run"), closed(a).alias("sum")))
-
-        start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-        return F.aggregate(F.array_sort(found), start, step, lambda a: F.sqrt(closed(a)))
-
-    def best(self, found: Column) -> Column:
-        """struct(score, license) of the best template for the terms of a line; score rounded to 6 places."""
-        norm = self._norm(found)
-        scores = []
-        for name, weights in self.rows:
-            pull = {t: w * self.idf[t] for t, w in weights.items()}
-            dot = self._sum(found, pull)
-            # negated, so that the least struct has the highest score, then the first name
-            scores.append(F.struct((-F.round(dot / norm, 6)).alias("score"), F.lit(name).alias("license")))
-        return F.array_min(F.array(*scores))
-
-    def own(self, text: Column) -> Column:
-        """struct(score, license), negated score, of the text's best line; null without a match."""
-        required = F.array(*[F.lit(t) for t in sorted(self.required)])
-        lines = F.filter(F.transform(F.split(text, "\n"), _terms), lambda found: F.arrays_overlap(found, required))
-        return F.array_min(F.filter(F.transform(lines, self.best), lambda m: m["score"] <= -MIN_COSINE))
-
-
-def scorer(files: DataFrame, text_col: str, templates: Sequence[tuple[str, str]]) -> Scorer:
+                    self.required[kind].add(t)
+
+    def _lacks(self, found: Column, kind: str) -> Column:
+        return ~F.arrays_overlap(found, F.array(*[F.lit(t) for t in sorted(self.required[kind])]))
+
+    def _best(self, found: Column, kind: str) -> Column:
+        """struct(rank, score, license) of the best template of the kind for a unit's terms, score negated and rounded to 6 places."""
+        rows = [(name, weights) for name, k, weights in self.rows if k == kind]
+        words = sorted({t for _, weights in rows for t in weights} | set(self.idf))
+        entry = lambda t: F.struct(F.lit(self.idf[t]).alias("idf"), F.array(*[F.lit(w.get(t, 0.0) * self.idf[t]) for _, w in rows]).alias("pull"))
+        table = F.create_map(*[x for t in words for x in (F.lit(t), entry(t))])
+
+        def pulled(i: int) -> Callable[[Column, Column], Column]:
+            return lambda a, b: a + b["n"] * F.coalesce(F.get(b["e"]["pull"], F.lit(i)), F.lit(0.0))
+
+        def scored(bag: Column) -> Column:
+            norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, b: a + F.pow(b["n"] * F.coalesce(b["e"]["idf"], F.lit(self.unknown)), F.lit(2.0))))
+
+            def of(norm: Column) -> Column:
+                each = []
+                for i, (name, _) in enumerate(rows):
+                    dot = F.aggregate(bag, F.lit(0.0), pulled(i))
+                    rank = 0 if kind == "whole" else 2 if name in LAST else 1
+                    score = F.when(norm > 0, -F.round(dot / norm, 6)).otherwise(0.0)
+                    each.append(F.struct(F.lit(rank).alias("rank"), score.alias("score"), F.lit(name).alias("license")))
+                return F.array_min(F.filter(F.array(*each), lambda m: m["score"] <= -MIN_COSINE))
+
+            return _let(norm, of)
+
+        looked_up = F.transform(_bag(found), lambda b: F.struct(b["n"].alias("n"), F.try_element_at(table, b["term"]).alias("e")))
+        return _let(looked_up, scored)
+
+    def _of_units(self, units: Column, kind: str) -> Column:
+        found = F.filter(F.transform(units, _terms), lambda t: ~self._lacks(t, kind))
+        return F.array_min(F.array_compact(F.transform(found, lambda t: self._best(t, kind))))
+
+    def own(self, text: Column, is_license_file: Column) -> Column:
+        """struct(rank, score, license), score negated, of the text's best match; null without one."""
+        lines = F.split(text, "\n")
+        paragraphs = F.split(text, PARAGRAPHS)
+        sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCES)))
+        stop = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT_LINE)), False)
+        header = F.array_join(F.slice(lines, 1, F.when(stop > 0, stop - 1).otherwise(F.size(lines)).cast("int")), "\n")
+        whole = F.when(F.coalesce(is_license_file, F.lit(False)), F.array(header, text)).otherwise(F.array(header))
+        part = self._of_units(F.concat(lines, paragraphs, sentences), "part")
+        best = F.array_min(F.array_compact(F.array(self._of_units(whole, "whole"), part)))
+        found = _split(text)
+        return F.when(~(self._lacks(found, "part") & self._lacks(found, "whole")), best)
+
+
+def scorer(files: DataFrame, text_col: str, templates: Templates) -> Scorer:
     """idf over all texts; what reaches the driver is one count for each term of the templates."""
-    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, text in templates for t in terms(text)})])
-    texts = files.where(F.col(text_col).isNotNull()).select(F.array_intersect(_terms(F.col(text_col)), vocabulary).alias("t"))
+    vocabulary = F.array(*[F.lit(t) for t in sorted({t for _, _, text in templates for t in terms(text)})])
+    texts = files.where(F.col(text_col).isNotNull()).select(F.array_intersect(_split(F.col(text_col)), vocabulary).alias("t"))
     # the empty term counts the texts
     counts = texts.select(F.explode(F.concat("t", F.array(F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     df = {r.t: r.n for r in counts.collect()}
@@ -132,15 +234,16 @@ def _ancestors(directory: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def scan(files: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
+def scan(files: DataFrame, templates: Templates = TEMPLATES, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """(doc_id, path, own_license, own_score, license, from_dir): from_dir is null for a license of the file's own."""
-    own = scorer(files, text_col, templates).own(F.col(text_col))
     path = F.col(path_col)
+    hands_on = F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE)
+    own = scorer(files, text_col, templates).own(F.col(text_col), hands_on)
     rows = files.select(
         F.col(id_col).alias("doc_id"),
         path.alias("path"),
         F.regexp_extract(path, "^(?:(.*)/)?[^/]*$", 1).alias("dir"),
-        F.regexp_extract(path, "[^/]*$", 0).rlike(LICENSE_FILE).alias("hands_on"),
+        hands_on.alias("hands_on"),
         own.alias("own"),
     )
     rows = cut(rows)

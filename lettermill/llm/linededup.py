@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.common import cut, word_count
 
-MIN_WORDS = 50
+#: Words of a run of whole lines from which it counts as repeated; a single line of so many is one, too.
+MIN_WORDS = 10
 
 
 def _ordered(distinct: DataFrame, keys: list[str], out: str) -> DataFrame:

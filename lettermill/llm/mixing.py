@@ -12,29 +12,41 @@ level at which the targets sum to the total.
 Cases: a null or blank text has size 0 and is never taken. A source with no words gets target 0.
 A null doc_id hashes as the empty string. Equal keys are ordered by doc_id, size, then text hash, so
 repeated rows differ only in which of them the cut meets. An empty table gives an empty result.
+Columns of documents keep their values, whatever their names. Budgets are set in windows over the
+sources, one narrow row each, in one task: sources may be thousands or a million, not as many as
+documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.ranks import group_ranks, running_total
-from lettermill.llm.common import WORD, cut, word_count
+from lettermill.llm.common import WORD, cut, packed, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _source(source_col: str) -> Column:
+    """The source with a mark before it that puts null last."""
     source = F.col(source_col).cast("string")
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
+
+
+def _key(id_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("src"),
+        _source(source_col).alias("src"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+        _key(id_col).alias("key"),
         F.xxhash64(F.col(text_col)).alias("text_hash"),
     )
 
@@ -86,19 +98,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
     epochs = F.expr("cast(round(target) AS bigint) div source_size")
     # documents up to the last one that is taken beyond the whole epochs appear once more
     extra = F.when(F.col("taken") > epochs * F.col("size"), F.struct("key", F.struct("doc_id", "size", "text_hash").alias("ties")))
-    cuts = planned.withColumn("_extra", extra).groupBy(F.col("src").alias("_src"), "_extra").agg(F.max(epochs).alias("_epochs"), F.count(F.lit(1)).alias("_n"))
-    cuts = cuts.groupBy("_src").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("_extra").isNotNull(), F.struct("_extra", "_n"))).alias("_m"))
+    cuts = planned.withColumn("extra", extra).groupBy(F.col("src").alias("of"), "extra").agg(F.max(epochs).alias("epochs"), F.count(F.lit(1)).alias("n"))
+    cuts = cuts.groupBy("of").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra").isNotNull(), F.struct("extra", "n"))).alias("m"))
     # read back as a table, the cuts have a known size and are broadcast if that is small, so texts stay in place
-    cuts = cut(cuts.select("_src", "_epochs", F.col("_m._extra.key").alias("_last"), F.col("_m._extra.ties").alias("_last_ties"), F.col("_m._n").alias("_n_last")))
-    source = F.col(source_col).cast("string")
-    keyed = docs.withColumn("_src", F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)))
-    keyed = keyed.where(F.col(text_col).rlike(WORD)).join(cuts, "_src")
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
+    cuts = cut(cuts.select("of", "epochs", F.col("m.extra.key").alias("last"), F.col("m.extra.ties").alias("last_ties"), F.col("m.n").alias("n_last")))
     ties = F.struct(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    # sizes are counted for equal keys only
-    side = F.when(F.col("_last").isNull() | (key > F.col("_last")), 1).when(key < F.col("_last"), -1).when(ties < F.col("_last_ties"), -1).when(ties > F.col("_last_ties"), 1).otherwise(0)
-    keyed = keyed.withColumn("_side", side)
-    clear = keyed.where("_side <> 0").withColumn("_times", F.col("_epochs") + F.when(F.col("_side") < 0, 1).otherwise(0))
-    at_cut = group_ranks(keyed.where("_side = 0"), "_src", "_last", [], "_rank").withColumn("_times", F.col("_epochs") + F.when(F.col("_rank") < F.col("_n_last"), 1).otherwise(0))
-    chosen = clear.select(*docs.columns, "_times").union(at_cut.select(*docs.columns, "_times"))
-    return chosen.withColumn("_times", F.col("_times").cast("int")).where("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    keyed = packed(docs.where(F.col(text_col).rlike(WORD)), src=_source(source_col), key=_key(id_col), ties=ties)
+    keyed = keyed.join(cuts, F.col("src") == F.col("of"))
+    key, last, tied = F.col("key"), F.col("last"), F.col("ties")
+    side = F.when(last.isNull() | (key > last), 1).when(key < last, -1).when(tied < F.col("last_ties"), -1).when(tied > F.col("last_ties"), 1).otherwise(0)
+    keyed = keyed.withColumn("side", side)
+    clear = keyed.where("side <> 0").select("row", (F.col("epochs") + F.when(F.col("side") < 0, 1).otherwise(0)).alias("times"))
+    at_cut = group_ranks(keyed.where("side = 0"), "src", "last", [], "rank")
+    at_cut = at_cut.select("row", (F.col("epochs") + F.when(F.col("rank") < F.col("n_last"), 1).otherwise(0)).alias("times"))
+    chosen = clear.union(at_cut).where("times > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("nth")).select("row.*")

@@ -1,14 +1,17 @@
 """Pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, without loss.
 
-Texts whose words agree but for ASCII capitals and blanks are one node. A node's shingles are put
-in one global order, and a set of n shingles keeps its first n - ceil(0.8 n) + 1 as its prefix: two
+Texts whose words agree but for ASCII capitals and blanks are one node with a SimHash of its
+shingles. SimHashes that meet at an anchor (see simhash) are the first candidates. No threshold on
+their bits finds all similar texts, though: at a similarity of 0.8 about 10 of 64 bits differ, up to
+20, and anchors at such a radius meet everywhere. So a second search by prefixes completes the first.
+A node's shingles are put in one global order, and a set of n shingles keeps its first n - ceil(0.8 n) + 1 as its prefix: two
 sets that are similar enough share a shingle of both prefixes. The order is that of the hashes, but
 shingles that are frequent in a sample come last, so that common passages are in few prefixes; any
 order is exact, so the sample decides the cost and no result.
 
-Nodes that share a prefix shingle are compared in two rounds, each by the exact similarity: first
-every node with the least node of the shingle; then the nodes that this left in different
-components with each other. A large group of near copies is so linked in the first round and costs
+Nodes are compared in two rounds, each by the exact similarity: first those that meet at an anchor,
+and every node with the least node of each prefix shingle; then the nodes that share a prefix shingle
+and that this left in different components with each other. A large group of near copies is so linked in the first round and costs
 no square of its size. A pair goes on to the comparison if the shingles that its prefixes share
 allow the similarity: what both sets share beyond them lies outside one and the same prefix. The
 first round sees some of the shared shingles only; what it passes over is left to the second, which
@@ -34,7 +37,7 @@ SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
 NUM, DEN = 4, 5
 #: Texts of which frequent shingles are counted, the count that makes one frequent, and how many are kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
+SAMPLE, FREQUENT, MOST_FREQUENT, SEED = 20_000, 3, 500_000, 7
 #: Nodes of one shingle beyond which its pairs are dealt to several tasks, and most of these.
 SALT_ROWS, MAX_SALTS = 1000, 64
 #: Nodes of candidates that may be broadcast to the texts; beyond, the texts are shuffled.
@@ -66,6 +69,15 @@ def shingles(text: str | None) -> np.ndarray:
     return _shingles(_words(text))
 
 
+def _simhash(found: np.ndarray) -> int:
+    """64 bits, each that of more than half of the shingles; 0 without shingles."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(found), 1 << 16):
+        part = found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def _prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the global order (count in the sample, hash)."""
     n = len(found)
@@ -86,10 +98,10 @@ def _node_udf(table) -> Callable:
                 words = _words(text)
                 found = _shingles(words)
                 node = xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-                rows.append((node, len(found), _prefix(found, frequent, counts).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "size", "keys"])
+                rows.append((node, len(found), _simhash(found), _prefix(found, frequent, counts).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "size", "fp", "keys"])
 
-    return F.pandas_udf(nodes, "node bigint, size int, keys array<bigint>")
+    return F.pandas_udf(nodes, "node bigint, size int, fp bigint, keys array<bigint>")
 
 
 def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -99,8 +111,8 @@ def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that are frequent in a sample of the texts, and their counts."""
-    every = max(1, docs.count() // SAMPLE)
-    texts = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    # rows are drawn one by one, so that a text of many copies is not drawn whole
+    texts = docs.select(F.col(text_col).alias("text")).where(F.rand(SEED) * F.lit(max(1.0, docs.count() / SAMPLE)) < 1)
     found = texts.select(F.explode(F.pandas_udf(_sampled, "array<bigint>")("text")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     rows = found.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toPandas()
     keys, counts = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
@@ -109,11 +121,11 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, size, keys) for each row: its node, number of shingles and prefix."""
+    """(doc_id, text_hash, node, size, fp, keys) for each row: its node, number of shingles, SimHash and prefix."""
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
     text = F.col(text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _node_udf(table)(text).alias("s"))
-    return found.select("doc_id", "text_hash", "s.node", "s.size", "s.keys")
+    return found.select("doc_id", "text_hash", "s.node", "s.size", "s.fp", "s.keys")
 
 
 def _set_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -147,25 +159,37 @@ def _similar(candidates: DataFrame, rows: DataFrame, docs: DataFrame, text_col:
 
 
 def _possible(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes (x, y) and number of shared prefix shingles, one row each, allow the similarity."""
-    sized = met.where(f"{DEN} * least(x, y) >= {NUM} * greatest(x, y)").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs (a, b) whose sizes x and y and number n of shared prefix shingles allow the similarity."""
     # the longer set's shingles after its prefix: ceil(0.8 size) - 1
-    return sized.where(f"{NUM + DEN} * (n + ({NUM} * greatest(x, y) + {DEN - 1}) div {DEN} - 1) >= {NUM} * (x + y)").select("a", "b")
+    fits = f"{DEN} * least(x, y) >= {NUM} * greatest(x, y) AND {NUM + DEN} * (n + ({NUM} * greatest(x, y) + {DEN - 1}) div {DEN} - 1) >= {NUM} * (x + y)"
+    return met.where(fits).select("a", "b")
+
+
+def _anchored(of: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes by their SimHashes: the least nodes of linked ones, and every node with the least of its own."""
+    least = cut(of.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")))
+    same = of.join(least.where("first <> last").select("fp", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    met = links(least.select("fp"))
+    side = lambda fp, node: least.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    pairs = met.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
+    return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def similar_pairs(rows: DataFrame, docs: DataFrame, components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of similar nodes, whose components are those of all similar pairs.
 
-    `rows` are the written nodes of docs, `components` gives (node, root) of pairs.
+    `rows` are the written nodes of docs; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
     """
+    of = cut(rows.select("node", "size", "fp").distinct())
     one = rows.select(F.explode("keys").alias("key"), "node", "size")
     # a shingle of one node alone pairs nothing; the least and the greatest node tell
-    met = one.repartition("key").groupBy("key").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("greatest"))
-    met = cut(met.where("least.node <> greatest").select("key", F.col("least.node").alias("first"), F.col("least.size").alias("first_size")))
+    met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    met = cut(met.where("first <> last").select("key", "first"))
     shared = cut(one.join(met, "key").distinct())
-    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_size").alias("x"), F.col("size").alias("y"))
-    stars = _similar(_possible(stars), rows, docs, text_col)
-    root = components(stars)
+    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("size").alias("y"))
+    stars = stars.groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n")).join(of.select(F.col("node").alias("a"), F.col("size").alias("x")), "a")
+    first = cut(_similar(_possible(stars).union(_anchored(of, links)).distinct(), rows, docs, text_col))
+    root = components(first)
     shared = shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     shared = cut(shared)
     several = shared.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s")
@@ -174,4 +198,5 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, components: Callable[[DataFr
     left = shared.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
     right = shared.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rest = left.join(right, ["key", "salt"]).where("a < b AND r <> s").select("a", "b", "x", "y")
-    return stars.union(_similar(_possible(rest), rows, docs, text_col))
+    rest = rest.where(f"{DEN} * least(x, y) >= {NUM} * greatest(x, y)").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return first.union(_similar(_possible(rest), rows, docs, text_col))

@@ -102,17 +102,17 @@ SELECT doc_id, item_id, count(*) AS n_windows, min(j + d) AS first_word, max(j +
 FROM win WHERE (n >= 13 AND c = 13 AND s >= 11) OR (n < 13 AND c = n AND s = n) GROUP BY doc_id, item_id
 """
 
-# The shortest runs with 50 words from each line and up to each line; all but a run's first place go.
-_OP3 = r"""
+# The shortest runs with MIN_WORDS words from each line and up to each line; all but a run's first place go.
+_OP3 = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents
 ), c AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w,
          sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM l
 ), runs AS (
-  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 50 GROUP BY ALL
+  SELECT a.doc_id, a.i AS s, min(b.i) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= {linededup.MIN_WORDS} GROUP BY ALL
   UNION
-  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 50 GROUP BY ALL
+  SELECT b.doc_id, max(a.i) AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= {linededup.MIN_WORDS} GROUP BY ALL
 ), texts AS (
   SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS body FROM runs r JOIN l ON l.doc_id = r.doc_id AND i BETWEEN s AND e GROUP BY ALL
 ), later AS (
@@ -203,38 +203,43 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 FROM d
 """
 
-_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}', {}, '{}')".format(i, name, kind, 0 if kind == "whole" else 2 if name in licenses.LAST else 1, text.replace("'", "''")) for i, (name, kind, text) in enumerate(licenses.TEMPLATES))
+_COMMENT_LINE, _PARAGRAPHS, _SENTENCES = (x.replace("'", "''") for x in (licenses.COMMENT_LINE, licenses.PARAGRAPHS, licenses.SENTENCES))
 _OP9 = rf"""
 WITH f AS (
   SELECT row_number() OVER () AS n, doc_id, {_PATH} AS path, text FROM documents
 ), g AS (
   SELECT *, CASE WHEN path IS NULL THEN NULL ELSE regexp_extract(path, '^(?:(.*)/)?[^/]*$', 1) END AS dir,
          regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[sc]e|copying|notice)(\..*)?$') AS hands_on FROM f
-), tpl(tid, license, body) AS (VALUES {_TEMPLATE_ROWS}
+), tpl(tid, license, kind, rank, body) AS (VALUES {_TEMPLATE_ROWS}
 ), tt AS (
-  SELECT tid, license, t, count(*) AS c FROM (SELECT tid, license, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS t FROM tpl) WHERE t <> '' GROUP BY ALL
+  SELECT tid, license, kind, rank, t, count(*) AS c FROM (SELECT tid, license, kind, rank, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS t FROM tpl) WHERE t <> '' GROUP BY ALL
 ), total AS (SELECT count(text) AS nd FROM f
 ), dfs AS (
   SELECT t, count(DISTINCT n) AS df FROM (SELECT n, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS t FROM f) WHERE t IN (SELECT t FROM tt) GROUP BY t
 ), idf AS (
   SELECT v.t, ln((1 + nd)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tt) v CROSS JOIN total LEFT JOIN dfs ON dfs.t = v.t
 ), tw AS (
-  SELECT tid, license, t, idf, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (t)
-), lines AS (
-  SELECT n, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM f
+  SELECT tid, license, kind, rank, t, idf, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY tid)) AS w FROM tt JOIN idf USING (t)
+), ls AS (SELECT n, hands_on, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '{_PARAGRAPHS}') AS ps FROM g
+), units AS (
+  SELECT n, 'part' AS kind, unnest(list_concat(ls, ps, flatten(list_transform(ps, lambda p: regexp_split_to_array(p, '{_SENTENCES}'))))) AS body FROM ls
+  UNION ALL SELECT n, 'whole', text FROM ls WHERE hands_on
+  UNION ALL SELECT n, 'whole', array_to_string(ls[1:coalesce(nullif(coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '{_COMMENT_LINE}')), false), 0), 0) - 1, len(ls))], chr(10)) FROM ls
+), lines AS (SELECT n, kind, body, row_number() OVER () AS i FROM units WHERE body IS NOT NULL
 ), lt AS (
-  SELECT n, i, t, count(*) AS c FROM (SELECT n, i, unnest(regexp_split_to_array(lower(line), '[^a-z0-9]+')) AS t FROM lines) WHERE t <> '' GROUP BY ALL
+  SELECT n, i, kind, t, count(*) AS c FROM (SELECT n, i, kind, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS t FROM lines) WHERE t <> '' GROUP BY ALL
 ), norms AS (
   SELECT n, i, sqrt(sum((c * coalesce(idf, ln(1 + nd) + 1)) ** 2)) AS norm FROM lt CROSS JOIN total LEFT JOIN idf USING (t) GROUP BY n, i
 ), scores AS (
-  SELECT n, i, license, sum(lt.c * idf * w) AS dot FROM lt JOIN tw USING (t) GROUP BY n, i, tid, license
+  SELECT n, i, license, rank, sum(lt.c * idf * w) AS dot FROM lt JOIN tw USING (t, kind) GROUP BY n, i, tid, license, rank
 ), own AS (
-  SELECT n, license AS own_license, round(dot / norm, 6) AS own_score FROM scores JOIN norms USING (n, i) WHERE round(dot / norm, 6) >= {licenses.MIN_COSINE}
-  QUALIFY row_number() OVER (PARTITION BY n ORDER BY round(dot / norm, 6) DESC, license) = 1
+  SELECT n, license AS own_license, rank, round(dot / norm, 6) AS own_score FROM scores JOIN norms USING (n, i) WHERE round(dot / norm, 6) >= {licenses.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY rank, round(dot / norm, 6) DESC, license) = 1
 ), r AS (SELECT * FROM g LEFT JOIN own USING (n)
 ), givers AS (
   SELECT dir AS from_dir, own_license AS handed FROM r WHERE hands_on AND own_license IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, own_license, path) = 1
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY rank, own_score DESC, own_license, path) = 1
 ), near AS (
   SELECT r.n, from_dir, handed FROM r JOIN givers ON r.dir = from_dir OR starts_with(r.dir, from_dir || '/') OR from_dir = ''
   QUALIFY row_number() OVER (PARTITION BY r.n ORDER BY length(from_dir) DESC) = 1

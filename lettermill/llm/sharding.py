@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.functions.ranks import running_total
+from lettermill.functions.ranks import group_ranks
 
 SHARDS = (1.0,) * 8
 _DIGITS = 13  # hex digits of md5 that fit a double exactly
@@ -43,8 +43,9 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 def assign(docs: DataFrame, weights: Sequence[float] = SHARDS, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, grown_shard) for each row; grown: one more shard of the mean weight.
 
-    With keep_columns, the other columns of docs follow, but for those with one of these names.
-    The counts need ids only; the rows themselves are shuffled once, to be numbered.
+    With keep_columns, the other columns of docs follow. One that has the name of a column above, in
+    any case, is called `own_<name>`, with as many further `own_` as make the name new. The counts
+    need ids only; the rows themselves are shuffled once, to be numbered.
     """
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     grown = [*weights, sum(weights) / len(weights)]
@@ -53,13 +54,24 @@ def assign(docs: DataFrame, weights: Sequence[float] = SHARDS, id_col: str = "do
         "size": (F.octet_length(data) + 1).cast("long"),
         "text_crc32": F.crc32(data),
         "shard": shard_of(F.col(id_col), weights),
-        "slot": F.lit(1).cast("long"),
         "grown_shard": shard_of(F.col(id_col), grown),
     }
-    others = [c for c in docs.columns if keep_columns and c.lower() not in own and c != id_col]
+    out = [*own, "slot"]
+    others: dict[str, str] = {}
+    taken = set(out) | {c.lower() for c in docs.columns}
+    for c in docs.columns if keep_columns else []:
+        if c == id_col:
+            continue
+        name = c
+        while name.lower() in out or (name != c and name.lower() in taken):
+            name = f"own_{name}"
+        others[name] = c
+        taken.add(name.lower())
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(*[c.alias(n) for n, c in own.items()], *others, key.alias("_key"))
-    return running_total(rows, "shard", "_key", ["doc_id", "text_crc32", "size"], "slot", "_slot").withColumn("slot", F.col("_slot")).select(*own, *others)
+    kept = F.struct(*[F.col(f"`{c}`").alias(name) for name, c in others.items()]) if others else F.lit(None)
+    rows = docs.select(*[c.alias(n) for n, c in own.items()], key.alias("key"), kept.alias("others"))
+    placed = group_ranks(rows, "shard", "key", ["doc_id", "text_crc32", "size"], "slot")
+    return placed.select("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", *(["others.*"] if others else []))
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float] = SHARDS, id_col: str = "doc_id") -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lettermill.llm import neardup
-from lettermill.llm.common import cut
+from lettermill.llm.common import cut, packed
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -154,20 +154,21 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of texts with a five-word Jaccard similarity of 0.8 or more; all columns stay.
+    """One row of each component of texts with a five-word Jaccard similarity of 0.8 or more; all columns stay, whatever their names.
 
     Rows are judged by their text, so rows without an id are linked like others. That with the
     smallest doc_id stays (an id before none, then the smallest text hash), and once if repeated.
-    Fingerprints play no part: no threshold on their bits finds all such texts (see neardup).
+    SimHashes of five-word shingles give the first candidates; the search that completes them and
+    the exact comparison are in neardup.
     """
     rows = cut(neardup.nodes(docs, id_col, text_col))
-    root = components(neardup.similar_pairs(rows, docs, components, text_col))
+    root = components(neardup.similar_pairs(rows, docs, links, components, text_col))
     # as a table of its own the naming has a known size and does not tie the join's partitions
     root = cut(root)
     placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("_keeper"))
+    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper"))
     keepers = cut(keepers.distinct())
-    keyed = docs.withColumn("_keeper", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    w = Window.partitionBy("_keeper").orderBy(F.lit(1))
-    return keyed.join(keepers, "_keeper").withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(docs.columns)
+    keyed = packed(docs, keeper=F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
+    w = Window.partitionBy("keeper").orderBy(F.lit(1))
+    return keyed.join(keepers, "keeper").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")

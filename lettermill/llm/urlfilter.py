@@ -8,9 +8,13 @@ Other urls are judged by a list of blocked hosts that also covers subdomains: a
 any dot suffix of its host is listed. Membership is looked up in a cascade of Bloom filters: level 1
 encodes the listed keys, level 2 the unlisted keys that level 1 lets through, level 3 the listed
 keys that level 2 lets through, and so on until no key is mistaken. The keys are all host suffixes
-of the corpus, so the cascade is exact for each of them, and rows are judged without a join. The
-filters are constants in the plan; lists with more than KEYS_PER_PASS listed keys in the corpus are
-judged in as many passes, each over the hash range of the keys that it encodes.
+of the corpus, so the cascade is exact for each of them, and rows are judged without a join.
+
+Size: with n listed among u keys, level 1 has log2(u / n) hashes, so about as many unlisted keys as
+there are listed ones pass it, however many there are; a later level lets through one in four. All
+levels together hold n * (log2(u / n) + 6) * 1.5 bits. They are constants in the plan: lists with
+more than KEYS_PER_PASS keys in the corpus are judged in as many passes, each over the hash range of
+the keys that it encodes, so neither the plan nor what the driver gathers grows with the corpus.
 
 Cases: a null url or one without :// has host and path '' and is allowed unless a rule or the
 list holds ''. Hosts keep ports and user names. Repeated rows give repeated rows; empty tables an
@@ -19,6 +23,7 @@ empty result. Only id and url are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +42,9 @@ RULES = (
 # Blocked sites, each with all its subdomains.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 
-BITS_PER_KEY = 10
-HASHES = 4
-KEYS_PER_PASS = 500_000
+KEYS_PER_PASS = 100_000
+#: Hashes of the second level and those after it.
+LATER_HASHES = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,24 +76,25 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return out
 
 
-def _spot(key: Column, level: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(1000 * level + i)), F.lit(bits))
-
-
 class _Level:
     """One Bloom filter: 64-bit words in the plan as a constant array."""
 
-    def __init__(self, keys: DataFrame, n: int, level: int):
-        self.level, self.bits = level, max(64, (n * BITS_PER_KEY + 63) // 64 * 64)
-        spots = keys.select(F.explode(F.array(*[_spot(F.col("key"), level, i, self.bits) for i in range(HASHES)])).alias("s"))
+    def __init__(self, keys: DataFrame, n: int, level: int, hashes: int):
+        self.level, self.hashes = level, hashes
+        # at one bit in two the chance to pass is 2 ** -hashes
+        self.bits = max(64, -(-int(n * hashes / math.log(2)) // 64) * 64)
+        spots = keys.select(F.explode(F.array(*[self._spot(F.col("key"), i) for i in range(hashes)])).alias("s"))
         words = spots.groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("v"))
         held = {r.w: r.v for r in words.collect()}
         self.words = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(self.bits // 64))), ",").cast("array<bigint>")
 
+    def _spot(self, key: Column, i: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(1000 * self.level + i)), F.lit(self.bits))
+
     def lets_through(self, key: Column) -> Column:
         out = F.lit(True)
-        for i in range(HASHES):
-            spot = _spot(key, self.level, i, self.bits)
+        for i in range(self.hashes):
+            spot = self._spot(key, i)
             word = F.get(self.words, F.floor(spot / 64).cast("int"))
             out = out & (F.getbit(word, (spot % 64).cast("int")) == 1)
         return out
@@ -99,10 +105,15 @@ class Cascade:
 
     def __init__(self, universe: DataFrame):
         self.levels: list[_Level] = []
+        sizes = {r.listed: r["count"] for r in universe.groupBy("listed").count().collect()}
+        n, others = sizes.get(True, 0), sizes.get(False, 0)
         inside, outside = universe.where("listed").select("key"), universe.where(~F.col("listed")).select("key")
-        while (n := inside.count()) > 0:
-            self.levels.append(_Level(inside, n, len(self.levels)))
-            inside, outside = outside.where(self.levels[-1].lets_through(F.col("key"))), inside
+        hashes = max(1, math.ceil(math.log2(max(2.0, others / max(1, n)))))
+        while n > 0:
+            self.levels.append(_Level(inside, n, len(self.levels), hashes))
+            # few keys are left after the first level; as a table they are filtered once
+            inside, outside = cut(outside.where(self.levels[-1].lets_through(F.col("key")))), inside
+            n, hashes = inside.count(), LATER_HASHES
 
     def holds(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)

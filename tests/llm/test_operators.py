@@ -160,11 +160,13 @@ def test_decontamination_equals_brute_force(spark):
 def test_every_pair_of_places_is_ignored_by_a_mask():
     for a in range(decontam.WINDOW):
         for b in range(decontam.WINDOW):
-            assert any(a not in m and b not in m for m in decontam.masks())
+            assert any(all(a not in decontam.runs()[i] and b not in decontam.runs()[i] for i in m) for m in decontam.masks())
 
 
 def test_decontamination_salted_join_and_long_text(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "SALT_ROWS", 1)
+    monkeypatch.setattr(decontam, "FLUSH", 3)
     monkeypatch.setattr(decontam, "CHUNK", 64)
     monkeypatch.setattr(decontam, "MIN_FILTER_BITS", 1 << 15)
     monkeypatch.setattr(decontam, "BITS_PER_HASH", 1)
@@ -174,6 +176,22 @@ def test_decontamination_salted_join_and_long_text(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.first_word <= 55, r.last_word >= 74, r.most_equal) for r in found] == [(1, 5, True, True, 13)]
 
 
+def test_decontamination_finds_items_at_every_place_past_a_chunk(monkeypatch):
+    """The last windows of a text of every length are hashed, those of short items, too."""
+    monkeypatch.setattr(decontam, "CHUNK", 40)
+    for span in (5, 12, 13):
+        item = [f"k{i}" for i in range(span)]
+        for rest in range(1, 54):
+            text = " ".join([f"z{i}" for i in range(40 + rest - span)] + item) if 40 + rest >= span else ""
+            keys = {k for _, ks in decontam._hits(decontam.word_hashes(" ".join(item)), span, decontam._Filter(None)) for k in ks.tolist()}
+            import pandas as pd
+
+            rows = pd.concat(list(decontam._windows([span], type("Held", (), {"value": None}))(iter([pd.DataFrame({"id": [1], "text": [text]})]))))
+            starts = {(p, k) for p, k in zip(rows["pos"], rows["key"].to_numpy().view(np.uint64).tolist(), strict=True)}
+            assert {(40 + rest - span, k) for k in keys} <= starts
+            assert len(rows) == (40 + rest - span + 1) * (6 if span == 13 else 1)
+
+
 def brute_lines(rows, min_words):
     docs = sorted({(d, t) for d, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, _signed(r[1])))
     first, gone = {}, defaultdict(set)
@@ -268,7 +286,7 @@ def test_mix_and_slots_where_many_rows_share_an_id(spark, monkeypatch):
     assert got == want
     largest = []
     real = ranks.cut
-    monkeypatch.setattr(ranks, "cut", lambda df: (lambda t: (largest.append(max((r["count"] for r in t.groupBy("_range").count().collect()), default=0)) if "_range" in t.columns else None, t)[1])(real(df)))
+    monkeypatch.setattr(ranks, "cut", lambda df: (lambda t: (largest.append(max((r["count"] for r in t.groupBy("range").count().collect()), default=0)) if "range" in t.columns else None, t)[1])(real(df)))
     slots = defaultdict(list)
     for r in sharding.assign(docs.repartition(4)).collect():
         slots[r.shard].append(r.slot)
@@ -330,6 +348,17 @@ def test_cascade_is_exact_in_several_passes(spark):
         assert {r.host for r in got if r.verdict == "block"} == listed and len(got) == len(hosts)
 
 
+def test_cascade_has_several_levels_that_do_not_grow_with_the_corpus(spark):
+    """Few listed keys among ever more others: the first level lets few others through."""
+    from pyspark.sql import functions as F
+
+    for others in (2_000, 40_000):
+        keys = spark.range(others + 60).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") < 60).alias("listed"))
+        cascade = urlfilter.Cascade(keys)
+        assert len(cascade.levels) >= 3 and cascade.levels[1].bits <= 60 * 8 and sum(level.bits for level in cascade.levels) < 60 * 64
+        assert keys.where(cascade.holds(F.col("key")) != F.col("listed")).count() == 0
+
+
 def test_html_extraction(spark):
     page = '<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">A</a></ul></nav><div class="ad">buy</div><article><h1>T &amp;\n U</h1><p>a<b>b</b> c<br>d<p>e&nbsp;&#233;&am<!-- x --><script>1</script><div class="comments"><p>rant</p></div></article><footer>&copy;</footer>'
     cases = {1: (page, "T & U\nab c d\ne é&am"), 2: (None, ""), 3: ("", ""), 4: ("<nav>only</nav>", ""), 5: ("plain < text", "plain < text"), 6: ("<p>cut <b", "cut"), 7: ("<p>" + "x " * 50_000, ("x " * 50_000).strip())}
@@ -339,17 +368,76 @@ def test_html_extraction(spark):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
+LAYOUTS = [
+    ('<div class="page has-sidebar"><article><p>Hello</p></article><div class="sidebar">side</div></div>', "Hello"),
+    ('<article class="post has-comments"><p>Hello</p><div id="comments"><p>rant</p></div></article>', "Hello"),
+    ('<div id="content-with-rail"><p>Hello</p></div>', "Hello"),
+    ('<div class="sidebar-wrap"><main><p>Hello</p></main><div class="sidebar-left">x</div></div>', "Hello"),
+    ("<div id=body><p>" + "The body of the page. " * 9 + "</p></div><article><h3>Teaser</h3></article>", ("The body of the page. " * 9).strip()),
+    ('<article><section id="discussion"><h2 id="related-work">Related work</h2><p id="notice-period">Kept</p></section><p class="notice">gone</p></article>', "Related work\nKept"),
+    ('<div class="Sidebar"><p>' + "Most of the text. " * 5 + "</p></div><p>tail</p>", ("Most of the text. " * 5).strip() + "\ntail"),
+    ('<article><p>A</p></article><ol class="comment-list"><li><article class="comment-body"><p>' + "reader " * 50 + "</p></article></li></ol>", "A"),
+    ('<article><header><h1>T</h1></header><p data-id="ad">x</p><div class="ad-banner">buy</div><footer>by me</footer></article>', "T\nx"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end", "deep\nend"),
+]
+
+
+@pytest.mark.parametrize("n", range(len(LAYOUTS)))
+def test_html_layouts(n):
+    page, want = LAYOUTS[n]
+    assert htmlmain.main_text(page) == want
+
+
 def test_site_style_tree_removes_what_the_pages_of_a_host_share(spark, monkeypatch):
     body = lambda i: f"<div class=top><p>Shared line</p></div><div class=body><p>Own text {i}</p><p>More {i * i}</p></div>"
-    rows = [(i, f"http://site.org/{i}", body(i)) for i in range(30)] + [(99, "http://lone.org/", body(7)), (98, "http://site.org/7", body(7))]
+    rows = [(i, f"http://site.org/{i}", body(i)) for i in range(30)] + [(99, "http://lone.org/", body(7)), (98, "http://site.org/7", body(7)), (98, "http://site.org/7", body(7))]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in htmlmain.extract(pages).collect()}
     assert all(got[i] == f"Own text {i}\nMore {i * i}" for i in range(30)) and got[98] == got[7]
     assert got[99] == "Shared line\nOwn text 7\nMore 49"
-    monkeypatch.setattr(htmlmain, "BROADCAST_CHARS", 0)
+    monkeypatch.setattr(htmlmain, "BROADCAST_NODES", 0)
     assert {r.page_id: r.text for r in htmlmain.extract(pages).collect()} == got
 
 
+def brute_tree(pages):
+    """Importance, composite and branch of every node of each host, by dictionaries."""
+    import math
+
+    out = {}
+    for host in {h for h, _ in pages}:
+        rows = {(p, *r) for p in {p for h, p in pages if h == host} for r in htmlmain.tree_rows(p)}
+        m, values = defaultdict(set), defaultdict(lambda: defaultdict(set))
+        for page, ids, _, kind, value in rows:
+            m[ids].add(page)
+            values[ids, kind][value].add(page)
+        own = {}
+        for ids, on in m.items():
+            scale = math.log(len(on) + htmlmain.PRIOR_PAGES)
+            layout = 1 - sum(len(x) * math.log(len(x)) for x in values[ids, 0].values()) / len(on) / scale
+            texts = values.get((ids, 1), {})
+            content = 1 - sum(math.log(len(x)) for x in texts.values()) / len(texts) / scale if texts else None
+            own[ids] = layout if content is None else (content + layout) / 2 if any(values[ids, 0].keys() - {0}) else content
+        composite = {}
+        for top in own:
+            below = [i for i in own if i[: len(top)] == top]
+            weight = {i: len(m[i]) * htmlmain.FADE ** (len(i) - len(top)) for i in below}
+            composite[top] = sum(weight[i] * own[i] for i in below) / sum(weight.values())
+        for top in own:
+            out[host, top] = (own[top], composite[top], max(composite[i] for i in own if i[: len(top)] == top))
+    return out
+
+
+def test_style_tree_equals_brute_force(spark):
+    rng = random.Random(12)
+    part = lambda i: f"<div class='c{i % 3}'><p>{rng.choice(['same', prose(rng, 4)])}</p><ul><li>{rng.choice('ab')}<li><b>x</b></ul></div>"
+    pages = [(f"h{i % 3}.org", f"<body><div class=nav{i}><p>Menu</p></div>" + "".join(part(i + j) for j in range(rng.randrange(4))) + "<p>foot") for i in range(40)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {(r.host, tuple(r.ids)): (r.importance, r.composite, r.branch) for r in htmlmain.style_tree(frame).collect()}
+    want = brute_tree(pages)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert any(v[2] < htmlmain.MIN_IMPORTANCE for v in want.values()) and any(v[2] > 0.5 for v in want.values())
+
+
 def test_media_round_trip(spark, odd_rows):
     docs = docs_of(spark, [*odd_rows, (20, "x" * 576, None, None), (21, "x" * 577, None, None)])
     got = media.media_columns(docs).collect()
@@ -393,6 +481,19 @@ def test_media_features_see_the_tail_and_all_bands():
     assert list(zip(times.tolist(), codes.tolist(), strict=True)) == want
 
 
+def units_of(text, is_license_file):
+    """(kind, unit) of a text in plain Python."""
+    lines = text.split("\n")
+    paragraphs = re.split(licenses.PARAGRAPHS, text)
+    header = []
+    for line in lines:
+        if not re.search(licenses.COMMENT_LINE.replace(r"\z", r"\Z"), line):
+            break
+        header.append(line)
+    parts = lines + paragraphs + [x for p in paragraphs for x in re.split(licenses.SENTENCES, p)]
+    return [("part", x) for x in parts] + [("whole", "\n".join(header))] + [("whole", text)] * is_license_file
+
+
 def brute_license(path_texts):
     """Own licenses by plain dictionaries."""
     import math
@@ -400,45 +501,69 @@ def brute_license(path_texts):
 
     n = sum(t is not None for _, t in path_texts)
     df = Counter(x for _, t in path_texts for x in set(licenses.terms(t or "")))
-    known = {x for _, t in licenses.TEMPLATES for x in licenses.terms(t)}
+    known = {x for _, _, t in licenses.TEMPLATES for x in licenses.terms(t)}
     idf = lambda t: math.log((1 + n) / (1 + (df[t] if t in known else 0))) + 1
     vec = lambda line: {t: c * idf(t) for t, c in Counter(licenses.terms(line)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     out = []
-    for _, text in path_texts:
+    for path, text in path_texts:
         best = None
-        for line in (text or "").split("\n"):
-            a = vec(line)
-            for name, body in licenses.TEMPLATES:
+        for kind, unit in units_of(text, bool(re.search(licenses.LICENSE_FILE, (path or "").split("/")[-1]))) if text is not None else []:
+            a = vec(unit)
+            for name, of, body in licenses.TEMPLATES:
+                if of != kind:
+                    continue
                 b = vec(body)
                 score = round(sum(a[t] * b[t] for t in a if t in b) / (norm(a) * norm(b)), 6) if a else 0
-                if score >= licenses.MIN_COSINE and (best is None or (-score, name) < best):
-                    best = (-score, name)
+                found = (0 if kind == "whole" else 2 if name in licenses.LAST else 1, -score, name)
+                if score >= licenses.MIN_COSINE and (best is None or found < best):
+                    best = found
         out.append(best)
     return out
 
 
+def wrapped(text, mark, width=60):
+    import textwrap
+
+    return "\n".join(f"{mark}{x}" for x in textwrap.wrap(text, width))
+
+
 def test_license_scan_and_inheritance(spark):
     rng = random.Random(6)
-    lic = dict(reversed(licenses.TEMPLATES))
+    part = {name: text for name, kind, text in reversed(licenses.TEMPLATES) if kind == "part"}
+    whole = {name: text for name, kind, text in licenses.TEMPLATES if kind == "whole"}
     rows = [
-        ("a/LICENSE", lic["MIT"]),
+        ("a/LICENSE", "Released under the MIT License."),
         ("a/b/c/x.txt", "no notice\nhere"),
-        ("a/b/COPYING.md", prose(rng, 30) + "\n" + lic["GPL-3.0"]),
+        ("a/b/COPYING.md", prose(rng, 30) + "\n" + part["GPL-3.0"]),
         ("a/b/c/y.txt", "All rights reserved!\n" + prose(rng, 20)),
         ("a/z.txt", None),
         ("q/z.txt", ""),
         ("README", "Released under the new MIT License\n" + prose(rng, 5)),
-        (None, lic["MIT"]),
+        (None, part["MIT"]),
         (None, "x"),
         ("ab/LICENSE", "nothing"),
         ("ab/x.txt", "the of the"),
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Foo Inc. All rights reserved.\n\n" + wrapped(whole["MIT"], "")),
+        ("m/x.c", "/*\n" + wrapped(whole["BSD-2-Clause"], " * ") + "\n */\nint main;\n" + prose(rng, 40)),
+        ("m/y.py", "#!/bin/python\n# Copyright (c) 2020 Foo. All rights reserved.\n#\n" + wrapped(whole["Apache-2.0"], "# ", 40) + "\n\n" + prose(rng, 60)),
+        ("m/z.txt", "Hello there. Released under the MIT License. " + prose(rng, 30)),
+        ("m/w.txt", wrapped(part["BSD-3-Clause"], "// ", 30) + "\n" + prose(rng, 50)),
+        ("m/w.txt", wrapped(part["BSD-3-Clause"], "// ", 30) + "\n" + prose(rng, 50)),
+        ("t/LICENSE", part["CC-BY-4.0"]),
+        ("t/LICENSE.txt", part["CC-BY-4.0"]),
+        ("t/NOTICE", part["ISC"]),
+        ("t/a.txt", "none"),
+        ("m/long.txt", prose(rng, 20_000) + "\n" + wrapped(whole["GPL-3.0"], "") + "\n" + prose(rng, 100)),
     ] + [(f"d/{i}.txt", prose(rng, 40)) for i in range(40)]
-    frame = spark.createDataFrame([(i, p, t, "u") for i, (p, t) in enumerate(rows)], "doc_id bigint, path string, text string, license string")
+    frame = spark.createDataFrame([(i, p, t, "u", "v") for i, (p, t) in enumerate(rows)], "doc_id bigint, path string, text string, license string, own string")
     got = {r.doc_id: r for r in licenses.scan(frame).collect()}
+    assert len(got) == len(rows)
     for i, own in enumerate(brute_license(rows)):
-        assert (got[i].own_license, got[i].own_score) == ((own[1], pytest.approx(-own[0], abs=2e-6)) if own else (None, None))
+        assert (got[i].own_license, got[i].own_score) == ((own[2], pytest.approx(-own[1], abs=2e-6)) if own else (None, None)), rows[i]
     assert [(got[i].license, got[i].from_dir) for i in (0, 1, 2, 3, 4, 5, 8, 10)] == [("MIT", None), ("GPL-3.0", "a/b"), ("GPL-3.0", None), ("proprietary", None), ("MIT", "a"), (None, None), (None, None), (None, None)]
+    assert [got[i].own_license for i in (11, 12, 13, 14, 15, 16, 21)] == ["MIT", "BSD-2-Clause", "Apache-2.0", "MIT", "BSD-3-Clause", "BSD-3-Clause", "GPL-3.0"]
+    assert (got[20].license, got[20].from_dir) in (("CC-BY-4.0", "t"), ("ISC", "t"))
 
 
 TONGUES = {"aa": "ka ti mo su re", "bb": "ghu zeth brin olk", "cc": "çé ñu öß ła"}
@@ -460,6 +585,66 @@ def test_language_id(spark):
     assert {r.doc_id for r in langid.keep_identified(docs_of(spark, rows + odd)).collect()} == {i for i in range(600)} | {1003, None, 1004}
 
 
+def test_language_id_against_exact_sets(spark):
+    """classify() gives what sets of trigrams give in place of the filters, but where the filters' rare false hits decide."""
+    rng = random.Random(17)
+    word = lambda lang: "".join(rng.choice(TONGUES[lang].split()) for _ in range(rng.randrange(1, 4)))
+    mixed = lambda a, b, n: " ".join(word(a if rng.random() < 0.7 else b) for _ in range(n))
+    tongues = ("aa", "bb", "cc")
+    rows = [(i, mixed(tongues[i % 3], tongues[(i + 1) % 3], rng.randrange(2, 50)), tongues[i % 3], "s") for i in range(300)]
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [t[i : i + 3] for i in range(len(t) - 2) if t[i + 1] != " "]
+
+    from collections import Counter
+
+    counts = {lang: Counter(g for i, t, x, _ in rows if x == lang and zlib.crc32(str(i).encode()) % 3 != 1 for g in grams(t)) for lang in tongues}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    sets = {lang: {g for g, x in s.items() if x >= langid.MIN_SHARE and x >= langid.RATIO * top[g]} for lang, s in share.items()}
+    differ = 0
+    for r in langid.classify(docs_of(spark, rows)).collect():
+        found = grams(rows[r.doc_id][1])
+        hits = {lang: sum(g in sets[lang] for g in found) for lang in tongues}
+        best = min(tongues, key=lambda x: (-hits[x], x))
+        if r.lang_pred != best:
+            differ += 1
+            assert abs(hits[r.lang_pred] - hits[best]) <= 1
+        else:
+            assert r.score == pytest.approx(hits[best] / len(found), abs=0.02)
+    assert differ <= 3
+
+
+def test_more_languages_than_the_model_may_have(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i, TONGUES[x] + f" {TONGUES[x]}" * (x != "cc"), x, "s") for i, x in enumerate(["aa", "bb", "cc"] * 4)]
+    model = langid.fit(docs_of(spark, rows))
+    assert model.languages == ["aa", "bb"] and model.predict(TONGUES["cc"])[0] in ("aa", "bb")
+
+
+CLASHING = "row text_key dirty keeper nth lang_ src key ties last epochs side times rank n g k t v part tie out whole of before others size shard slot law own_size grown_shard text_crc32 node root doc_id_ id".split()
+
+
+def test_columns_of_any_name_pass_through_the_stages(spark):
+    """Columns named like every helper column keep their values in each filtering stage and, renamed where needed, in sharding."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{prose(random.Random(i), 20)} w{i}", "en", f"s{i % 3}") for i in range(40)] + [(1, f"{prose(random.Random(1), 20)} w1", "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in CLASHING})
+    bench = spark.createDataFrame([(1, rows[5][1])], "item_id bigint, text string")
+    stages = [langid.keep_identified, simhash.keep_one, lambda d: decontam.clean(d, bench), mixing.mix]
+    for stage in stages:
+        out = stage(docs)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}-{r.doc_id}" for r in found for c in CLASHING)
+    placed = sharding.assign(docs, keep_columns=True)
+    assert len({c.lower() for c in placed.columns}) == len(placed.columns)
+    r = placed.first()
+    assert r["own_slot"] == f"slot-{r.doc_id}" and r["own_size"] == f"own_size-{r.doc_id}" and r["own_own_size"] == f"size-{r.doc_id}" and r["row"] == f"row-{r.doc_id}"
+
+
 def test_trigrams_of_pieces(monkeypatch):
     text = "Ein Text, der in Stücken gelesen wird: 1 2 3."
     whole = langid.trigrams(text)
