@@ -1,7 +1,7 @@
 """Spans of a regular expression as array columns, with code-point offsets and an exclusive end.
 
-Spark returns matches without positions; splitting by the same expression returns what lies
-between them, so a fold over both arrays gives the offsets.
+Spark returns matches without positions. A replacement that puts a mark around each match, split at
+the marks, returns the matches and what lies between them; a fold over these gives the offsets.
 """
 
 from __future__ import annotations
@@ -12,31 +12,42 @@ from pyspark.sql import functions as F
 #: neg_end precedes the rest so that sorting gives (start, longest first, finder's rank).
 SPAN = "struct<start:int,neg_end:int,rank:int,pattern:string,original:string,placeholder:string>"
 NO_SPANS = f"array<{SPAN}>"
+#: A control character that letters do not hold; texts that do are scanned twice.
+MARK = "\u0001"
 
 
 def no_spans() -> Column:
     return F.array().cast(NO_SPANS)
 
 
+def _marked(text: Column, pattern: str) -> Column:
+    """array<struct<piece, is_hit>> by one scan: every match gets a mark before and after it, the marks split the text."""
+    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    return F.transform(pieces, lambda x, i: F.struct(x.alias("piece"), (i % 2 == 1).alias("is_hit")))
+
+
+def _interleaved(text: Column, pattern: str) -> Column:
+    """The same for texts that hold the mark: what lies between the matches, and the matches, by two scans."""
+    between = F.transform(F.split(text, pattern, -1), lambda x, i: F.struct((2 * i).alias("at"), x.alias("piece"), F.lit(False).alias("is_hit")))
+    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x, i: F.struct((2 * i + 1).alias("at"), x.alias("piece"), F.lit(True).alias("is_hit")))
+    return F.transform(F.array_sort(F.concat(between, hits)), lambda x: F.struct(x["piece"], x["is_hit"]))
+
+
 def find_spans(text: Column, pattern: str, name: str, placeholder: str, rank: int = 0, hint: Column | None = None) -> Column:
-    """All matches of `pattern` in order. Texts without a match skip the fold.
+    """All matches of `pattern` in order, by one scan of the text.
 
     `hint` is a cheaper test that every text with a match passes.
     """
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), (-end).alias("neg_end"), F.lit(rank).alias("rank"), F.lit(name).alias("pattern"), x["hit"].alias("original"), F.lit(placeholder).alias("placeholder"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        end = state["at"] + F.length(x["piece"])
+        span = F.struct(state["at"].alias("start"), (-end).alias("neg_end"), F.lit(rank).alias("rank"), F.lit(name).alias("pattern"), x["piece"].alias("original"), F.lit(placeholder).alias("placeholder"))
+        return F.struct(end.alias("at"), F.when(x["is_hit"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    # the last piece has no match after it
-    paired = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("hit")))
+    pieces = F.when(F.contains(text, F.lit(MARK)), _interleaved(text, pattern)).otherwise(_marked(text, pattern))
     start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    test = text.rlike(pattern) if hint is None else hint & text.rlike(pattern)
-    return F.when(test, F.aggregate(paired, start, step, lambda s: s["out"])).otherwise(no_spans())
+    test = text.isNotNull() if hint is None else hint
+    return F.when(test, F.aggregate(pieces, start, step, lambda s: s["out"])).otherwise(no_spans())
 
 
 def starts_inside(span: Column, ranges: Column) -> Column:

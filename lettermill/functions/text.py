@@ -26,6 +26,7 @@ ARTICLE_LABELS = {
 }
 # Forms of a reference to an article and to the information act.
 ARTICLE = r"(?iuU)\b(?:artikel|art\.?)\s*(\d+):(\d+[a-z]?)"
+ARTICLE_NUMBER = r"(?iuU)\d+:\d+[a-z]?\z"
 INFORMATION_ACT = r"(?iuU)\b(?:Wet\s+open\s+overheid|Woo)\b"
 # Openings that models put before a letter, and openings that show there is no letter.
 LETTER_PREFIXES = ("Brief:", "Bericht:", "Tekst:", "Hier is mijn bericht:")
@@ -47,9 +48,8 @@ def empty_to_null(text: Column) -> Column:
 
 def cited_articles(text: Column) -> Column:
     """Relevant articles a text refers to, each once, sorted as strings. A letter suffix is part of the article."""
-    books = F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(1))
-    articles = F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(2))
-    found = F.zip_with(books, articles, lambda b, a: F.concat(b, F.lit(":"), a))
+    # one scan for whole references, of which the number is the end
+    found = F.transform(F.regexp_extract_all(text, F.lit(ARTICLE), F.lit(0)), lambda x: F.regexp_extract(x, ARTICLE_NUMBER, 0))
     relevant = F.array(*[F.lit(a) for a in ARTICLE_LABELS])
     return F.array_sort(F.array_intersect(F.coalesce(found, F.array().cast("array<string>")), relevant))
 

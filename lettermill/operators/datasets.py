@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions.ranks import group_ranks
+from lettermill.functions.storage import cut
 
 NONE = "__none__"
+#: Labels are a closed set; more than this are a column that holds something else.
+MAX_LABELS = 10_000
 
 
 def union_all(*frames: DataFrame) -> DataFrame:
@@ -53,7 +56,9 @@ def rarest_label(df: DataFrame, labels_col: str = "labels") -> Column:
 
     Counts are one number a label of a closed set, so they travel as a constant.
     """
-    counts = {r.label: r.n for r in label_distribution(df, labels_col).collect()}
+    counts = {r.label: r.n for r in label_distribution(df, labels_col).limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     if not counts:
         return F.lit(NONE)
     table = F.create_map(*[x for label, n in sorted(counts.items()) for x in (F.lit(label), F.lit(n))])
@@ -76,8 +81,8 @@ def _split(df: DataFrame, bucket: Column, id_col: str, train: float, val: float,
     ranked = group_ranks(keys, "bucket", "key", ["id"], "rank").join(sizes, "bucket")
     begins = lambda rank: F.max(F.when(F.col("rank") == rank, F.struct("key", "id")))
     cuts = ranked.where((F.col("rank") == n_train) | (F.col("rank") == n_train + n_val)).groupBy("bucket").agg(begins(n_train).alias("_val"), begins(n_train + n_val).alias("_test"))
-    # one row a label of a closed set
-    placed = rows.join(F.broadcast(cuts), "bucket")
+    # read back as a table, one row a bucket, the cuts have a known size and are broadcast if that is small
+    placed = rows.join(cut(cuts), "bucket")
     split = F.when(F.col("_at") >= F.col("_test"), "test").when(F.col("_at") >= F.col("_val"), "val").otherwise("train")
     return placed.withColumn("split", split).drop("_at", "_val", "_test")
 

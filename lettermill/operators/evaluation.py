@@ -86,8 +86,8 @@ def label_scores(scored: DataFrame, thresholds: DataFrame | None = None, keys: S
     tests = {"threshold": F.col("p") >= DEFAULT, "argmax": F.col("is_top")}
     if thresholds is not None:
         on = [k for k in (*keys, "label_id") if k in thresholds.columns]
-        # nine rows for each evaluation set
-        c = c.join(F.broadcast(thresholds.select(*on, "threshold")), on)
+        # read back as a table, nine rows for each key, the thresholds have a known size and are broadcast if that is small
+        c = c.join(cut(thresholds.select(*on, "threshold")), on)
         tests["tuned"] = F.col("p") >= F.col("threshold")
     sums = [F.count_if(F.col("y") == 1).alias("n_true")]
     for name, test in tests.items():

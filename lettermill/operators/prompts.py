@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The labels, the style names and the pairs of labels. The texts are this library's own.
 # label: (definition, seed letters, constraints)
 LABEL_PROMPTS = {
     "aanvraag": ("De inwoner vraagt de gemeente om iets toe te kennen dat er nog niet is.", ["Graag ontvang ik een parkeervergunning voor mijn nieuwe adres.", "Mag ik subsidie krijgen voor ons buurtfeest in juni?"], ["Noem geen eerder besluit", "Klaag niet over medewerkers"]),
@@ -40,6 +41,8 @@ COMBOS = (
     (("aanvraag", "vraag_overig"), "Vraag iets aan en stel er een vraag bij."),
     (("zienswijze", "vraag_overig"), "Reageer op een ontwerp en vraag om meer uitleg."),
 )
+#: Most rows of a table of styles or labels.
+MAX_DIMENSION = 1000
 COMBO_STYLES = ("formal_long", "informal_medium", "angry_medium", "rambling_long")
 
 
@@ -64,12 +67,19 @@ def _system(style: Column) -> Column:
     return F.concat(F.lit("Je schrijft als inwoner aan de gemeente. Stijl: "), style, F.lit(". Geef alleen de brief."))
 
 
+def _few(dimension: DataFrame) -> DataFrame:
+    """A dimension that may go to every task, after a look at its size."""
+    if (n := dimension.limit(MAX_DIMENSION + 1).count()) > MAX_DIMENSION:
+        raise ValueError(f"a dimension of prompts has more than {n - 1} rows")
+    return F.broadcast(dimension)
+
+
 def grid(labels: DataFrame, styles: DataFrame, repeats: int) -> DataFrame:
     """label x style x repeat, each with a seed letter of the label picked by a hash of the three.
 
-    The style table is a dimension of a fixed few rows; each label row is repeated for each style.
+    The style table is a dimension of few rows, which is checked; each label row is repeated for each style.
     """
-    cross = labels.crossJoin(F.broadcast(styles)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    cross = labels.crossJoin(_few(styles)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     nth = F.pmod(F.xxhash64("label", "style", "repeat"), F.size("examples")).cast("int")
     return cross.withColumn("seed_example", F.get("examples", nth))
 
@@ -85,8 +95,8 @@ def messages(cells: DataFrame) -> DataFrame:
 
 def combo_grid(combos: DataFrame, styles: DataFrame, labels: DataFrame, repeats: int) -> DataFrame:
     """labels combination x style x repeat with chat messages that define each label."""
-    terms = labels.agg(F.map_from_entries(F.collect_list(F.struct("label", "definition"))).alias("_terms"))
-    cells = combos.crossJoin(F.broadcast(styles)).crossJoin(F.broadcast(terms)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    terms = _few(labels).agg(F.map_from_entries(F.collect_list(F.struct("label", "definition"))).alias("_terms"))
+    cells = combos.crossJoin(_few(styles)).crossJoin(F.broadcast(terms)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     lines = F.transform("labels", lambda x: F.concat(F.lit("- "), x, F.lit(": "), F.element_at("_terms", x)))
     user = F.concat(F.lit("Soorten:\n"), F.array_join(lines, "\n"), F.lit("\nOpdracht: "), F.col("instruction"))
     return cells.withColumn("messages", _messages(_system(F.col("style_text")), user)).drop("_terms")

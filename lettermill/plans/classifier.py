@@ -73,6 +73,22 @@ class _Blank:
         return self.model.transform(filled).withColumn(self.text_col, F.col("_text")).drop("_text", "_words", "_tf")
 
 
+def save(classifier: Classifier, path: str) -> None:
+    """Write the feature steps and each label's model below path."""
+    classifier.features.model.write().overwrite().save(f"{path}/features")
+    for label, m in classifier.models.items():
+        m.write().overwrite().save(f"{path}/models/{label}")
+
+
+def load(path: str, models: Sequence[str], text_col: str = "text", labels: Sequence[str] = LABELS) -> Classifier:
+    """Read a saved classifier with the models of the given labels. Streams need one, as a fitted model holds its training run."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    loaded = {x: LogisticRegressionModel.load(f"{path}/models/{x}") for x in models}
+    return Classifier(_Blank(PipelineModel.load(f"{path}/features"), text_col), loaded, tuple(labels))
+
+
 def loss_history(classifier: Classifier) -> list[tuple[str, int, float]]:
     """(label, iteration, objective) of the training runs."""
     return [(label, i, float(v)) for label, m in classifier.models.items() for i, v in enumerate(m.summary.objectiveHistory)]

@@ -38,8 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _int(c):
-    return c.cast("bigint")
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small scan dealt to all cores, before long texts are derived from them."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 # ---------------------------------------------------------------- personal data
@@ -47,18 +48,31 @@ def _int(c):
 _EMAIL_SQL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 
 
+_AREAS_SQL = f"(?:{pii.AREA_CODES})"
+_PHONE_SQL = rf"(?:(?:\+31|0031)\s?-?\s?(?:6\s?-?\s?[0-9]{{8}}|{_AREAS_SQL}\s?-?\s?[0-9]{{6,7}})|06\s?-?\s?[0-9]{{8}}|0{_AREAS_SQL}\s?-?\s?[0-9]{{6,7}}|0(?:800|900)\s?-?\s?[0-9]{{4,7}})"
+_NINE_SQL = " + ".join(f"{w} * x[{i + 1}]::INT" for i, w in enumerate(pii.BSN_WEIGHTS))
+#: Counts of each kind, where no two spans overlap.
+_KINDS_SQL = rf"""
+len(regexp_extract_all(text, '\b{_EMAIL_SQL}'))
++ len(regexp_extract_all(text, '(?:^|\W){_PHONE_SQL}(?:$|\W)'))
++ len(regexp_extract_all(text, '\b[0-9]{{4}}\s?[A-Z]{{2}}(?:\s+[0-9]{{1,5}}[a-zA-Z]?)?\b'))
++ len(list_filter(regexp_extract_all(text, '\b[0-9]{{9}}\b'), lambda x: ({_NINE_SQL}) % 11 = 0))
++ len(list_filter(list_transform(regexp_extract_all(text, '(?i)\bNL[0-9]{{2}}\s?[A-Z]{{4}}(?:\s?[0-9]{{4}}){{2}}\s?[0-9]{{2}}\b'), lambda x: upper(regexp_replace(x, '\s', '', 'g'))),
+    lambda x: list_reduce(list_prepend(0, list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+      lambda r, d: CASE WHEN d > 9 THEN (r * 100 + d) % 97 ELSE (r * 10 + d) % 97 END) = 1))"""
+
+
 @query(
-    rf"""
-SELECT lang, count(*) AS records, count(*) FILTER (WHERE n > 0) AS redacted_records, sum(n)::BIGINT AS redactions
-FROM (SELECT lang, len(regexp_extract_all(text, '\b{_EMAIL_SQL}')) AS n FROM documents) GROUP BY lang
+    f"""
+SELECT lang, count(*) AS records, count(*) FILTER (WHERE n > 0) AS redacted_records, coalesce(sum(n), 0)::BIGINT AS redactions
+FROM (SELECT lang, coalesce({_KINDS_SQL}, 0) AS n FROM documents) GROUP BY lang
 """
 )
 def pii_stats_by_language(spark, sf_dir):
-    """Flagship: personal data in all documents, counted by language."""
+    """Flagship: personal data of all five kinds in all documents, counted by language."""
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     # only spans are counted, so the text itself is not rewritten
-    emails = docs.withColumn("spans", pii.find_emails(F.col("text")))
-    return redaction.stats(emails, ("lang",))
+    return redaction.stats(redaction.with_spans(docs), ("lang",))
 
 
 @query(rf"SELECT doc_id, md5(regexp_replace(text, '\b{_EMAIL_SQL}', '[EMAIL]', 'g')) AS text_md5 FROM documents")
@@ -166,7 +180,8 @@ _RULINGS_SQL = _RULINGS.replace("AS string)", "AS varchar)").replace("element_at
 
 
 def ruling_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    _dealt(orders, "o_orderkey").createOrReplaceTempView("orders")
     return spark.sql(_RULINGS)
 
 
@@ -278,7 +293,8 @@ FROM (SELECT *, o_orderkey % 9 <> 0 AS ok FROM orders)
 """
 )
 def ruling_xml(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    _dealt(orders, "o_orderkey").createOrReplaceTempView("orders")
     parsed = rulings.parse_rulings(spark.sql(_XML_SPARK))
     return parsed.select("ecli", "instance", F.col("decision_date").cast("string").alias("decision_date"), "subject", "case_number", "summary", "full_text", F.array_join("awb_articles_cited", ",").alias("articles"), "woo_cited")
 
@@ -336,7 +352,7 @@ FROM d WHERE (o_orderkey % 3 = 0 OR o_orderkey % 4 = 0) AND o_orderkey % 10 <> 0
 """
 )
 def council_letters(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
     k = F.col("o_orderkey")
     name = F.concat(F.when(k % 3 == 0, "Ingekomen brief over ").otherwise("Agenda "), "o_orderpriority", F.lit(" "), F.when(k % 10 == 0, "presentatie").otherwise(""))
     words = F.concat(F.repeat(F.lit("tekst "), (k % 50).cast("int")), F.lit("einde"))
@@ -345,8 +361,7 @@ def council_letters(spark, sf_dir):
     hit = F.struct(F.col("o_custkey").cast("string").alias("_id"), F.lit("ori_den_haag_20250410").alias("_index"), F.lit(1.0).alias("_score"), source.alias("_source"))
     pages = o.select(k.alias("page_no"), F.to_json(F.struct(F.struct(F.array(hit).alias("hits")).alias("hits"))).alias("page"))
     found = council.citizen_letters(council.hits(pages))
-    docs = council.documents(found).join(found.select("id", "match_count"), "id")
-    return docs.select("id", "gemeente", "name", "text_length", "length_verdict", "match_count")
+    return council.documents(found).select("id", "gemeente", "name", "text_length", "length_verdict", "match_count")
 
 
 @query(
@@ -585,8 +600,7 @@ def best_thresholds(spark, sf_dir):
 def decode_with_best_thresholds(spark, sf_dir):
     rows = scored(spark, sf_dir)
     best = evaluation.best_thresholds(rows).groupBy("eval_set").agg(F.transform(F.array_sort(F.collect_list(F.struct("label_id", "threshold"))), lambda x: x["threshold"]).alias("t"))
-    # one row an evaluation set
-    return rows.join(F.broadcast(best), "eval_set").select("id", F.array_join(L.decode_per_class(L.sigmoid(F.col("logits")), F.col("t")), ",").alias("decoded"))
+    return rows.join(best, "eval_set").select("id", F.array_join(L.decode_per_class(L.sigmoid(F.col("logits")), F.col("t")), ",").alias("decoded"))
 
 
 @query(
@@ -775,13 +789,14 @@ def train_and_benchmark(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
-    """Users by a resumable stream: events within a year of the newest are one visit."""
+    """Users by a resumable stream. A landed backlog has one watermark delay: the time that its events span, and a day."""
     from lettermill.streaming import jobs
 
     out = new_path(spark, "stream")
     # as a pattern, the path may be a file or a folder
     landed = jobs.read_landing(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)
-    new = jobs.first_seen(landed, "user_id", "ts", "3650 days")
+    span = table(spark, sf_dir, "events").agg(F.ceil((F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))) / 86_400).alias("days")).first()["days"] or 0
+    new = jobs.first_seen(landed, "user_id", "ts", f"{span + 1} days")
     jobs.collect_new(new, f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

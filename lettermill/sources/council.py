@@ -22,13 +22,17 @@ PAGE = f"hits struct<hits:array<struct<_id:string,_index:string,_score:double,_s
 def hits(pages: DataFrame, page_col: str = "page", order_col: str = "page_no") -> DataFrame:
     """(id, index, score, name, url, file_name, content_type, original_url, text) of each hit.
 
-    Of hits with one id the first by page and place stays. text is the raw JSON value: a string, or
-    an array if it starts with [ and parses as one.
+    Of hits with one id the first by page and place stays; hits without an id are all kept. text is
+    the raw JSON value: a string, or an array if it starts with [ and parses as one. Places of ids
+    alone are grouped; the texts meet them by place, which no two hits share.
     """
     page = F.from_json(F.col(page_col), PAGE)
-    rows = pages.select(F.col(order_col).alias("_page"), F.posexplode(page["hits"]["hits"]).alias("_pos", "hit"))
-    first = rows.groupBy("hit._id").agg(F.min_by("hit", F.struct("_page", "_pos")).alias("hit"))
-    return first.select(F.col("_id").alias("id"), F.col("hit._index").alias("index"), F.col("hit._score").alias("score"), "hit._source.*")
+    rows = pages.select(F.col(order_col).alias("_page"), F.posexplode_outer(page["hits"]["hits"]).alias("_pos", "hit")).where("hit is not null")
+    place = F.struct("_page", "_pos")
+    first = rows.where("hit._id is not null").groupBy("hit._id").agg(F.min(place).alias("p"))
+    first = first.select(F.col("p._page").alias("_page"), F.col("p._pos").alias("_pos"), F.lit(True).alias("is_first"))
+    kept = rows.join(first, ["_page", "_pos"], "left").where("is_first or hit._id is null")
+    return kept.select(F.col("hit._id").alias("id"), F.col("hit._index").alias("index"), F.col("hit._score").alias("score"), "hit._source.*")
 
 
 def body(text: Column) -> Column:
@@ -60,6 +64,6 @@ def length_reason(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """Flat council documents with municipality, joined text, its length and the length verdict."""
-    rows = found.select("id", municipality(F.col("index")).alias("gemeente"), "score", "name", "file_name", "content_type", F.coalesce(F.nullif("original_url", F.lit("")), F.col("url")).alias("url"), body(F.col("text")).alias("text"))
+    """Flat council documents with municipality, joined text, its length and the length verdict; a match_count stays."""
+    rows = found.select(*[c for c in ("match_count",) if c in found.columns], "id", municipality(F.col("index")).alias("gemeente"), "score", "name", "file_name", "content_type", F.coalesce(F.nullif("original_url", F.lit("")), F.col("url")).alias("url"), body(F.col("text")).alias("text"))
     return rows.withColumn("text_length", F.length("text")).withColumn("length_verdict", length_reason(F.col("text")))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.functions.once import with_once
 from lettermill.functions.text import cited_articles, cites_information_act, empty_to_null, has_relevant_signal, iso_date, squeeze, strip
 
 # Fixed value: where a ruling's content lives.
 CONTENT_URL = "https://data.rechtspraak.nl/uitspraken/content"
+#: Stands between the fields of a record; XML cannot hold it.
+_APART = "\u001f"
 
 
 def _well_formed(xml: Column) -> Column:
@@ -17,10 +20,10 @@ def _well_formed(xml: Column) -> Column:
     return F.coalesce(xml != "", F.lit(False)) & checked["_corrupt_record"].isNull()
 
 
-def _first_text(xml: Column, name: str) -> Column:
-    """Stripped text before the first child of the first element of that local name; blank is null."""
-    found = F.xpath(xml, F.lit(f'(//*[local-name()="{name}"])[1]/text()[1]'))
-    return empty_to_null(strip(F.get(found, F.lit(0))))
+def _record(xml: Column, *names: str) -> Column:
+    """One string of the text before the first child of the first element of each local name, by one parse."""
+    parts = f', "{_APART}", '.join(f'string((//*[local-name()="{name}"])[1]/text()[1])' for name in names)
+    return F.xpath_string(xml, F.lit(f"concat({parts})"))
 
 
 def _body(xml: Column) -> Column:
@@ -30,24 +33,30 @@ def _body(xml: Column) -> Column:
 
 
 def parse_rulings(raw: DataFrame, id_col: str = "ecli", xml_col: str = "xml") -> DataFrame:
-    """(ecli, xml) to typed rulings. Malformed, empty or null XML gives nulls, no articles and no flag."""
-    xml = F.when(_well_formed(F.col(xml_col)), F.col(xml_col))
-    fields = raw.select(
-        F.col(id_col).alias("ecli"),
-        F.concat(F.lit(f"{CONTENT_URL}?id="), F.col(id_col)).alias("content_url"),
-        _first_text(xml, "creator").alias("instance"),
-        iso_date(_first_text(xml, "date")).alias("decision_date"),
-        _first_text(xml, "subject").alias("subject"),
-        _first_text(xml, "zaaknummer").alias("case_number"),
-        F.coalesce(_first_text(xml, "abstract"), _first_text(xml, "inhoudsindicatie")).alias("summary"),
-        _body(xml).alias("full_text"),
+    """(ecli, xml) to typed rulings. Malformed, empty or null XML gives nulls, no articles and no flag.
+
+    A row's XML is parsed three times: to see whether it is well formed, for its fields, for its body.
+    """
+    names = ("creator", "date", "subject", "zaaknummer", "abstract", "inhoudsindicatie")
+    rows = with_once(raw.select(F.col(id_col).alias("ecli"), F.col(xml_col).alias("xml")), xml=F.when(_well_formed(F.col("xml")), F.col("xml")))
+    rows = with_once(rows, fields=F.split(_record(F.col("xml"), *names), _APART, -1), full_text=_body(F.col("xml")))
+    text = lambda name: empty_to_null(strip(F.get("fields", F.lit(names.index(name)))))
+    typed = rows.select(
+        "ecli",
+        F.concat(F.lit(f"{CONTENT_URL}?id="), "ecli").alias("content_url"),
+        text("creator").alias("instance"),
+        iso_date(text("date")).alias("decision_date"),
+        text("subject").alias("subject"),
+        text("zaaknummer").alias("case_number"),
+        F.coalesce(text("abstract"), text("inhoudsindicatie")).alias("summary"),
+        "full_text",
     )
-    return with_signals(fields).withColumn("fetched_at", F.current_timestamp())
+    return with_signals(typed).withColumn("fetched_at", F.current_timestamp())
 
 
 def with_signals(rulings: DataFrame, text_col: str = "full_text") -> DataFrame:
     """Add the relevant articles that a ruling cites and whether it cites the information act."""
-    return rulings.withColumn("awb_articles_cited", cited_articles(F.col(text_col))).withColumn("woo_cited", cites_information_act(F.col(text_col)))
+    return with_once(rulings, awb_articles_cited=cited_articles(F.col(text_col)), woo_cited=cites_information_act(F.col(text_col)))
 
 
 def relevant(rulings: DataFrame, keep_all: bool = False) -> DataFrame:
