@@ -3,13 +3,15 @@
 Each text gets a 64-bit SimHash over its 3-word shingles. Fingerprints that differ in at most 3
 bits are linked and linked documents form components.
 
-Candidate search: the fingerprint is cut into two 32-bit halves. If two fingerprints differ in at
-most 3 bits, they differ in at most 1 bit of one half. The anchors of a half are a covering code:
-the Hamming code of length 31 times one free bit. Every half lies within 1 bit of exactly one
-anchor (its home), so a half that differs from it in at most 1 bit lies within 1 + 1 = 2 bits of
-that anchor. Each fingerprint is put at all anchors within 2 bits of its halves (2 or 17 a half)
-and compared there with the fingerprints at home there. No link is missed, and there are 2^27
-anchors a half.
+Candidate search: parts of the fingerprint are cut out so that two fingerprints that differ in at
+most 3 bits differ in at most 1 bit of one part. The anchors of a part are a covering code: the
+Hamming code of length 31 times the part's other, free bits. Every part lies within 1 bit of exactly
+one anchor (its home), so a part that differs from it in at most 1 bit lies within 1 + 1 = 2 bits of
+that anchor. Each fingerprint is put at these anchors around its parts and compared there with the
+fingerprints at home there. No link is missed. Two cuts: the two halves, 34 anchors a fingerprint
+out of 2^27 a half; or any 3 of 5 blocks, which of 3 differing bits hold at most 1, 240 anchors out of
+2^34 a part. Both find the same links. n fingerprints are put at n * 34 or n * 240 anchors and meet
+n^2 * 34 / 2^27 or n^2 * 240 / 2^34 others by chance, so the second is taken from 2^29 on.
 
 Cases: null, empty and blank texts have fingerprint 0 and are linked like any others. Equal
 fingerprints are one node, so copies cost nothing. Repeated rows and repeated ids each give a row.
@@ -20,11 +22,12 @@ table gives an empty result. Only doc_id and text are read, so further columns c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -73,38 +76,50 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), udf(F.col(text_col)).alias("fp"))
 
 
-def _half(fp: Column, half: int) -> Column:
-    return F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
+#: Parts are made of blocks (first bit, bits). Halves, and 3 of 5 blocks.
+HALVES = (((0, 32),), ((32, 32),))
+_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+TRIPLES = tuple(combinations(_BLOCKS, 3))
+#: Distinct fingerprints from which parts of more bits cost less.
+MANY = 1 << 29
 
 
-def _syndrome(half: Column) -> Column:
+def _part(blocks: tuple[tuple[int, int], ...]) -> Column:
+    out, at = F.lit(0).cast("long"), 0
+    for first, bits in blocks:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1)), at))
+        at += bits
+    return out
+
+
+def _syndrome(part: Column) -> Column:
     """Position (1..31) of the bit to flip for the nearest Hamming code word, 0 for a code word."""
     out = F.lit(0)
     for j in range(5):
         mask = sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1)
-        out = out + F.bit_count(half.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * F.lit(1 << j)
+        out = out + F.bit_count(part.bitwiseAND(F.lit(mask))).bitwiseAND(F.lit(1)) * F.lit(1 << j)
     return out.cast("int")
 
 
 _FLIP = "shiftleft(1L, {} - 1)"
 _HOME = f"if(s = 0, v, v ^ {_FLIP.format('s')})"
-#: Anchors within 2 bits of v: its home, that with the free bit flipped, and two flips that cancel the syndrome.
-_NEAR = f"""concat(array({_HOME}, ({_HOME}) ^ {1 << 31}L),
+#: Anchors within 2 bits of v that may be home to what differs in 1: its home, that with a free bit flipped, and two flips that cancel the syndrome.
+_NEAR = f"""concat(array({_HOME}), transform(sequence(32, bits), i -> ({_HOME}) ^ {_FLIP.format('i')}),
     if(s = 0, cast(array() as array<bigint>),
        transform(filter(sequence(1, 31), i -> i < (i ^ s)), i -> v ^ {_FLIP.format('i')} ^ {_FLIP.format('(i ^ s)')})))"""
 
 
-def _halves(fps: DataFrame) -> DataFrame:
-    both = F.array(*[F.struct(F.lit(h).cast("long").alias("h"), _half(F.col("fp"), h).alias("v")) for h in (0, 1)])
-    out = fps.select("fp", F.explode(both).alias("x")).select("fp", "x.h", "x.v")
-    return out.withColumn("s", _syndrome(F.col("v")))
+def _parts(fps: DataFrame, cuts: tuple) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(i).alias("h"), F.lit(sum(n for _, n in blocks)).alias("bits"), _part(blocks).alias("v")) for i, blocks in enumerate(cuts)])
+    return fps.select("fp", F.explode(parts).alias("x")).select("fp", "x.*").withColumn("s", _syndrome(F.col("v")))
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, cuts: tuple | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints that differ in at most MAX_BITS bits."""
-    halves = _halves(fps)
-    home = halves.select(F.col("fp").alias("a"), F.expr(f"h * {1 << 32}L + ({_HOME})").alias("anchor"))
-    near = halves.select(F.col("fp").alias("b"), "h", F.explode(F.expr(_NEAR)).alias("c")).select("b", F.expr(f"h * {1 << 32}L + c").alias("anchor"))
+    cuts = cuts or (HALVES if fps.count() < MANY else TRIPLES)
+    parts = _parts(fps, cuts)
+    home = parts.select(F.col("fp").alias("a"), F.expr(f"h * {1 << 40}L + ({_HOME})").alias("anchor"))
+    near = parts.select(F.col("fp").alias("b"), "h", F.explode(F.expr(_NEAR)).alias("c")).select("b", F.expr(f"h * {1 << 40}L + c").alias("anchor"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
     return home.join(near, (home["anchor"] == near["anchor"]) & close).select("a", "b").distinct()
 
@@ -167,8 +182,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     root = cut(root)
     placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper"))
-    keepers = cut(keepers.distinct())
+    keeper = F.xxhash64("doc_id", "text_hash")
+    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper")).distinct()
+    keepers = cut(rows.groupBy(keeper.alias("keeper")).agg(F.count(F.lit(1)).alias("n")).join(keepers, "keeper", "left_semi"))
     keyed = packed(docs, keeper=F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    w = Window.partitionBy("keeper").orderBy(F.lit(1))
-    return keyed.join(keepers, "keeper").withColumn("nth", F.row_number().over(w)).where("nth = 1").select("row.*")
+    lone = keyed.join(keepers.where("n = 1"), "keeper", "left_semi").select("row")
+    # a row that repeats, however often, is picked within each task first
+    repeated = keyed.join(keepers.where("n > 1"), "keeper", "left_semi").groupBy("keeper").agg(F.first("row").alias("row")).select("row")
+    return lone.union(repeated).select("row.*")
