@@ -31,9 +31,10 @@ WINDOW = 256
 HOP = 192
 FRAMES = 4096
 FAN = 3
+#: Bits of a code in a time-coded number.
+TIME_SHIFT = 20
 #: Edges of the bands, in bins of the transform.
 BANDS = (1, 9, 25, 57, 129)
-_HANN = np.hanning(WINDOW).astype(np.float32)
 
 
 def payload(text: str | None) -> bytes:
@@ -56,17 +57,26 @@ def read_wav(stored: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
+#: A Hann window is 0 at its ends; without these, the first and the last byte count.
+_HANN = np.hanning(WINDOW + 2)[1:-1].astype(np.float32)
+
+
+def _frames(samples: np.ndarray, at: int, n: int) -> np.ndarray:
+    """n windowed frames of the samples from frame `at` on; silence, the middle of the 8-bit range, follows the last sample."""
+    first, last = at * HOP, (at + n - 1) * HOP + WINDOW
+    part = samples[first:last] - np.float32(127.5)
+    part = np.pad(part, (0, last - first - len(part)))
+    return np.lib.stride_tricks.sliding_window_view(part, WINDOW)[::HOP] * _HANN
+
+
 def _peaks(samples: np.ndarray) -> np.ndarray:
     """Strongest bin of each band and frame; 0 where no bin stands out. Shape: frames x bands."""
     count = max(1, 1 + -(-(len(samples) - WINDOW) // HOP))
-    # silence is the middle of the 8-bit range
-    samples = np.pad(samples, (0, (count - 1) * HOP + WINDOW - len(samples)), constant_values=127.5)
     out = np.zeros((count, len(BANDS) - 1), dtype=np.int32)
     for at in range(0, count, FRAMES):
         n = min(FRAMES, count - at)
-        frames = np.lib.stride_tricks.sliding_window_view(samples[at * HOP : (at + n - 1) * HOP + WINDOW], WINDOW)[::HOP]
         # rounded, so that the last bits of the transform decide nothing
-        power = np.round(np.abs(np.fft.rfft((frames - 127.5) * _HANN, axis=1)), 3)
+        power = np.round(np.abs(np.fft.rfft(_frames(samples, at, n), axis=1)), 3)
         mean = power[:, 1:].mean(axis=1)
         for b, (lo, hi) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
             best = power[:, lo:hi].argmax(axis=1)
@@ -117,8 +127,8 @@ def _digests(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for text in texts:
         row, _, t, c = _media(text)
-        rows.append(row | {"feature": f"{len(t)}:{hashlib.sha256(np.stack([t, c]).tobytes()).hexdigest()}"})
-    return pd.DataFrame(rows, columns=[*(f.name for f in _COMMON), "feature"])
+        rows.append(row | {"feature": f"{len(t)}:{hashlib.sha256(np.stack([t, c]).tobytes()).hexdigest()}", "pairs": t << TIME_SHIFT | c})
+    return pd.DataFrame(rows, columns=[*(f.name for f in _COMMON), "feature", "pairs"])
 
 
 def _columns(texts: pd.Series) -> pd.DataFrame:
@@ -136,6 +146,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As media_columns, with `feature` (number of pairs and SHA-256 of the pair array) for the file and array."""
-    out = StructType([*_COMMON, StructField("feature", StringType())])
+    """As media_columns, without the file, with `feature` (number of pairs and SHA-256 of the pair array) and each pair as one number, time << TIME_SHIFT | code."""
+    out = StructType([*_COMMON, StructField("feature", StringType()), StructField("pairs", ArrayType(LongType()))])
     return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_digests, out)(F.col(text_col)).alias("m")).select("doc_id", "m.*")

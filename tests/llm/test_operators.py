@@ -92,7 +92,8 @@ def test_simhash_components_equal_brute_force(spark, odd_rows):
     assert len({c for _, _, c in want}) < len(want) - 30
 
 
-def test_simhash_links_miss_nothing(spark):
+@pytest.mark.parametrize("cuts", [simhash.HALVES, simhash.TRIPLES])
+def test_simhash_links_miss_nothing(spark, cuts):
     rng = random.Random(5)
     fps = set()
     for _ in range(200):
@@ -104,7 +105,7 @@ def test_simhash_links_miss_nothing(spark):
                 y ^= 1 << b
             fps.add(y)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint")).collect()}
+    got = {(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), cuts).collect()}
     order = sorted(fps, key=lambda f: f - (1 << 64) if f >> 63 else f)
     assert got == {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if (a ^ b).bit_count() <= 3}
 
@@ -451,10 +452,48 @@ def test_media_round_trip(spark, odd_rows):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.media_bytes) == (len(data), len(back), zlib.crc32(back[-32:]), len(r.media))
         assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(back).hexdigest(), hashlib.sha256(r.media).hexdigest())
         assert [(p.time, p.code) for p in r.pairs] == sorted((p.time, p.code) for p in r.pairs)
-    digests = {r.doc_id: r.feature for r in media.media_digests(docs).collect()}
+    pairs = {r.doc_id: [p.time << media.TIME_SHIFT | p.code for p in r.pairs] for r in got}
+    found = media.media_digests(docs).collect()
+    assert all(r.pairs == pairs[r.doc_id] for r in found)
+    digests = {r.doc_id: r.feature for r in found}
     assert digests[1] == digests[2] != digests[3] and digests[4] == digests[5]
 
 
+def plain_peaks(samples):
+    """Peaks by the transform's definition, a frame and a bin at a time."""
+    import cmath
+    import math
+
+    count = 1 + -(-(len(samples) - media.WINDOW) // media.HOP)
+    samples = [x - 127.5 for x in samples] + [0.0] * ((count - 1) * media.HOP + media.WINDOW - len(samples))
+    hann = [0.5 - 0.5 * math.cos(2 * math.pi * (i + 1) / (media.WINDOW + 1)) for i in range(media.WINDOW)]
+    out = []
+    for f in range(count):
+        frame = [x * h for x, h in zip(samples[f * media.HOP : f * media.HOP + media.WINDOW], hann, strict=True)]
+        power = [round(abs(sum(x * cmath.exp(-2j * math.pi * k * i / media.WINDOW) for i, x in enumerate(frame))), 3) for k in range(media.WINDOW // 2 + 1)]
+        mean = sum(power[1:]) / (len(power) - 1)
+        out.append([max(range(lo, hi), key=lambda k: (power[k], -k)) if max(power[lo:hi]) > mean else 0 for lo, hi in zip(media.BANDS, media.BANDS[1:], strict=False)])
+    return out
+
+
+def test_media_transform_equals_its_definition():
+    for text in ("some words of a text " * 27, "é" * 300, ""):
+        samples = np.frombuffer(media.payload(text), dtype=np.uint8)
+        got, want = media._peaks(samples.astype(np.float32)), np.array(plain_peaks(samples.tolist()))
+        # equal strengths to a thousandth may fall to either bin
+        assert got.shape == want.shape and (got != want).mean() <= 0.01
+
+
+def test_media_every_byte_reaches_a_frame():
+    data = np.frombuffer(media.payload("a text of some words, " * 70), dtype=np.uint8)
+    spectrum = lambda x: media._frames(x.astype(np.float32), 0, 1 + -(-(len(x) - media.WINDOW) // media.HOP))
+    whole = spectrum(data)
+    for at in (0, 1, 255, 256, 575, len(data) // 2, len(data) - 128, len(data) - 2, len(data) - 1):
+        changed = data.copy()
+        changed[at] ^= 255
+        assert (spectrum(changed) != whole).any(), at
+
+
 def test_media_peaks_follow_the_signal():
     rate = np.arange(4096)
     tone = (127.5 + 100 * np.sin(2 * np.pi * 20 * rate / media.WINDOW)).round().astype(np.uint8)
