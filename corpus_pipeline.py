@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents; the last
 adds each row's shard and slot. Rows that a mix repeats share a doc_id, hence a shard.
+
+Cases: a null or letterless text has no language and goes in the first stage. Null ids, sources and
+languages are values like others: rows are judged by their text, and a null source is a source. A
+row of a near-duplicate group stays once, however often it repeats. Texts of any length are read
+whole. Further columns pass through all stages, whatever their names; only the last calls those that
+have the name of a column of its own `own_<name>`. Empty tables give an empty result.
 """
 
 from __future__ import annotations
