@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions import pii
+from lettermill.functions.once import with_once
 from lettermill.functions.spans import no_spans, public, resolve_overlaps
 
 # Names of the kinds of personal data.
@@ -13,12 +14,12 @@ PATTERNS = ("BSN", "EMAIL", "IBAN", "POSTCODE", "TELEFOON")
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """Add the resolved spans. Two projections, so that the finders run once a row."""
-    text = F.col(text_col)
-    first = F.concat(pii.find_emails(text), pii.find_ibans(text), pii.find_phones(text), pii.find_postcodes(text))
-    found = df.withColumn("_first", F.when(text.isNull(), no_spans()).otherwise(first))
-    every = F.concat("_first", pii.find_bsns(text, F.col("_first")))
-    return found.withColumn(out, F.when(text.isNull(), no_spans()).otherwise(resolve_overlaps(every))).drop("_first")
+    """Add the resolved spans. Each finder runs once a row, however often later columns name the spans."""
+    text, first = F.col(text_col), f"{out}_but_bsn"
+    found = F.concat(pii.find_emails(text), pii.find_ibans(text), pii.find_phones(text), pii.find_postcodes(text))
+    rows = with_once(df, **{first: F.when(text.isNull(), no_spans()).otherwise(found)})
+    every = F.concat(first, pii.find_bsns(text, F.col(first)))
+    return with_once(rows, **{out: F.when(text.isNull(), no_spans()).otherwise(resolve_overlaps(every))}).drop(first)
 
 
 def pseudonymize(df: DataFrame, text_col: str = "text", flag_col: str = "pseudonymized", spans_col: str = "spans") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.functions.once import with_once
 from lettermill.functions.text import any_phrase, join_text_parts, municipality, strip
 
 # Phrases of citizens' letters, telling parts of file names, and names that are no letters.
@@ -54,7 +55,8 @@ def letter_score(text: Column, name: Column, file: Column, extra: Sequence[str]
 def citizen_letters(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Documents with at least one clause and no excluded name; adds match_count."""
     excluded = F.coalesce(any_phrase(F.col("name"), EXCLUDED_NAMES), F.lit(0)) > 0
-    return docs.withColumn("match_count", letter_score(F.col("text"), F.col("name"), F.col("file_name"), extra)).where((F.col("match_count") > 0) & ~excluded)
+    scored = with_once(docs.where(~excluded), match_count=letter_score(F.col("text"), F.col("name"), F.col("file_name"), extra))
+    return scored.where(F.col("match_count") > 0)
 
 
 def length_reason(text: Column, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS) -> Column:
