@@ -44,7 +44,7 @@ MIN_FILTER_BITS, MAX_FILTER_BITS = 1 << 24, 1 << 28
 BROADCAST_ROWS = 200_000
 #: Hits of one hash beyond which the shuffled join deals them to several tasks.
 SALT_ROWS = 20_000
-#: Starts of windows in a document that are looked up at a time.
+#: Starts of windows that are looked up at a time.
 CHUNK = 1 << 17
 #: Rows that a task hands on at a time, and words whose hashes it remembers.
 FLUSH, REMEMBERED = 20_000, 1 << 20
@@ -122,6 +122,11 @@ class _Filter:
         return first[self._is_set(keys[first] >> np.uint64(32))]
 
 
+#: Each run with the number that its hashes start from, and each mask with its own.
+_RUNS = [(run, _number(f"run {run}")) for run in runs()]
+_MASKS = [(i, j, _number(f"mask {i} {j}")) for i, j in masks()]
+
+
 def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, keys) of the windows of `span` words that pass: under each mask, or whole for short items."""
     n = len(words) - span + 1
@@ -133,13 +138,13 @@ def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndar
         yield at, keys[at]
         return
     sums, passed = [], []
-    for run in runs():
+    for run, number in _RUNS:
         sums.append(_sums(words, run, n))
         passed.append(np.zeros(n, dtype=bool))
-        passed[-1][held.passing(_mix(sums[-1] + _number(f"run {run}")))] = True
-    for i, j in masks():
+        passed[-1][held.passing(_mix(sums[-1] + number))] = True
+    for i, j, number in _MASKS:
         both = np.flatnonzero(passed[i] & passed[j])
-        keys = _mix(sums[i][both] + sums[j][both] + _number(f"mask {i} {j}"))
+        keys = _mix(sums[i][both] + sums[j][both] + number)
         at = held.passing(keys)
         yield both[at], keys[at]
 
@@ -147,26 +152,46 @@ def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndar
 def _run_keys(words: np.ndarray) -> np.ndarray:
     """The run hashes of all windows, for the filter."""
     n = max(0, len(words) - WINDOW + 1)
-    return np.concatenate([_mix(_sums(words, run, n) + _number(f"run {run}")) for run in runs()])
+    return np.concatenate([_mix(_sums(words, run, n) + number) for run, number in _RUNS])
+
+
+def _groups(batch: pd.DataFrame, hashes: dict) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, word hashes of their texts one after another, ends of the texts in these) for texts of CHUNK words and more together."""
+    ids, words, ends = [], [], []
+    for row_id, text in zip(batch["id"], batch["text"], strict=True):
+        words += _TOKEN.findall((text or "").lower())
+        ids.append(row_id)
+        ends.append(len(words))
+        if len(words) >= CHUNK:
+            yield ids, np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), np.array(ends)
+            ids, words, ends = [], [], []
+    if words:
+        yield ids, np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), np.array(ends)
 
 
 def _windows(spans: list[int], passes=None):
-    """Rows of the seeds of each text; `passes` gives the filter, where only its hits are wanted. Without, all of an item's."""
+    """Rows of the seeds of each text; `passes` gives the filter, where only its hits are wanted. Without, all of an item's.
+
+    The texts of a group are looked up as one; windows that reach into the next text are left out.
+    """
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, hashes = _Filter(None if passes is None else passes.value), _Hashes()
         out: list[tuple] = []
         for batch in batches:
-            for row_id, text in zip(batch["id"], batch["text"], strict=True):
-                words = word_hashes(text, hashes)
+            for ids, words, ends in _groups(batch, hashes):
+                lengths = np.diff(ends, prepend=0)
                 for span in spans:
-                    if passes is None and span < WINDOW and len(words) != span:
-                        continue  # a short item stands for itself only
                     for at in range(0, len(words) - span + 1, CHUNK):
-                        part = words[at : at + CHUNK + span - 1]
-                        for starts, keys in _hits(part, span, held):
-                            for i, key in zip(starts.tolist(), keys.view(np.int64).tolist(), strict=True):
-                                out.append((row_id, at + i, key, part[i : i + span].view(np.int64)))
+                        for starts, keys in _hits(words[at : at + CHUNK + span - 1], span, held):
+                            starts = starts + at
+                            text = np.searchsorted(ends, starts, side="right")
+                            whole = starts + span <= ends[text]
+                            if passes is None and span < WINDOW:
+                                whole &= lengths[text] == span  # a short item stands for itself only
+                            first = starts - ends[text] + lengths[text]
+                            for i, t, pos, key in zip(starts[whole].tolist(), text[whole].tolist(), first[whole].tolist(), keys[whole].view(np.int64).tolist(), strict=True):
+                                out.append((ids[t], pos, key, words[i : i + span].view(np.int64)))
                                 if len(out) >= FLUSH:
                                     yield pd.DataFrame(out, columns=_COLUMNS)
                                     out = []
