@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,7 +68,7 @@ FOREIGN_WORDS = frozenset("ad ads advert adverts advertisement advertising spons
 COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
 # Words that mark parts of a layout, and words that say nothing beside them.
 LAYOUT_WORDS = frozenset(
-    "banner newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer header masthead share sharing social related recommended widget login signup pagination pager skip".split()
+    "banner newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer header masthead share sharing social related recommended widget login signup pagination pager skip complementary contentinfo".split()
 )
 NEUTRAL_WORDS = frozenset(
     "site page main global primary secondary top bottom left right inner outer box area list block wrap wrapper container section item group bar panel links link text content body post entry article form buttons button icons row col column bottoms number nr no the of".split()
@@ -101,6 +101,11 @@ def _naming(attributes: str) -> tuple[str, frozenset[str], str]:
     return ".".join(classes), frozenset(noise), found.get("role", "").lower()
 
 
+@lru_cache(maxsize=1 << 16)
+def _child(above: int, label: str) -> int:
+    return _hash(f"{above}>{label}")
+
+
 class _Named:
     """An element whose name says noise, inside others of its kind."""
 
@@ -141,7 +146,7 @@ def _opened(name: str, attributes: str, parent: Node) -> Node:
     if node.block:
         node.label, node.layout = label, []
         if len(parent.ids) < MAX_DEPTH:
-            node.ids = (*parent.ids, _hash(f"{parent.ids[-1] if parent.ids else 0}>{label}"))
+            node.ids = (*parent.ids, _child(parent.ids[-1] if parent.ids else 0, label))
     if name == "main" or role == "main" or (name == "article" and not parent.article):
         named = parent.named
         while named:
@@ -166,7 +171,7 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
     page = page or ""
     stack, out, held = [Node("", True, None)], [], []
     nodes: list[Node] = []
-    is_open: Counter[str] = Counter()
+    is_open: defaultdict[str, int] = defaultdict(int)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -175,11 +180,15 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
         held.clear()
 
     def close(at: int) -> None:
-        is_open.subtract(n.name for n in stack[at:])
+        for node in stack[at:]:
+            is_open[node.name] -= 1
         del stack[at:]
 
     def find(names: tuple[str, ...], stop: tuple[str, ...]) -> int:
-        if not any(is_open[n] > 0 for n in names):
+        for x in names:
+            if is_open[x]:
+                break
+        else:
             return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
@@ -309,7 +318,7 @@ def tree_rows(page: str | None) -> Iterator[tuple[tuple[int, ...], str, int, int
             yield ids, label, 1, value
 
 
-_ROWS = "host string, page bigint, ids array<bigint>, label string, kind int, value bigint"
+_ROWS = "host string, page bigint, path string, label string, kind int, value bigint"
 #: Rows of the tree that a task hands on at a time.
 FLUSH = 20_000
 
@@ -321,7 +330,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for host, page in zip(batch["host"], batch["html"], strict=True):
             page_hash = _hash(page)
             for ids, label, kind, value in tree_rows(page):
-                rows.append((host, page_hash, list(ids), label, kind, value))
+                rows.append((host, page_hash, ",".join(map(str, ids)), label, kind, value))
                 if len(rows) >= FLUSH:
                     yield pd.DataFrame(rows, columns=columns)
                     rows = []
@@ -339,9 +348,9 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     """
     rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).where("host <> '' and html is not null")
     rows = rows.mapInPandas(_features, _ROWS).distinct()
-    counts = rows.groupBy("host", "ids", "label", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("host", "path", "label", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
     is_layout, n = F.col("kind") == 0, F.col("n")
-    sums = counts.groupBy("host", "ids").agg(
+    sums = counts.groupBy("host", "path").agg(
         F.min("label").alias("label"),
         F.sum(F.when(is_layout, n)).alias("n_pages"),
         F.sum(F.when(is_layout, n * F.ln(n))).alias("layout"),
@@ -353,7 +362,8 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     content = 1 - F.col("content") / F.col("n_features") / scale
     layout = 1 - F.col("layout") / F.col("n_pages") / scale
     own = F.when(F.col("n_features") == 0, layout).when(F.col("is_laid_out"), (content + layout) / 2).otherwise(content)
-    nodes = cut(sums.select("host", "ids", "label", "n_pages", own.alias("importance")))
+    ids = F.split("path", ",").cast("array<bigint>")
+    nodes = cut(sums.select("host", ids.alias("ids"), "label", "n_pages", own.alias("importance")))
     # every node hands its importance to all nodes above it and to itself
     up = nodes.select("host", F.posexplode("ids").alias("at", "id"), "ids", "label", "n_pages", "importance")
     up = up.withColumn("weight", F.col("n_pages") * F.pow(F.lit(FADE), F.size("ids") - 1 - F.col("at")))
