@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +43,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_up(spark: SparkSession) -> int:
-    """Delete what this application wrote to the shared folder, once its results are stored elsewhere; the number of paths."""
-    paths = _given.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:
         path = hadoop(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete what this application wrote to the shared folder, once its results are stored elsewhere; the number of paths."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
+
+
+@contextmanager
+def steps_to_one_table(spark: SparkSession) -> Iterator[None]:
+    """Around steps whose last cut holds all that later steps read: the tables before it are deleted at the end.
+
+    For one thread an application.
+    """
+    paths = _given.setdefault(spark.sparkContext.applicationId, [])
+    before = len(paths)
+    yield
+    _delete(spark, paths[before:-1])
+    del paths[before:-1]
