@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lettermill.functions.once import packed
-from lettermill.functions.storage import cut, shared_dir
+from lettermill.functions.storage import cut, shared_dir, steps_to_one_table
 
-__all__ = ["WORD", "cut", "packed", "shared_dir", "word_count"]
+__all__ = ["WORD", "cut", "packed", "shared_dir", "steps_to_one_table", "word_count"]
 
 #: A word is a run of characters other than ASCII space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from lettermill.llm.common import cut, packed
+from lettermill.llm.common import cut, packed, steps_to_one_table
 
 WINDOW = 13
 MAX_SUBSTITUTIONS = 2
@@ -266,6 +266,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Rows are told apart by a hash of their text, which is never null, so the id plays no part.
     """
     key = F.xxhash64(F.col(text_col))
-    dirty = cut(overlaps(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text").select(F.col("doc_id").alias("dirty")).distinct())
+    with steps_to_one_table(docs.sparkSession):
+        dirty = cut(overlaps(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text").select(F.col("doc_id").alias("dirty")).distinct())
     rows = packed(docs, text_key=key)
     return rows.join(dirty, F.col("text_key") == F.col("dirty"), "left_anti").select("row.*")

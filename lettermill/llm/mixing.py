@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.ranks import group_ranks, running_total
-from lettermill.llm.common import WORD, cut, packed, word_count
+from lettermill.llm.common import WORD, cut, packed, steps_to_one_table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -94,18 +94,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
     one row a source, is what the rows are compared with in the plan's whole order, so no text is
     shuffled but those that equal the cut in it; of these, as many as the plan takes appear.
     """
-    planned = _plan(docs, weights, id_col, text_col, source_col).where("size > 0")
-    epochs = F.expr("cast(round(target) AS bigint) div source_size")
-    # documents up to the last one that is taken beyond the whole epochs appear once more
-    extra = F.when(F.col("taken") > epochs * F.col("size"), F.struct("key", F.struct("doc_id", "size", "text_hash").alias("ties")))
-    cuts = planned.withColumn("extra", extra).groupBy(F.col("src").alias("of"), "extra").agg(F.max(epochs).alias("epochs"), F.count(F.lit(1)).alias("n"))
-    cuts = cuts.groupBy("of").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra").isNotNull(), F.struct("extra", "n"))).alias("m"))
-    # read back as a table, the cuts have a known size and are broadcast if that is small, so texts stay in place
-    cuts = cut(cuts.select("of", "epochs", F.col("m.extra.key").alias("last"), F.col("m.extra.ties").alias("last_ties"), F.col("m.n").alias("n_last")))
-    ties = F.struct(F.col(id_col).alias("doc_id"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    keyed = packed(docs.where(F.col(text_col).rlike(WORD)), src=_source(source_col), key=_key(id_col), ties=ties)
+    with steps_to_one_table(docs.sparkSession):
+        planned = _plan(docs, weights, id_col, text_col, source_col).where("size > 0")
+        epochs = F.expr("cast(round(target) AS bigint) div source_size")
+        # documents up to the last one that is taken beyond the whole epochs appear once more
+        extra = F.when(F.col("taken") > epochs * F.col("size"), F.struct("key", F.struct("doc_id", "size", "text_hash").alias("ties")))
+        cuts = planned.withColumn("extra", extra).groupBy(F.col("src").alias("of"), "extra").agg(F.max(epochs).alias("epochs"), F.count(F.lit(1)).alias("n"))
+        cuts = cuts.groupBy("of").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra").isNotNull(), F.struct("extra", "n"))).alias("m"))
+        # read back as a table, the cuts have a known size and are broadcast if that is small, so texts stay in place
+        cuts = cut(cuts.select("of", "epochs", F.col("m.extra.key").alias("last"), F.col("m.extra.ties").alias("last_ties"), F.col("m.n").alias("n_last")))
+    keyed = packed(docs.where(F.col(text_col).rlike(WORD)), src=_source(source_col), key=_key(id_col))
     keyed = keyed.join(cuts, F.col("src") == F.col("of"))
-    key, last, tied = F.col("key"), F.col("last"), F.col("ties")
+    key, last, text = F.col("key"), F.col("last"), F.col(f"row.`{text_col}`")
+    # sizes are counted for equal keys only
+    tied = F.struct(F.col(f"row.`{id_col}`").alias("doc_id"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     side = F.when(last.isNull() | (key > last), 1).when(key < last, -1).when(tied < F.col("last_ties"), -1).when(tied > F.col("last_ties"), 1).otherwise(0)
     keyed = keyed.withColumn("side", side)
     clear = keyed.where("side <> 0").select("row", (F.col("epochs") + F.when(F.col("side") < 0, 1).otherwise(0)).alias("times"))

@@ -9,13 +9,14 @@ sets that are similar enough share a shingle of both prefixes. The order is that
 shingles that are frequent in a sample come last, so that common passages are in few prefixes; any
 order is exact, so the sample decides the cost and no result.
 
-Nodes are compared in two rounds, each by the exact similarity: first those that meet at an anchor,
-and every node with the least node of each prefix shingle; then the nodes that share a prefix shingle
-and that this left in different components with each other. A large group of near copies is so linked in the first round and costs
-no square of its size. A pair goes on to the comparison if the shingles that its prefixes share
-allow the similarity: what both sets share beyond them lies outside one and the same prefix. The
-first round sees some of the shared shingles only; what it passes over is left to the second, which
-sees all.
+Nodes are compared in three rounds, each by the exact similarity: those that meet at an anchor, and
+every node with the least node of each prefix shingle; then, where a shingle's nodes are in several
+components still, with HUBS of its nodes whose shingles most others have; then the nodes that share a prefix shingle
+and that this left in different components with each other. A large group of near copies is so
+linked in the first two rounds and costs no square of its size. Texts whose prefixes share too few
+shingles with all others together, as those with a common passage, take no part. A pair goes on to the comparison if
+the number of shingles that its prefixes share allows the similarity: what both sets share beyond
+them lies outside one and the same prefix.
 
 Cases: null and blank texts are one node with no shingles. A text of fewer than five words is one
 shingle. Only the text is read.
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import cut
@@ -38,6 +39,8 @@ SHINGLE_WORDS = 5
 NUM, DEN = 4, 5
 #: Texts of which frequent shingles are counted, the count that makes one frequent, and how many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT, SEED = 20_000, 3, 500_000, 7
+#: Nodes of a shingle that all its nodes are compared with, where the first round leaves several components.
+HUBS = 8
 #: Nodes of one shingle beyond which its pairs are dealt to several tasks, and most of these.
 SALT_ROWS, MAX_SALTS = 1000, 64
 #: Nodes of candidates that may be broadcast to the texts; beyond, the texts are shuffled.
@@ -175,28 +178,67 @@ def _anchored(of: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFra
     return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
+def _hopeful(shared: DataFrame) -> DataFrame:
+    """The rows (key, node, size, ...) of nodes that have enough prefix shingles in common with others to be similar to any.
+
+    Adds `telling`: of a node's shingles in one and the same order, a similar pair shares one of the first so many.
+
+    How many a pair needs (see _possible) grows with the smaller size and falls with the larger, so
+    it is least at an end of the sizes met; 1 less allows for rounding.
+    """
+    each = shared.groupBy("key").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    share, rest = NUM / (NUM + DEN), NUM / DEN
+    x, lo, hi = F.col("size"), F.greatest("lo", F.col("size") * NUM / DEN), F.least("hi", F.col("size") * DEN / NUM)
+    # the smaller partner, no larger than x, and the larger one, no smaller
+    least = F.least(share * (x + F.least(lo, x)) - rest * x, share * (x + F.greatest(hi, x)) - rest * F.greatest(hi, x)) - 1e-6
+    met = shared.join(each, "key").groupBy("node", "size").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("c"))
+    enough = met.where(F.col("c") >= least).select("node", (F.col("c") - F.greatest(F.lit(1), F.ceil(least)) + 1).alias("telling"))
+    return shared.join(cut(enough), "node")
+
+
+def _shared_keys(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with their sizes x and y and the number n of prefix shingles that both have."""
+    side = lambda node, size, keys: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("keys").alias(keys))
+    met = pairs.distinct().join(side("a", "x", "ka"), "a").join(side("b", "y", "kb"), "b")
+    return met.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
+
+
 def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of similar nodes, whose components are those of all similar pairs.
 
     `rows` are the written nodes of docs; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
     """
-    of = cut(rows.select("node", "size", "fp").distinct())
-    one = rows.select(F.explode("keys").alias("key"), "node", "size")
+    of = cut(rows.select("node", "size", "fp", "keys").dropDuplicates(["node"]))
+    one = of.select(F.explode("keys").alias("key"), "node", "size")
     # a shingle of one node alone pairs nothing; the least and the greatest node tell
     met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     met = cut(met.where("first <> last").select("key", "first"))
-    shared = cut(one.join(met, "key").distinct())
-    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("size").alias("y"))
-    stars = stars.groupBy("a", "b", "y").agg(F.count(F.lit(1)).alias("n")).join(of.select(F.col("node").alias("a"), F.col("size").alias("x")), "a")
-    first = cut(_similar(_possible(stars).union(_anchored(of, links)).distinct(), rows, docs, text_col))
-    root = components(first)
-    shared = shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    shared = cut(shared)
-    several = shared.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s")
-    several = several.select("key", F.least(F.lit(MAX_SALTS), 1 + F.expr(f"n div {SALT_ROWS}")).cast("int").alias("salts"))
-    shared = cut(shared.join(several, "key"))
-    left = shared.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
-    right = shared.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    rest = left.join(right, ["key", "salt"]).where("a < b AND r <> s").select("a", "b", "x", "y")
-    rest = rest.where(f"{DEN} * least(x, y) >= {NUM} * greatest(x, y)").groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return first.union(_similar(_possible(rest), rows, docs, text_col))
+    shared = cut(_hopeful(cut(one.join(met, "key"))))
+    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(_possible(_shared_keys(pairs, of)), rows, docs, text_col)
+
+    def across(found: DataFrame) -> DataFrame:
+        """(key, node, size, root, n) of the n nodes of each shingle whose nodes are in several components."""
+        root = cut(components(found))
+        placed = cut(shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+        several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s").select("key", "n")
+        return cut(_hopeful(cut(placed.join(cut(several), "key"))))
+
+    first = similar(stars.union(_anchored(of, links)))
+    left = across(first)
+    # a text whose shingles many others have is the middle of its group, and most similar to the others
+    score = left.groupBy("node").agg(F.sum("n").alias("score"))
+    hub = F.max(F.struct("score", "node", "root")).alias("hub")
+    hubs = left.where(F.col("n") > HUBS).join(cut(score), "node").groupBy("key", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)).alias("class")).agg(hub)
+    met = left.join(cut(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))), "key").where("root <> hub_root")
+    second = first.union(similar(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
+    # rare shingles first; a pair that needs k of them in common cannot have all in either's last k - 1
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
+    left = cut(across(second).withColumn("rank", rank).where("rank <= telling").drop("rank"))
+    left = left.withColumn("salts", F.least(F.lit(MAX_SALTS), 1 + F.expr(f"n div {SALT_ROWS}")).cast("int"))
+    one = left.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
+    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    close = f"a < b AND r <> s AND {DEN} * least(x, y) >= {NUM} * greatest(x, y)"
+    return second.union(similar(one.join(other, ["key", "salt"]).where(close).select("a", "b")))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from lettermill.llm import neardup
-from lettermill.llm.common import cut, packed
+from lettermill.llm.common import cut, packed, steps_to_one_table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -176,15 +176,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     SimHashes of five-word shingles give the first candidates; the search that completes them and
     the exact comparison are in neardup.
     """
-    rows = cut(neardup.nodes(docs, id_col, text_col))
-    root = components(neardup.similar_pairs(rows, docs, links, components, text_col))
-    # as a table of its own the naming has a known size and does not tie the join's partitions
-    root = cut(root)
-    placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    keeper = F.xxhash64("doc_id", "text_hash")
-    keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper")).distinct()
-    keepers = cut(rows.groupBy(keeper.alias("keeper")).agg(F.count(F.lit(1)).alias("n")).join(keepers, "keeper", "left_semi"))
+    with steps_to_one_table(docs.sparkSession):
+        rows = cut(neardup.nodes(docs, id_col, text_col))
+        root = components(neardup.similar_pairs(rows, docs, links, components, text_col))
+        # as a table of its own the naming has a known size and does not tie the join's partitions
+        root = cut(root)
+        placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+        keeper = F.xxhash64("doc_id", "text_hash")
+        keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper")).distinct()
+        keepers = cut(rows.groupBy(keeper.alias("keeper")).agg(F.count(F.lit(1)).alias("n")).join(keepers, "keeper", "left_semi"))
     keyed = packed(docs, keeper=F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
     lone = keyed.join(keepers.where("n = 1"), "keeper", "left_semi").select("row")
     # a row that repeats, however often, is picked within each task first

@@ -110,6 +110,16 @@ def test_simhash_links_miss_nothing(spark, cuts):
     assert got == {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if (a ^ b).bit_count() <= 3}
 
 
+def test_simhash_recall_on_all_documents(spark):
+    """On the whole of a generated table, the links and components are those of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = [(d, xxh_fingerprint(t)) for d, t in texts.items()]
+    assert got == {d: (f, c) for (d, f), c in zip(fps, component_of(fps), strict=True)}
+    assert len({c for _, c in got.values()}) < len(got)
+
+
 def test_components_of_long_chain_and_hub(spark):
     chain = [(i, i + 1) for i in range(200)]
     hub = [(1000, 1000 + i) for i in range(1, 300)]
@@ -227,6 +237,22 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_lines(rows, 10)
 
 
+def test_line_dedup_of_very_long_texts_and_odd_rows(spark, odd_rows):
+    """A text of thousands of lines that repeats itself and another's lines; nulls, blanks and repeated rows."""
+    rng = random.Random(14)
+    lines = [prose(rng, 12) for _ in range(3000)]
+    short = ["a b", "c"]
+    long = "\n".join(lines + short + lines[1000:1500] + ["own line at the end of the long text here it is now"])
+    other = "\n".join(["first own line"] + lines[100:160] + short)
+    rows = [(1, long), (2, other), (2, other), (3, None), (4, "")] + [(100 + i if r[0] is not None else None, r[1]) for i, r in enumerate(odd_rows)]
+    got = defaultdict(list)
+    for r in linededup.dedup_lines(docs_of(spark, [(*r, None, None) for r in rows])).collect():
+        got[r.doc_id].append((r.n_lines, r.n_removed, r.text))
+    assert got[1] == [(3503, 500, "\n".join(lines + short + ["own line at the end of the long text here it is now"]))]
+    assert got[2] == [(63, 60, "\n".join(["first own line", *short]))] * 2
+    assert got[3] == [(0, 0, None)] and got[4] == [(1, 0, "")] and sum(map(len, got.values())) == len(rows)
+
+
 def test_mixing_targets_and_takes(spark, odd_rows):
     rng = random.Random(4)
     rows = odd_rows + [(100 + i, prose(rng, rng.randrange(1, 60)), "en", "big" if i % 3 else f"s{i % 5}") for i in range(300)]

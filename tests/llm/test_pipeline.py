@@ -146,13 +146,9 @@ def test_rows_with_nulls_only(spark, tmp_path):
         stage(spark, docs, str(tmp_path)).collect()
 
 
-def test_language_model_agrees_with_exact_sets(data):
-    """The bit-sliced table returns at least the languages of the exact sets."""
-    texts = [r[1] for r in data[1][:50] if r[1]]
-    for t in texts:
-        grams = langid.trigrams(t).tolist()
-        want = [ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in brute_trigrams(t)]
-        assert grams == want
+def test_trigrams_and_tokens_as_in_plain_python(data):
+    for t in [r[1] for r in data[1][:50] if r[1]]:
+        assert langid.trigrams(t).tolist() == [ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in brute_trigrams(t)]
     assert re.findall(decontam._TOKEN, "a_b c-d") == ["a_b", "c", "d"]
 
 
