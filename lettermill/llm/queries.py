@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import decontam, htmlmain, langid, licenses, linededup, media, mixing, sharding, simhash, urlfilter
+from lettermill.llm import decontam, fim, htmlmain, langid, licenses, linededup, media, mixing, resample, sharding, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(_table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.plan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1,
     "op2_benchmark_decontamination": op2,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Query] = {
     "op8_media_columns": op8,
     "op9_license_scan": op9,
     "op10_language_id": op10,
+    "op11_importance_resampling": op11,
+    "op12_fill_in_middle": op12,
 }
 
 # Of 13 words with at most 2 substitutions, 4 in a row agree; alignments with 4 equal words are compared word by word.
@@ -248,6 +258,55 @@ SELECT doc_id, path, own_license, own_score, coalesce(own_license, handed) AS li
 FROM r LEFT JOIN near USING (n)
 """
 
+# The checksum of each distinct word, by the table-driven form of CRC-32 (see _OP7).
+_OP11 = r"""
+WITH bits(b, c, k) AS MATERIALIZED (
+  SELECT range, list_reduce(list_prepend(range, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 0 FROM range(256)
+), t AS MATERIALIZED (SELECT list(c ORDER BY b) AS crc FROM bits
+), d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), dw AS (SELECT n, unnest(ws) AS w FROM d
+), bw AS (SELECT unnest(ws) AS w FROM b
+), v AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ('0x' || x)::BIGINT)),
+                            lambda c, x: xor(c // 256, crc[(xor(c, x) % 256 + 1)::INT])), 4294967295::BIGINT) % 10000 AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), t
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN v USING (w) GROUP BY bucket
+), tt AS (SELECT bucket, count(*) AS t FROM bw JOIN v USING (w) GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN s USING (bucket) LEFT JOIN tt USING (bucket)
+), w AS (SELECT n, sum(gain)::BIGINT AS weight FROM dw JOIN v USING (w) JOIN g USING (bucket) GROUP BY n
+), x AS (
+  SELECT n, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN w USING (n)
+), r AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rk, count(*) OVER () AS total FROM x WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rk <= 10 * total // 100 THEN rk END AS rank FROM x LEFT JOIN r USING (n)
+"""
+
+_OP12 = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), c AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(d, i, 8))::BIGINT) AS h FROM h
+), a AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+), p AS (
+  SELECT *, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:], '') AS suf FROM a
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2,
     "op3_line_dedup": _OP3,
@@ -255,4 +314,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": _OP5,
     "op7_sharding": _OP7,
     "op9_license_scan": _OP9,
+    "op11_importance_resampling": _OP11,
+    "op12_fill_in_middle": _OP12,
 }
