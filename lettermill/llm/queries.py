@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import decontam, fim, htmlmain, langid, licenses, linededup, media, mixing, resample, sharding, simhash, urlfilter
+from lettermill.llm import decontam, fim, htmlmain, langid, licenses, linededup, media, mixing, personal, resample, sharding, simhash, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(_table(spark, sf_dir, "documents"))
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1,
     "op2_benchmark_decontamination": op2,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op10_language_id": op10,
     "op11_importance_resampling": op11,
     "op12_fill_in_middle": op12,
+    "op13_personal_data": op13,
 }
 
 # Of 13 words with at most 2 substitutions, 4 in a row agree; alignments with 4 equal words are compared word by word.
