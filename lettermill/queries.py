@@ -770,23 +770,6 @@ def manual_check_sample(spark, sf_dir):
 # ---------------------------------------------------------------- models and streams
 
 
-@query()
-def train_and_benchmark(spark, sf_dir):
-    """Split, train on documents with labels, tune on val, report on test."""
-    from lettermill.plans import classifier
-
-    names = ("quality", "toxic")
-    gold = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array_compact(F.array(*[F.when(F.col(c) == 1, c) for c in names])).alias("labels"))
-    rows = gold.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    # the nine classes take the place of the table's two: quality as aanvraag, toxic as klacht
-    rename = F.create_map(F.lit("quality"), F.lit("aanvraag"), F.lit("toxic"), F.lit("klacht"))
-    rows = rows.withColumn("labels", F.transform("labels", lambda x: F.element_at(rename, x)))
-    split = datasets.stratified_split(rows).persist()
-    part = lambda name: split.where(F.col("split") == name).withColumn("eval_set", F.lit(name))
-    model, _ = classifier.choose(part("train"), part("val"), [{"reg": 0.01}, {"reg": 0.1}], max_iter=10)
-    return _rounded(classifier.tune_and_report(model, part("val"), part("test")))
-
-
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
     """Users by a resumable stream. A landed backlog has one watermark delay: the time that its events span, and a day."""

@@ -238,24 +238,3 @@ def stream_observed_counts(spark, sf_dir):
 
     landed.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/counts").agg(*[F.sum(c).alias(c) for c in ("total", "clicks", "large")])
-
-
-@query("SELECT doc_id AS id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def stream_scores(spark, sf_dir):
-    """A classifier fitted on one half of the labelled documents scores all of them as they land; ids of rows whose scores equal the batch's."""
-    from lettermill.plans import classifier
-    from lettermill.streaming import jobs
-
-    out = new_path(spark, "stream")
-    gold = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.array(F.lit("klacht"))).otherwise(F.array(F.lit("aanvraag"))).alias("labels"))
-    rows = gold.dropDuplicates(["doc_id"]).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    rows.select(F.col("doc_id").alias("id"), "text", "labels").write.parquet(f"{out}/in")
-    rows = spark.read.parquet(f"{out}/in")
-    model = classifier.train(rows.where("id % 2 = 0"), max_iter=5)
-    classifier.save(model, f"{out}/model")
-    stored = classifier.load(f"{out}/model", list(model.models))
-    landed = jobs.read_landing(spark, f"{out}/in", rows.schema)
-    jobs.collect_new(jobs.score_stream(landed, stored).select("id", "top_label", "top_score"), f"{out}/scores", f"{out}/state").awaitTermination()
-    batch = L.classify(model.score(rows).withColumn("probs", L.sigmoid(F.col("logits"))), "text", "probs").select("id", "top_label", "top_score")
-    same = F.col("s.top_label").eqNullSafe(F.col("b.top_label")) & F.col("s.top_score").eqNullSafe(F.col("b.top_score"))
-    return spark.read.parquet(f"{out}/scores").alias("s").join(batch.alias("b"), "id").where(same).select("id")

@@ -19,7 +19,7 @@ def run_sql(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "~"
     if hasattr(v, "tolist"):
         v = v.tolist()

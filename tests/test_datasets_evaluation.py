@@ -183,13 +183,13 @@ def letters(n, seed=0):
 def trained(spark):
     cols = "id int, text string, labels array<string>, eval_set string"
     make = lambda n, s: spark.createDataFrame(letters(n, s), cols)
-    model, history = classifier.choose(make(150, 1), make(60, 2), [{"reg": 0.01}, {"reg": 1.0}], max_iter=10, features=256)
+    model, history = classifier.choose(make(150, 1), make(60, 2), [{"reg": 0.01}, {"reg": 1.0}], max_iter=25, features=256)
     return model, history, make
 
 
 def test_model_learns_and_reports(spark, trained):
     model, history, make = trained
-    assert set(model.models) == {"klacht", "bezwaar", "melding"} and history.count() == 2
+    assert set(model.heads) == {"klacht", "bezwaar", "melding"} and history.count() == 2
     report = {(r.family, r.label, r.metric): r.value for r in classifier.tune_and_report(model, make(60, 2), make(60, 3)).collect()}
     assert report["argmax", "klacht", "f1"] > 0.9 and report["tuned", "bezwaar", "f1"] > 0.9
     assert len(classifier.loss_history(model)) > 6
