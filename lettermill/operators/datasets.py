@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermill.functions.once import packed
 from lettermill.functions.ranks import group_ranks
 from lettermill.functions.storage import cut
 
@@ -122,3 +123,19 @@ def metadata_report(split: DataFrame, labels_col: str = "labels", source_col: st
     as_map = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("key").isNotNull(), F.struct("key", "n")))))
     is_split = F.col("kind") == "split"
     return long.agg(total(is_split)("n_total"), *[total(is_split & (F.col("key") == s))(f"n_{s}") for s in ("train", "val", "test")], as_map("label").alias("label_distribution"), as_map("source").alias("source_distribution"))
+
+
+def sample_by_label(df: DataFrame, k: int, id_col: str = "id", labels_col: str = "labels", seed: int = 42) -> DataFrame:
+    """(label, nth, *columns of df): for each label, and for rows without one, the k rows with the smallest hashes of their id.
+
+    Exact sizes: k, or all rows of a rarer label; a row with several labels is drawn for each by itself.
+    A row's place depends on its id and the seed alone, so samples of parts can be merged into that of
+    the whole. Tasks keep their own k smallest before the shuffle (a window with a limit on its rank is
+    cut in the tasks), so a label's task sees k rows a task, whatever the label's size. Among equal hashes
+    the smaller id comes first.
+    """
+    has = F.coalesce(F.col(labels_col), F.array().cast("array<string>"))
+    label = F.explode(F.when(F.size(has) == 0, F.array(F.lit(NONE))).otherwise(F.array_distinct(has)))
+    each = packed(df, label=label, key=F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))), id=F.col(id_col))
+    first = each.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy("key", "id"))).where(F.col("nth") <= k)
+    return first.select("label", "nth", "row.*")

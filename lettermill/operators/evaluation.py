@@ -97,6 +97,28 @@ def label_scores(scored: DataFrame, thresholds: DataFrame | None = None, keys: S
     return _scores(wide.select(*keys, "label_id", "n_true", F.explode(families).alias("f")).select(*keys, "label_id", "n_true", "f.*"), keys)
 
 
+def segment_scores(scored: DataFrame, segments: Sequence[Sequence[str]], thresholds: Sequence[float] = (DEFAULT,), keys: Sequence[str] = KEYS) -> DataFrame:
+    """(*keys, *segment columns, level, threshold, label_id, label, tp, n_pred, n_true, precision, recall, f1) for many groupings in one pass.
+
+    `segments` lists groupings, each a set of columns of scored; () is the whole set. Cells are counted
+    once, by grouping sets, and `level` names the columns that a row is grouped by, so a null value of
+    a segment is told from a row over all its values.
+    """
+    columns = list(dict.fromkeys(c for s in segments for c in s))
+    kept = scored.withColumn("_seg", F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(0).alias("none")))
+    each = cells(kept, (*keys, "_seg")).select(*keys, *[F.col(f"_seg.`{c}`").alias(c) for c in columns], "label_id", "p", "y")
+    sums = [F.count_if(F.col("y") == 1).alias("n_true")]
+    for i, t in enumerate(thresholds):
+        sums += [F.count_if(F.col("p") >= t).alias(f"_pred{i}"), F.count_if((F.col("p") >= t) & (F.col("y") == 1)).alias(f"_tp{i}")]
+    base = [*keys, "label_id"]
+    grouped = each.groupingSets([[F.col(c) for c in (*base, *s)] for s in segments], *[F.col(c) for c in (*base, *columns)])
+    level = F.concat_ws(",", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns]) if columns else F.lit("")
+    wide = grouped.agg(level.alias("level"), *sums)
+    tried = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_tp{i}").alias("tp"), F.col(f"_pred{i}").alias("n_pred")) for i, t in enumerate(thresholds)]))
+    long = wide.select(*base, *columns, "level", "n_true", tried.alias("f")).select(*base, *columns, "level", "n_true", "f.*")
+    return _scores(long.withColumn("family", F.lit("threshold")), (*keys, *columns, "level", "threshold")).drop("family")
+
+
 def averages(scores: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(*keys, family, macro_f1, micro_f1): macro over all nine labels, with 0 for those without cases."""
     micro = _ratio(F.sum("tp") * 2.0, F.sum("n_pred") + F.sum("n_true"))

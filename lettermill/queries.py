@@ -17,7 +17,7 @@ from lettermill.functions import pii, quotes
 from lettermill.functions import text as T
 from lettermill.functions.storage import new_path
 from lettermill.operators import agreement, candidates, datasets, evaluation, prompts, redaction
-from lettermill.sources import catalog, council, examples, rulings
+from lettermill.sources import catalog, council, examples, rulings, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -772,16 +772,14 @@ def manual_check_sample(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
 def stream_first_seen(spark, sf_dir):
-    """Users by a resumable stream. A landed backlog has one watermark delay: the time that its events span, and a day."""
+    """Users by a resumable stream that asks what it has collected before."""
     from lettermill.streaming import jobs
 
     out = new_path(spark, "stream")
     # as a pattern, the path may be a file or a folder
     landed = jobs.read_landing(spark, f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema)
-    span = table(spark, sf_dir, "events").agg(F.ceil((F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))) / 86_400).alias("days")).first()["days"] or 0
-    new = jobs.first_seen(landed, "user_id", "ts", f"{span + 1} days")
-    jobs.collect_new(new, f"{out}/rows", f"{out}/state").awaitTermination()
-    return spark.read.parquet(f"{out}/rows").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    jobs.collect_unseen(landed, "user_id", f"{out}/rows", f"{out}/state").awaitTermination()
+    return jobs.collected(spark, f"{out}/rows", landed.schema).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(rf"SELECT record_id, count(*) AS n FROM (SELECT doc_id::VARCHAR AS record_id, unnest(regexp_extract_all(text, '\b{_EMAIL_SQL}')) FROM documents) GROUP BY record_id")
@@ -792,4 +790,4 @@ def stream_redaction_audit(spark, sf_dir):
     out = new_path(spark, "stream")
     landed = jobs.read_landing(spark, f"{sf_dir}/document[s].parquet", table(spark, sf_dir, "documents").schema)
     jobs.redact_stream(landed.select("doc_id", "text"), f"{out}/text", f"{out}/audit", f"{out}/state", id_cols=("doc_id",)).awaitTermination()
-    return spark.read.parquet(f"{out}/audit").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.read_audit(spark, f"{out}/text", f"{out}/audit", "record_id string").groupBy("record_id").agg(F.count(F.lit(1)).alias("n"))

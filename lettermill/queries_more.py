@@ -138,8 +138,8 @@ def sink_redacted(spark, sf_dir):
     """Redacted letters and the audit lie in two folders; each replacement is in both."""
     done, out = redaction.pseudonymize(letters(spark, sf_dir)), new_path(spark, "redacted")
     sinks.save_redacted(done.drop("spans"), redaction.audit(done), f"{out}/text", f"{out}/audit")
-    text = spark.read.schema("id long, text string").json(f"{out}/text").select("id", F.regexp_count("text", F.lit(r"\[(BSN|EMAIL|IBAN|POSTCODE|TELEFOON)\]")).alias("n_placeholders"))
-    audited = spark.read.schema("record_id string").json(f"{out}/audit").groupBy(F.col("record_id").cast("long").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("n_audited"))
+    text = sinks.read_redacted(spark, f"{out}/text", "id long, text string").select("id", F.regexp_count("text", F.lit(r"\[(BSN|EMAIL|IBAN|POSTCODE|TELEFOON)\]")).alias("n_placeholders"))
+    audited = sinks.read_audit(spark, f"{out}/text", f"{out}/audit", "record_id string").groupBy(F.col("record_id").cast("long").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("n_audited"))
     return text.join(audited, "id", "left").select("id", F.coalesce("n_audited", F.lit(0)).alias("n_audited"), "n_placeholders")
 
 

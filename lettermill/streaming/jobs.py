@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
+from lettermill.operators.datasets import unseen
 from lettermill.operators.redaction import audit, pseudonymize
+from lettermill.sources import committed
+from lettermill.sources.sinks import save_redacted
 
 
 def read_landing(spark: SparkSession, path: str, schema: StructType, format: str = "parquet", **options: str) -> DataFrame:
@@ -29,13 +32,48 @@ def collect_new(stream: DataFrame, path: str, checkpoint: str, format: str = "pa
     return stream.writeStream.format(format).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def collect_unseen(stream: DataFrame, key: str, path: str, checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
+    """Append the rows whose key path does not hold yet, once a key, and stop; nothing is ever forgotten.
+
+    What path holds is the ledger, so a run after any pause, or one whose checkpoint was lost, collects
+    no key twice. Of rows with one key in a batch the first by `order` stays; rows without a key are
+    kept once a batch. The ledger's keys that the batch has are found first, by a scan of one column
+    that the batch's keys filter, so no more of the ledger than these is shuffled. Read the result
+    with `collected`.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        name = f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'run'}-{number:09d}"
+        if committed.is_committed(spark, f"{path}/log", name):
+            return
+        rows = batch
+        if order:
+            first = F.min_by(F.struct(*[F.col(c) for c in batch.columns]), F.struct(*[F.col(c) for c in order]))
+            rows = batch.groupBy(F.col(key).alias("_key")).agg(first.alias("row")).select("row.*")
+        rows = rows.persist()
+        known = collected(spark, path, batch.schema).select(key).join(rows.select(key), key, "left_semi")
+        committed.commit({f"{path}/rows": unseen(rows, known, key)}, f"{path}/log", name)
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def collected(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows that collect_unseen has committed to path."""
+    return committed.read(spark, f"{path}/log", f"{path}/rows", schema)
+
+
 def redact_stream(stream: DataFrame, path: str, audit_path: str, checkpoint: str, text_col: str = "text", id_cols: tuple[str, ...] = ("id",)) -> StreamingQuery:
-    """Redacted rows to one folder, original values to another; each batch overwrites its own part, so replays are safe."""
+    """Redacted rows to one folder, original values to another, by one commit a batch.
+
+    A replayed batch is committed once, and readers (sinks.read_redacted) see both parts of it or none.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        name = f"{batch.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId') or 'run'}-{number:09d}"
         done = pseudonymize(batch, text_col).persist()
-        done.drop("spans").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        audit(done, id_cols).write.mode("overwrite").parquet(f"{audit_path}/batch={number}")
+        save_redacted(done.drop("spans"), audit(done, id_cols), path, audit_path, name)
         done.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

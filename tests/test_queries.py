@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
-from lettermill import queries_more, queries_training  # noqa: F401
+from lettermill import queries_more, queries_sources, queries_training  # noqa: F401
 from lettermill.queries import ORACLES, QUERIES
 from tests.oracle import differences, run_sql
 
