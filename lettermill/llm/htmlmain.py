@@ -7,20 +7,27 @@ entropy log k; a node's own importance is 1 - mean(log k) / log(m + PRIOR_PAGES)
 the presentation and over the features for the content: near 0 if all pages agree, 1 if all differ.
 PRIOR_PAGES stands for pages not seen that look otherwise, so few pages prove little. Composite
 importance goes bottom-up: a node's own importance and, faded by FADE a level, that of all nodes
-below it, weighted by their pages. A branch goes if no node in it reaches MIN_IMPORTANCE. Branches
-deeper than MAX_DEPTH are judged with their ancestor there. A page of which nothing would stay keeps
-its furniture.
+below it, weighted by their pages. A branch goes if no node in it reaches MIN_IMPORTANCE. MAX_DEPTH is the
+depth at which browsers stop nesting, too: what is opened deeper is a child of the element there. A
+page of which nothing would stay keeps its furniture.
 
 Markup that names its own role is removed on every page, as a lone page has no entropy: menus,
 footers, asides, forms, scripts, styles, headers outside the article, and elements with a class, id
-or role all of whose words speak of adverts, notices, comments and the like (`ad-banner`, not
-`has-ads`). Such a name counts for nothing on an element that holds the main element or an article,
-unless it says comment, and on headings and sections inside an article. If a page has no article and
-most of its text lies under a name of layout (sidebar, header, ...), the name is not believed.
-
-Which part: the articles, or, if one container outside of them has more text than they have
-together, what is outside (of that, what is in the main element, if anything is); without articles
-the main element, else all.
+or role that speaks of them. Words for adverts, consent and comments tell wherever a name begins or
+ends with them (`ad-slot`, `user-comments`) unless another word of it tells of a state (`has-ads`,
+`comments-open`); other words tell if all words of the name speak of noise or say nothing. A name
+counts for nothing inside code, on an element that holds the main element or an article (unless it
+says comment), and on headings inside an article; on sections there only comment words count.
+
+What would take the article with it is not believed: on pages without article and main element a
+name of layout or of a notice over more than half of the text, and a form over more than half of the
+prose (pages of some servers lie in one form). If nothing stays, names other than those of adverts,
+consent and comments are not believed.
+
+Which part: the articles. One container outside of them is taken instead if it has more text than
+they have and they are teasers: mostly links, headings alone, or several without the page's main
+heading. Of what is outside, what is in the main element, if anything is; without articles the main
+element, else all. A longer text beside a lone article, such as a discussion, does not replace it.
 
 Blocks: text between the boundaries of block elements. Character references are decoded, white
 space becomes one space, blocks are trimmed and joined by one line feed; empty ones vanish.
@@ -49,7 +56,9 @@ from lettermill.llm.common import cut
 PRIOR_PAGES = 4
 MIN_IMPORTANCE = 0.2
 FADE = 0.9
-MAX_DEPTH = 64
+#: A block of so many characters is prose, whatever its element.
+LONG_BLOCK = 80
+MAX_DEPTH = 512
 #: Furniture nodes of all hosts that may be broadcast (8 bytes each); beyond, the join is salted.
 BROADCAST_NODES = 500_000
 SALTS = 32
@@ -60,12 +69,17 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-NOISE = frozenset("head nav header footer aside form menu dialog script style noscript template iframe object svg canvas audio video button select textarea option".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+NOISE = frozenset("head nav header footer aside menu dialog script style noscript template iframe object svg canvas audio video button select textarea option label legend".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CODE = frozenset("pre code".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody table figure figcaption caption".split())
 # Words of a class, id or role that mark content which is none of the article's.
-FOREIGN_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice notices popup modal overlay comment comments disqus reply replies respond".split())
-COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond responses".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising adsbygoogle adslot adunit sponsor sponsored promo promotion gdpr cookie cookies consent".split())
+NOTICE_WORDS = frozenset("notice notices popup modal overlay".split())
+FOREIGN_WORDS = COMMENT_WORDS | ADVERT_WORDS | NOTICE_WORDS
+# Words beside which a name tells of a state or of another thing.
+STATE_WORDS = frozenset("has have with without no non not is are show hide hidden shown enable enabled disable disabled open opened closed allow allowed free loaded ready hoc count counter policy page layout body wrapper theme".split())
 # Words that mark parts of a layout, and words that say nothing beside them.
 LAYOUT_WORDS = frozenset(
     "banner newsletter subscribe subscription sidebar rail menu nav navbar navigation breadcrumb breadcrumbs toolbar footer header masthead share sharing social related recommended widget login signup pagination pager skip complementary contentinfo".split()
@@ -94,6 +108,9 @@ def _naming(attributes: str) -> tuple[str, frozenset[str], str]:
     noise: set[str] = set()
     for token in " ".join(found.values()).split():
         words = {w.lower() for w in _WORDS.findall(token)}
+        in_order = [w.lower() for w in _WORDS.findall(token) if not w.isdigit()]
+        if not words & STATE_WORDS:
+            noise |= (COMMENT_WORDS | ADVERT_WORDS) & {*in_order[:1], *in_order[-1:]}
         telling = words & (FOREIGN_WORDS | LAYOUT_WORDS)
         if telling and all(w in telling or w in NEUTRAL_WORDS or w.isdigit() for w in words):
             noise |= telling
@@ -109,32 +126,34 @@ def _child(above: int, label: str) -> int:
 class _Named:
     """An element whose name says noise, inside others of its kind."""
 
-    __slots__ = ("outer", "foreign", "comment", "believed", "chars")
+    __slots__ = ("outer", "foreign", "comment", "form", "believed", "chars", "prose")
 
-    def __init__(self, outer: _Named | None, words: frozenset[str]):
-        self.outer, self.believed, self.chars = outer, True, 0
-        self.foreign, self.comment = bool(words & FOREIGN_WORDS), bool(words & COMMENT_WORDS)
+    def __init__(self, outer: _Named | None, words: frozenset[str], form: bool):
+        self.outer, self.form, self.believed, self.chars, self.prose = outer, form, True, 0, 0
+        self.foreign, self.comment = bool(words & (COMMENT_WORDS | ADVERT_WORDS)), bool(words & COMMENT_WORDS)
 
 
 class Node:
     """An open or closed element; inline elements share the place of the block that holds them."""
 
-    __slots__ = ("name", "block", "ids", "label", "layout", "silent", "named", "article", "main", "parent")
+    __slots__ = ("name", "block", "ids", "label", "layout", "silent", "named", "article", "main", "code", "parent")
 
     def __init__(self, name: str, block: bool, parent: Node | None):
         self.name, self.block, self.parent = name, block, parent
         if parent is None:
-            self.ids, self.label, self.layout, self.silent, self.named, self.article, self.main = (), "", [], False, None, False, False
+            self.ids, self.label, self.layout, self.silent, self.named, self.article, self.main, self.code = (), "", [], False, None, False, False, False
         else:
             self.ids, self.label, self.layout = parent.ids, parent.label, parent.layout
-            self.silent, self.named, self.article, self.main = parent.silent, parent.named, parent.article, parent.main
+            self.silent, self.named, self.article, self.main, self.code = parent.silent, parent.named, parent.article, parent.main, parent.code
 
 
 class Block:
-    __slots__ = ("text", "node")
+    """A block's text, the element that it ends in, and how many of its characters are links'."""
+
+    __slots__ = ("text", "node", "linked")
 
-    def __init__(self, text: str, node: Node):
-        self.text, self.node = text, node
+    def __init__(self, text: str, node: Node, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 def _opened(name: str, attributes: str, parent: Node) -> Node:
@@ -155,10 +174,13 @@ def _opened(name: str, attributes: str, parent: Node) -> Node:
     node.main = parent.main or name == "main" or role == "main"
     node.article = parent.article or name == "article"
     node.silent = parent.silent or (name in NOISE and not (name == "header" and parent.article))
-    if parent.article:
-        words = words - {"header", "banner"} if name not in HEADINGS else frozenset()
-    if words and name not in ("html", "body", "main"):
-        node.named = _Named(parent.named, words)
+    node.code = parent.code or name in CODE
+    if parent.code:
+        words = frozenset()
+    elif parent.article:
+        words = frozenset() if name in HEADINGS else words & COMMENT_WORDS if name == "section" else words - {"header", "banner"}
+    if name == "form" or (words and name not in ("html", "body", "main")):
+        node.named = _Named(parent.named, words, name == "form")
     return node
 
 
@@ -169,15 +191,16 @@ def _same_noise(a: Node, b: Node) -> bool:
 def parse(page: str | None) -> tuple[list[Block], list[Node]]:
     """The blocks of a page in page order, furniture included, and its block elements."""
     page = page or ""
-    stack, out, held = [Node("", True, None)], [], []
+    stack, out, held, links = [Node("", True, None)], [], [], []
     nodes: list[Node] = []
     is_open: defaultdict[str, int] = defaultdict(int)
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
         if text:
-            out.append(Block(text, stack[-1]))
+            out.append(Block(text, stack[-1], sum(map(len, links))))
         held.clear()
+        links.clear()
 
     def close(at: int) -> None:
         for node in stack[at:]:
@@ -204,6 +227,8 @@ def parse(page: str | None) -> tuple[list[Block], list[Node]]:
             held.append(page[at:])
             break
         held.append(page[at : m.start()])
+        if is_open["a"]:
+            links.append(held[-1])
         at = m.end()
         if not m[2]:
             continue
@@ -260,19 +285,37 @@ def _is_noise(node: Node) -> bool:
     return node.silent or named is not None
 
 
+def _names(block: Block) -> Iterator[_Named]:
+    named = block.node.named
+    while named:
+        yield named
+        named = named.outer
+
+
+def _is_prose(block: Block) -> bool:
+    return block.node.name in PROSE or len(block.text) >= LONG_BLOCK
+
+
 def _disbelieve(found: list[Block]) -> None:
-    """Without an article or main element, a name of layout over most of the text is not believed."""
+    """Without an article or main element, what most of the text or prose lies under is not believed; adverts and comments are."""
     loud = [b for b in found if not b.node.silent]
     if any(b.node.article or b.node.main for b in loud):
         return
-    total = sum(len(b.text) for b in loud)
+    total, prose = sum(len(b.text) for b in loud), sum(len(b.text) for b in loud if _is_prose(b))
     for b in loud:
-        named = b.node.named
-        while named:
+        for named in _names(b):
             named.chars += len(b.text)
-            if not named.foreign and 2 * named.chars > total:
+            named.prose += len(b.text) * _is_prose(b)
+            if not named.foreign and (2 * named.prose > prose if named.form else 2 * named.chars > total):
+                named.believed = False
+
+
+def _believe_less(found: list[Block]) -> None:
+    """Where nothing would stay, only names of adverts, consent and comments are believed, and forms without prose."""
+    for b in found:
+        for named in _names(b):
+            if not named.foreign and (not named.form or named.prose):
                 named.believed = False
-            named = named.outer
 
 
 def _container(node: Node) -> Node:
@@ -281,13 +324,29 @@ def _container(node: Node) -> Node:
     return node
 
 
+def _article(node: Node) -> Node:
+    """The outermost article around a node in one."""
+    while node.parent is not None and node.parent.article:
+        node = node.parent
+    return node
+
+
+def _teasers(articles: list[Block]) -> bool:
+    """True if the articles point to texts rather than being one."""
+    roots = {id(_article(b.node)) for b in articles}
+    body = [b for b in articles if b.node.name not in HEADINGS]
+    if 2 * sum(b.linked for b in articles) > sum(len(b.text) for b in articles) or not body:
+        return True
+    return len(roots) > 1 and not any(b.node.name == "h1" for b in articles)
+
+
 def _main(kept: list[Block]) -> list[Block]:
     articles, outside = [b for b in kept if b.node.article], [b for b in kept if not b.node.article]
     if articles:
         chars: dict[int, int] = defaultdict(int)
         for b in outside:
             chars[id(_container(b.node))] += len(b.text)
-        if max(chars.values(), default=0) <= sum(len(b.text) for b in articles):
+        if max(chars.values(), default=0) <= sum(len(b.text) for b in articles) or not _teasers(articles):
             return articles
     return [b for b in outside if b.node.main] or outside
 
@@ -297,6 +356,9 @@ def main_text(page: str | None, furniture: frozenset[int] = frozenset()) -> str:
     found, _ = parse(page)
     _disbelieve(found)
     kept = [b for b in found if not _is_noise(b.node)]
+    if not kept:
+        _believe_less(found)
+        kept = [b for b in found if not _is_noise(b.node)]
     important = [b for b in kept if furniture.isdisjoint(b.node.ids)] if furniture else kept
     return "\n".join(b.text for b in _main(important or kept))
 

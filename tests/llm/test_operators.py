@@ -405,6 +405,30 @@ LAYOUTS = [
     ('<div class="Sidebar"><p>' + "Most of the text. " * 5 + "</p></div><p>tail</p>", ("Most of the text. " * 5).strip() + "\ntail"),
     ('<article><p>A</p></article><ol class="comment-list"><li><article class="comment-body"><p>' + "reader " * 50 + "</p></article></li></ol>", "A"),
     ('<article><header><h1>T</h1></header><p data-id="ad">x</p><div class="ad-banner">buy</div><footer>by me</footer></article>', "T\nx"),
+    # reader comments inside articles
+    ('<article><p>Body</p><section class="comments"><p>c1</p></section></article>', "Body"),
+    ('<article><p>Body</p><section id="comments"><h2>Comments</h2><p>c1</p></section><section id="discussion"><p>Kept</p></section></article>', "Body\nKept"),
+    ('<article><p>Body</p><div class="user-comments"><p>c1</p></div><div class="reader-comments"><p>c2</p></div></article>', "Body"),
+    ('<div class="layout comments-open"><p>Body</p><div id="fb-comments-2"><p>c1</p></div></div>', "Body"),
+    ('<article><p>Body</p><pre><span class="comment"># said</span> <span class="ad">x</span></pre></article>', "Body\n# said x"),
+    # pages in a form, in a notice, in a name
+    ('<form id="aspnetForm"><div><p>Whole page text</p></div><label>Search</label><select><option>x</option></select></form>', "Whole page text"),
+    ('<form id="aspnetForm"><nav>menu</nav><main><p>Whole page text</p></main></form>', "Whole page text"),
+    ('<p>The text of a page that has a form below it.</p><form><label>Name</label><p>Short words</p></form>', "The text of a page that has a form below it."),
+    ("<form><label>Name</label><input></form>", ""),
+    ('<div class="notice"><p>The whole thing is a notice</p></div>', "The whole thing is a notice"),
+    ('<div class="modal"><p>' + "Most of it. " * 9 + "</p></div><p>tail</p>", ("Most of it. " * 9).strip() + "\ntail"),
+    ('<div class="cookie-consent"><p>' + "We use cookies. " * 9 + "</p></div><p>tail</p>", "tail"),
+    ('<div class="ad"><p>only adverts</p></div>', ""),
+    # articles beside longer texts
+    ('<article><h1>T</h1><p>A short one.</p></article><div><p>' + "I think so, too. " * 40 + "</p></div>", "T\nA short one."),
+    ('<article><p>A short one.</p></article><div><p>' + "I think so, too. " * 40 + "</p></div>", "A short one."),
+    ('<div><p>' + "The story itself. " * 40 + '</p></div><article><a href="/x"><p>Read this, too</p></a></article>', ("The story itself. " * 40).strip()),
+    ('<div><h1>T</h1><p>' + "The story itself. " * 40 + "</p></div><article><p>More a</p></article><article><p>More b</p></article>", "T\n" + ("The story itself. " * 40).strip()),
+    # names of adverts
+    ('<article><p>Body</p><div class="ad-slot">buy</div><div id="gdpr-bar">ok?</div><ins class="adsbygoogle">buy</ins><div class="top-ad">buy</div><div class="google-ads">buy</div></article>', "Body"),
+    ('<div class="has-ads"><p>Body</p></div><div id="ad-300x250">buy</div>', "Body"),
+    ('<div class="loading-readme"><p>Body</p><div class="download header-shadow">Get it</div></div>', "Body\nGet it"),
     ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end", "deep\nend"),
 ]
 
