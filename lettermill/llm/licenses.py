@@ -6,9 +6,14 @@ files, the whole text are compared with templates of whole notices. Every line,
 templates of single statements, so a statement is found wrapped, behind comment marks or beside
 other sentences. Vectors hold term counts times idf; terms are runs of a-z and 0-9 of the
 lower-cased text. idf(t) = ln((1 + N) / (1 + df(t))) + 1 over all N texts; terms of no template have
-df 0, so foreign words lower a unit's cosine. A unit matches from a cosine of MIN_COSINE on. The
+df 0, so foreign words lower a unit's cosine. A unit matches from a cosine of MIN_COSINE on, if it
+holds what tells the license from its neighbours (MARKS): terms of each of its groups, such as the
+number of the version and `lesser`, and none of the terms that speak of another license. A unit
+whose best two licenses of a rank are less than MARGIN apart matches none: no license is better than
+a wrong one. Licenses that few use have templates, too, as competitors of those that many use. The
 best match gives the file its own license: a whole notice before a statement, a statement before
 those of LAST (which stand beside other licenses, too), then the higher score, then the first name.
+Tags (`SPDX-License-Identifier: MIT`) and titles (`MIT License`) are statements.
 
 Texts without a required term are skipped without loss: ordering a template's terms by idf, the
 common rest whose norm is below MIN_COSINE of the template's cannot reach the threshold alone.
@@ -28,6 +33,7 @@ clash.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -39,6 +45,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.common import cut
 
 MIN_COSINE = 0.8
+MARGIN = 0.01
 _NOT_TERM = "[^a-z0-9]+"
 LICENSE_FILE = r"(?i)^(licen[sc]e|copying|notice)(\..*)?$"
 # What starts a comment line, what parts paragraphs, and what ends a sentence.
@@ -93,6 +100,40 @@ _GPL_REST = (
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
 _MPL_REST = "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
+_MIT0_GRANT = _MIT_GRANT.replace(", subject to the following conditions:", ".")
+_MIT_DISCLAIMER = _MIT_REST[_MIT_REST.index("THE SOFTWARE") :]
+_MPL1 = (
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. "
+    "You may obtain a copy of the License at http://www.mozilla.org/MPL/"
+)
+
+
+def _gnu(name: str, version: str, thing: str = "program") -> tuple[str, str]:
+    """The usual notice of a GNU license: the grant, and the whole of it."""
+    use = _GPL_USE.replace("GNU General Public License", name).replace("version 3", f"version {version}").replace("This program", f"This {thing}")
+    rest = _GPL_REST.replace("GNU General Public License", name).replace("program", thing)
+    return use, f"{use} {rest}"
+
+
+#: GNU licenses as (license, name in notices, version, name in tags).
+_GNU = (
+    ("GPL-2.0", "GNU General Public License", "2", "GPL-2.0"),
+    ("GPL-3.0", "GNU General Public License", "3", "GPL-3.0"),
+    ("LGPL-2.1", "GNU Lesser General Public License", "2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License", "3", "LGPL-3.0"),
+    ("AGPL-3.0", "GNU Affero General Public License", "3", "AGPL-3.0"),
+)
+#: Creative Commons licenses as (license, letters, words).
+_CC = (
+    ("CC-BY-4.0", "BY", "Attribution"),
+    ("CC-BY-SA-4.0", "BY-SA", "Attribution-ShareAlike"),
+    ("CC-BY-NC-4.0", "BY-NC", "Attribution-NonCommercial"),
+    ("CC-BY-ND-4.0", "BY-ND", "Attribution-NoDerivatives"),
+    ("CC-BY-NC-SA-4.0", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("CC-BY-NC-ND-4.0", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+_DATES = {"GPL-2.0": "Version 2, June 1991", "GPL-3.0": "Version 3, 29 June 2007", "LGPL-2.1": "Version 2.1, February 1999", "LGPL-3.0": "Version 3, 29 June 2007", "AGPL-3.0": "Version 3, 19 November 2007"}
+
 # The wording of statements (part) and of whole notices by which licenses are declared.
 TEMPLATES = (
     ("Apache-2.0", "part", "Licensed under the Apache License, Version 2.0."),
@@ -108,6 +149,36 @@ TEMPLATES = (
     ("MIT", "part", _MIT_GRANT),
     ("MPL-2.0", "part", _MPL),
     ("proprietary", "part", "All rights reserved."),
+    # titles
+    ("Apache-2.0", "part", "Apache License Version 2.0"),
+    ("Apache-2.0", "part", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "part", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "part", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "part", "BSD 3-Clause License"),
+    ("ISC", "part", "ISC License"),
+    ("MIT", "part", "MIT License"),
+    ("MIT", "part", "The MIT License (MIT)"),
+    ("MIT-0", "part", "MIT No Attribution"),
+    ("MPL-2.0", "part", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "part", "Mozilla Public License Version 1.1"),
+    # competitors
+    ("MIT-0", "part", _MIT0_GRANT),
+    ("MPL-1.1", "part", _MPL1),
+    *[row for license, name, version, tag in _GNU for row in (
+        (license, "part", f"{name} {_DATES[license]}"),
+        (license, "part", f"{name} v{version}"),
+        (license, "part", f"This work is licensed under the {name}, version {version}."),
+        (license, "part", _gnu(name, version)[0]),
+        (license, "part", _gnu(name, version, "library")[0]),
+    ) if row != ("GPL-3.0", "part", "This work is licensed under the GNU General Public License, version 3.") and row != ("GPL-3.0", "part", _GPL_USE)],
+    *[row for license, letters, words in _CC for row in (
+        (license, "part", f"Licensed under CC {letters} 4.0."),
+        (license, "part", f"Creative Commons {words} 4.0 International License"),
+        (license, "part", f"This work is licensed under a Creative Commons {words} 4.0 International License."),
+    ) if row[2] not in ("Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.")],
+    # tags
+    *[(license, "part", f"SPDX-License-Identifier: {license}") for license in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", *[c[0] for c in _CC])],
+    *[(license, "part", f"SPDX-License-Identifier: {tag}{end}") for license, _, _, tag in _GNU for end in ("", "-only", "-or-later")],
     ("Apache-2.0", "whole", f"{_APACHE_USE} {_APACHE_REST}"),
     ("BSD-2-Clause", "whole", f"{_BSD_USE} {_BSD_KEEP} {_BSD_REST}"),
     ("BSD-3-Clause", "whole", f"{_BSD_USE} {_BSD_KEEP} {_BSD_NAME} {_BSD_REST}"),
@@ -115,13 +186,45 @@ TEMPLATES = (
     ("ISC", "whole", f"{_ISC} {_ISC_REST}"),
     ("MIT", "whole", f"{_MIT_GRANT} {_MIT_REST}"),
     ("MPL-2.0", "whole", f"{_MPL} {_MPL_REST}"),
+    ("MIT-0", "whole", f"{_MIT0_GRANT} {_MIT_DISCLAIMER}"),
+    *[(license, "whole", _gnu(name, version, thing)[1]) for license, name, version, _ in _GNU for thing in ("program", "library") if (license, thing) != ("GPL-3.0", "program")],
 )
+_SA, _NC, _ND = ("sa", "sharealike"), ("nc", "noncommercial"), ("nd", "noderivatives", "noderivs")
+_OTHER_GNU = ("lesser", "library", "affero", "lgpl", "agpl")
+# What tells a license from its neighbours, as groups of terms of each of which a unit holds one, and terms that it holds none of.
+MARKS: dict[str, tuple[tuple[tuple[str, ...], ...], tuple[str, ...]]] = {
+    "Apache-2.0": ((("apache",), ("2",)), ()),
+    "BSD-2-Clause": ((("2", "redistributions"),), ("3", "4", "endorse")),
+    "BSD-3-Clause": ((("3", "redistribution", "redistributions"),), ("2", "4")),
+    "ISC": ((("isc", "permission"),), ("mit",)),
+    "MIT": ((("mit", "permission"),), ("isc", "attribution")),
+    "MIT-0": ((("0", "attribution", "permission"),), ("isc", "following")),
+    "MPL-1.1": ((("1",), ("mozilla", "mpl")), ("0", "2")),
+    "MPL-2.0": ((("2",), ("mozilla", "mpl")), ("1",)),
+    "GPL-2.0": ((("2", "v2"), ("general", "gpl")), ("1", "3", "v3", *(t for t in _OTHER_GNU if t != "library"))),
+    "GPL-3.0": ((("3", "v3"), ("general", "gpl")), ("1", "2", "v2", *(t for t in _OTHER_GNU if t != "library"))),
+    "LGPL-2.1": ((("2", "v2"), ("1",), ("lesser", "lgpl")), ("3", "v3", "affero")),
+    "LGPL-3.0": ((("3", "v3"), ("lesser", "lgpl")), ("1", "2", "v2", "affero")),
+    "AGPL-3.0": ((("3", "v3"), ("affero", "agpl")), ("1", "2", "v2", "lesser")),
+    "CC-BY-4.0": ((("4",),), (*_SA, *_NC, *_ND, "1", "2", "3")),
+    "CC-BY-SA-4.0": ((("4",), _SA), (*_NC, *_ND, "1", "2", "3")),
+    "CC-BY-NC-4.0": ((("4",), _NC), (*_SA, *_ND, "1", "2", "3")),
+    "CC-BY-ND-4.0": ((("4",), _ND), (*_SA, *_NC, "1", "2", "3")),
+    "CC-BY-NC-SA-4.0": ((("4",), _NC, _SA), (*_ND, "1", "2", "3")),
+    "CC-BY-NC-ND-4.0": ((("4",), _NC, _ND), (*_SA, "1", "2", "3")),
+}
 #: Licenses whose statements count only if no other license is found.
 LAST = ("proprietary",)
 
 Templates = Sequence[tuple[str, str, str]]
 
 
+def marked(name: str, found: set[str]) -> bool:
+    """True if the terms tell the license from its neighbours."""
+    groups, others = MARKS.get(name, ((), ()))
+    return all(found & set(g) for g in groups) and not found & set(others)
+
+
 def terms(text: str) -> list[str]:
     return [t for t in re.split(_NOT_TERM, text.lower()) if t]
 
@@ -177,23 +280,36 @@ class Scorer:
         """struct(rank, score, license) of the best template of the kind for a unit's terms, score negated and rounded to 6 places."""
         rows = [(name, weights) for name, k, weights in self.rows if k == kind]
         words = sorted({t for _, weights in rows for t in weights} | set(self.idf))
-        entry = lambda t: F.struct(F.lit(self.idf[t]).alias("idf"), F.array(*[F.lit(w.get(t, 0.0) * self.idf[t]) for _, w in rows]).alias("pull"))
-        table = F.create_map(*[x for t in words for x in (F.lit(t), entry(t))])
+        # one literal each for what the terms pull and what the templates are
+        pulls = {t: {"idf": self.idf[t], "pull": [w.get(t, 0.0) * self.idf[t] for _, w in rows]} for t in words}
+        table = F.from_json(F.lit(json.dumps(pulls)), "map<string, struct<idf: double, pull: array<double>>>")
+        about = []
+        for name, _ in rows:
+            groups, others = MARKS.get(name, ((), ()))
+            about.append({"rank": 0 if kind == "whole" else 2 if name in LAST else 1, "license": name, "groups": groups, "others": others})
+        templates = F.from_json(F.lit(json.dumps(about)), "array<struct<rank: int, license: string, groups: array<array<string>>, others: array<string>>>")
+
+        def fits(t: Column) -> Column:
+            return F.forall(t["groups"], lambda g: F.arrays_overlap(found, g)) & ~F.arrays_overlap(found, t["others"])
+
+        def chosen(matches: Column) -> Column:
+            best = F.array_min(matches)
+
+            def apart(best: Column) -> Column:
+                other = F.array_min(F.filter(matches, lambda m: (m["rank"] == best["rank"]) & (m["license"] != best["license"])))
+                return F.when(other.isNull() | (F.round(other["score"] - best["score"], 6) >= MARGIN), best)
 
-        def pulled(i: int) -> Callable[[Column, Column], Column]:
-            return lambda a, b: a + b["n"] * F.coalesce(F.get(b["e"]["pull"], F.lit(i)), F.lit(0.0))
+            return _let(best, apart)
 
         def scored(bag: Column) -> Column:
             norm = F.sqrt(F.aggregate(bag, F.lit(0.0), lambda a, b: a + F.pow(b["n"] * F.coalesce(b["e"]["idf"], F.lit(self.unknown)), F.lit(2.0))))
+            zeros = F.transform(templates, lambda t: F.lit(0.0))
+            dots = F.aggregate(F.filter(bag, lambda b: b["e"].isNotNull()), zeros, lambda a, b: F.zip_with(a, b["e"]["pull"], lambda x, p: x + b["n"] * p))
 
             def of(norm: Column) -> Column:
-                each = []
-                for i, (name, _) in enumerate(rows):
-                    dot = F.aggregate(bag, F.lit(0.0), pulled(i))
-                    rank = 0 if kind == "whole" else 2 if name in LAST else 1
-                    score = F.when(norm > 0, -F.round(dot / norm, 6)).otherwise(0.0)
-                    each.append(F.struct(F.lit(rank).alias("rank"), score.alias("score"), F.lit(name).alias("license")))
-                return F.array_min(F.filter(F.array(*each), lambda m: m["score"] <= -MIN_COSINE))
+                each = F.zip_with(templates, dots, lambda t, d: F.struct(t["rank"].alias("rank"), F.when(norm > 0, -F.round(d / norm, 6)).otherwise(0.0).alias("score"), t["license"].alias("license"), t.alias("about")))
+                near = F.filter(each, lambda m: F.when(m["score"] <= -MIN_COSINE, fits(m["about"])).otherwise(False))
+                return _let(F.transform(near, lambda m: F.struct(m["rank"].alias("rank"), m["score"].alias("score"), m["license"].alias("license"))), chosen)
 
             return _let(norm, of)
 

@@ -219,6 +219,7 @@ FROM d
 """
 
 _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}', {}, '{}')".format(i, name, kind, 0 if kind == "whole" else 2 if name in licenses.LAST else 1, text.replace("'", "''")) for i, (name, kind, text) in enumerate(licenses.TEMPLATES))
+_MARK_ROWS = ", ".join("('{}', {}::VARCHAR[][], {}::VARCHAR[])".format(name, [list(g) for g in groups], list(others)) for name, (groups, others) in licenses.MARKS.items())
 _COMMENT_LINE, _PARAGRAPHS, _SENTENCES = (x.replace("'", "''") for x in (licenses.COMMENT_LINE, licenses.PARAGRAPHS, licenses.SENTENCES))
 _OP9 = rf"""
 WITH f AS (
@@ -248,9 +249,16 @@ WITH f AS (
   SELECT n, i, sqrt(sum((c * coalesce(idf, ln(1 + nd) + 1)) ** 2)) AS norm FROM lt CROSS JOIN total LEFT JOIN idf USING (t) GROUP BY n, i
 ), scores AS (
   SELECT n, i, license, rank, sum(lt.c * idf * w) AS dot FROM lt JOIN tw USING (t, kind) GROUP BY n, i, tid, license, rank
+), marks(license, groups, others) AS (VALUES {_MARK_ROWS}
+), held AS (SELECT n, i, list(t) AS ts FROM lt GROUP BY n, i
+), fitting AS (
+  SELECT n, i, rank, license, max(round(dot / norm, 6)) AS score FROM scores JOIN norms USING (n, i) JOIN held USING (n, i) LEFT JOIN marks USING (license)
+  WHERE round(dot / norm, 6) >= {licenses.MIN_COSINE} AND (groups IS NULL OR (len(list_filter(groups, lambda g: NOT list_has_any(ts, g))) = 0 AND NOT list_has_any(ts, others))) GROUP BY ALL
+), apart AS (
+  SELECT *, row_number() OVER (PARTITION BY n, i ORDER BY rank, score DESC, license) AS nth, score - lead(score) OVER (PARTITION BY n, i, rank ORDER BY score DESC, license) AS lead FROM fitting
 ), own AS (
-  SELECT n, license AS own_license, rank, round(dot / norm, 6) AS own_score FROM scores JOIN norms USING (n, i) WHERE round(dot / norm, 6) >= {licenses.MIN_COSINE}
-  QUALIFY row_number() OVER (PARTITION BY n ORDER BY rank, round(dot / norm, 6) DESC, license) = 1
+  SELECT n, license AS own_license, rank, score AS own_score FROM apart WHERE nth = 1 AND (lead IS NULL OR round(lead, 6) >= {licenses.MARGIN})
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY rank, score DESC, license) = 1
 ), r AS (SELECT * FROM g LEFT JOIN own USING (n)
 ), givers AS (
   SELECT dir AS from_dir, own_license AS handed FROM r WHERE hands_on AND own_license IS NOT NULL

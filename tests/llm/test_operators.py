@@ -598,15 +598,17 @@ def brute_license(path_texts):
     for path, text in path_texts:
         best = None
         for kind, unit in units_of(text, bool(re.search(licenses.LICENSE_FILE, (path or "").split("/")[-1]))) if text is not None else []:
-            a = vec(unit)
+            a, near = vec(unit), []
             for name, of, body in licenses.TEMPLATES:
-                if of != kind:
+                if of != kind or not licenses.marked(name, set(a)):
                     continue
                 b = vec(body)
                 score = round(sum(a[t] * b[t] for t in a if t in b) / (norm(a) * norm(b)), 6) if a else 0
-                found = (0 if kind == "whole" else 2 if name in licenses.LAST else 1, -score, name)
-                if score >= licenses.MIN_COSINE and (best is None or found < best):
-                    best = found
+                if score >= licenses.MIN_COSINE:
+                    near.append((0 if kind == "whole" else 2 if name in licenses.LAST else 1, -score, name))
+            first = min(near, default=None)
+            if first and all(x[0] != first[0] or x[2] == first[2] or round(x[1] - first[1], 6) >= licenses.MARGIN for x in near) and (best is None or first < best):
+                best = first
         out.append(best)
     return out
 
@@ -655,6 +657,76 @@ def test_license_scan_and_inheritance(spark):
     assert (got[20].license, got[20].from_dir) in (("CC-BY-4.0", "t"), ("ISC", "t"))
 
 
+_GPL = "This program is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep2} either version {v} of the License, or (at your option) any later version."
+#: Notices as they stand in files, and the license that they declare; None where it is none of the templates'.
+NOTICES = [
+    ("Released under the MIT License.", "MIT"),
+    ("MIT License", "MIT"),
+    ("The MIT License (MIT)\n\nCopyright (c) 2015 A. Person", "MIT"),
+    ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"),
+    ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"),
+    ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("# SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"),
+    ("<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->", "CC-BY-SA-4.0"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "Apache-2.0"),
+    ("Apache License Version 2.0, January 2004", "Apache-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "GPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0"),
+    ("Mozilla Public License Version 2.0", "MPL-2.0"),
+    (_GPL.format(sep=";", sep2=",", kind="", v="2"), "GPL-2.0"),
+    (_GPL.format(sep=":", sep2=",", kind="", v="3"), "GPL-3.0"),
+    (_GPL.format(sep=":", sep2=",", kind="Lesser ", v="3"), "LGPL-3.0"),
+    (_GPL.format(sep=";", sep2=";", kind="Lesser ", v="2.1").replace("program", "library"), "LGPL-2.1"),
+    (_GPL.format(sep=":", sep2=",", kind="Affero ", v="3"), "AGPL-3.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ('The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/', "MPL-1.1"),
+    # none of the templates': another version, another license, or a mere mention
+    (_GPL.format(sep=";", sep2=",", kind="", v="1"), None),
+    (_GPL.format(sep=";", sep2=",", kind="Library ", v="2").replace("program", "library").replace("version 2", "version 4"), None),
+    ("Licensed under CC BY 3.0.", None),
+    ("Licensed under CC BY-SA 3.0.", None),
+    ("Licensed under CC BY 2.5.", None),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Apache License Version 1.1", None),
+    ("SPDX-License-Identifier: Zlib", None),
+    ("SPDX-License-Identifier: BSL-1.0", None),
+    ("SPDX-License-Identifier: BSD-4-Clause", None),
+    ("SPDX-License-Identifier: GPL-1.0-only", None),
+    ("SPDX-License-Identifier: Unlicense", None),
+    ("SPDX-License-Identifier: CC-BY-3.0", None),
+    ("Released under the Boost License.", None),
+    ("Released under the zlib License.", None),
+    ("Mozilla Public License Version 1.0", None),
+    ("GNU GENERAL PUBLIC LICENSE\nVersion 1, February 1989", None),
+    ("GNU Free Documentation License Version 1.3, 3 November 2008", None),
+    ("Eclipse Public License - v 2.0", None),
+    ("The license of this house permits 2 dogs and version 3 of the rules", None),
+    ("The authors compared the MIT License with other licenses in their survey of code that students share", None),
+    ("Academic Free License version 3.0", None),
+    ("This is free and unencumbered software released into the public domain.", None),
+]
+
+
+def test_notices_as_they_stand_in_files(spark):
+    rng = random.Random(9)
+    assert len(NOTICES) >= 50 and sum(x is None for _, x in NOTICES) >= 20
+    rows = [(i, f"n/{i}.txt", text) for i, (text, _) in enumerate(NOTICES)] + [(1000 + i, f"p/{i}.txt", prose(rng, 60)) for i in range(300)]
+    got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, path string, text string")).collect()}
+    wrong = [(text, want, got[i]) for i, (text, want) in enumerate(NOTICES) if got[i] != want]
+    assert not wrong, wrong
+    assert all(v is None for k, v in got.items() if k >= 1000)
+
+
 TONGUES = {"aa": "ka ti mo su re", "bb": "ghu zeth brin olk", "cc": "çé ñu öß ła"}
 
 
