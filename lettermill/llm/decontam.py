@@ -1,21 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters, digits and underscores of the lower-cased text. A document overlaps a
-benchmark item if, at some alignment, WINDOW consecutive words agree with the item in all but at
-most MAX_SUBSTITUTIONS places. Items with MIN_WORDS to WINDOW - 1 words must occur whole, without
-a substitution; shorter items are too common to judge and match nothing. Scripts without blanks are
-not cut into words, so there a word is what stands between punctuation marks.
-
-Seeds: the WINDOW positions are dealt into MAX_SUBSTITUTIONS + 2 runs, and a mask looks at two of
-them (in general, ignores MAX_SUBSTITUTIONS), so for any places of the substitutions some mask
-ignores them all and its hash agrees. A document position is first looked up run by run, then under
-each mask whose runs all passed, in a Bloom filter of the benchmark's hashes (two bits set of
-BITS_PER_HASH a hash; MAX_FILTER_BITS, 32 MB, is its largest size, and a fuller filter lets more
-through and loses nothing); those that pass are joined with the benchmark's hashes and the words
-around the hit are compared one by one.
+Words are runs of letters, digits and underscores of the lower-cased text; in scripts without blanks
+(Han, kana, Thai, Lao, Burmese, Khmer) each character is a word. A document overlaps a benchmark item
+if, at some alignment, WINDOW consecutive words agree with the item in all but at most
+MAX_SUBSTITUTIONS places. A shorter item must occur as a whole, with substitutions in proportion to
+its length (one from 7 words on). Items of under MIN_WORDS words, which anybody may write, match the
+documents that consist of them.
+
+Seeds: the positions of a window with s substitutions are dealt into s + 2 runs, and a mask looks at
+two of them (in general, ignores s), so for any places of the substitutions some mask ignores them
+all and its hash agrees. A document position is first looked up run by run, then under each mask
+whose runs all passed, in a Bloom filter of the benchmark's hashes (two bits set of BITS_PER_HASH a
+hash; MAX_FILTER_BITS, 32 MB, is its largest size, and a fuller filter lets more through and loses
+nothing); those that pass are joined with the benchmark's hashes and the words around the hit are
+compared one by one.
 
 Cases: null and blank texts have no words, match nothing and stay. An item is matched by each of
-its rows; repeated documents give repeated counts. An empty benchmark or corpus gives no overlaps.
+its rows. Documents are told apart by id and text: those that share an id, or have none, have rows of
+their own, and a row that is given twice counts once. An empty benchmark or corpus gives no overlaps.
 Texts of any length are read whole, in pieces of CHUNK starts. Only ids and texts are read, so
 further columns cannot clash.
 """
@@ -49,20 +51,29 @@ CHUNK = 1 << 17
 #: Rows that a task hands on at a time, and words whose hashes it remembers.
 FLUSH, REMEMBERED = 20_000, 1 << 20
 
-_TOKEN = re.compile(r"\w+")
+# The blocks of scripts that are written without blanks.
+UNSPACED = (("0e00", "0eff"), ("1000", "109f"), ("1780", "17ff"), ("3040", "30ff"), ("3400", "4dbf"), ("4e00", "9fff"), ("f900", "faff"), ("00020000", "0003ffff"))
+_RANGES = "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in UNSPACED)
+_TOKEN = re.compile(rf"[^\W{_RANGES}]+|(?=\w)[{_RANGES}]")
 _BITMAP_BYTES = 4096  # of one group of Spark's bitmap functions
-_SCHEMA = "id bigint, pos int, key bigint, words array<bigint>"
-_COLUMNS = ["id", "pos", "key", "words"]
+_SCHEMA = "id string, text_key bigint, pos int, key bigint, words array<bigint>"
+_COLUMNS = ["id", "text_key", "pos", "key", "words"]
 
 
-def runs() -> list[tuple[int, ...]]:
-    """The runs of neighbouring offsets that the window is dealt into."""
-    return [tuple(map(int, run)) for run in np.array_split(np.arange(WINDOW), MAX_SUBSTITUTIONS + 2)]
+def substitutions(span: int) -> int:
+    """How many words of a window of `span` words may differ."""
+    return span * MAX_SUBSTITUTIONS // WINDOW
 
 
-def masks() -> list[tuple[int, ...]]:
+def runs(span: int = WINDOW) -> list[tuple[int, ...]]:
+    """The runs of neighbouring offsets that a window is dealt into; one where no word may differ."""
+    n = substitutions(span)
+    return [tuple(map(int, run)) for run in np.array_split(np.arange(span), n + 2 if n else 1)]
+
+
+def masks(span: int = WINDOW) -> list[tuple[int, ...]]:
     """Numbers of the runs that each mask looks at."""
-    return list(combinations(range(MAX_SUBSTITUTIONS + 2), 2))
+    return list(combinations(range(substitutions(span) + 2), 2)) if substitutions(span) else []
 
 
 def _number(name: str) -> np.uint64:
@@ -122,27 +133,27 @@ class _Filter:
         return first[self._is_set(keys[first] >> np.uint64(32))]
 
 
-#: Each run with the number that its hashes start from, and each mask with its own.
-_RUNS = [(run, _number(f"run {run}")) for run in runs()]
-_MASKS = [(i, j, _number(f"mask {i} {j}")) for i, j in masks()]
+#: For each span, its runs with the numbers that their hashes start from, and its masks with theirs.
+_RUNS = {span: [(run, _number(f"{span} run {run}")) for run in runs(span)] for span in range(1, WINDOW + 1)}
+_MASKS = {span: [(i, j, _number(f"{span} mask {i} {j}")) for i, j in masks(span)] for span in range(1, WINDOW + 1)}
 
 
 def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(starts, keys) of the windows of `span` words that pass: under each mask, or whole for short items."""
+    """(starts, keys) of the windows of `span` words that pass, under each mask, or under their one run."""
     n = len(words) - span + 1
     if n <= 0:
         return
-    if span < WINDOW:
-        keys = _mix(_sums(words, tuple(range(span)), n) + _number(f"{span} whole"))
-        at = held.passing(keys)
-        yield at, keys[at]
-        return
     sums, passed = [], []
-    for run, number in _RUNS:
+    for run, number in _RUNS[span]:
         sums.append(_sums(words, run, n))
+        keys = _mix(sums[-1] + number)
+        at = held.passing(keys)
+        if not _MASKS[span]:
+            yield at, keys[at]
+            return
         passed.append(np.zeros(n, dtype=bool))
-        passed[-1][held.passing(_mix(sums[-1] + number))] = True
-    for i, j, number in _MASKS:
+        passed[-1][at] = True
+    for i, j, number in _MASKS[span]:
         both = np.flatnonzero(passed[i] & passed[j])
         keys = _mix(sums[i][both] + sums[j][both] + number)
         at = held.passing(keys)
@@ -150,17 +161,19 @@ def _hits(words: np.ndarray, span: int, held: _Filter) -> Iterator[tuple[np.ndar
 
 
 def _run_keys(words: np.ndarray) -> np.ndarray:
-    """The run hashes of all windows, for the filter."""
-    n = max(0, len(words) - WINDOW + 1)
-    return np.concatenate([_mix(_sums(words, run, n) + number) for run, number in _RUNS])
+    """The run hashes of an item's windows, for the filter."""
+    span = min(len(words), WINDOW)
+    if not span:
+        return np.empty(0, dtype=np.uint64)
+    return np.concatenate([_mix(_sums(words, run, len(words) - span + 1) + number) for run, number in _RUNS[span]])
 
 
 def _groups(batch: pd.DataFrame, hashes: dict) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, word hashes of their texts one after another, ends of the texts in these) for texts of CHUNK words and more together."""
     ids, words, ends = [], [], []
-    for row_id, text in zip(batch["id"], batch["text"], strict=True):
+    for row_id, text_key, text in zip(batch["id"], batch["text_key"], batch["text"], strict=True):
         words += _TOKEN.findall((text or "").lower())
-        ids.append(row_id)
+        ids.append((row_id, text_key))
         ends.append(len(words))
         if len(words) >= CHUNK:
             yield ids, np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)), np.array(ends)
@@ -187,11 +200,11 @@ def _windows(spans: list[int], passes=None):
                             starts = starts + at
                             text = np.searchsorted(ends, starts, side="right")
                             whole = starts + span <= ends[text]
-                            if passes is None and span < WINDOW:
-                                whole &= lengths[text] == span  # a short item stands for itself only
+                            if span < MIN_WORDS or (passes is None and span < WINDOW):
+                                whole &= lengths[text] == span  # a short item stands for itself only, and the shortest match whole texts
                             first = starts - ends[text] + lengths[text]
                             for i, t, pos, key in zip(starts[whole].tolist(), text[whole].tolist(), first[whole].tolist(), keys[whole].view(np.int64).tolist(), strict=True):
-                                out.append((ids[t], pos, key, words[i : i + span].view(np.int64)))
+                                out.append((*ids[t], pos, key, words[i : i + span].view(np.int64)))
                                 if len(out) >= FLUSH:
                                     yield pd.DataFrame(out, columns=_COLUMNS)
                                     out = []
@@ -229,16 +242,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     Words are numbered from 0; most_equal is the best window's number of equal words.
     """
-    items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
+    found = _overlaps(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")))
+    return found.drop("text_key")
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The overlaps with the hash of the document's text. Ids travel as strings, so those of any type keep their digits."""
+    kinds = {"doc_id": docs.schema["doc_id"].dataType, "item_id": benchmark.schema["item_id"].dataType}
+    texts = lambda df, c: df.select(F.col(c).cast("string").alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    items = texts(benchmark, "item_id")
     count = F.pandas_udf(_lengths, IntegerType())
-    lengths = sorted(r.n for r in items.select(count("text").alias("n")).where(F.col("n").between(MIN_WORDS, WINDOW - 1)).distinct().collect())
+    lengths = sorted(r.n for r in items.select(count("text").alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
     spans = [WINDOW, *lengths]
     seeds = cut(items.mapInPandas(_windows(spans), _SCHEMA))
     keys = cut(seeds.select("key").union(items.mapInPandas(_all_keys, "key bigint")).distinct())
     n = seeds.count()
     passes = docs.sparkSession.sparkContext.broadcast(_filter(keys, keys.count()))
-    hits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(_windows(spans, passes), _SCHEMA)
-    hits = hits.select(F.col("id").alias("doc_id"), "pos", "key", "words")
+    hits = texts(docs, "doc_id").mapInPandas(_windows(spans, passes), _SCHEMA)
+    hits = hits.select(F.col("id").alias("doc_id"), "text_key", "pos", "key", "words")
     seeds = seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "key", F.col("words").alias("item_words"))
     if n <= BROADCAST_ROWS:
         met = hits.join(F.broadcast(seeds), "key")
@@ -247,17 +268,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         # fewer than one row for every SALT_ROWS hits
         hot = cut(hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SALT_ROWS).select("key", F.expr(f"cast(1 + n div {SALT_ROWS} AS int)").alias("salts")))
         salted = seeds.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-        dealt = hits.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        dealt = hits.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         met = dealt.join(salted, ["key", "salt"])
     equal = F.aggregate(F.zip_with("words", "item_words", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
     span = F.size("words")
-    met = met.where(span == F.size("item_words")).withColumn("equal", equal).where(F.col("equal") >= F.when(span == WINDOW, WINDOW - MAX_SUBSTITUTIONS).otherwise(span))
-    return met.groupBy("doc_id", "item_id").agg(
+    allowed = F.floor(span * MAX_SUBSTITUTIONS / F.lit(WINDOW))
+    met = met.where(span == F.size("item_words")).withColumn("equal", equal).where(F.col("equal") >= span - allowed)
+    return met.groupBy("doc_id", "text_key", "item_id").agg(
         F.count_distinct("pos", "item_pos").alias("n_windows"),
         F.min("pos").cast("long").alias("first_word"),
         F.max(F.col("pos") + span - 1).cast("long").alias("last_word"),
         F.max("equal").cast("long").alias("most_equal"),
-    )
+    ).withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,6 +289,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     key = F.xxhash64(F.col(text_col))
     with steps_to_one_table(docs.sparkSession):
-        dirty = cut(overlaps(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text").select(F.col("doc_id").alias("dirty")).distinct())
+        texts = docs.select(F.lit(None).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+        dirty = cut(_overlaps(texts, benchmark.select("item_id", "text")).select(F.col("text_key").alias("dirty")).distinct())
     rows = packed(docs, text_key=key)
     return rows.join(dirty, F.col("text_key") == F.col("dirty"), "left_anti").select("row.*")

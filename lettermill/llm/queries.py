@@ -96,25 +96,32 @@ QUERIES: dict[str, Query] = {
     "op13_personal_data": op13,
 }
 
-# Of 13 words with at most 2 substitutions, 4 in a row agree; alignments with 4 equal words are compared word by word.
-_OP2 = r"""
-WITH dt AS (
-  SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM documents)
+# Of 13 words with at most 2 substitutions, 4 in a row agree; alignments with 4 equal words, and of shorter items with one, are compared word by word.
+_UNSPACED = "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in decontam.UNSPACED)
+_WORDS = rf"regexp_extract_all(regexp_replace(lower(text), '([{_UNSPACED}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}_]+')"
+_OP2 = rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, doc_id, {_WORDS} AS ws FROM (SELECT DISTINCT doc_id, text FROM documents)
+), dt AS (
+  SELECT n AS doc, len(ws) AS n_words, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM docs
 ), it AS (
-  SELECT item_id, len(ws) AS n, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM benchmark) WHERE len(ws) >= 5
+  SELECT item_id, len(ws) AS n, unnest(ws) AS t, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)
 ), dg AS (
-  SELECT doc_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM dt WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT doc, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM dt WINDOW w AS (PARTITION BY doc ORDER BY i)
 ), ig AS (
-  SELECT item_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM it WINDOW w AS (PARTITION BY item_id ORDER BY i)
+  SELECT item_id, i, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w AS g FROM it WHERE n >= {decontam.WINDOW} WINDOW w AS (PARTITION BY item_id ORDER BY i)
 ), aligned AS (
-  SELECT DISTINCT doc_id, item_id, dg.i - ig.i AS d FROM dg JOIN ig USING (g)
+  SELECT doc, item_id, dg.i - ig.i AS d FROM dg JOIN ig USING (g)
+  UNION SELECT doc, item_id, dt.i - it.i FROM dt JOIN it USING (t) WHERE n < {decontam.WINDOW} AND (n >= {decontam.MIN_WORDS} OR n = n_words)
 ), eq AS (
-  SELECT a.doc_id, a.item_id, d, n, it.i AS j, (dt.t = it.t)::INT AS e FROM aligned a JOIN it USING (item_id) JOIN dt ON dt.doc_id = a.doc_id AND dt.i = it.i + d
+  SELECT a.doc, a.item_id, d, n, it.i AS j, (dt.t = it.t)::INT AS e FROM aligned a JOIN it USING (item_id) JOIN dt ON dt.doc = a.doc AND dt.i = it.i + d
 ), win AS (
-  SELECT *, sum(e) OVER w AS s, count(*) OVER w AS c FROM eq WINDOW w AS (PARTITION BY doc_id, item_id, d ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+  SELECT *, sum(e) OVER w AS s, count(*) OVER w AS c, least(n, {decontam.WINDOW}) AS span FROM eq WINDOW w AS (PARTITION BY doc, item_id, d ORDER BY j ROWS BETWEEN CURRENT ROW AND {decontam.WINDOW - 1} FOLLOWING)
+), found AS (
+  SELECT doc, item_id, count(*) AS n_windows, min(j + d) AS first_word, max(j + d + span - 1) AS last_word, max(s)::BIGINT AS most_equal
+  FROM win WHERE c = span AND s >= span - span * {decontam.MAX_SUBSTITUTIONS} // {decontam.WINDOW} GROUP BY doc, item_id
 )
-SELECT doc_id, item_id, count(*) AS n_windows, min(j + d) AS first_word, max(j + d + least(n, 13) - 1) AS last_word, max(s)::BIGINT AS most_equal
-FROM win WHERE (n >= 13 AND c = 13 AND s >= 11) OR (n < 13 AND c = n AND s = n) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, n_windows, first_word, last_word, most_equal FROM found JOIN docs ON docs.n = found.doc
 """
 
 # The shortest runs with MIN_WORDS words from each line and up to each line; all but a run's first place go.

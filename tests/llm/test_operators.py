@@ -134,13 +134,25 @@ def test_keep_one_keeps_one_of_each_group(spark, odd_rows):
     assert kept[0].asDict().keys() == docs_of(spark, odd_rows).first().asDict().keys()
 
 
+def brute_words(text):
+    """Words of a text, character by character: those of scripts without blanks stand alone."""
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        alone = any(int(a, 16) <= ord(c) <= int(b, 16) for a, b in decontam.UNSPACED)
+        if (c.isalnum() or c == "_") and not alone:
+            word += c
+            continue
+        out += [word] * bool(word) + [c] * (alone and c.isalnum())
+        word = ""
+    return out
+
+
 def brute_overlap(doc, item):
-    t = re.findall(r"\w+", (doc or "").lower())
-    b = re.findall(r"\w+", (item or "").lower())
+    t, b = brute_words(doc), brute_words(item)
     if len(b) < decontam.MIN_WORDS:
-        return False
+        return bool(b) and t == b
     n = min(len(b), decontam.WINDOW)
-    allowed = decontam.MAX_SUBSTITUTIONS if len(b) >= decontam.WINDOW else 0
+    allowed = n * decontam.MAX_SUBSTITUTIONS // decontam.WINDOW
     return any(sum(x != y for x, y in zip(t[i : i + n], b[j : j + n], strict=True)) <= allowed for i in range(len(t) - n + 1) for j in range(len(b) - n + 1))
 
 
@@ -148,9 +160,9 @@ def test_decontamination_equals_brute_force(spark):
     rng = random.Random(2)
     many = [f"w{i}" for i in range(400)]
     text = lambda n: " ".join(rng.choice(many) for _ in range(n))
-    items = [(i, text(rng.choice([3, 6, 9, 13, 14, 30]))) for i in range(40)] + [(90, None), (91, "")]
-    docs = [(None, None), (1, None), (2, ""), (3, "w1 w2")]
-    for i in range(150):
+    items = [(i, text(rng.choice([3, 6, 7, 9, 12, 13, 14, 30]))) for i in range(40)] + [(90, None), (91, ""), (92, "w1 w2")]
+    docs = [(None, None), (1, None), (2, ""), (3, "w1 w2"), (4, "W1, w2!"), (5, "w1 w2 w1 w2")]
+    for i in range(200):
         words = text(rng.randrange(5, 80)).split()
         if i % 2:
             passage = rng.choice(items[:40])[1].split()
@@ -172,6 +184,27 @@ def test_every_pair_of_places_is_ignored_by_a_mask():
     for a in range(decontam.WINDOW):
         for b in range(decontam.WINDOW):
             assert any(all(a not in decontam.runs()[i] and b not in decontam.runs()[i] for i in m) for m in decontam.masks())
+    for span in range(1, decontam.WINDOW):
+        assert sorted(o for run in decontam.runs(span) for o in run) == list(range(span)) and decontam.substitutions(span) == (span >= 7)
+        for a in range(span if decontam.substitutions(span) else 0):
+            assert any(all(a not in decontam.runs(span)[i] for i in m) for m in decontam.masks(span))
+
+
+def test_decontamination_of_scripts_without_blanks_and_of_shared_ids(spark):
+    item = "今日は天気がいいから散歩しましょうと彼は言いましたそして出かけた"
+    passage = " ".join(f"p{i}" for i in range(14))
+    docs = [(1, f"前の文{item}後の文"), (2, "今日は天気が悪いので家で本を読みました"), (3, "abc" + item.replace("散", "走") + "x"), (None, passage), (None, f"{passage} more"), (None, "other words"), (7, passage), (7, f"z {passage}"), (7, f"z {passage}"), (8, "free")]
+    bench = spark.createDataFrame([(1, item), (2, passage)], "item_id bigint, text string")
+    frame = docs_of(spark, [(*d, None, None) for d in docs])
+    got = sorted(((r.doc_id, r.item_id, r.n_windows, r.first_word) for r in decontam.overlaps(frame, bench).collect()), key=repr)
+    texts = {(d, t) for d, t in docs}
+    assert sorted(((d, i) for d, i, *_ in got), key=repr) == sorted(((d, i) for d, t in texts for i, b in ((1, item), (2, passage)) if brute_overlap(t, b)), key=repr)
+    assert sorted(g[2:] for g in got if g[0] == 7) == [(2, 0), (2, 1)] and [g for g in got if g[0] is None] == [(None, 2, 2, 0)] * 2
+    assert sorted({r.doc_id for r in decontam.clean(frame, bench).collect()}, key=repr) == [2, 8, None]
+    large = spark.createDataFrame([((1 << 60) + 1, passage), (None, passage)], "doc_id bigint, text string")
+    assert {r.doc_id for r in decontam.overlaps(large, bench).collect()} == {(1 << 60) + 1, None}
+    named = spark.createDataFrame([("a:1", passage)], "doc_id string, text string")
+    assert decontam.overlaps(named, bench).first().doc_id == "a:1"
 
 
 def test_decontamination_salted_join_and_long_text(spark, monkeypatch):
@@ -190,17 +223,17 @@ def test_decontamination_salted_join_and_long_text(spark, monkeypatch):
 def test_decontamination_finds_items_at_every_place_past_a_chunk(monkeypatch):
     """The last windows of a text of every length are hashed, those of short items, too."""
     monkeypatch.setattr(decontam, "CHUNK", 40)
-    for span in (5, 12, 13):
+    for span in (5, 6, 12, 13):
         item = [f"k{i}" for i in range(span)]
         for rest in range(1, 54):
             text = " ".join([f"z{i}" for i in range(40 + rest - span)] + item) if 40 + rest >= span else ""
             keys = {k for _, ks in decontam._hits(decontam.word_hashes(" ".join(item)), span, decontam._Filter(None)) for k in ks.tolist()}
             import pandas as pd
 
-            rows = pd.concat(list(decontam._windows([span], type("Held", (), {"value": None}))(iter([pd.DataFrame({"id": [1], "text": [text]})]))))
+            rows = pd.concat(list(decontam._windows([span], type("Held", (), {"value": None}))(iter([pd.DataFrame({"id": ["1"], "text_key": [1], "text": [text]})]))))
             starts = {(p, k) for p, k in zip(rows["pos"], rows["key"].to_numpy().view(np.uint64).tolist(), strict=True)}
             assert {(40 + rest - span, k) for k in keys} <= starts
-            assert len(rows) == (40 + rest - span + 1) * (6 if span == 13 else 1)
+            assert len(rows) == (40 + rest - span + 1) * max(1, len(decontam.masks(span)))
 
 
 def brute_lines(rows, min_words):
