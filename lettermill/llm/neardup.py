@@ -16,7 +16,12 @@ and that this left in different components with each other. A large group of nea
 linked in the first two rounds and costs no square of its size. Texts whose prefixes share too few
 shingles with all others together, as those with a common passage, take no part. A pair goes on to the comparison if
 the number of shingles that its prefixes share allows the similarity: what both sets share beyond
-them lies outside one and the same prefix.
+them lies outside one and the same prefix. It also has to pass its parities: PARITY_BITS bits of a
+node say how many of its shingles fall to each of as many classes, even or odd. Each bit in which two
+nodes differ stands for at least one shingle that only one of them has, and a pair of x and y shingles
+that is similar enough has no more than (x + y) / 9 of these. The join of the last round tests this
+before it makes a pair, so a group of many texts that are near but not near enough to each other makes
+no rows for its pairs.
 
 Cases: null and blank texts are one node with no shingles. A text of fewer than five words is one
 shingle. Only the text is read.
@@ -29,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.llm.common import cut
@@ -45,6 +50,8 @@ HUBS = 8
 SALT_ROWS, MAX_SALTS = 1000, 64
 #: Nodes of candidates that may be broadcast to the texts; beyond, the texts are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bits of a node's parities: 128 bytes, whatever the text's length.
+PARITY_BITS = 1024
 _FACTORS = np.array([xxhash.xxh64_intdigest(str(i), 5) | 1 for i in range(SHINGLE_WORDS)], dtype=np.uint64)
 
 
@@ -81,6 +88,13 @@ def _simhash(found: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<i8")[0])
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits: whether the number of shingles of each class is odd."""
+    # the low bits of a hash deal it to a SimHash's count, the next ones to a class
+    counts = np.bincount((found >> np.uint64(8)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def _prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles in the global order (count in the sample, hash)."""
     n = len(found)
@@ -101,10 +115,10 @@ def _node_udf(table) -> Callable:
                 words = _words(text)
                 found = _shingles(words)
                 node = xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-                rows.append((node, len(found), _simhash(found), _prefix(found, frequent, counts).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["node", "size", "fp", "keys"])
+                rows.append((node, len(found), _simhash(found), _prefix(found, frequent, counts).view(np.int64), _parities(found)))
+            yield pd.DataFrame(rows, columns=["node", "size", "fp", "keys", "odd"])
 
-    return F.pandas_udf(nodes, "node bigint, size int, fp bigint, keys array<bigint>")
+    return F.pandas_udf(nodes, "node bigint, size int, fp bigint, keys array<bigint>, odd array<bigint>")
 
 
 def _sampled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,11 +138,11 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, size, fp, keys) for each row: its node, number of shingles, SimHash and prefix."""
+    """(doc_id, text_hash, node, size, fp, keys, odd) for each row: its node, number of shingles, SimHash, prefix and parities."""
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
     text = F.col(text_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _node_udf(table)(text).alias("s"))
-    return found.select("doc_id", "text_hash", "s.node", "s.size", "s.fp", "s.keys")
+    return found.select("doc_id", "text_hash", "s.node", "s.size", "s.fp", "s.keys", "s.odd")
 
 
 def _set_bytes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -168,6 +182,12 @@ def _possible(met: DataFrame) -> DataFrame:
     return met.where(fits).select("a", "b")
 
 
+def _near_enough(x: Column, y: Column, odd_x: Column, odd_y: Column) -> Column:
+    """True unless sizes or parities say that two nodes are not similar."""
+    differ = F.aggregate(F.zip_with(odd_x, odd_y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & ((NUM + DEN) * differ <= (DEN - NUM) * (x + y))
+
+
 def _anchored(of: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Pairs (a, b) of nodes by their SimHashes: the least nodes of linked ones, and every node with the least of its own."""
     least = cut(of.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")))
@@ -198,8 +218,9 @@ def _hopeful(shared: DataFrame) -> DataFrame:
 
 def _shared_keys(pairs: DataFrame, of: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) with their sizes x and y and the number n of prefix shingles that both have."""
-    side = lambda node, size, keys: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("keys").alias(keys))
-    met = pairs.distinct().join(side("a", "x", "ka"), "a").join(side("b", "y", "kb"), "b")
+    side = lambda node, size, keys, odd: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("keys").alias(keys), F.col("odd").alias(odd))
+    met = pairs.distinct().join(side("a", "x", "ka", "oa"), "a").join(side("b", "y", "kb", "ob"), "b")
+    met = met.where(_near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob")))
     return met.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
 
 
@@ -208,7 +229,7 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame],
 
     `rows` are the written nodes of docs; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
     """
-    of = cut(rows.select("node", "size", "fp", "keys").dropDuplicates(["node"]))
+    of = cut(rows.select("node", "size", "fp", "keys", "odd").dropDuplicates(["node"]))
     one = of.select(F.explode("keys").alias("key"), "node", "size")
     # a shingle of one node alone pairs nothing; the least and the greatest node tell
     met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
@@ -238,7 +259,9 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame],
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
     left = cut(across(second).withColumn("rank", rank).where("rank <= telling").drop("rank"))
     left = left.withColumn("salts", F.least(F.lit(MAX_SALTS), 1 + F.expr(f"n div {SALT_ROWS}")).cast("int"))
-    one = left.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
-    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    close = f"a < b AND r <> s AND {DEN} * least(x, y) >= {NUM} * greatest(x, y)"
-    return second.union(similar(one.join(other, ["key", "salt"]).where(close).select("a", "b")))
+    # only here nodes carry their parities, since here all nodes of a key meet
+    left = left.join(of.select("node", "odd"), "node")
+    one = left.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.col("odd").alias("oa"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
+    other = left.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.col("odd").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    same = one.join(other, (one["key"] == other["key"]) & (one["salt"] == other["salt"]) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & _near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob")))
+    return second.union(similar(same.select("a", "b")))

@@ -203,3 +203,48 @@ def test_rows_without_an_id_are_decontaminated_and_deduplicated(spark, tmp_path)
     assert clean == {rows[1], rows[2], rows[4]}
     kept = [r.text for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()]
     assert len(kept) == 3 and (" ".join(base) in kept) != (" ".join(near) in kept)
+
+
+def test_parities_never_rule_out_similar_sets():
+    """The bits in which two nodes differ are no more than the shingles that only one of them has."""
+    import numpy as np
+
+    from lettermill.llm import neardup
+
+    rng = random.Random(4)
+    for size in (0, 1, 5, 40, 300, 5000):
+        for _ in range(20):
+            a = np.unique(np.array([rng.getrandbits(64) for _ in range(size)], dtype=np.uint64))
+            kept = a[np.array([rng.random() < 0.85 for _ in a], dtype=bool)] if size else a
+            b = np.unique(np.append(kept, np.array([rng.getrandbits(64) for _ in range(rng.randint(0, size // 5 + 1))], dtype=np.uint64)))
+            differ = sum(bin(int(x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(neardup._parities(a), neardup._parities(b), strict=True))
+            assert len(neardup._parities(a)) * 64 == neardup.PARITY_BITS and differ <= len(np.setxor1d(a, b))
+
+
+def test_near_texts_that_are_not_near_enough_make_no_pairs(spark):
+    """Many texts with common passages, each below 0.8 to all others: nothing is linked and nothing is compared in the last round."""
+    from lettermill.llm import neardup, simhash
+
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(14):
+            words[rng.randrange(300)] = f"x{i}-{rng.randrange(10**6)}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    sets = [set(neardup.shingles(t).tolist()) for _, t in texts]
+    want = {(i, j) for i in range(120) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in want:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    assert kept == {find(i) for i in range(120)} and len(kept) > 60
