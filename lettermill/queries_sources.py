@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.storage import new_path
-from lettermill.operators import datasets, evaluation
-from lettermill.queries import _CELLS, _EXAMPLES_SQL, _FAMILIES, _THRESHOLDS, _rounded, query, scored, table
-from lettermill.sources import catalog, paged, sinks
+from lettermill.operators import datasets, evaluation, phrases
+from lettermill.queries import _CELLS, _EXAMPLES_SQL, _FAMILIES, _THRESHOLDS, _XML_SPARK, _dealt, _rounded, query, scored, table
+from lettermill.sources import catalog, paged, rulings, sinks
 from lettermill.streaming import jobs
 
 PAGE_ROWS = 50
@@ -161,3 +161,46 @@ SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(id || '|42'), i
 def sample_by_label(spark, sf_dir):
     """Twenty examples of each label for a check by hand, rare labels included."""
     return datasets.sample_by_label(scored(spark, sf_dir), 20).select("label", "nth", "id")
+
+
+# ---------------------------------------------------------------- large feeds and many phrases
+
+_NAMESPACES = 'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dcterms="http://purl.org/dc/terms/" xmlns:psi="http://psi.rechtspraak.nl/" xmlns:rs="http://www.rechtspraak.nl/schema/rechtspraak-1.0"'
+
+
+@query(
+    """
+SELECT 'ECLI:NL:RVS:2024:' || o_orderkey AS ecli, o_orderdate::DATE::VARCHAR AS decision_date, o_orderkey || '/A1' AS case_number, CASE WHEN o_orderkey % 2 = 0 THEN 'kort' ELSE 'inhoud' END AS summary,
+  'Volgens artikel 6:5 van de Awb (' || o_orderkey || ').' AS full_text, '6:5' AS articles
+FROM orders WHERE o_orderkey % 9 <> 0
+"""
+)
+def ruling_feed_file(spark, sf_dir):
+    """All rulings as one XML file that declares its name spaces once, read by as many tasks as it has parts; every ninth is not closed."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders.createOrReplaceTempView("orders")
+    named = F.replace("xml", F.lit("<rdf:Description>"), F.concat(F.lit("<rdf:Description><dcterms:identifier>"), "ecli", F.lit("</dcterms:identifier>")))
+    lines = spark.sql(_XML_SPARK).select(F.lit(1).alias("place"), F.replace(named, F.lit(f" {_NAMESPACES}"), F.lit("")).alias("value"))
+    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("place"), F.when(F.col("id") == 0, f"<feed {_NAMESPACES}>").otherwise("</feed>").alias("value"))
+    out = new_path(spark, "feed")
+    lines.union(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(out)
+    records = rulings.read_feed_records(spark, out, declarations=_NAMESPACES)
+    parsed = rulings.parse_rulings(_dealt(records, "ecli"))
+    return parsed.select("ecli", F.col("decision_date").cast("string").alias("decision_date"), "case_number", "summary", "full_text", F.array_join("awb_articles_cited", ",").alias("articles"))
+
+
+_PHRASE_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+
+
+@query(
+    rf"""
+WITH p AS (SELECT DISTINCT array_to_string(w[1:item_id % 3 + 2], ' ') AS phrase, len(w[1:item_id % 3 + 2]) AS m FROM (SELECT item_id, {_PHRASE_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+d AS (SELECT doc_id, {_PHRASE_WORDS} AS w FROM documents), r AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM d CROSS JOIN (VALUES (2), (3), (4)) v(m))
+SELECT doc_id AS id, phrase, count(*) AS n FROM r SEMI JOIN p USING (phrase) GROUP BY ALL
+"""
+)
+def phrase_counts(spark, sf_dir):
+    """The first words of every benchmark item, counted in all documents at once."""
+    first = phrases.words(F.col("text"))
+    table_of = table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(first, 1, (F.col("item_id") % 3 + 2).cast("int")), " ").alias("phrase"))
+    return phrases.phrase_counts(table(spark, sf_dir, "documents"), table_of, "doc_id")

@@ -194,3 +194,43 @@ def test_samples_by_label_have_exact_sizes_and_merge(spark):
     merged = datasets.sample_by_label(parts, 15)
     assert sorted((r.label, r.nth, r.id) for r in merged.collect()) == sorted((r.label, r.nth, r.id) for r in got.collect())
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_of_a_large_feed_are_read_in_parts(spark, tmp_path):
+    from lettermill.sources import rulings
+
+    rec = lambda i, body="": f'<open-rechtspraak a="1">\n<m:identifier>ECLI:{i}</m:identifier>\n<uitspraak><para>tekst {i} &lt;b&gt;</para>{body}</uitspraak></open-rechtspraak>\n'
+    whole = "<?xml version='1.0'?>\n<feed xmlns:m=\"u\">\n" + "".join(rec(i) for i in range(60)) + "<open-rechtspraak><uitspraak>kapot\n" + rec(60) + "<open-rechtspraak-x>no</open-rechtspraak-x>" + rec(61, "<b>") + "</feed>"
+    (tmp_path / "feed.xml").write_text(whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = rulings.read_feed_records(spark, str(tmp_path / "feed.xml"), declarations='xmlns:m="u"')
+        assert rows.rdd.getNumPartitions() > 4
+        got = {r.ecli: r.full_text for r in rulings.parse_rulings(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {f"ECLI:{i}": f"tekst {i} <b>" for i in range(61)} | {"ECLI:61": None}
+
+
+def test_phrases_are_counted_as_by_one_scan_each(spark):
+    import re
+
+    from lettermill.operators import phrases
+
+    rng = random.Random(5)
+    texts = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choice("ab bc Ab cd ée".split()) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, "")]
+    wanted = ["ab", "AB bc", "bc, cd", "cd cd ab", "ée", "nothing here", "", None, "ab bc"]
+    got = {(r.id, r.phrase): r.n for r in phrases.phrase_counts(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(p,) for p in wanted], "phrase string")).collect()}
+    want = {}
+    for i, text in texts:
+        w = re.findall(r"\w+", (text or "").lower())
+        for p in {" ".join(re.findall(r"\w+", (p or "").lower())) for p in wanted} - {""}:
+            n = p.count(" ") + 1
+            found = sum(" ".join(w[j : j + n]) == p for j in range(len(w) - n + 1))
+            if found:
+                want[i, p] = found
+    assert got == want and len(want) > 50
+    none = spark.createDataFrame([(None,)], "phrase string")
+    assert phrases.phrase_counts(spark.createDataFrame(texts, "id int, text string"), none).collect() == []
