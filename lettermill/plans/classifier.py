@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.labels import LABELS
 from lettermill.operators.evaluation import averages, benchmark, best_epoch, best_thresholds, label_scores
+from lettermill.sources.sinks import nest_metrics, save_report
 
 POSITIVE_WEIGHT = 8.0
 FEATURES = 1 << 14
@@ -269,3 +270,22 @@ def tune_and_report(classifier: Classifier, val_rows: DataFrame, test_rows: Data
     """Thresholds from val_rows, metrics on test_rows (with an eval_set column) in long form."""
     tuned = best_thresholds(classifier.score(val_rows), keys=()).select("label_id", "threshold")
     return benchmark(classifier.score(test_rows), tuned)
+
+
+def save_run(classifier: Classifier, runs: DataFrame, val_rows: DataFrame, test_rows: DataFrame, path: str) -> None:
+    """All that a training run leaves, below path: model, losses, the settings' scores on val_rows, and the report.
+
+    The report has the metrics on test_rows and, by label, the thresholds that val_rows give.
+    """
+    spark = val_rows.sparkSession
+    save(classifier, spark, f"{path}/model")
+    losses = spark.createDataFrame(loss_history(classifier), "label string, iteration int, objective double")
+    losses.write.mode("overwrite").parquet(f"{path}/losses")
+    runs.write.mode("overwrite").parquet(f"{path}/runs")
+    tuned = best_thresholds(classifier.score(val_rows), keys=()).select("label_id", "label", "threshold")
+    metrics = benchmark(classifier.score(test_rows), tuned.select("label_id", "threshold"))
+    sets = metrics.select("eval_set").distinct()
+    # the thresholds, nine at most, travel as a constant
+    each = F.explode(F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.threshold).alias("value")) for r in tuned.collect()])).alias("t")
+    chosen = sets.select("eval_set", each).select("eval_set", F.lit("tuned").alias("family"), "t.label", F.lit("threshold").alias("metric"), "t.value")
+    save_report(nest_metrics(metrics.unionByName(chosen)), f"{path}/report")

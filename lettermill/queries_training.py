@@ -16,6 +16,7 @@ from lettermill.functions.storage import new_path
 from lettermill.operators import datasets
 from lettermill.plans import classifier
 from lettermill.queries import _COUNTS, _FAMILIES, _RAREST, _THRESHOLDS, _TUNED, _rounded, _split_sql, query, table
+from lettermill.sources import sinks
 
 #: The nine classes take the place of the table's two: quality as aanvraag, toxic as klacht.
 HEADS = {"quality": "aanvraag", "toxic": "klacht"}
@@ -120,17 +121,18 @@ def choice_of_settings(spark, sf_dir):
     return _rounded(classifier.choose(part("train"), part("val"), [{"reg": r} for r in REGS], max_iter=ITERATIONS)[1])
 
 
-@query(
-    f"""{_CHOICE}, {_FAMILIES}, {_THRESHOLDS}, {_TUNED},
+_REPORT = f"""{_CHOICE}, {_FAMILIES}, {_THRESHOLDS}, {_TUNED},
 vt AS (SELECT c.label_id, c.label, sum(y)::BIGINT AS n_true, sum((p >= threshold)::INT)::BIGINT AS n_pred, sum((p >= threshold)::INT * y)::BIGINT AS tp FROM cells c JOIN best b ON b.eval_set = 'val' AND b.label_id = c.label_id WHERE c.eval_set = 'test' GROUP BY ALL),
-vs AS (SELECT label, CASE WHEN n_pred = 0 THEN 0 ELSE tp / n_pred END AS precision, CASE WHEN n_true = 0 THEN 0 ELSE tp / n_true END AS recall, CASE WHEN n_pred + n_true = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (n_pred + n_true) END AS f1, tp, n_pred, n_true FROM vt)
-SELECT eval_set, family, label, metric, round(value, 6) AS value FROM (
+vs AS (SELECT label, CASE WHEN n_pred = 0 THEN 0 ELSE tp / n_pred END AS precision, CASE WHEN n_true = 0 THEN 0 ELSE tp / n_true END AS recall, CASE WHEN n_pred + n_true = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (n_pred + n_true) END AS f1, tp, n_pred, n_true FROM vt),
+rep AS (
   SELECT * FROM long WHERE eval_set = 'test'
   UNION ALL SELECT 'test', 'tuned', label, 'precision', precision FROM vs UNION ALL SELECT 'test', 'tuned', label, 'recall', recall FROM vs UNION ALL SELECT 'test', 'tuned', label, 'f1', f1 FROM vs
   UNION ALL SELECT 'test', 'tuned', NULL, 'macro_f1', avg(f1) FROM vs
   UNION ALL SELECT 'test', 'tuned', NULL, 'micro_f1', CASE WHEN sum(n_pred + n_true) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(tp) / sum(n_pred + n_true) END FROM vs
 )"""
-)
+
+
+@query(f"{_REPORT} SELECT eval_set, family, label, metric, round(value, 6) AS value FROM rep")
 def train_and_benchmark(spark, sf_dir):
     """Split, train all settings together, choose one and its thresholds on val, report on test."""
     part = _split(spark, sf_dir)
@@ -138,6 +140,19 @@ def train_and_benchmark(spark, sf_dir):
     return _rounded(classifier.tune_and_report(model, part("val"), part("test")))
 
 
+@query(
+    f"""{_REPORT}
+SELECT eval_set, family, CASE WHEN label IS NULL THEN metric ELSE metric || '_per_label' END AS metric, label, round(value, 6) AS value FROM rep
+UNION ALL SELECT 'test', 'tuned', 'threshold_per_label', label, round(threshold, 6) FROM best WHERE eval_set = 'val'"""
+)
+def training_run_report(spark, sf_dir):
+    """A run written as one step (model, losses, scores of the settings, report), and its report read back value by value."""
+    part, out = _split(spark, sf_dir), new_path(spark, "run")
+    model, runs = classifier.choose(part("train"), part("val"), [{"reg": r} for r in REGS], max_iter=ITERATIONS)
+    classifier.save_run(model, runs, part("val"), part("test"), out)
+    return _rounded(sinks.read_report_values(spark, f"{out}/report").drop("path", "text"))
+
+
 _HALF_SQL = f"WITH {_LABELLED}, {_training_sql('SELECT id FROM ex WHERE id % 2 = 0', _ONE, ITERATIONS)}"
 
 

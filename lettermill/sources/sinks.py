@@ -51,6 +51,20 @@ def read_audit(spark: SparkSession, path: str, audit_path: str, schema) -> DataF
     return committed.read(spark, f"{path.rstrip('/')}/log", f"{audit_path.rstrip('/')}/rows", schema)
 
 
+def nest_metrics(long: DataFrame) -> DataFrame:
+    """Metrics (eval_set, family, label, metric, value) as the one row of a report; values by label become tables `<metric>_per_label`.
+
+    A report holds a few hundred numbers for each evaluation set, whatever the number of examples.
+    """
+    keys = ("eval_set", "family")
+    plain = long.where("label is null").select(*keys, "metric", F.coalesce(F.col("value").cast("string"), F.lit("null")).alias("json"))
+    tables = long.where("label is not null").groupBy(*keys, F.concat("metric", F.lit("_per_label")).alias("metric"))
+    tables = tables.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))), {"ignoreNullFields": "false"}).alias("json"))
+    families = plain.unionByName(tables).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("metric", F.parse_json("json")))).alias("m"))
+    sets = families.groupBy("eval_set").agg(F.map_from_entries(F.collect_list(F.struct("family", "m"))).alias("f"))
+    return sets.agg(F.map_from_entries(F.collect_list(F.struct("eval_set", "f"))).alias("evaluations"))
+
+
 def save_report(report: DataFrame, path: str) -> None:
     """A one-row report as one JSON document."""
     report.limit(1).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
