@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Temporary folders of local applications, and the paths that each application was given.
 _local: dict[str, str] = {}
 _given: dict[str, list[str]] = {}
+#: The paths of the steps that the current thread is in, the innermost last.
+_steps = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str = "lettermill") -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if getattr(_steps, "open", None):
+        _steps.open[-1].append(path)
     return path
 
 
@@ -61,10 +66,20 @@ def clean_up(spark: SparkSession) -> int:
 def steps_to_one_table(spark: SparkSession) -> Iterator[None]:
     """Around steps whose last cut holds all that later steps read: the tables before it are deleted at the end.
 
-    For one thread an application.
+    If a step fails, all of them are. Only tables that this thread wrote within the steps are deleted.
     """
-    paths = _given.setdefault(spark.sparkContext.applicationId, [])
-    before = len(paths)
-    yield
-    _delete(spark, paths[before:-1])
-    del paths[before:-1]
+    paths: list[str] = []
+    _steps.open = [*getattr(_steps, "open", []), paths]
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        _steps.open = _steps.open[:-1]
+        kept = paths[-1:] if done else []
+        gone = [p for p in paths if p not in kept]
+        _delete(spark, gone)
+        given = _given.get(spark.sparkContext.applicationId, [])
+        given[:] = [p for p in given if p not in set(gone)]
+        if _steps.open:
+            _steps.open[-1].extend(kept)

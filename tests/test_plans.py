@@ -60,3 +60,39 @@ def test_written_tables_can_be_cleaned_up(spark):
     given, storage._given[spark.sparkContext.applicationId] = storage._given[spark.sparkContext.applicationId], [path]
     assert storage.clean_up(spark) == 1 and not os.path.exists(path)
     storage._given[spark.sparkContext.applicationId] = [p for p in given if p != path]
+
+
+def test_tables_of_steps_are_deleted_also_when_a_step_fails_and_by_their_own_thread(spark):
+    import threading
+
+    import pytest
+
+    def written(df):
+        return storage._given[spark.sparkContext.applicationId][-1]
+
+    with storage.steps_to_one_table(spark):
+        storage.cut(spark.range(1))
+        first = written(None)
+        with storage.steps_to_one_table(spark):
+            storage.cut(spark.range(2))
+            inner = written(None)
+            storage.cut(spark.range(2))
+            handed = written(None)
+        assert not os.path.exists(inner) and os.path.exists(handed)
+        other: list[str] = []
+
+        def elsewhere():
+            storage.cut(spark.range(5))
+            other.append(written(None))
+
+        thread = threading.Thread(target=elsewhere)
+        thread.start()
+        thread.join()
+        storage.cut(spark.range(3))
+        last = written(None)
+    assert [os.path.exists(p) for p in (first, handed, last, other[0])] == [False, False, True, True]
+    with pytest.raises(RuntimeError), storage.steps_to_one_table(spark):
+        storage.cut(spark.range(1))
+        lost = written(None)
+        raise RuntimeError
+    assert not os.path.exists(lost) and lost not in storage._given[spark.sparkContext.applicationId]
