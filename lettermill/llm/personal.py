@@ -7,13 +7,16 @@ for (1), against (-1) or not at all (0): the format of the value, gazetteers, cu
 words that speak against it, and how it is placed. Votes are counted by kind and vote pattern; at
 most kinds x 3^5 rows, whatever the corpus. Expectation-maximisation on these counts estimates how
 each labeler votes on personal data and on the rest; an anchor of ANCHOR of a kind's candidates holds
-the meaning of the two classes. A naive Bayes span classifier is trained on all candidates, weighted
-by their posterior, with votes, neighbouring words and the value's shape as features. A candidate
-whose probability is MIN_PROBABILITY or more becomes a span, unless it overlaps a base span.
+the meaning of the two classes. A logistic span classifier is trained on all candidates, with their
+posteriors as what it should predict, and votes, neighbouring words and the value's shape as
+features; so it passes on what the labelers agree on to candidates that look alike, and does not count
+features twice that come together. Its weights minimise the cross-entropy by STEPS steps on a bound of
+it, each of which is one aggregate over distinct candidates. A candidate whose probability is
+MIN_PROBABILITY or more becomes a span, unless it overlaps a base span.
 
 Native: column functions and aggregates only. A text is scanned seven times in one narrow step; what is
-written holds spans and candidates, no texts. The model is BUCKETS + 45 numbers for each kind, as
-literals. Weights are counted in millionths as integers, so reruns agree.
+written holds spans and candidates, no texts. The model is BUCKETS + 46 numbers for each kind, as
+literals. Gradients are added up in millionths as integers, so reruns agree.
 
 Cases: a null text counts as empty and has no spans; texts are scanned whole, and no pattern's time is
 more than linear in runs of its characters. Repeated rows give repeated rows, each a vote of its own;
@@ -41,9 +44,13 @@ BUCKETS = 2048
 ROUNDS = 25
 ANCHOR = 0.05
 MIN_PROBABILITY = 0.8
-SMOOTHING = 2
+STEPS, PENALTY = 25, 1.0
 MILLION = 1_000_000
 LABELERS = ("format", "gazetteer", "cue", "counter_cue", "placement")
+#: Weights of a kind: its votes', its other features' and the constant, which comes last.
+WEIGHTS = 3 * len(LABELERS) + BUCKETS + 1
+#: Features of a candidate.
+FEATURES = len(LABELERS) + 5
 
 # The base patterns. Possessive repeats and the look-behinds change no match; they keep the time linear.
 BASE = {
@@ -258,7 +265,7 @@ def _votes(x: Column) -> Column:
 
 
 def _features(x: Column, votes: Column) -> Column:
-    """Numbers of the kind's weights: each labeler's vote, the two words before and one after, the shape of the value."""
+    """Numbers of the kind's weights: each labeler's vote, the two words before and one after, the shape of the value, and the constant."""
     before, after = F.lower(x["before"]), F.lower(x["after"])
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(x["value"], r"\p{Lu}", "A"), r"\p{Ll}+", "a"), "[0-9]", "9")
     words = [F.concat(F.lit("before="), F.regexp_extract(before, r"(\p{L}+)\P{L}*$", 1)), F.concat(F.lit("two_before="), F.regexp_extract(before, r"(\p{L}+)\P{L}+\p{L}+\P{L}*$", 1))]
@@ -266,7 +273,8 @@ def _features(x: Column, votes: Column) -> Column:
     kind, own = (F.array_position(F.array(*[F.lit(k) for k in KINDS]), x["kind"]) - 1).cast("int"), 3 * len(LABELERS)
     voted = F.transform(votes, lambda v, j: 3 * j + v + 1)
     hashed = F.transform(F.array(*words), lambda f: (own + F.pmod(F.xxhash64(f), F.lit(BUCKETS))).cast("int"))
-    return F.transform(F.concat(voted, hashed), lambda f: kind * (own + BUCKETS) + f)
+    constant = F.array(F.lit(own + BUCKETS))
+    return F.transform(F.concat(voted, hashed, constant), lambda f: kind * WEIGHTS + f)
 
 
 def extract(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -348,10 +356,9 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 @dataclass
 class Model:
-    """Plain numbers: EM's estimates by kind, and the classifier's log odds by kind and by feature."""
+    """Plain numbers: EM's estimates by kind, and the classifier's weights."""
 
     labelers: dict[str, dict] = field(default_factory=dict)
-    prior: dict[str, float] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
 
     def posterior(self, kind: Column, votes: Column) -> Column:
@@ -359,32 +366,38 @@ class Model:
         return _posterior(F.element_at(known, kind), votes)
 
     def probability(self, x: Column) -> Column:
-        """Of a candidate with kind and features; null for a kind that the model has not met."""
-        prior = F.from_json(F.lit(json.dumps(self.prior)), "map<string,double>")
+        """Of a candidate's features; one half where the model knows nothing of them."""
         weights = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
-        odds = F.aggregate(x["features"], F.element_at(prior, x["kind"]), lambda a, b: a + F.coalesce(F.get(weights, b), F.lit(0.0)))
+        odds = F.aggregate(x["features"], F.lit(0.0), lambda a, f: a + F.coalesce(F.get(weights, f), F.lit(0.0)))
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(extracted: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Estimate the labelers and train the classifier on all candidates of extracted, which is read twice."""
+def fit(extracted: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
+    """Estimate the labelers and train the classifier on all candidates of extracted, which is read twice.
+
+    Candidates with the same features are one row with their number. A step's new weight is the old one
+    and its gradient, divided by a bound of the curvature there: a quarter of a candidate's number of
+    features for each candidate that has it, and the penalty (none on constants).
+    """
     labelers = {r.kind: r.model.asDict() for r in reliabilities(vote_patterns(extracted), rounds).collect()}
     if not labelers:
         return Model()
-    model = Model(labelers)
-    each = extracted.select(F.explode("candidates").alias("c")).select("c.kind", "c.features", F.round(model.posterior(F.col("c.kind"), F.col("c.votes")) * MILLION).cast("long").alias("yes"))
-    kinds = each.groupBy("kind").agg(F.sum("yes").alias("yes"), F.sum(F.lit(MILLION) - F.col("yes")).alias("no")).collect()
-    counts = each.select("kind", F.explode("features").alias("bucket"), "yes").groupBy("kind", "bucket").agg(F.sum("yes").alias("yes"), F.sum(F.lit(MILLION) - F.col("yes")).alias("no"))
-    totals = F.from_json(F.lit(json.dumps({r.kind: [r.yes, r.no] for r in kinds})), "map<string,array<bigint>>")
-    of = F.element_at(totals, F.col("kind"))
-    yes, no = F.get(of, F.lit(0)), F.get(of, F.lit(1))
-    # each class gets SMOOTHING candidates more, whose features are shared out as those of the whole kind are
-    extra = SMOOTHING * MILLION * (F.col("yes") + F.col("no")) / (yes + no)
-    held = lambda n, of_class: F.ln((F.col(n) + extra) / (of_class + SMOOTHING * MILLION))
-    weights = [0.0] * (len(KINDS) * (3 * len(LABELERS) + BUCKETS))
-    for r in counts.select("bucket", F.round(held("yes", yes) - held("no", no), 6).alias("odds")).collect():
-        weights[r.bucket] = r.odds
-    return Model(labelers, {r.kind: log((r.yes + MILLION) / (r.no + MILLION)) for r in kinds}, weights)
+    model = Model(labelers, [0.0] * (WEIGHTS * len(KINDS)))
+    each = extracted.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes", "c.features").agg(F.count(F.lit(1)).alias("n"))
+    each = cut(each.select("features", "n", model.posterior(F.col("kind"), F.col("votes")).alias("yes")))
+    totals = each.select(F.explode("features").alias("f"), "n", F.round(F.col("n") * F.col("yes") * MILLION).cast("long").alias("yes")).groupBy("f").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).collect()
+    counts = {r.f: r.n for r in totals}
+    for r in totals:
+        if r.f % WEIGHTS == WEIGHTS - 1:
+            # a kind's constant starts from its share of personal data
+            model.weights[r.f] = log((r.yes + 1) / (r.n * MILLION - r.yes + 1))
+    for _ in range(steps):
+        off = F.round((F.col("yes") - model.probability({"features": F.col("features")})) * F.col("n") * MILLION).cast("long")
+        gradient = each.select(F.explode("features").alias("f"), off.alias("off")).groupBy("f").agg(F.sum("off").alias("off")).collect()
+        for r in gradient:
+            penalty = 0.0 if r.f % WEIGHTS == WEIGHTS - 1 else PENALTY
+            model.weights[r.f] += (r.off / MILLION - penalty * model.weights[r.f]) / (FEATURES * counts[r.f] / 4 + penalty)
+    return model
 
 
 def decide(extracted: DataFrame, model: Model, min_probability: float = MIN_PROBABILITY) -> DataFrame:
