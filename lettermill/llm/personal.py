@@ -1,8 +1,10 @@
 """Personal data by weak supervision: base patterns, and further spans that labelers vote on.
 
 Base spans are the leftmost matches of four fixed patterns that pass a check of their digits; they
-always stay. A wider pattern proposes candidates of these and further kinds (obfuscated addresses,
-local phones, account numbers, identity numbers, dates, street addresses, names). Five labelers vote
+always stay. Wider patterns propose candidates of these and further kinds (a card or phone whose digits
+run into others', so that the base pattern drops both; obfuscated addresses, local phones, account
+numbers, identity numbers, dates, street addresses, names). Base spans are candidates, too, for what
+the corpus tells of their kind. Five labelers vote
 for (1), against (-1) or not at all (0): the format of the value, gazetteers, cue words before it,
 words that speak against it, and how it is placed. Votes are counted by kind and vote pattern; at
 most kinds x 3^5 rows, whatever the corpus. Expectation-maximisation on these counts estimates how
@@ -46,7 +48,15 @@ ANCHOR = 0.05
 MIN_PROBABILITY = 0.8
 STEPS, PENALTY = 25, 1.0
 MILLION = 1_000_000
-LABELERS = ("format", "gazetteer", "cue", "counter_cue", "placement")
+#: Each labeler with its assumed probabilities of the votes -1, 0 and 1 on personal data and on the rest: where EM starts, and its anchor.
+ASSUMED = {
+    "format": ((0.1, 0.2, 0.7), (0.6, 0.35, 0.05)),
+    "gazetteer": ((0.1, 0.4, 0.5), (0.45, 0.5, 0.05)),
+    "cue": ((0.02, 0.58, 0.4), (0.02, 0.93, 0.05)),
+    "counter_cue": ((0.05, 0.93, 0.02), (0.3, 0.68, 0.02)),
+    "placement": ((0.05, 0.65, 0.3), (0.2, 0.75, 0.05)),
+}
+LABELERS = tuple(ASSUMED)
 #: Weights of a kind: its votes', its other features' and the constant, which comes last.
 WEIGHTS = 3 * len(LABELERS) + BUCKETS + 1
 #: Features of a candidate.
@@ -69,11 +79,11 @@ _TYPES = "Street|St|Avenue|Ave|Road|Rd|Lane|Drive|Boulevard|Blvd|Court|Square"
 CANDIDATES = {
     "digits": {
         "iban": rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
-        "card": rf"[0-9](?:[ .-]?[0-9]){{12,18}}{_END}",
+        "card": rf"(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ .-][0-9]{{4}}){{3}}(?:[ .-][0-9]{{1,3}})?|3[47][0-9]{{2}}[ .-][0-9]{{6}}[ .-][0-9]{{5}}){_END}",
         "birth": rf"(?:(?:19|20)[0-9]{{2}}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}|[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-](?:19|20)[0-9]{{2}}){_END}",
         "id": rf"[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
         "address": rf"[0-9]{{1,5}}[a-z]?(?: bis)?,? (?:(?:{_CAP} ){{1,3}}(?:{_TYPES}){_END}|(?:rue|avenue|boulevard|place|chemin) (?:d[eu] |des |la |l['’])*{_CAP})",
-        "phone": rf"(?:\([0-9]{{2,5}}\) ?|0[0-9]{{1,4}}[ ./-]|[2-9][0-9]{{2}}[ .-])[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,3}}{_END}",
+        "phone": rf"(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,5}}\)[ .-]?)?|\([0-9]{{2,5}}\) ?|0[0-9]{{1,4}}[ ./-]|[2-9][0-9]{{2}}[ .-])[0-9]{{2,4}}(?:[ .-][0-9]{{2,4}}){{1,3}}{_END}",
     },
     "at": {
         "email": rf"[A-Za-z0-9._%+-]{{1,64}}(?: ?[(\[{{]at[)\]}}] ?| at )[A-Za-z0-9-]{{1,63}}(?:(?: ?[(\[{{]dot[)\]}}] ?| dot |\.)[A-Za-z0-9-]{{1,63}}){{1,6}}{_END}",
@@ -84,7 +94,7 @@ CANDIDATES = {
     },
 }
 #: What a candidate of a group begins with, tested before the edge.
-FIRST = {"digits": r"(?=[0-9(]|[A-Z]{2}[0-9])", "at": "(?=[A-Za-z0-9])", "words": r"(?=\p{Lu}|[cavp][aelv])"}
+FIRST = {"digits": r"(?=[0-9(+]|[A-Z]{2}[0-9])", "at": "(?=[A-Za-z0-9])", "words": r"(?=\p{Lu}|[cavp][aelv])"}
 GROUPS = {g: f"{FIRST[g]}{_EDGE}(?:" + "|".join(kinds.values()) + ")" for g, kinds in CANDIDATES.items()}
 #: Texts without these have no match. Of addresses written out with `at`, only those with a written dot are candidates.
 HINTS = {
@@ -115,6 +125,9 @@ NOT_NAMES = (
 TLDS = "com org net edu gov info io de fr es nl uk eu us ch at it be"
 #: Countries and lengths of their account numbers.
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+COUNTRY_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Addresses that name no person's machine.
+RESERVED = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|2(?:2[4-9]|[345][0-9]))\."
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
 CUES = {
     "email": r"mail|contact|write to|reach|kontakt|correo|adresse",
@@ -193,9 +206,16 @@ def _base_ok(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def _candidate(kind: Column, x: Column, is_base: bool) -> Column:
+    return F.struct(kind.alias("kind"), F.lit(is_base).alias("is_base"), *[x[c].alias(c) for c in ("value", "start", "end", "before", "after")])
+
+
 def _base_spans(kind: str) -> Column:
-    passed = F.filter(f"h_{kind}", lambda x: _base_ok(kind, x["value"]))
-    return F.transform(passed, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(F.filter(f"h_{kind}", lambda x: _base_ok(kind, x["value"])), lambda x: _candidate(F.lit(kind), x, True))
+
+
+def _places(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def _kind_of(group: str, value: Column) -> Column:
@@ -208,7 +228,7 @@ def _kind_of(group: str, value: Column) -> Column:
 
 
 def _proposed(group: str) -> Column:
-    return F.transform(f"h_{group}", lambda x: F.struct(_kind_of(group, x["value"]).alias("kind"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["before"].alias("before"), x["after"].alias("after")))
+    return F.transform(f"h_{group}", lambda x: _candidate(_kind_of(group, x["value"]), x, False))
 
 
 def _apart(spans: Column, taken: Column) -> Column:
@@ -240,7 +260,8 @@ def _votes(x: Column) -> Column:
         .when(k == "card", F.when(F.length(digits).between(13, 19), luhn(digits)).otherwise(False))
         .when(k == "id", ~value.rlike("^(?:000|666|9)|-00-|-0000$"))
         .when(k == "birth", day.isNotNull() & F.year(day).between(1900, 2020))
-        .when(k == "phone", F.length(digits).between(9, 13))
+        .when(k == "phone", F.length(digits).between(9, 15))
+        .when(k == "ip", F.lit(True))
         .when(k == "email", ~F.contains(value, F.lit(" at ")) | value.rlike(" dot "))
         .when(k == "address", value.rlike("[0-9]"))
     )
@@ -253,6 +274,8 @@ def _votes(x: Column) -> Column:
         F.when(k == "name", _sign(given & ~other, other | ~given))
         .when(k == "iban", F.when(F.element_at(lengths, F.substring(value, 1, 2)) == F.length(F.regexp_replace(value, " ", "")), 1).otherwise(-1))
         .when(k == "card", F.when(digits.rlike(ISSUERS), 1).otherwise(-1))
+        .when(k == "phone", F.when(value.rlike(COUNTRY_CODES), 1).otherwise(0))
+        .when(k == "ip", F.when(value.rlike(RESERVED), -1).otherwise(0))
         .when(k == "email", F.when(F.array_contains(_words(TLDS), last), 1).otherwise(-1))
         .otherwise(0)
     )
@@ -286,15 +309,15 @@ def extract(docs: DataFrame, text_col: str = "text", keep: list[str] | None = No
     found = with_once(found, **{k: _base_spans(k) for k in BASE}, **{g: _proposed(g) for g in GROUPS})
     found = found.select("row", *BASE, *GROUPS)
     # a base span outranks candidates, and a group the groups after it
-    taken = F.concat(*[F.col(k) for k in BASE])
+    taken = F.concat(*[_places(F.col(k)) for k in BASE])
     for g in GROUPS:
         found = with_once(found, **{g: _apart(F.col(g), taken)})
-        taken = F.concat(taken, F.transform(g, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    found = with_once(found, more=F.concat(*[F.col(g) for g in GROUPS]))
-    voted = F.transform("more", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _votes(x).alias("votes"), x.alias("x")))
-    found = with_once(found, more=voted)
-    out = F.transform("more", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["votes"].alias("votes"), _features(x["x"], x["votes"]).alias("features")))
-    return found.select("row", *BASE, out.alias("candidates"))
+        taken = F.concat(taken, _places(F.col(g)))
+    found = with_once(found, more=F.concat(*[F.col(c) for c in (*BASE, *GROUPS)]))
+    kept = lambda x, *more: F.struct(x["kind"].alias("kind"), x["is_base"].alias("is_base"), x["start"].alias("start"), x["end"].alias("end"), *more)
+    found = with_once(found, more=F.transform("more", lambda x: kept(x, _votes(x).alias("votes"), x.alias("x"))))
+    out = F.transform("more", lambda x: kept(x, x["votes"].alias("votes"), _features(x["x"], x["votes"]).alias("features")))
+    return found.select("row", *[_places(F.col(k)).alias(k) for k in BASE], out.alias("candidates"))
 
 
 # ---------------------------------------------------------------- the model
@@ -322,8 +345,7 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Expectation-maximisation by a fold over each kind's vote patterns, of which there are 3^5 at most.
     """
     size = 3 * len(LABELERS)
-    start = {"yes": (0.1, 0.4, 0.5), "no": (0.45, 0.5, 0.05)}
-    fixed = {c: F.array(*[F.lit(x) for _ in LABELERS for x in p]) for c, p in start.items()}
+    fixed = {c: F.array(*[F.lit(x) for p in tables for x in p]) for c, tables in zip(("yes", "no"), zip(*ASSUMED.values(), strict=True), strict=True)}
     first = F.struct(F.lit(0.2).alias("prior"), fixed["yes"].alias("yes"), fixed["no"].alias("no"))
 
     def step(model: Column, pats: Column) -> Column:
@@ -402,7 +424,7 @@ def fit(extracted: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Model
 
 def decide(extracted: DataFrame, model: Model, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """(row, email, ip, card, phone, added): candidates that the classifier takes, as (kind, start, end, probability)."""
-    scored = F.transform("candidates", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), model.probability(x).alias("probability")))
+    scored = F.transform(F.filter("candidates", lambda x: ~x["is_base"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), model.probability(x).alias("probability")))
     return extracted.select("row", *BASE, F.filter(scored, lambda x: x["probability"] >= min_probability).alias("added"))
 
 

@@ -225,11 +225,34 @@ def test_labelers_and_classifier_find_planted_spans_and_spare_the_rest(spark):
     assert repeat == found
 
 
+def test_numbers_that_run_into_others_are_found_by_the_method(spark):
+    """A phone or card beside other digits, which the base patterns drop, is told from the corpus's other phones and cards."""
+    rng = random.Random(13)
+
+    def card():
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return d + next(c for c in "0123456789" if luhn(d + c))
+
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04}"
+    rows = [(i, f"{prose(rng, 8)} {phone()} river, {card()} {prose(rng, 8)}") for i in range(150)]
+    rows += [(1000 + i, f"the {phone()} {card()} of") for i in range(12)] + [(2000 + i, f"the 27.204.213.132 {card()} {card()} of") for i in range(12)]
+    rows += [(3000 + i, f"the {rng.randint(10**15, 10**16 - 1)} of") for i in range(60)]
+    got = {r.doc_id: r for r in personal.find(docs_of(spark, rows)).collect()}
+    for i, text in rows:
+        kinds = [x.split(":")[0] for x in got[i].spans.split(",") if x]
+        if 1000 <= i < 2000:
+            assert (got[i].n_phone, got[i].n_card) == (0, 0) and kinds == ["card", "phone"], (text, got[i].spans)
+        elif 2000 <= i < 3000:
+            assert kinds == ["ip", "card", "card"], (text, got[i].spans)
+        elif i >= 3000 and not got[i].n_card:
+            assert not kinds, (text, got[i].spans)
+
+
 def brute_em(patterns, rounds):
     """The same estimates for one kind in plain Python: patterns is {votes: n}."""
-    start = {True: (0.1, 0.4, 0.5), False: (0.45, 0.5, 0.05)}
+    start = {True: [a for a, _ in personal.ASSUMED.values()], False: [b for _, b in personal.ASSUMED.values()]}
     n, k = sum(patterns.values()), len(personal.LABELERS)
-    prior, p = 0.2, {y: [list(start[y]) for _ in range(k)] for y in start}
+    prior, p = 0.2, {y: [list(x) for x in start[y]] for y in start}
     for _ in range(rounds):
         r = {}
         for v in patterns:
@@ -240,7 +263,7 @@ def brute_em(patterns, rounds):
         for y in start:
             part = {v: m * (r[v] if y else 1 - r[v]) for v, m in patterns.items()}
             a = n * personal.ANCHOR
-            new[y] = [[(start[y][c] * a + sum(m for v, m in part.items() if v[j] == c - 1)) / (sum(part.values()) + a) for c in range(3)] for j in range(k)]
+            new[y] = [[(start[y][j][c] * a + sum(m for v, m in part.items() if v[j] == c - 1)) / (sum(part.values()) + a) for c in range(3)] for j in range(k)]
         prior, p = (sum(m * r[v] for v, m in patterns.items()) + 0.2 * personal.ANCHOR * n) / (n + personal.ANCHOR * n), new
     return prior, p
 
