@@ -63,8 +63,8 @@ def clean_up(spark: SparkSession) -> int:
 
 
 @contextmanager
-def steps_to_one_table(spark: SparkSession) -> Iterator[None]:
-    """Around steps whose last cut holds all that later steps read: the tables before it are deleted at the end.
+def steps_to_one_table(spark: SparkSession, keep: int = 1) -> Iterator[None]:
+    """Around steps whose last cut, or last `keep` cuts, hold all that later steps read: the tables before are deleted at the end.
 
     If a step fails, all of them are. Only tables that this thread wrote within the steps are deleted.
     """
@@ -76,7 +76,7 @@ def steps_to_one_table(spark: SparkSession) -> Iterator[None]:
         done = True
     finally:
         _steps.open = _steps.open[:-1]
-        kept = paths[-1:] if done else []
+        kept = paths[-keep:] if done else []
         gone = [p for p in paths if p not in kept]
         _delete(spark, gone)
         given = _given.get(spark.sparkContext.applicationId, [])
