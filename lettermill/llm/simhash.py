@@ -177,8 +177,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     the exact comparison are in neardup.
     """
     with steps_to_one_table(docs.sparkSession):
-        rows = cut(neardup.nodes(docs, id_col, text_col))
-        root = components(neardup.similar_pairs(rows, docs, links, components, text_col))
+        rows, of = neardup.split_nodes(docs, id_col, text_col)
+        root = components(neardup.similar_pairs(rows, of, docs, links, components, text_col))
         # as a table of its own the naming has a known size and does not tie the join's partitions
         root = cut(root)
         placed = rows.select("doc_id", "text_hash", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
