@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import cut
+from lettermill.llm.common import cut, steps_to_one_table
 
 SHINGLE_WORDS = 5
 #: Least similarity, as a fraction.
@@ -137,6 +137,13 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def split_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Two written tables: (doc_id, text_hash, node) of the rows, and the distinct nodes; prefixes stay in the second alone."""
+    with steps_to_one_table(docs.sparkSession, keep=2):
+        found = cut(nodes(docs, id_col, text_col))
+        return cut(found.select("doc_id", "text_hash", "node")), cut(found.select("node", "size", "fp", "keys", "odd").dropDuplicates(["node"]))
+
+
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, node, size, fp, keys, odd) for each row: its node, number of shingles, SimHash, prefix and parities."""
     table = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
@@ -161,18 +168,19 @@ def _are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
 
 
 def _similar(candidates: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The candidates (a, b) whose texts are similar enough."""
-    candidates = cut(candidates)
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(rows.join(wanted, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
-    sets = texts.select("node", F.pandas_udf(_set_bytes, "binary")("text").alias("set")).dropDuplicates(["node"])
-    sets = cut(sets)
-    left = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-    return cut(both.where(F.pandas_udf(_are_similar, "boolean")("left", "right")).select("a", "b"))
+    """The candidates (a, b) whose texts are similar enough; what it took to tell is deleted."""
+    with steps_to_one_table(docs.sparkSession):
+        candidates = cut(candidates)
+        wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = cut(rows.join(wanted, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")))
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(wanted, "text_hash")
+        sets = texts.select("node", F.pandas_udf(_set_bytes, "binary")("text").alias("set")).dropDuplicates(["node"])
+        sets = cut(sets)
+        left = candidates.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
+        return cut(both.where(F.pandas_udf(_are_similar, "boolean")("left", "right")).select("a", "b"))
 
 
 def _possible(met: DataFrame) -> DataFrame:
@@ -224,17 +232,19 @@ def _shared_keys(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return met.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
 
 
-def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of similar nodes, whose components are those of all similar pairs.
 
-    `rows` are the written nodes of docs; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
+    `rows` are the rows of docs with their nodes, `of` the distinct nodes with sizes, SimHashes, prefixes and
+    parities, both written; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
     """
-    of = cut(rows.select("node", "size", "fp", "keys", "odd").dropDuplicates(["node"]))
-    one = of.select(F.explode("keys").alias("key"), "node", "size")
-    # a shingle of one node alone pairs nothing; the least and the greatest node tell
-    met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    met = cut(met.where("first <> last").select("key", "first"))
-    shared = cut(_hopeful(cut(one.join(met, "key"))))
+    spark = docs.sparkSession
+    with steps_to_one_table(spark):
+        one = of.select(F.explode("keys").alias("key"), "node", "size")
+        # a shingle of one node alone pairs nothing; the least and the greatest node tell
+        met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+        met = cut(met.where("first <> last").select("key", "first"))
+        shared = cut(_hopeful(cut(one.join(met, "key"))))
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -242,10 +252,11 @@ def similar_pairs(rows: DataFrame, docs: DataFrame, links: Callable[[DataFrame],
 
     def across(found: DataFrame) -> DataFrame:
         """(key, node, size, root, n) of the n nodes of each shingle whose nodes are in several components."""
-        root = cut(components(found))
-        placed = cut(shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
-        several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s").select("key", "n")
-        return cut(_hopeful(cut(placed.join(cut(several), "key"))))
+        with steps_to_one_table(spark):
+            root = cut(components(found))
+            placed = cut(shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
+            several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count(F.lit(1)).alias("n")).where("r <> s").select("key", "n")
+            return cut(_hopeful(cut(placed.join(cut(several), "key"))))
 
     first = similar(stars.union(_anchored(of, links)))
     left = across(first)
