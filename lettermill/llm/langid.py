@@ -13,15 +13,16 @@ with the largest one wins, the first by name among equals. The score is its shar
 
 Cases: null texts and texts without a letter are `und` with score 0, as is every text if nothing
 was learned. Null languages are not learned from. Texts of any length are read whole, in pieces
-of CHUNK characters. Repeated rows give repeated rows; an empty table an empty result. Of more than
-MAX_LANGUAGES values of the language the rarest are not learned and never predicted. The table has
-8 bytes a slot for every 64 languages: 8 MB, and 128 MB at MAX_LANGUAGES. Only id, text and language
-are read; further columns cannot clash.
+of CHUNK characters. Repeated rows give repeated rows; an empty table an empty result. All languages
+are learned, however many. The model holds the slots that are not empty, 14 bytes for each of these and every 64
+languages; from it a task makes a table of 8 bytes a slot for every 64 languages, 8 MB. Of more than
+TABLE_LANGUAGES languages a task has the table of so many at a time, 128 MB, and compares a batch of
+texts with one table after the other. Only id, text and language are read; further columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,8 @@ MIN_SHARE = 1e-5
 RATIO = 0.1
 SLOTS = 1 << 20
 HASHES = 3
-#: Most languages of a model: those with the most trigrams are learned, by name among equals.
-MAX_LANGUAGES = 1024
+#: Languages of one table, a multiple of 64. A model of more has several, of which a task holds one at a time.
+TABLE_LANGUAGES = 1024
 CHUNK = 1 << 18
 #: Trigrams that a task counts before it hands them on.
 FLUSH = 1 << 21
@@ -99,51 +100,77 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # slots x words of 64 languages
+    #: Languages of a table.
+    width: int
+    #: For each table its slots that are not empty, the word of 64 languages, and the languages that hold the slot.
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     false_rate: np.ndarray
 
-    def popcounts(self, text: str) -> tuple[int, np.ndarray]:
-        """Number of trigrams, and the corrected count of those in each language."""
-        n, hits = 0, np.zeros(len(self.languages))
+    def tables(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Number of the first language, and slots x words of 64 languages, of each table."""
+        for k, (slot, word, mask) in enumerate(self.parts):
+            first = k * self.width
+            table = np.zeros((SLOTS, (min(self.width, len(self.languages) - first) + 63) // 64), dtype=np.uint64)
+            table[slot, word] = mask
+            yield first, table
+
+    def popcounts(self, text: str, first: int, table: np.ndarray) -> tuple[int, np.ndarray]:
+        """Number of trigrams, and the corrected count of those in each language of a table."""
+        false_rate = self.false_rate[first : first + self.width]
+        n, hits = 0, np.zeros(len(false_rate))
         grams = trigrams(text)
         for at in range(0, len(grams), CHUNK):
             part = grams[at : at + CHUNK]
-            masks = np.bitwise_and.reduce([self.table[s] for s in _slots(part)])
+            masks = np.bitwise_and.reduce([table[s] for s in _slots(part)])
             n += len(part)
-            for i in range(len(self.languages)):
+            for i in range(len(hits)):
                 hits[i] += np.count_nonzero(masks[:, i // 64] & np.uint64(1 << i % 64))
-        return n, np.maximum(0.0, (hits - n * self.false_rate) / (1 - self.false_rate))
+        return n, np.maximum(0.0, (hits - n * false_rate) / (1 - false_rate))
+
+    def predict_all(self, texts: Iterable[str | None], tables: Iterable[tuple[int, np.ndarray]]) -> list[tuple[str, float]]:
+        texts = list(texts)
+        best = [(-1.0, UND, 0.0)] * len(texts)
+        for first, table in tables:
+            for j, text in enumerate(texts):
+                n, counts = self.popcounts(text, first, table) if text else (0, None)
+                if n:
+                    i = int(np.argmax(counts))
+                    # languages are in order of their names, so the first of equals stays
+                    if counts[i] > best[j][0]:
+                        best[j] = float(counts[i]), self.languages[first + i], float(min(1.0, counts[i] / n))
+        return [x[1:] for x in best]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UND, 0.0
-        n, counts = self.popcounts(text)
-        if not n:
-            return UND, 0.0
-        best = int(np.argmax(counts))
-        return self.languages[best], float(min(1.0, counts[best] / n))
+        return self.predict_all([text], self.tables())[0]
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from all rows with text and language. What reaches the driver is the table: at most SLOTS rows."""
+    """Learn from all rows with text and language. What reaches the driver is the model: at most SLOTS rows for every 64 languages."""
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInPandas(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = cut(counts)
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r.lang for r in totals.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).collect())
-    words = (len(languages) + 63) // 64
-    table = np.zeros((SLOTS, max(1, words)), dtype=np.uint64)
-    if languages:
-        shares = counts.join(totals, "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("share"))
-        top = shares.groupBy("gram").agg(F.max("share").alias("top"))
-        held = shares.where((F.col("share") >= MIN_SHARE) & F.col("lang").isin(languages)).join(top, "gram").where(F.col("share") >= RATIO * F.col("top"))
-        number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) - 1
-        masks = held.select("gram", number.alias("i")).select("gram", F.expr("cast(i div 64 as int)").alias("word"), F.expr("shiftleft(1L, cast(i % 64 as int))").alias("bit")).groupBy("gram", "word").agg(F.bit_or("bit").alias("mask"))
-        slots = masks.mapInPandas(_spread, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
-        found = slots.toPandas()
-        table[found["slot"].to_numpy(np.int64), found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
-    fill = np.array([np.count_nonzero(table[:, i // 64] & np.uint64(1 << i % 64)) / SLOTS for i in range(len(languages))])
-    return Model(languages, table, np.minimum(fill**HASHES, 0.999))
+    found = sorted((r.lang, r.total) for r in totals.collect())
+    languages = [lang for lang, _ in found]
+    if not languages:
+        return Model([], TABLE_LANGUAGES, [], np.zeros(0))
+    totals = train.sparkSession.createDataFrame([(lang, i, total) for i, (lang, total) in enumerate(found)], "lang string, i int, total bigint")
+    # as many rows as the model has languages
+    shares = counts.join(F.broadcast(totals), "lang").select("gram", "i", (F.col("n") / F.col("total")).alias("share"))
+    top = shares.groupBy("gram").agg(F.max("share").alias("top"))
+    held = shares.where(F.col("share") >= MIN_SHARE).join(top, "gram").where(F.col("share") >= RATIO * F.col("top"))
+    masks = held.select("gram", F.expr("cast(i div 64 as int)").alias("word"), F.expr("shiftleft(1L, i % 64)").alias("bit")).groupBy("gram", "word").agg(F.bit_or("bit").alias("mask"))
+    slots = masks.mapInPandas(_spread, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    slot, word, mask = slots["slot"].to_numpy(np.int32), slots["word"].to_numpy(np.int32), slots["mask"].to_numpy(np.int64).view(np.uint64)
+    words, fill, parts = TABLE_LANGUAGES // 64, np.zeros(len(languages)), []
+    for k in range(0, (len(languages) + 63) // 64, words):
+        mine = (word >= k) & (word < k + words)
+        parts.append((slot[mine], (word[mine] - k).astype(np.int16), mask[mine]))
+        for w in range(words):
+            of = parts[-1][2][parts[-1][1] == w]
+            for i in range(64 * (k + w), min(64 * (k + w + 1), len(languages))):
+                fill[i] = np.count_nonzero(of & np.uint64(1 << i % 64)) / SLOTS
+    return Model(languages, TABLE_LANGUAGES, parts, np.minimum(fill**HASHES, 0.999))
 
 
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,12 +180,15 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def predictor(df: DataFrame, model: Model):
-    """A column function text -> struct(lang, score). The table is broadcast: SLOTS * 8 bytes for 64 languages."""
+    """A column function text -> struct(lang, score). The model is broadcast; see above for its size."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.predict(t) for t in texts]
-        return pd.DataFrame({"lang": [x[0] for x in found], "score": [x[1] for x in found]})
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        # one table serves all batches of a task; several are made anew for each batch, so that one is held at a time
+        only = list(model.tables()) if len(model.parts) == 1 else None
+        for texts in batches:
+            yield pd.DataFrame(model.predict_all(texts, only or model.tables()), columns=["lang", "score"])
 
     out = StructType([StructField("lang", StringType()), StructField("score", DoubleType())])
     return F.pandas_udf(predict, out)

@@ -810,11 +810,25 @@ def test_language_id_against_exact_sets(spark):
     assert differ <= 3
 
 
-def test_more_languages_than_the_model_may_have(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
-    rows = [(i, TONGUES[x] + f" {TONGUES[x]}" * (x != "cc"), x, "s") for i, x in enumerate(["aa", "bb", "cc"] * 4)]
-    model = langid.fit(docs_of(spark, rows))
-    assert model.languages == ["aa", "bb"] and model.predict(TONGUES["cc"])[0] in ("aa", "bb")
+def test_more_languages_than_a_table_has(spark, monkeypatch):
+    """Languages of all tables are learned, and several tables predict what one does."""
+    letters = lambda k: [chr(0x4E00 + 50 * k + j) for j in range(50)]
+    rng = random.Random(23)
+    # neighbours share letters and equal texts have two languages, so that languages of different tables compete
+    text = lambda k: " ".join("".join(rng.choices(letters(k) + letters(k + 1)[:9], k=3)) for _ in range(30))
+    rows = [(i, text(i % 150), f"l{i % 150:03}", "s") for i in range(600)]
+    rows += [(i, text(200), lang, "s") for i, lang in ((700, "l010"), (701, "l140"))] + [(702, None, "l001", "s"), (703, "12 3", "l002", "s")]
+    docs = docs_of(spark, rows)
+    one = langid.fit(docs)
+    expected = [one.predict(r[1]) for r in rows]
+    whole = {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(docs).collect()}
+    monkeypatch.setattr(langid, "TABLE_LANGUAGES", 64)
+    model = langid.fit(docs)
+    assert len(one.parts) == 1 and len(model.parts) == 3 and model.languages == one.languages == [f"l{k:03}" for k in range(150)]
+    assert np.array_equal(one.false_rate, model.false_rate)
+    assert [model.predict(r[1]) for r in rows] == expected
+    assert {r.doc_id: (r.lang_pred, r.score) for r in langid.classify(docs).collect()} == whole
+    assert sum(p[0] == r[2] for p, r in zip(expected, rows[:600])) >= 590 and expected[-2:] == [("und", 0.0)] * 2
 
 
 CLASHING = "row text_key dirty keeper nth lang_ src key ties last epochs side times rank n g k t v part tie out whole of before others size shard slot law own_size grown_shard text_crc32 node root doc_id_ id".split()
@@ -849,7 +863,7 @@ def test_trigrams_of_pieces(monkeypatch):
 def test_language_model_of_many_languages_and_none(spark):
     rows = [(i, "".join(chr(0x4E00 + 50 * k + j % 40) + chr(0x4E00 + 50 * k + (j * 7) % 40) for j in range(60)), f"l{k:03}", "s") for i, k in enumerate(list(range(70)) * 2)]
     model = langid.fit(docs_of(spark, rows))
-    assert model.table.shape[1] == 2 and all(model.predict(r[1])[0] == r[2] for r in rows)
+    assert [t.shape[1] for _, t in model.tables()] == [2] and all(model.predict(r[1])[0] == r[2] for r in rows)
     assert langid.fit(docs_of(spark, [(1, "abc", None, "s")])).predict("abc") == ("und", 0.0)
 
 
