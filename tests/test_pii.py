@@ -83,3 +83,13 @@ def test_span_offsets_are_code_points(spark):
     df = spark.createDataFrame([("é😀 ab ab",)], "t string")
     got = df.select(public(find_spans(F.col("t"), "ab", "X", "")).alias("s")).first().s
     assert [(s.start, s.end, s.original) for s in got] == [(3, 5, "ab"), (6, 8, "ab")]
+
+
+def test_letters_of_large_keys_hold_no_citizen_number(spark, tmp_path):
+    """From key 113651 on a letter's number has ten digits; its first nine are none, even where they pass the 11-test."""
+    from lettermill.queries import pii_audit
+
+    keys = [k for k in range(113_651, 113_800) if sum(w * int(d) for w, d in zip(pii.BSN_WEIGHTS, str(100_000_000 + k * 7919), strict=False)) % 11 == 0]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    found = pii_audit(spark, str(tmp_path)).collect()
+    assert keys and {r.record_id for r in found} == {str(k) for k in keys} and "BSN" not in {r.pattern for r in found}
