@@ -176,16 +176,19 @@ FROM orders WHERE o_orderkey % 9 <> 0
 """
 )
 def ruling_feed_file(spark, sf_dir):
-    """All rulings as one XML file that declares its name spaces once, read by as many tasks as it has parts; every ninth is not closed."""
+    """All rulings as one XML document that declares its name spaces once, written and read by many tasks; every ninth is not closed.
+
+    The document lies in part files, as parallel writers leave it: in the order of their names the root's
+    opening, the rulings and the root's end. No task holds, sorts or writes all of it.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    orders.createOrReplaceTempView("orders")
+    _dealt(orders, "o_orderkey").createOrReplaceTempView("orders")
     named = F.replace("xml", F.lit("<rdf:Description>"), F.concat(F.lit("<rdf:Description><dcterms:identifier>"), "ecli", F.lit("</dcterms:identifier>")))
-    lines = spark.sql(_XML_SPARK).select(F.lit(1).alias("place"), F.replace(named, F.lit(f" {_NAMESPACES}"), F.lit("")).alias("value"))
-    ends = spark.range(2).select((F.col("id") * 2).cast("int").alias("place"), F.when(F.col("id") == 0, f"<feed {_NAMESPACES}>").otherwise("</feed>").alias("value"))
+    lines = spark.sql(_XML_SPARK).select(F.replace(named, F.lit(f" {_NAMESPACES}"), F.lit("")).alias("value"))
+    end = lambda tag: spark.range(1, numPartitions=1).select(F.lit(tag).alias("value"))
     out = new_path(spark, "feed")
-    lines.union(ends).coalesce(1).sortWithinPartitions("place").select("value").write.text(out)
-    records = rulings.read_feed_records(spark, out, declarations=_NAMESPACES)
-    parsed = rulings.parse_rulings(_dealt(records, "ecli"))
+    end(f"<feed {_NAMESPACES}>").union(lines).union(end("</feed>")).write.text(out)
+    parsed = rulings.parse_rulings(rulings.read_feed_records(spark, out, declarations=_NAMESPACES))
     return parsed.select("ecli", F.col("decision_date").cast("string").alias("decision_date"), "case_number", "summary", "full_text", F.array_join("awb_articles_cited", ",").alias("articles"))
 
 

@@ -85,15 +85,16 @@ def read_xml_files(spark: SparkSession, path: str) -> DataFrame:
 def read_feed_records(spark: SparkSession, path: str, tag: str = "open-rechtspraak", declarations: str = "") -> DataFrame:
     """(ecli, xml): the records of XML feeds of any size, a row each, as parse_rulings takes them.
 
-    A file is cut at the closing tags of its records, so the tasks share a large one and none holds it
-    whole. `declarations` are name spaces that only the feed's root declares; every record gets them.
-    A record that is never closed gives no row, and the next one is read; a closing tag inside a comment
-    or CDATA ends a record, which then counts as malformed. A record's id is its first `identifier`.
+    A file is cut at the opening tags of its records, so the tasks share a large one and none holds it
+    whole; a feed may also lie in part files that end between records. `declarations` are name spaces that
+    only the feed's root declares; every record gets them. A record that is never closed gives no row,
+    wherever it stands, and the next one is read; a closing tag inside a comment or CDATA ends a record,
+    which then counts as malformed. No element inside a record may have a name that begins with the tag.
+    A record's id is its first `identifier`.
     """
     closing = f"</{tag}>"
-    record = F.regexp_extract("value", rf"(?s)^.*(<{tag}(?=[\s>/]).*)$", 1)
-    rows = spark.read.text(path, lineSep=closing).select(record.alias("r")).where("r <> ''")
-    opened = F.concat(F.lit(f"<{tag} {declarations}"), F.substring("r", len(tag) + 2, 2**31 - 1)) if declarations else F.col("r")
-    rows = with_once(rows, xml=F.concat(opened, F.lit(closing)))
+    rows = spark.read.text(path, lineSep=f"<{tag}").where(F.contains("value", F.lit(closing)) & F.col("value").rlike(r"^[\s>/]"))
+    xml = F.concat(F.lit(f"<{tag} {declarations}" if declarations else f"<{tag}"), F.substring_index("value", closing, 1), F.lit(closing))
+    rows = with_once(rows, xml=xml).select("xml")
     ecli = empty_to_null(strip(F.regexp_extract("xml", r"<(?:[\w.-]+:)?identifier(?:\s[^>]*)?>([^<]*)<", 1)))
     return rows.select(ecli.alias("ecli"), "xml")

@@ -234,3 +234,19 @@ def test_phrases_are_counted_as_by_one_scan_each(spark):
     assert got == want and len(want) > 50
     none = spark.createDataFrame([(None,)], "phrase string")
     assert phrases.phrase_counts(spark.createDataFrame(texts, "id int, text string"), none).collect() == []
+
+
+def test_the_feed_of_rulings_is_written_by_many_tasks(spark, tmp_path):
+    """No part of the document holds most of the rulings, and the parts in order of their names are the document."""
+    import xml.etree.ElementTree as ET
+    from pathlib import Path
+
+    from lettermill import queries_sources
+    from lettermill.functions import storage
+
+    spark.range(1, 400).selectExpr("id * 9 + 1 AS o_orderkey", "timestamp_ntz'2024-01-02' AS o_orderdate", "'x' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = queries_sources.ruling_feed_file(spark, str(tmp_path)).count()
+    out = next(p for p in reversed(storage._given[spark.sparkContext.applicationId]) if "/feed-" in p)
+    parts = [p.read_text() for p in sorted(Path(out).glob("part-*"))]
+    assert rows == 399 and max(p.count("</open-rechtspraak>") for p in parts) < 200
+    assert len(ET.fromstring("".join(parts))) == 399
