@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.functions.storage import new_path
+from lettermill.functions.storage import cut, new_path
 from lettermill.operators import datasets, evaluation, phrases
 from lettermill.queries import _CELLS, _EXAMPLES_SQL, _FAMILIES, _THRESHOLDS, _XML_SPARK, _dealt, _rounded, query, scored, table
 from lettermill.sources import catalog, paged, rulings, sinks
@@ -26,7 +26,9 @@ def _catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _land(pages: DataFrame, path: str) -> None:
-    pages.write.mode("append").partitionBy("page_no").text(path)
+    """A file a page, written by all cores; tasks move their own files into place, where the driver would move them one by one."""
+    dealt = _dealt(pages, "page_no").write.mode("append").partitionBy("page_no")
+    dealt.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
 
 
 _PAGED = f"SELECT p_partkey, (p_partkey // {PAGE_ROWS})::INT AS page_no FROM part"
@@ -38,10 +40,11 @@ def paged_collection(spark, sf_dir):
     out = f"{new_path(spark, 'pages')}/catalog"
     _land(_catalog_pages(spark, sf_dir), out)
     paged.register(spark)
-    pages = spark.read.format("pages").load(out)
-    ids = F.transform(F.from_json("body", catalog.PAGE)["result"]["results"], lambda d: d["id"])
-    success = F.from_json("body", catalog.PAGE)["success"]
-    kept = paged.reached(pages.withColumn("ids", F.when(success, ids)), F.col("ids"), PAGE_ROWS)
+    body = F.from_json("body", catalog.PAGE)
+    ids = F.when(body["success"], F.transform(body["result"]["results"], lambda d: d["id"]))
+    # the files are read once, for the rules that stop a collector and for the rows
+    pages = cut(spark.read.format("pages").load(out).select("feed", "page_no", ids.alias("ids")))
+    kept = paged.reached(pages, F.col("ids"), PAGE_ROWS)
     return kept.select(F.explode("ids").alias("id"), "page_no")
 
 

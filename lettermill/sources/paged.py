@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "feed string, page_no int, body string"
-PAGES_A_PARTITION = 16
+#: Pages of a range at least, and ranges at most, unless pages_a_partition says otherwise.
+PAGES_A_PARTITION, MOST_RANGES = 16, 256
 
 
 class _Range(InputPartition):
@@ -36,7 +37,7 @@ class _Folder:
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.feed = options.get("feed", self.path.rstrip("/").rpartition("/")[2])
-        self.step = int(options.get("pages_a_partition", PAGES_A_PARTITION))
+        self.step = int(options["pages_a_partition"]) if options.get("pages_a_partition") else None
         self.limit = int(options["max_pages"]) if options.get("max_pages") else None
 
     def _open(self) -> tuple[pafs.FileSystem, str]:
@@ -51,7 +52,8 @@ class _Folder:
 
     def ranges(self, numbers: Sequence[int]) -> list[_Range]:
         # without pages there is one range of none, since a reader needs one
-        return [_Range(numbers[i : i + self.step]) for i in range(0, len(numbers), self.step)] or [_Range(())]
+        step = self.step or max(PAGES_A_PARTITION, -(-len(numbers) // MOST_RANGES))
+        return [_Range(numbers[i : i + step]) for i in range(0, len(numbers), step)] or [_Range(())]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         store, root = self._open()
@@ -111,7 +113,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class Pages(DataSource):
-    """Options: path, feed (default: the folder's name), pages_a_partition, max_pages."""
+    """Options: path, feed (default: the folder's name), pages_a_partition (default: 16, more in long feeds), max_pages."""
 
     @classmethod
     def name(cls) -> str:

@@ -250,3 +250,19 @@ def test_the_feed_of_rulings_is_written_by_many_tasks(spark, tmp_path):
     parts = [p.read_text() for p in sorted(Path(out).glob("part-*"))]
     assert rows == 399 and max(p.count("</open-rechtspraak>") for p in parts) < 200
     assert len(ET.fromstring("".join(parts))) == 399
+
+
+def test_long_feeds_are_read_by_few_ranges_and_landed_by_all_cores(spark, tmp_path):
+    """Ranges grow with the feed, so their number does not; every page has one file, and several tasks wrote them."""
+    from pathlib import Path
+
+    from lettermill.queries_sources import _land
+
+    folder = paged._Folder({"path": str(tmp_path)})
+    for n in (0, 5, 1000, 100_000):
+        ranges = folder.ranges(range(n))
+        assert [p for r in ranges for p in r.value] == list(range(n)) and len(ranges) <= 256
+    assert len(folder.ranges(range(64))) == 4 and len(paged._Folder({"path": "x", "pages_a_partition": "1"}).ranges(range(300))) == 300
+    _land(spark.range(0, 40, 1, 1).selectExpr("CAST(id AS int) AS page_no", "'x' AS value"), f"{tmp_path}/feed")
+    names = [p.name for p in Path(f"{tmp_path}/feed").glob("page_no=*/part-*")]
+    assert len(names) == 40 and len({n.split("-")[1] for n in names}) > 1
