@@ -38,6 +38,8 @@ NO_HEAD = -20.0
 WORD = r"[\p{L}\p{N}_]+"
 #: Rows of a block, and sums that one task or the driver adds up.
 BLOCK_ROWS, FAN = 1024, 32
+#: Terms of a part of the training table on average. Arrow passes up to 10,000 blocks at once, so what a Python worker holds is bounded by its part.
+PART_TERMS = 1 << 21
 #: In the weight table, the bucket of the constant.
 CONSTANT = -1
 
@@ -113,6 +115,12 @@ def _labelled(df: DataFrame, text_col: str, labels_col: str, labels: Sequence[st
     return df.select(term_buckets(F.col(text_col), features).alias("terms"), F.array(*[F.array_contains(has, x) for x in labels]).alias("y"))
 
 
+def _parted(rows: DataFrame, n_terms: int) -> DataFrame:
+    """The rows in parts of about PART_TERMS terms, as many more as the table is larger; a table that one core's part holds stays as it is."""
+    n_parts = -(-n_terms // PART_TERMS)
+    return rows if n_parts <= 1 else rows.repartition(max(n_parts, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _blocks(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     """(row, bucket, value, y) as packed arrays, BLOCK_ROWS rows each."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
@@ -185,7 +193,7 @@ def train_grid(df: DataFrame, settings: Sequence[dict], text_col: str = "text",
     rows = _labelled(df, text_col, labels_col, labels, features).persist()
     blocks = None
     try:
-        counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.get("y", F.lit(i))).alias(f"c{i}") for i in range(len(labels))]).first()
+        counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms").cast("long")).alias("terms"), *[F.count_if(F.get("y", F.lit(i))).alias(f"c{i}") for i in range(len(labels))]).first()
         n = counts["n"]
         heads = [i for i in range(len(labels)) if 0 < counts[f"c{i}"] < n]
         seen = rows.select(F.explode(F.array_distinct("terms")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
@@ -198,7 +206,7 @@ def train_grid(df: DataFrame, settings: Sequence[dict], text_col: str = "text",
         losses: list[np.ndarray] = []
         if heads:
             sizes = np.array([n + (p - 1) * counts[f"c{i}"] for i, p in zip(label_at, positive, strict=True)])
-            blocks = _blocks(rows, idf).persist()
+            blocks = _blocks(_parted(rows, counts["terms"]), idf).persist()
             n_parts = blocks.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] + 1
             point, t = weights, 1.0
             for _ in range(max_iter):

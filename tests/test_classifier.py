@@ -116,3 +116,16 @@ def test_nothing_to_learn_from(spark):
     clash = spark.createDataFrame([("x", "boos", 1, "k")], "logits string, text string, terms int, y string")
     scored = classifier.train(make(spark, 30), max_iter=2, features=16).score(clash)
     assert scored.columns == clash.columns and len(scored.first().logits) == 9
+
+
+def test_parts_of_the_training_table_grow_in_number_not_in_size(spark, monkeypatch):
+    """A table in one partition is dealt into parts of a bounded number of terms, with the same model."""
+    df = spark.createDataFrame([(i, f"woord{i % 7} brief{i % 5} " * 10, ["klacht"] if i % 3 else []) for i in range(300)], "id int, text string, labels array<string>").coalesce(1)
+    whole = classifier.train(df, max_iter=3, features=64)
+    parts = []
+    blocks = classifier._blocks
+    monkeypatch.setattr(classifier, "PART_TERMS", 500)
+    monkeypatch.setattr(classifier, "_blocks", lambda rows, idf: parts.extend(r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.sum(F.size("terms")).alias("n")).collect()) or blocks(rows, idf))
+    dealt = classifier.train(df, max_iter=3, features=64)
+    assert sum(parts) == 6000 and len(parts) >= 12 and max(parts) <= 1000
+    assert np.allclose(whole.weights, dealt.weights, atol=1e-12)
