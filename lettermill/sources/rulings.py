@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.once import with_once
-from lettermill.functions.text import cited_articles, cites_information_act, empty_to_null, has_relevant_signal, iso_date, squeeze, strip
+from lettermill.functions.text import cited_articles, cites_information_act, empty_to_null, has_relevant_signal, iso_date, strip
 
 # Fixed value: where a ruling's content lives.
 CONTENT_URL = "https://data.rechtspraak.nl/uitspraken/content"
-#: Stands between the fields of a record; XML cannot hold it.
-_APART = "\u001f"
+# Local names of the elements that hold a ruling's fields and its text.
+_FIELDS = ("creator", "date", "subject", "zaaknummer", "abstract", "inhoudsindicatie")
+_BODY = "uitspraak"
+_WANTED = {*_FIELDS, _BODY}
 
 
 def _well_formed(xml: Column) -> Column:
@@ -20,38 +26,72 @@ def _well_formed(xml: Column) -> Column:
     return F.coalesce(xml != "", F.lit(False)) & checked["_corrupt_record"].isNull()
 
 
-def _record(xml: Column, *names: str) -> Column:
-    """One string of the text before the first child of the first element of each local name, by one parse."""
-    parts = f', "{_APART}", '.join(f'string((//*[local-name()="{name}"])[1]/text()[1])' for name in names)
-    return F.xpath_string(xml, F.lit(f"concat({parts})"))
-
+def read_ruling(xml: str | None) -> tuple[str | None, ...]:
+    """Stripped texts of the first elements of _FIELDS, each up to the element's first child, and all text of the body; null for none.
 
-def _body(xml: Column) -> Column:
-    """All text of the ruling in document order, one space between pieces."""
-    pieces = F.xpath(xml, F.lit('(//*[local-name()="uitspraak"])[1]//text()'))
-    return empty_to_null(squeeze(F.array_join(pieces, " ")))
+    A body's pieces are in document order with one space between them. Malformed XML has nulls only.
+    """
+    texts, seen, pieces, text, opened, depth = {}, set(), [], [], [], 0
+
+    def end_text(*_) -> None:
+        if text:
+            piece = "".join(text)
+            text.clear()
+            if opened[-1]:
+                texts.setdefault(opened[-1], piece)
+            if depth:
+                pieces.append(piece)
+
+    def start(name: str, _) -> None:
+        nonlocal depth
+        end_text()
+        name = name[name.rfind(":") + 1 :]
+        is_first = name in _WANTED and name not in seen
+        seen.add(name)
+        opened.append(name if is_first else None)
+        depth += bool(depth or is_first and name == _BODY)
+
+    def end(_) -> None:
+        nonlocal depth
+        end_text()
+        opened.pop()
+        depth -= bool(depth)
+
+    # name spaces need not be declared
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = end_text
+    try:
+        parser.Parse(xml or "", True)
+    except expat.ExpatError:
+        return (None,) * (len(_FIELDS) + 1)
+    return (*[texts.get(name, "").strip() or None for name in _FIELDS], " ".join(" ".join(pieces).split()) or None)
+
+
+def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for xml in batches:
+        yield pd.DataFrame([read_ruling(x) for x in xml], columns=[*_FIELDS, _BODY])
 
 
 def parse_rulings(raw: DataFrame, id_col: str = "ecli", xml_col: str = "xml") -> DataFrame:
     """(ecli, xml) to typed rulings. Malformed, empty or null XML gives nulls, no articles and no flag.
 
-    A row's XML is parsed three times: to see whether it is well formed, for its fields, for its body.
+    A row's XML is parsed once, by an Arrow UDF: XPath parses it for each expression and walks all of it for each name.
     """
-    names = ("creator", "date", "subject", "zaaknummer", "abstract", "inhoudsindicatie")
-    rows = with_once(raw.select(F.col(id_col).alias("ecli"), F.col(xml_col).alias("xml")), xml=F.when(_well_formed(F.col("xml")), F.col("xml")))
-    rows = with_once(rows, fields=F.split(_record(F.col("xml"), *names), _APART, -1), full_text=_body(F.col("xml")))
-    text = lambda name: empty_to_null(strip(F.get("fields", F.lit(names.index(name)))))
-    typed = rows.select(
-        "ecli",
-        F.concat(F.lit(f"{CONTENT_URL}?id="), "ecli").alias("content_url"),
-        text("creator").alias("instance"),
-        iso_date(text("date")).alias("decision_date"),
-        text("subject").alias("subject"),
-        text("zaaknummer").alias("case_number"),
-        F.coalesce(text("abstract"), text("inhoudsindicatie")).alias("summary"),
-        "full_text",
+    read = F.pandas_udf(_read, ", ".join(f"{name} string" for name in (*_FIELDS, _BODY)))
+    rows = raw.select(F.col(id_col).alias("ecli"), read(F.col(xml_col)).alias("x"))
+    typed = with_once(
+        rows,
+        content_url=F.concat(F.lit(f"{CONTENT_URL}?id="), "ecli"),
+        instance=F.col("x.creator"),
+        decision_date=iso_date(F.col("x.date")),
+        subject=F.col("x.subject"),
+        case_number=F.col("x.zaaknummer"),
+        summary=F.coalesce("x.abstract", "x.inhoudsindicatie"),
+        full_text=F.col(f"x.{_BODY}"),
     )
-    return with_signals(typed).withColumn("fetched_at", F.current_timestamp())
+    return with_signals(typed.drop("x")).withColumn("fetched_at", F.current_timestamp())
 
 
 def with_signals(rulings: DataFrame, text_col: str = "full_text") -> DataFrame:

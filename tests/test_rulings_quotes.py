@@ -148,3 +148,17 @@ def test_patterns_of_quotes_find_what_their_plain_forms_find(spark):
             runs.append(time.perf_counter() - began)
         seconds.append(min(runs))
     assert seconds[0] < seconds[1] / 2
+
+
+def test_ruling_xml_is_read_whole(spark):
+    rows = [
+        ("E1", "<r><uitspraak>een <![CDATA[<twee>]]> drie<!-- x --> vier</uitspraak><creator>A<![CDATA[B]]></creator></r>"),
+        ("E2", "<r><creator>A</creator></r> rest"),
+        ("E3", "<r><creator>A</creator></r><r/>"),
+        ("E4", "﻿<r><p:creator> A </p:creator><k><creator>B</creator></k></r>"),
+        ("E5", f"<r><uitspraak>{'é' * 20000}</uitspraak></r>"),
+    ]
+    got = {r.ecli: (r.instance, r.full_text) for r in rulings.parse_rulings(spark.createDataFrame(rows, "ecli string, xml string")).collect()}
+    assert got == {"E1": ("AB", "een <twee> drie vier"), "E2": (None, None), "E3": (None, None), "E4": ("A", None), "E5": (None, "é" * 20000)}
+    plan = rulings.with_content(rulings.parse_rulings(spark.createDataFrame(rows, "ecli string, xml string")), "2024-01-01", "2024-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "xpath" not in plan
