@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Temporary folders of local applications, and the paths that each application was given.
 _local: dict[str, str] = {}
 _given: dict[str, list[str]] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The paths of the steps that the current thread is in, the innermost last.
 _steps = threading.local()
 
@@ -41,10 +42,22 @@ def new_path(spark: SparkSession, name: str = "lettermill") -> str:
     return path
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs meanwhile go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: a lineage cut that outlives executors."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    with _shuffles_deleted(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

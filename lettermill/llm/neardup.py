@@ -167,10 +167,10 @@ def _are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series(out, dtype=bool)
 
 
-def _similar(candidates: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The candidates (a, b) whose texts are similar enough; what it took to tell is deleted."""
+def _similar(pairs: DataFrame, rows: DataFrame, of: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose texts are similar enough; what it took to tell is deleted."""
     with steps_to_one_table(docs.sparkSession):
-        candidates = cut(candidates)
+        candidates = cut(_possible(_shared_keys(pairs, of)))
         wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = cut(rows.join(wanted, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")))
         if wanted.count() <= BROADCAST_ROWS:
@@ -225,11 +225,17 @@ def _hopeful(shared: DataFrame) -> DataFrame:
 
 
 def _shared_keys(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) with their sizes x and y and the number n of prefix shingles that both have."""
-    side = lambda node, size, keys, odd: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("keys").alias(keys), F.col("odd").alias(odd))
-    met = pairs.distinct().join(side("a", "x", "ka", "oa"), "a").join(side("b", "y", "kb", "ob"), "b")
-    met = met.where(_near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob")))
-    return met.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
+    """Distinct pairs (a, b) that sizes and parities allow, with their sizes x and y and the number n of prefix shingles that both have."""
+    side = lambda node, size, odd: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("odd").alias(odd))
+    met = pairs.distinct().join(side("a", "x", "oa"), "a").join(side("b", "y", "ob"), "b")
+    # prefixes grow with their texts, so only pairs that are left carry them
+    met = cut(met.where(_near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob"))).select("a", "b", "x", "y"))
+    wanted = cut(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    keys = cut(of.select("node", "keys").join(wanted, "node", "left_semi"))
+    both = met.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
+    return both.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
 
 
 def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callable[[DataFrame], DataFrame], components: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
@@ -248,7 +254,7 @@ def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callab
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return _similar(_possible(_shared_keys(pairs, of)), rows, docs, text_col)
+        return _similar(pairs, rows, of, docs, text_col)
 
     def across(found: DataFrame) -> DataFrame:
         """(key, node, size, root, n) of the n nodes of each shingle whose nodes are in several components."""

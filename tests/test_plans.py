@@ -1,12 +1,15 @@
 """Plans compute what they should once, and helpers of storage, paging and packing."""
 
 import os
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lettermill.functions import storage
 from lettermill.functions.once import packed, with_once
 from lettermill.functions.spans import MARK, find_spans
+from lettermill.llm import neardup
 from lettermill.operators import redaction
 from lettermill.queries import QUERIES
 from lettermill.sources import council, paging
@@ -96,3 +99,32 @@ def test_tables_of_steps_are_deleted_also_when_a_step_fails_and_by_their_own_thr
         lost = written(None)
         raise RuntimeError
     assert not os.path.exists(lost) and lost not in storage._given[spark.sparkContext.applicationId]
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().endswith(".data")}
+
+    before, mode = shuffled(), spark.conf.get(storage._CLEANUP)
+    grouped = spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    table = storage.cut(grouped)
+    for _ in range(40):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.25)
+    assert not left and table.count() == 1000 and grouped.count() == 1000 and spark.conf.get(storage._CLEANUP) == mode
+
+
+def test_prefixes_are_joined_to_pairs_that_parities_leave(spark, monkeypatch):
+    # 200 sets that share 30 of 100 shingles: every pair meets, none is similar
+    draw = np.random.default_rng(7).integers(0, 1 << 63, 30 + 200 * 70, dtype=np.uint64)
+    rows = [(n, 100, list(range(30)), neardup._parities(np.append(draw[:30], draw[30 + 70 * n : 100 + 70 * n])).tolist()) for n in range(200)]
+    of = storage.cut(spark.createDataFrame(rows, "node bigint, size int, keys array<bigint>, odd array<bigint>"))
+    pairs = of.select(F.col("node").alias("a")).crossJoin(of.select(F.col("node").alias("b"))).where("a < b")
+    written = []
+    monkeypatch.setattr(neardup, "cut", lambda df: written.append(storage.cut(df)) or written[-1])
+    assert neardup._shared_keys(pairs, of).count() == 0 and [t.count() for t in written] == [0, 0, 0]
+    twins = of.union(of.withColumn("node", F.col("node") + 1000))
+    some = twins.select(F.col("node").alias("a"), (F.col("node") + 1000).alias("b")).where("a < 1000")
+    assert some.count() == 200 and set(map(tuple, neardup._shared_keys(some, twins).select("x", "y", "n").collect())) == {(100, 100, 30)}
