@@ -167,10 +167,10 @@ def _are_similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series(out, dtype=bool)
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, of: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _similar(pairs: DataFrame, rows: DataFrame, of: DataFrame, keys: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough; what it took to tell is deleted."""
     with steps_to_one_table(docs.sparkSession):
-        candidates = cut(_possible(_shared_keys(pairs, of)))
+        candidates = cut(_possible(_shared_keys(pairs, of, keys)))
         wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = cut(rows.join(wanted, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")))
         if wanted.count() <= BROADCAST_ROWS:
@@ -190,20 +190,25 @@ def _possible(met: DataFrame) -> DataFrame:
     return met.where(fits).select("a", "b")
 
 
+def _sizes_allow(x: Column, y: Column) -> Column:
+    """True unless sizes alone say that two nodes are not similar."""
+    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
+
+
 def _near_enough(x: Column, y: Column, odd_x: Column, odd_y: Column) -> Column:
     """True unless sizes or parities say that two nodes are not similar."""
     differ = F.aggregate(F.zip_with(odd_x, odd_y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
-    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & ((NUM + DEN) * differ <= (DEN - NUM) * (x + y))
+    return _sizes_allow(x, y) & ((NUM + DEN) * differ <= (DEN - NUM) * (x + y))
 
 
 def _anchored(of: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Pairs (a, b) of nodes by their SimHashes: the least nodes of linked ones, and every node with the least of its own."""
+    """Pairs (a, b, y) of nodes by their SimHashes: the least nodes of linked ones, and every node with the least of its own; y as in _shared_keys."""
     least = cut(of.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")))
-    same = of.join(least.where("first <> last").select("fp", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same = of.join(least.where("first <> last").select("fp", "first"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("size").alias("y"))
     met = links(least.select("fp"))
     side = lambda fp, node: least.select(F.col("fp").alias(fp), F.col("first").alias(node))
     pairs = met.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
-    return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(None).cast("int").alias("y")))
 
 
 def _hopeful(shared: DataFrame) -> DataFrame:
@@ -224,16 +229,25 @@ def _hopeful(shared: DataFrame) -> DataFrame:
     return shared.join(cut(enough), "node")
 
 
-def _shared_keys(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that sizes and parities allow, with their sizes x and y and the number n of prefix shingles that both have."""
+def _shared_keys(pairs: DataFrame, of: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and parities allow, with their sizes x and y and the number n of prefix shingles that both have.
+
+    `pairs` are (a, b) or (a, b, y): y is the size of b or null where it is not known yet. `keys` are (node, keys)
+    of the nodes that can be similar to any: those of their prefix shingles that some other node has, too;
+    without it, whole prefixes are compared.
+    """
+    known = F.max("y") if "y" in pairs.columns else F.lit(None).cast("int")
+    keys = of.select("node", "keys") if keys is None else keys
     side = lambda node, size, odd: of.select(F.col("node").alias(node), F.col("size").alias(size), F.col("odd").alias(odd))
-    met = pairs.distinct().join(side("a", "x", "oa"), "a").join(side("b", "y", "ob"), "b")
+    met = pairs.groupBy("a", "b").agg(known.alias("known")).join(side("a", "x", "oa"), "a")
+    # parities are longer than all else in a pair, so pairs whose sizes rule them out go before these are moved
+    met = met.where(F.col("known").isNull() | _sizes_allow(F.col("x"), F.col("known"))).drop("known").join(side("b", "y", "ob"), "b")
     # prefixes grow with their texts, so only pairs that are left carry them
     met = cut(met.where(_near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob"))).select("a", "b", "x", "y"))
     wanted = cut(met.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    keys = cut(of.select("node", "keys").join(wanted, "node", "left_semi"))
+    keys = cut(keys.join(wanted, "node", "left_semi"))
     both = met.join(keys.select(F.col("node").alias("a"), F.col("keys").alias("ka")), "a").join(keys.select(F.col("node").alias("b"), F.col("keys").alias("kb")), "b")
     return both.select("a", "b", "x", "y", F.size(F.array_intersect("ka", "kb")).alias("n"))
 
@@ -245,16 +259,17 @@ def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callab
     parities, both written; `links` gives pairs of SimHashes, `components` (node, root) of pairs.
     """
     spark = docs.sparkSession
-    with steps_to_one_table(spark):
+    with steps_to_one_table(spark, keep=2):
         one = of.select(F.explode("keys").alias("key"), "node", "size")
         # a shingle of one node alone pairs nothing; the least and the greatest node tell
         met = one.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
         met = cut(met.where("first <> last").select("key", "first"))
         shared = cut(_hopeful(cut(one.join(met, "key"))))
-    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        keys = cut(shared.groupBy("node").agg(F.collect_list("key").alias("keys")))
+    stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("size").alias("y"))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        return _similar(pairs, rows, of, docs, text_col)
+        return _similar(pairs, rows, of, keys, docs, text_col)
 
     def across(found: DataFrame) -> DataFrame:
         """(key, node, size, root, n) of the n nodes of each shingle whose nodes are in several components."""
@@ -268,10 +283,13 @@ def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callab
     left = across(first)
     # a text whose shingles many others have is the middle of its group, and most similar to the others
     score = left.groupBy("node").agg(F.sum("n").alias("score"))
-    hub = F.max(F.struct("score", "node", "root")).alias("hub")
+    hub = F.max(F.struct("score", "node", "root", "size")).alias("hub")
     hubs = left.where(F.col("n") > HUBS).join(cut(score), "node").groupBy("key", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS)).alias("class")).agg(hub)
-    met = left.join(cut(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))), "key").where("root <> hub_root")
-    second = first.union(similar(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
+    hubs = cut(hubs.select("key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"), F.col("hub.size").alias("hub_size")))
+    # a common passage is in texts of all sizes, of which most differ too much
+    met = left.join(hubs, "key").where((F.col("root") != F.col("hub_root")) & _sizes_allow(F.col("size"), F.col("hub_size")))
+    greater = F.when(F.col("node") > F.col("hub"), F.col("size")).otherwise(F.col("hub_size"))
+    second = first.union(similar(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), greater.alias("y"))))
     # rare shingles first; a pair that needs k of them in common cannot have all in either's last k - 1
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
     left = cut(across(second).withColumn("rank", rank).where("rank <= telling").drop("rank"))
@@ -281,4 +299,4 @@ def similar_pairs(rows: DataFrame, of: DataFrame, docs: DataFrame, links: Callab
     one = left.select("key", F.col("node").alias("a"), F.col("size").alias("x"), F.col("root").alias("r"), F.col("odd").alias("oa"), F.expr("cast(pmod(xxhash64(node), salts) AS int)").alias("salt"))
     other = left.select("key", F.col("node").alias("b"), F.col("size").alias("y"), F.col("root").alias("s"), F.col("odd").alias("ob"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     same = one.join(other, (one["key"] == other["key"]) & (one["salt"] == other["salt"]) & (F.col("a") < F.col("b")) & (F.col("r") != F.col("s")) & _near_enough(F.col("x"), F.col("y"), F.col("oa"), F.col("ob")))
-    return second.union(similar(same.select("a", "b")))
+    return second.union(similar(same.select("a", "b", "y")))

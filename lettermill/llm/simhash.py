@@ -185,9 +185,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
         keeper = F.xxhash64("doc_id", "text_hash")
         keepers = placed.groupBy("root").agg(best.alias("k")).select(F.xxhash64("k.doc_id", "k.text_hash").alias("keeper")).distinct()
-        keepers = cut(rows.groupBy(keeper.alias("keeper")).agg(F.count(F.lit(1)).alias("n")).join(keepers, "keeper", "left_semi"))
+        # most rows stay, so those that go, and those that repeat, are the shorter list
+        told = rows.groupBy(keeper.alias("keeper")).agg(F.count(F.lit(1)).alias("n")).join(keepers.withColumn("stays", F.lit(True)), "keeper", "left")
+        told = cut(told.where("n > 1 OR stays IS NULL").select("keeper", F.coalesce("stays", F.lit(False)).alias("stays")))
+    if told.count() <= neardup.BROADCAST_ROWS:
+        told = F.broadcast(told)
     keyed = packed(docs, keeper=F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    lone = keyed.join(keepers.where("n = 1"), "keeper", "left_semi").select("row")
+    lone = keyed.join(told, "keeper", "left_anti").select("row")
     # a row that repeats, however often, is picked within each task first
-    repeated = keyed.join(keepers.where("n > 1"), "keeper", "left_semi").groupBy("keeper").agg(F.first("row").alias("row")).select("row")
+    repeated = keyed.join(told.where("stays"), "keeper", "left_semi").groupBy("keeper").agg(F.first("row").alias("row")).select("row")
     return lone.union(repeated).select("row.*")

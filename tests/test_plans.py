@@ -128,3 +128,43 @@ def test_prefixes_are_joined_to_pairs_that_parities_leave(spark, monkeypatch):
     twins = of.union(of.withColumn("node", F.col("node") + 1000))
     some = twins.select(F.col("node").alias("a"), (F.col("node") + 1000).alias("b")).where("a < 1000")
     assert some.count() == 200 and set(map(tuple, neardup._shared_keys(some, twins).select("x", "y", "n").collect())) == {(100, 100, 30)}
+
+
+def test_hubs_and_stars_make_pairs_of_sizes_that_allow_the_similarity_only(spark, monkeypatch):
+    """A passage in texts of all sizes: those that differ too much in size are no pair of the second round, and no pair carries shingles that one text alone has."""
+    from lettermill.llm import simhash
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(150):
+        words = [f"p{j}" for j in range(100 + 40 * (i % 6))]
+        for at in rng.choice(len(words), len(words) // 37, replace=False):
+            words[at] = f"w{rng.integers(10**9)}"
+        texts.append((i, " ".join(words)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    seen, carried = [], []
+    shared_keys = neardup._shared_keys
+
+    def spy(pairs, of, keys=None):
+        size = of.select("node", "size")
+        of_both = pairs.join(size.select(F.col("node").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("node").alias("b"), F.col("size").alias("sb")), "b")
+        seen.append(of_both.selectExpr("count(*)", "count_if(5 * least(sa, sb) < 4 * greatest(sa, sb))", "count_if(y <> sb)").first())
+        whole = of.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+        carried.append((keys.count(), keys.select(F.explode("keys").alias("key")).join(whole, "key").count()))
+        return shared_keys(pairs, of, keys)
+
+    monkeypatch.setattr(neardup, "_shared_keys", spy)
+    kept = simhash.keep_one(docs).count()
+    sets = [set(neardup.shingles(t).tolist()) for _, t in texts]
+    parent = list(range(150))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in ((i, j) for i in range(150) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+        parent[find(i)] = find(j)
+    assert kept == len({find(i) for i in range(150)})
+    assert seen[1][0] > 100 and seen[1][1] == 0 and not any(wrong for *_, wrong in seen)
+    assert carried[0][0] > 0 and not any(alone for _, alone in carried)
